@@ -79,16 +79,17 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
         starts.append(cum)
         cum += size
     indexed = with_global_index(df, [weight_col, id_col], "__g")
-    d = F.col("id")
-    cls = F.lit(len(classes) - 1)
-    first = F.lit(0)
-    size = F.lit(classes[-1][1])
-    start = F.lit(starts[-1])
     bound = 0
     bounds = []
     for a in alloc:
         bound += a
         bounds.append(bound)
+    # draw number d belongs to class c when bounds[c-1] <= d < bounds[c]
+    d = F.col("id")
+    cls = F.lit(len(classes) - 1)
+    first = F.lit(bounds[-1] - alloc[-1])
+    size = F.lit(classes[-1][1])
+    start = F.lit(starts[-1])
     for c in range(len(classes) - 2, -1, -1):
         cond = d < bounds[c]
         cls = F.when(cond, F.lit(c)).otherwise(cls)

@@ -423,5 +423,203 @@ def max_color_count(spark, sf):
     return finish(P.max_color_count(P.color_frequency(S.load(spark, sf, "part"), "p_name")))
 
 
+# ===================================================================== job A / job B: prepare, split, balance
+import numpy as _np  # noqa: E402
+
+_QTABLE = ", ".join(
+    f"({qn}, {k}, {float(_np.true_divide(_np.float64(v) * 100.0, 100.0))!r})"
+    for qn in range(2, 6) for k, v in enumerate(_np.linspace(0, 1, qn + 1)))
+
+_PREPARED = f"""
+pairs AS ({_PAIRS}),
+c AS (SELECT id, {R.clean('prompt')} AS prompt, coalesce(svg, '') AS svg, expected_norm AS svg_norm FROM pairs),
+f AS (SELECT * FROM c WHERE length(svg) BETWEEN {K.MIN_MARKUP_CHARS} AND {K.MAX_MARKUP_CHARS} AND length(prompt) > 0
+                          AND length(svg_norm) > 0),
+st AS (SELECT *, {R.paint_stats_cols('svg_norm')} FROM f),
+v AS (SELECT * FROM st WHERE {R.validity('svg_norm', 'drawable_count', 'visible_paint_count')}),
+dd AS (SELECT *, row_number() OVER (PARTITION BY {R.norm('prompt')}, svg_norm ORDER BY id) AS rn FROM v),
+prepared AS (SELECT id, prompt, svg, {R.norm('prompt')} AS prompt_norm, svg_norm,
+                    CAST(length(prompt) + length(svg_norm) AS BIGINT) AS combined_chars FROM dd WHERE rn = 1)"""
+
+_SPLIT = f"""
+{_PREPARED},
+nn AS (SELECT count(*) AS n, count(DISTINCT combined_chars) AS nd FROM prepared),
+ee AS (SELECT n, least(least({K.MAX_EVAL_ROWS}, greatest({K.MIN_EVAL_ROWS}, CAST(floor(n * {K.EVAL_FRACTION}) AS BIGINT))), n - 1) AS e,
+              least(5, greatest(2, nd)) AS qn FROM nn),
+qt AS (SELECT * FROM (VALUES {_QTABLE}) t(qn, k, qv)),
+sorted AS (SELECT combined_chars AS v, row_number() OVER (ORDER BY combined_chars) - 1 AS pos FROM prepared),
+vi AS (SELECT qt.k, (ee.n - 1) * qt.qv AS vi, ee.n FROM qt JOIN ee ON qt.qn = ee.qn),
+vx AS (SELECT k, vi, least(greatest(floor(vi), 0), n - 1) AS lo, least(greatest(floor(vi) + 1, 0), n - 1) AS hi,
+              vi - floor(vi) AS t FROM vi),
+ed AS (SELECT DISTINCT CASE WHEN t >= 0.5 THEN b.v - (b.v - a.v) * (1 - t) ELSE a.v + (b.v - a.v) * t END AS edge
+       FROM vx JOIN sorted a ON a.pos = vx.lo JOIN sorted b ON b.pos = vx.hi),
+binned AS (SELECT p.*, CAST(greatest(0, (SELECT count(*) FROM ed WHERE ed.edge < p.combined_chars) - 1) AS INTEGER) AS length_bin
+           FROM prepared p),
+bucketed AS (SELECT *, CAST({R.prompt_complexity('prompt')} AS INTEGER) AS prompt_complexity_bin,
+                    CAST({R.markup_complexity('svg_norm')} AS INTEGER) AS svg_complexity_bin FROM binned),
+framed AS (SELECT *, 'L' || length_bin || '_P' || prompt_complexity_bin || '_S' || svg_complexity_bin AS split_bucket,
+                  row_number() OVER (ORDER BY combined_chars, id) - 1 AS f FROM bucketed),
+sizes AS (SELECT split_bucket, count(*) AS n FROM framed GROUP BY split_bucket),
+qa AS (SELECT s.*, (CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE)) * (SELECT e FROM ee) AS desired,
+              CASE WHEN n >= 20 THEN 1 ELSE 0 END AS minimum FROM sizes s),
+qb AS (SELECT *, least(greatest(minimum, CAST(floor(desired) AS BIGINT)), n - 1) AS base, desired - floor(desired) AS remainder
+       FROM qa),
+qc AS (SELECT *, sum(base) OVER () AS alloc,
+              sum(CASE WHEN base < n - 1 THEN 1 ELSE 0 END) OVER (ORDER BY remainder DESC, n DESC, split_bucket
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS add_rank,
+              sum(CASE WHEN base - minimum > 0 THEN 1 ELSE 0 END) OVER (ORDER BY remainder, n, split_bucket
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS drop_rank FROM qb),
+quota AS (SELECT split_bucket, n, minimum, remainder,
+                 CASE WHEN (SELECT e FROM ee) - alloc > 0 AND base < n - 1 AND add_rank <= (SELECT e FROM ee) - alloc THEN base + 1
+                      WHEN alloc - (SELECT e FROM ee) > 0 AND base - minimum > 0 AND drop_rank <= alloc - (SELECT e FROM ee)
+                      THEN base - 1 ELSE base END AS quota FROM qc),
+pos AS (SELECT DISTINCT split_bucket,
+               CASE WHEN quota = 1 THEN 0 WHEN i = quota - 1 THEN n - 1
+                    ELSE CAST(floor(i * (CAST(n - 1 AS DOUBLE) / CAST(quota - 1 AS DOUBLE))) AS BIGINT) END AS p
+        FROM quota, LATERAL (SELECT unnest(range(0, quota)) AS i) r WHERE quota > 0),
+inb AS (SELECT *, row_number() OVER (PARTITION BY split_bucket ORDER BY combined_chars, id) - 1 AS bpos FROM framed),
+picked AS (SELECT f FROM inb JOIN pos ON inb.split_bucket = pos.split_bucket AND inb.bpos = pos.p),
+mm AS (SELECT count(*) AS m FROM picked),
+rest AS (SELECT f, row_number() OVER (ORDER BY f) - 1 AS r FROM framed WHERE f NOT IN (SELECT f FROM picked)),
+need AS (SELECT (SELECT e FROM ee) - m AS k, (SELECT count(*) FROM rest) AS rn FROM mm),
+tpos AS (SELECT DISTINCT CASE WHEN k = 1 THEN 0 WHEN i = k - 1 THEN rn - 1
+                              ELSE CAST(floor(i * (CAST(rn - 1 AS DOUBLE) / CAST(k - 1 AS DOUBLE))) AS BIGINT) END AS r
+         FROM need, LATERAL (SELECT unnest(range(0, k)) AS i) x WHERE k > 0),
+topup AS (SELECT f FROM rest WHERE r IN (SELECT r FROM tpos)),
+chosen AS (SELECT f FROM (SELECT f, row_number() OVER (ORDER BY f) AS rk FROM (SELECT f FROM picked UNION SELECT f FROM topup) u)
+           WHERE rk <= (SELECT e FROM ee)),
+split AS (SELECT framed.*, CASE WHEN f IN (SELECT f FROM chosen) THEN 'eval' ELSE 'train' END AS split FROM framed)"""
+
+
+def _prepared(spark, sf):
+    return prepare_corpus(_pairs(spark, sf))
+
+
+def _split(spark, sf):
+    return stratified_split(_prepared(spark, sf), "id", "combined_chars", "prompt", "svg_norm")
+
+
+@query("prepare_corpus", f"""
+WITH {_PREPARED}
+SELECT id, prompt_norm, md5(svg_norm) AS svg_md5, combined_chars FROM prepared""")
+def prepare_corpus_q(spark, sf):
+    """Job A: clean, F1, canonicalise (leaf), F2, M7 valid, D1 dedupe, combined length."""
+    d = _prepared(spark, sf)
+    return finish(d.select("id", "prompt_norm", F.md5("svg_norm").alias("svg_md5"), "combined_chars"))
+
+
+@query("eval_size", f"""
+WITH {_SPLIT} SELECT n AS rows, e AS eval_rows FROM ee""")
+def eval_size_q(spark, sf):
+    """Eval size for the prepared corpus."""
+    n = _prepared(spark, sf).count()
+    return finish(spark.createDataFrame([(n, eval_size(n))], "rows long, eval_rows long"))
+
+
+@query("length_bins", f"""
+WITH {_SPLIT} SELECT id, combined_chars, length_bin FROM binned""")
+def length_bins(spark, sf):
+    """Quantile length bins (pandas qcut rules, edges from the length histogram)."""
+    d = _prepared(spark, sf)
+    return finish(with_length_bin(d, length_edges(d)).select("id", "combined_chars", "length_bin"))
+
+
+@query("split_bucket", f"""
+WITH {_SPLIT} SELECT id, prompt_complexity_bin, svg_complexity_bin, split_bucket FROM framed""")
+def split_bucket(spark, sf):
+    """Complexity bins and bucket label."""
+    d = _prepared(spark, sf)
+    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    return finish(d.select("id", "prompt_complexity_bin", "svg_complexity_bin", "split_bucket"))
+
+
+@query("bucket_sizes", f"WITH {_SPLIT} SELECT split_bucket, n FROM sizes")
+def bucket_sizes(spark, sf):
+    """A4: rows per split bucket."""
+    d = _prepared(spark, sf)
+    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    return finish(P.bucket_sizes(d))
+
+
+@query("distinct_count", f"""
+WITH {_SPLIT} SELECT (SELECT count(DISTINCT combined_chars) FROM framed) AS distinct_lengths,
+                     (SELECT count(DISTINCT split_bucket) FROM framed) AS distinct_buckets""")
+def distinct_count(spark, sf):
+    """A5: distinct lengths and distinct buckets."""
+    d = _prepared(spark, sf)
+    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    return finish(d.agg(F.countDistinct("combined_chars").alias("distinct_lengths"),
+                        F.countDistinct("split_bucket").alias("distinct_buckets")))
+
+
+@query("bucket_quota", f"WITH {_SPLIT} SELECT split_bucket, n, quota FROM quota")
+def bucket_quota_q(spark, sf):
+    """Largest-remainder eval quota per bucket."""
+    d = _prepared(spark, sf)
+    n = d.count()
+    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    return finish(bucket_quota(P.bucket_sizes(d), eval_size(n)).select("split_bucket", "n", "quota"))
+
+
+@query("stratified_split", f"WITH {_SPLIT} SELECT id, split_bucket, split FROM split")
+def stratified_split_q(spark, sf):
+    """W4 spaced picks + W5 top-up + J6 complement: every row labelled eval or train."""
+    return finish(_split(spark, sf).select("id", "split_bucket", "split"))
+
+
+_TRAIN_W = f"""
+{_SPLIT},
+train AS (SELECT * FROM split WHERE split = 'train'),
+tc AS (SELECT id, {R.color_tokens('prompt')} AS colors FROM train),
+cf AS (SELECT color, count(*) AS n FROM (SELECT unnest(colors) AS color FROM tc) x GROUP BY color),
+mx AS (SELECT max(n) AS max_n FROM cf),
+u AS (SELECT id, unnest(colors) AS color FROM tc),
+uw AS (SELECT u.id, sqrt(CAST(mx.max_n AS DOUBLE) / CAST(greatest(cf.n, 1) AS DOUBLE)) AS boost
+       FROM u JOIN cf ON cf.color = u.color, mx),
+w AS (SELECT tc.id, coalesce(greatest(1.0, max(uw.boost)), 1.0) AS weight FROM tc LEFT JOIN uw ON uw.id = tc.id GROUP BY tc.id)"""
+
+
+@query("rarity_weight", f"WITH {_TRAIN_W} SELECT id, {r6('weight')} AS weight FROM w")
+def rarity_weight(spark, sf):
+    """Colour-rarity weight of every train row."""
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    return finish(with_rarity_weight(train, "prompt").select("id", "weight"))
+
+
+@query("weighted_oversample", f"""
+WITH {_TRAIN_W},
+tot AS (SELECT count(*) AS n, CAST(floor(count(*) * {K.OVERSAMPLE_FACTOR}) AS BIGINT) AS extra FROM w),
+cls AS (SELECT weight, count(*) AS nc, row_number() OVER (ORDER BY weight) - 1 AS c FROM w GROUP BY weight),
+cm AS (SELECT *, weight * nc AS mass, sum(weight * nc) OVER () AS total,
+              sum(nc) OVER (ORDER BY weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start0 FROM cls),
+sh AS (SELECT *, (SELECT extra FROM tot) * mass / total AS share, coalesce(start0, 0) AS start FROM cm),
+fl AS (SELECT *, CAST(floor(share) AS BIGINT) AS base, share - floor(share) AS rem FROM sh),
+al AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, weight DESC, c) <=
+                               (SELECT extra FROM tot) - sum(base) OVER () THEN 1 ELSE 0 END AS draws FROM fl),
+dr AS (SELECT c, nc, start, unnest(range(0, draws)) AS j FROM al WHERE draws > 0),
+hit AS (SELECT start + CAST(('0x' || substr(md5('{K.SEED}|' || c || '|' || j), 1, 8)) AS BIGINT) % nc AS g FROM dr),
+idx AS (SELECT id, row_number() OVER (ORDER BY weight, id) - 1 AS g FROM w)
+SELECT idx.id, count(*) AS copies FROM hit JOIN idx ON hit.g = idx.g GROUP BY idx.id""")
+def weighted_oversample_q(spark, sf):
+    """floor(0.3 n) extra train rows drawn by rarity weight; copies per id."""
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    w = with_rarity_weight(train, "prompt")
+    extra = weighted_oversample(w, "weight", "id")
+    return finish(extra.groupBy("id").agg(F.count(F.lit(1)).alias("copies")))
+
+
+@query("long_context_subset", f"""
+WITH {_SPLIT},
+o AS (SELECT id, split, row_number() OVER (PARTITION BY split ORDER BY combined_chars DESC, id) - 1 AS i,
+             count(*) OVER (PARTITION BY split) AS n FROM split)
+SELECT id, split FROM o
+WHERE i < least(n, greatest(CASE WHEN split = 'train' THEN {K.LONG_CONTEXT_MIN_TRAIN} ELSE {K.LONG_CONTEXT_MIN_EVAL} END,
+                            CAST(floor(n * {K.LONG_CONTEXT_FRACTION}) AS BIGINT)))""")
+def long_context_subset_q(spark, sf):
+    """W13 per split: longest train rows (>= 4096) and eval rows (>= 128)."""
+    from inkstone.operators.split import long_context_subset
+    return finish(long_context_subset(_split(spark, sf)).select("id", "split"))
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES
