@@ -33,6 +33,29 @@ def tag_name(element: Column) -> Column:
     return F.regexp_extract(element, r"^<([A-Za-z]+)", 1)
 
 
+ATTR_PAIR = r'\s([A-Za-z_][-A-Za-z0-9_:.]*)="([^"]*)"'
+
+
+def parse_elements(markup) -> Column:
+    """array<struct<tag, names, vals>>: every start tag parsed once (two regex scans).
+
+    All per-document statistics read this column, so attribute regexes are not
+    re-run per statistic (Catalyst has no common-subexpression elimination
+    inside higher-order functions).
+    """
+    return F.transform(start_tags(markup), lambda e: F.struct(
+        tag_name(e).alias("tag"),
+        F.regexp_extract_all(e, F.lit(ATTR_PAIR), 1).alias("names"),
+        F.regexp_extract_all(e, F.lit(ATTR_PAIR), 2).alias("vals")))
+
+
+def get_attr(el: Column, name: str) -> Column:
+    """Unescaped value of attribute ``name`` of a parsed element ("" when absent)."""
+    pos = F.array_position(el["names"], F.lit(name)).cast("int")
+    raw = F.when(pos > 0, F.element_at(el["vals"], pos)).otherwise(F.lit(""))
+    return F.when(F.contains(raw, F.lit("&")), unescape_attr(raw)).otherwise(raw)
+
+
 def unescape_attr(v: Column) -> Column:
     """Undo the serialiser's attribute escaping (``&amp;`` last)."""
     for ent, ch in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#10;", "\n"),
@@ -112,62 +135,61 @@ def is_visible_paint(v: Column) -> Column:
     return let(compact(v), vis)
 
 
-def style_paints(element: Column) -> Column:
-    """fill/stroke values declared inside the ``style`` attribute of one tag."""
-    parts = F.split(attr(element, "style"), ";")
-    vals = F.transform(parts, lambda p: F.when(
-        F.contains(p, F.lit(":")) & F.lower(strip_ws(F.substring_index(p, ":", 1))).isin("fill", "stroke"),
-        strip_ws(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1))))
-    return F.filter(vals, lambda x: x.isNotNull())
+def _style_values(style: Column, lower_key: bool = True) -> Column:
+    """fill/stroke values declared in a style text (None entries removed)."""
+    def one(p):
+        key = strip_ws(F.substring_index(p, ":", 1))
+        key = F.lower(key) if lower_key else key
+        return F.when(F.contains(p, F.lit(":")) & key.isin("fill", "stroke"),
+                      strip_ws(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1)))
+    return F.filter(F.transform(F.split(style, ";"), one), lambda x: x.isNotNull())
 
 
-def element_paints(element: Column) -> Column:
-    """Paint values of one element: fill, stroke, then style fill/stroke; non-paints removed."""
-    vals = F.concat(F.array(strip_ws(attr(element, "fill")), strip_ws(attr(element, "stroke"))), style_paints(element))
+def element_paints(el: Column) -> Column:
+    """Paint values of one parsed element: fill, stroke, then style fill/stroke; non-paints removed."""
+    vals = F.concat(F.array(strip_ws(get_attr(el, "fill")), strip_ws(get_attr(el, "stroke"))),
+                    _style_values(get_attr(el, "style")))
     return F.filter(vals, lambda x: ~is_non_paint(x))
 
 
-def is_drawable(element: Column) -> Column:
-    return tag_name(element).isin(*K.DRAWABLE_TAGS)
+def drawables(els: Column) -> Column:
+    return F.filter(els, lambda el: el["tag"].isin(*K.DRAWABLE_TAGS))
 
 
-def paint_stats(markup) -> Column:
-    """M4: struct(drawable_count, painted_count, visible_paint_count, distinct_colors).
+def paint_stats(els: Column) -> Column:
+    """M4 on parsed elements: struct(drawable_count, painted_count, visible_paint_count, distinct_colors).
 
-    Computed on the start tags of one document; the distinct set holds the
-    compacted lower-cased paint text (so ``#FFF`` and ``#ffffff`` differ).
+    The distinct set holds the compacted lower-cased paint text (``#FFF`` and
+    ``#ffffff`` differ).
     """
-    draw = F.filter(start_tags(markup), is_drawable)
-    paints = F.transform(draw, element_paints)
-    return F.struct(
-        F.size(draw).alias("drawable_count"),
-        F.size(F.filter(paints, lambda a: F.size(a) > 0)).alias("painted_count"),
-        F.size(F.filter(paints, lambda a: F.exists(a, is_visible_paint))).alias("visible_paint_count"),
-        F.size(F.array_distinct(F.transform(F.flatten(paints), compact))).alias("distinct_colors"),
-    )
-
+    def per_element(el):
+        return let(element_paints(el), lambda p: F.struct(
+            (F.size(p) > 0).alias("painted"),
+            F.exists(p, is_visible_paint).alias("visible"),
+            F.transform(p, compact).alias("colors")))
 
-def rich_colors(markup) -> Column:
-    """F4 colour set: fill/stroke attribute and style values, lower-cased, spaces kept.
+    # one pass over the drawables; every per-element value is bound once
+    return let(F.transform(drawables(els), per_element), lambda d: F.struct(
+        F.size(d).alias("drawable_count"),
+        F.size(F.filter(d, lambda x: x["painted"])).alias("painted_count"),
+        F.size(F.filter(d, lambda x: x["visible"])).alias("visible_paint_count"),
+        F.size(F.array_distinct(F.flatten(F.transform(d, lambda x: x["colors"])))).alias("distinct_colors")))
 
-    Unlike :func:`paint_stats` the style key is matched without lower-casing.
-    """
-    draw = F.filter(start_tags(markup), is_drawable)
 
-    def one(e):
-        attrs = F.array(F.lower(strip_ws(attr(e, "fill"))), F.lower(strip_ws(attr(e, "stroke"))))
-        parts = F.split(attr(e, "style"), ";")
-        st = F.transform(parts, lambda p: F.when(
-            F.contains(p, F.lit(":")) & strip_ws(F.substring_index(p, ":", 1)).isin("fill", "stroke"),
-            F.lower(strip_ws(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1)))))
-        return F.filter(F.concat(attrs, st), lambda x: x.isNotNull() & ~x.isin(*K.NON_PAINT_VALUES))
+def rich_colors(els: Column) -> Column:
+    """F4 on parsed elements: drawables and distinct paints (lower-cased, spaces kept,
+    style key matched without lower-casing)."""
+    def one(el):
+        attrs = F.array(F.lower(strip_ws(get_attr(el, "fill"))), F.lower(strip_ws(get_attr(el, "stroke"))))
+        st = F.transform(_style_values(get_attr(el, "style"), lower_key=False), F.lower)
+        return F.filter(F.concat(attrs, st), lambda x: ~x.isin(*K.NON_PAINT_VALUES))
 
-    return F.struct(F.size(draw).alias("drawables"),
-                    F.size(F.array_distinct(F.flatten(F.transform(draw, one)))).alias("colors"))
+    return let(drawables(els), lambda draw: F.struct(
+        F.size(draw).alias("drawables"), F.size(F.array_distinct(F.flatten(F.transform(draw, one)))).alias("colors")))
 
 
-def path_count(markup) -> Column:
-    return F.size(F.filter(start_tags(markup), lambda e: tag_name(e) == "path"))
+def path_count(els: Column) -> Column:
+    return F.size(F.filter(els, lambda el: el["tag"] == "path"))
 
 
 def tag_histogram(markup) -> Column:
@@ -179,31 +201,23 @@ def tag_histogram(markup) -> Column:
 
 def _float(v: Column) -> Column:
     """Python ``float()`` of a stripped attribute text, null when it does not parse."""
-    s = strip_ws(v)
-    return F.when(s.rlike(FLOAT_LITERAL), s.cast("double"))
+    return let(strip_ws(v), lambda s: F.when(s.rlike(FLOAT_LITERAL), s.cast("double")))
 
 
 def _numbers(v: Column) -> Column:
     return F.transform(F.regexp_extract_all(v, F.lit(NUMBER), 0), lambda x: x.cast("double"))
 
 
-def element_xs_ys(e: Column) -> Column:
-    """M8 per element: struct(xs, ys) of the coordinates that count for the content box."""
-    tag = tag_name(e)
+def element_xs_ys(el: Column) -> Column:
+    """M8 per parsed element: struct(xs, ys) of the coordinates that count for the content box."""
+    tag = el["tag"]
     dbl = "array<double>"
     empty = F.array().cast(dbl)
 
     def num(name, default=None):
-        x = _float(attr(e, name))
+        x = _float(get_attr(el, name))
         return F.coalesce(x, F.lit(default)) if default is not None else x
 
-    x, y = num("x", 0.0), num("y", 0.0)
-    w, h = num("width"), num("height")
-    cx, cy = num("cx", 0.0), num("cy", 0.0)
-    r, rx, ry = num("r", 0.0), num("rx", 0.0), num("ry", 0.0)
-    pts = _numbers(attr(e, "points"))
-    dn = _numbers(attr(e, "d"))
-
     def evens(a):
         return F.filter(a, lambda _v, i: i % 2 == 0)
 
@@ -213,32 +227,46 @@ def element_xs_ys(e: Column) -> Column:
     def present(*cols):
         return F.filter(F.array(*cols), lambda q: q.isNotNull())
 
-    has_wh = w.isNotNull() & h.isNotNull()
-    xs = (F.when((tag == "rect") & has_wh, F.array(x, x + w))
-          .when(tag == "circle", F.array(cx - r, cx + r))
-          .when(tag == "ellipse", F.array(cx - rx, cx + rx))
-          .when(tag == "line", present(num("x1"), num("x2")))
-          .when(tag.isin("polyline", "polygon"), evens(pts))
-          .when(tag == "path", evens(dn))
-          .otherwise(empty))
-    ys = (F.when((tag == "rect") & has_wh, F.array(y, y + h))
-          .when(tag == "circle", F.array(cy - r, cy + r))
-          .when(tag == "ellipse", F.array(cy - ry, cy + ry))
-          .when(tag == "line", present(num("y1"), num("y2")))
-          .when(tag.isin("polyline", "polygon"), odds(pts))
-          .when(tag == "path", odds(dn))
-          .otherwise(empty))
-    return F.struct(xs.cast(dbl).alias("xs"), ys.cast(dbl).alias("ys"))
-
-
-def content_bounds(markup) -> Column:
-    """M8: struct(min_x, min_y, max_x, max_y) over shape coordinates; null when xs or ys is empty."""
-    per = F.transform(start_tags(markup), element_xs_ys)
-    xs = F.flatten(F.transform(per, lambda s: s["xs"]))
-    ys = F.flatten(F.transform(per, lambda s: s["ys"]))
-    box = F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"),
-                   F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
-    return F.when((F.size(xs) > 0) & (F.size(ys) > 0), box)
+    def rect():
+        return let(F.struct(num("x", 0.0).alias("x"), num("y", 0.0).alias("y"), num("width").alias("w"),
+                            num("height").alias("h")),
+                   lambda v: F.when(v["w"].isNotNull() & v["h"].isNotNull(),
+                                    F.struct(F.array(v["x"], v["x"] + v["w"]).alias("xs"),
+                                             F.array(v["y"], v["y"] + v["h"]).alias("ys"))))
+
+    def round_shape(rx_name, ry_name):
+        return let(F.struct(num("cx", 0.0).alias("cx"), num("cy", 0.0).alias("cy"), num(rx_name, 0.0).alias("rx"),
+                            num(ry_name, 0.0).alias("ry")),
+                   lambda v: F.struct(F.array(v["cx"] - v["rx"], v["cx"] + v["rx"]).alias("xs"),
+                                      F.array(v["cy"] - v["ry"], v["cy"] + v["ry"]).alias("ys")))
+
+    def listed(attr_name):
+        return let(_numbers(get_attr(el, attr_name)), lambda a: F.struct(evens(a).alias("xs"), odds(a).alias("ys")))
+
+    none = F.struct(empty.alias("xs"), empty.alias("ys"))
+    out = (F.when(tag == "rect", F.coalesce(rect(), none))
+           .when(tag == "circle", round_shape("r", "r"))
+           .when(tag == "ellipse", round_shape("rx", "ry"))
+           .when(tag == "line", F.struct(present(num("x1"), num("x2")).alias("xs"), present(num("y1"), num("y2")).alias("ys")))
+           .when(tag.isin("polyline", "polygon"), listed("points"))
+           .when(tag == "path", listed("d"))
+           .otherwise(none))
+    return F.struct(out["xs"].cast(dbl).alias("xs"), out["ys"].cast(dbl).alias("ys"))
+
+
+def content_bounds(els: Column) -> Column:
+    """M8 on parsed elements: struct(min_x, min_y, max_x, max_y); null when xs or ys is empty."""
+    per = F.transform(els, element_xs_ys)
+
+    def box(p):
+        xs = F.flatten(F.transform(p, lambda s: s["xs"]))
+        ys = F.flatten(F.transform(p, lambda s: s["ys"]))
+        return let(F.struct(xs.alias("xs"), ys.alias("ys")), lambda a: F.when(
+            (F.size(a["xs"]) > 0) & (F.size(a["ys"]) > 0),
+            F.struct(F.array_min(a["xs"]).alias("min_x"), F.array_min(a["ys"]).alias("min_y"),
+                     F.array_max(a["xs"]).alias("max_x"), F.array_max(a["ys"]).alias("max_y"))))
+
+    return let(per, box)
 
 
 def coverage(bounds: Column) -> Column:
@@ -264,9 +292,9 @@ def rescaled_viewbox(bounds: Column, canvas: int = K.CANVAS, target_fill: float
 def rescale_markup(markup, bounds: Column) -> Column:
     """M10 applied: replace the root viewBox, keep the text when not needed or too long."""
     m = _c(markup)
-    vb = rescaled_viewbox(bounds)
-    new = F.regexp_replace(m, r'^(<svg\b[^>]*?\sviewBox=")[^"]*(")', F.concat(F.lit("$1"), vb, F.lit("$2")))
-    return F.when((F.length(m) > 0) & vb.isNotNull() & (F.length(new) <= K.MAX_MARKUP_CHARS), new).otherwise(m)
+    return let(rescaled_viewbox(bounds), lambda vb: let(
+        F.regexp_replace(m, r'^(<svg\b[^>]*?\sviewBox=")[^"]*(")', F.concat(F.lit("$1"), vb, F.lit("$2"))),
+        lambda new: F.when((F.length(m) > 0) & vb.isNotNull() & (F.length(new) <= K.MAX_MARKUP_CHARS), new).otherwise(m)))
 
 
 def is_internal_reference(v: Column) -> Column:
@@ -275,8 +303,38 @@ def is_internal_reference(v: Column) -> Column:
     return (F.length(c) > 0) & (c.startswith("#") | c.rlike(r"^url\(#[-\w:.]+\)$"))
 
 
-def validity(markup, stats: Column) -> Column:
+def validity(markup, els: Column, stats: Column) -> Column:
     """M7 on canonical text: non-empty, <= 16000 chars, <= 256 paths, drawable and visible paint."""
     m = F.coalesce(_c(markup), F.lit(""))
-    return ((F.length(m) > 0) & (F.length(m) <= K.MAX_MARKUP_CHARS) & (path_count(m) <= K.MAX_PATHS)
+    return ((F.length(m) > 0) & (F.length(m) <= K.MAX_MARKUP_CHARS) & (path_count(els) <= K.MAX_PATHS)
             & (stats["drawable_count"] > 0) & (stats["visible_paint_count"] > 0))
+
+
+_PARSED_CACHE: dict = {}
+
+
+def _parsed_columns(col: str, prefix: str):
+    """Column expressions of :func:`with_parsed`, built once per process and names.
+
+    Building these nested expressions costs thousands of Py4J calls; the
+    unresolved Column objects are reusable across plans, so cache them.
+    """
+    from pyspark import SparkContext
+    key = (id(SparkContext._gateway), col, prefix)
+    if key not in _PARSED_CACHE:
+        e = F.col(prefix + "els")
+        _PARSED_CACHE[key] = (
+            parse_elements(F.col(col)),
+            {prefix + "stats": paint_stats(e), prefix + "bounds": content_bounds(e), prefix + "path_count": path_count(e)},
+            {prefix + "coverage": coverage(F.col(prefix + "bounds")),
+             prefix + "valid": validity(F.col(col), e, F.col(prefix + "stats"))},
+        )
+    return _PARSED_CACHE[key]
+
+
+def with_parsed(df, col: str, prefix: str = ""):
+    """Add ``{prefix}els`` (parsed elements), ``{prefix}stats``, ``{prefix}bounds``,
+    ``{prefix}coverage``, ``{prefix}path_count`` and ``{prefix}valid`` in three
+    projection steps (each expression computed once per row)."""
+    els, step2, step3 = _parsed_columns(col, prefix)
+    return df.withColumn(prefix + "els", els).withColumns(step2).withColumns(step3)

@@ -67,7 +67,9 @@ def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: boo
 
     cleaned = staged.mapInPandas(run, schema)
     if rescale:
-        cleaned = cleaned.withColumn(out, MX.rescale_markup(F.col(out), MX.content_bounds(F.col(out))))
+        cleaned = (cleaned.withColumn("__els", MX.parse_elements(F.col(out)))
+                          .withColumn(out, MX.rescale_markup(F.col(out), MX.content_bounds(F.col("__els"))))
+                          .drop("__els"))
     return cleaned
 
 
@@ -88,24 +90,20 @@ def nonempty_norm(df: DataFrame, col: str = "markup_norm") -> DataFrame:
 
 def with_markup_stats(df: DataFrame, col: str = "markup_norm", prefix: str = "") -> DataFrame:
     """M4 + M7 + M8 + M9 as columns: stats struct, path count, bounds, coverage, valid."""
-    m = F.col(col)
-    out = (df.withColumn(prefix + "stats", MX.paint_stats(m))
-             .withColumn(prefix + "bounds", MX.content_bounds(m)))
-    return (out.withColumn(prefix + "coverage", MX.coverage(F.col(prefix + "bounds")))
-               .withColumn(prefix + "path_count", MX.path_count(m))
-               .withColumn(prefix + "valid", MX.validity(m, F.col(prefix + "stats"))))
+    return MX.with_parsed(df, col, prefix).drop(prefix + "els")
 
 
 def valid_filter(df: DataFrame, col: str = "markup_norm") -> DataFrame:
     """keep rows whose canonical markup passes M7."""
-    return df.filter(MX.validity(F.col(col), MX.paint_stats(F.col(col))))
+    return MX.with_parsed(df, col, "__v_").filter(F.col("__v_valid")).drop(
+        "__v_els", "__v_stats", "__v_bounds", "__v_path_count", "__v_coverage", "__v_valid")
 
 
 def visually_rich(df: DataFrame, col: str = "markup_norm", enabled: bool = True) -> DataFrame:
     """at least two drawable elements and two distinct paints (off when ``enabled`` is false)."""
     if not enabled:
         return df
-    rich = MX.rich_colors(F.col(col))
+    rich = MX.rich_colors(MX.parse_elements(F.col(col)))
     return df.filter((rich["drawables"] >= 2) & (rich["colors"] >= 2))
 
 
@@ -137,9 +135,12 @@ def element_references(df: DataFrame, key_cols: list[str], col: str = "markup_no
 
 def safety_pass(df: DataFrame, col: str = "markup", valid_col: str | None = None) -> DataFrame:
     """F8: replace markup that fails M7 by the fixed safety document; flag replaced rows."""
-    valid = F.col(valid_col) if valid_col else MX.validity(F.col(col), MX.paint_stats(F.col(col)))
-    return (df.withColumn("replaced", ~F.coalesce(valid, F.lit(False)))
-              .withColumn(col, F.when(F.col("replaced"), F.lit(K.SAFETY_MARKUP)).otherwise(F.col(col))))
+    if valid_col:
+        flagged = df.withColumn("replaced", ~F.coalesce(F.col(valid_col), F.lit(False)))
+    else:
+        flagged = MX.with_parsed(df, col, "__s_").withColumn("replaced", ~F.coalesce(F.col("__s_valid"), F.lit(False)))
+        flagged = flagged.drop("__s_els", "__s_stats", "__s_bounds", "__s_path_count", "__s_coverage", "__s_valid")
+    return flagged.withColumn(col, F.when(F.col("replaced"), F.lit(K.SAFETY_MARKUP)).otherwise(F.col(col)))
 
 
 def unsafe_audit(df: DataFrame, col: str) -> DataFrame:

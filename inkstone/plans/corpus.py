@@ -31,8 +31,9 @@ def prepare_corpus(pairs: DataFrame, id_col: str = "id", prompt_col: str = "prom
     df = M.length_filter(df, svg_col, prompt_col, min_chars, max_chars)          # F1, cheap, first
     df = M.canonicalise(df, svg_col, "svg_norm", variant="train")                # M1, the Python leaf
     df = M.nonempty_norm(df, "svg_norm")                                         # F2
-    df = df.withColumn("valid", MX.validity(F.col("svg_norm"), MX.paint_stats(F.col("svg_norm"))))
-    df = df.filter(F.col("valid"))                                               # F3
+    df = MX.with_parsed(df, "svg_norm", "__")                                    # M2/M4/M7, per row
+    df = df.filter(F.col("__valid")).withColumnRenamed("__valid", "valid")       # F3
+    df = df.drop("__els", "__stats", "__bounds", "__path_count", "__coverage")
     df = M.visually_rich(df, "svg_norm", enabled=quality_filter)                 # F4
     if dedupe:
         df = dedupe_pairs(df, ["prompt_norm", "svg_norm"], id_col)              # D1

@@ -305,7 +305,7 @@ SELECT id, {big('drawable_count')} AS drawable_count, {big('painted_count')} AS
 FROM s""")
 def markup_stats(spark, sf):
     """M4 paint stats, M8 bounds, M9 coverage, M7 validity on canonical text (no shuffle)."""
-    d = M.with_markup_stats(_canon(spark, sf), "markup_norm")
+    d = M.with_markup_stats(_canon(spark, sf), "markup_norm")  # parsed once per row
     return finish(d.select("id", "stats.drawable_count", "stats.painted_count", "stats.visible_paint_count",
                            "stats.distinct_colors", "path_count", "bounds.min_x", "bounds.min_y", "bounds.max_x",
                            "bounds.max_y", "coverage", "valid"))
@@ -621,5 +621,211 @@ def long_context_subset_q(spark, sf):
     return finish(long_context_subset(_split(spark, sf)).select("id", "split"))
 
 
+# ===================================================================== job D: candidate ranking
+from inkstone.operators import rank as RK  # noqa: E402
+
+
+def _scored_sql(src: str, text_col: str, keep: str) -> str:
+    """SQL CTE chain: canonical text -> bounds -> rescaled markup -> stats -> validity -> score."""
+    return f"""
+s1_{src} AS (SELECT {keep}, {text_col} AS canon, {R.bounds_cols(text_col, 'c_')} FROM {src}),
+s2_{src} AS (SELECT *, {R.rescaled('canon', 'c_min_x', 'c_min_y', 'c_max_x', 'c_max_y')} AS markup FROM s1_{src}),
+s3_{src} AS (SELECT *, {R.paint_stats_cols('canon', 'v_')}, {R.paint_stats_cols('markup')}, {R.bounds_cols('markup', 'm_')}
+             FROM s2_{src}),
+s4_{src} AS (SELECT *, coalesce({R.validity('canon', 'v_drawable_count', 'v_visible_paint_count')}, false) AS valid,
+                    {R.coverage('m_min_x', 'm_min_y', 'm_max_x', 'm_max_y')} AS cov0 FROM s3_{src}),
+s5_{src} AS (SELECT *, CASE WHEN valid THEN drawable_count ELSE 0 END AS drawables,
+                    CASE WHEN valid THEN visible_paint_count ELSE 0 END AS visible,
+                    CASE WHEN valid THEN distinct_colors ELSE 0 END AS colors,
+                    CASE WHEN valid THEN cov0 ELSE {R.D(0.0)} END AS cov FROM s4_{src}),
+sc_{src} AS (SELECT *, {R.candidate_score('prompt', 'markup', 'valid', 'visible', 'colors', 'cov')} AS score FROM s5_{src})"""
+
+
+_CANDS = f"""
+cand AS ({S.candidates_sql('duckdb', expected=True)}),
+{_scored_sql('cand', 'expected_canon', 'prompt_id, prompt, seq, source')},
+gen AS (SELECT prompt_id, seq, source, source || ':' || seq AS idx, markup, valid, score, drawables, colors, cov
+        FROM sc_cand)"""
+
+_RETRIEVAL = f"""
+tpr AS ({S.test_prompts_sql()}),
+tp AS (SELECT DISTINCT {R.clean('prompt')} AS prompt FROM tpr WHERE length({R.clean('prompt')}) > 0),
+trp AS ({S.train_pairs_sql(expected=True)}),
+trm AS (SELECT id AS tid, {R.clean('prompt')} AS prompt, expected_canon FROM trp
+        WHERE {R.clean('prompt')} IN (SELECT prompt FROM tp)),
+{_scored_sql('trm', 'expected_canon', 'tid, prompt')},
+rv AS (SELECT * FROM sc_trm WHERE valid AND length(markup) > 0),
+rf AS (SELECT *, row_number() OVER (PARTITION BY prompt, markup ORDER BY tid) AS fr FROM rv),
+rk AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY score DESC, tid) AS rk FROM rf WHERE fr = 1),
+ret AS (SELECT prompt, markup, valid, score, drawables, colors, cov, 'train_exact:' || (rk - 1) AS idx, rk - 1 AS ord
+        FROM rk WHERE rk <= {K.RETRIEVAL_TOP_K})"""
+
+_RANKED = f"""
+{_CANDS},
+{_RETRIEVAL},
+att AS (SELECT t.prompt_id, CAST({RK.RETRIEVAL_SEQ_BASE} + ord AS INTEGER) AS seq, 'train-exact' AS source, idx, markup,
+               valid, score, drawables, colors, cov
+        FROM tpr t JOIN ret ON {R.clean('t.prompt')} = ret.prompt),
+allc AS (SELECT * FROM gen UNION ALL SELECT * FROM att),
+ne AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, markup ORDER BY seq) AS fr FROM allc WHERE length(markup) > 0),
+dd AS (SELECT * EXCLUDE (fr) FROM ne WHERE fr = 1
+       UNION ALL SELECT * FROM allc WHERE prompt_id NOT IN (SELECT prompt_id FROM ne)),
+bb AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, seq) AS br,
+              count(*) OVER (PARTITION BY prompt_id) AS num FROM dd),
+best AS (SELECT * FROM bb WHERE br = 1),
+fin AS (SELECT t.prompt_id AS id, t.prompt, b.*, NOT coalesce(b.valid, false) AS fb, {R.fallback_markup('t.prompt')} AS fbm
+        FROM tpr t LEFT JOIN best b ON t.prompt_id = b.prompt_id),
+fst AS (SELECT *, {R.paint_stats_cols('fbm', 'f_')}, {R.bounds_cols('fbm', 'f_')} FROM fin)"""
+
+_RANK_SELECT = f"""
+SELECT id, CASE WHEN fb THEN '-1' ELSE idx END AS best_idx,
+       round(CASE WHEN fb THEN -1.0 ELSE score END, 2) AS best_score, fb AS used_fallback,
+       CAST(coalesce(num, 0) AS BIGINT) AS num_candidates,
+       CAST(length(CASE WHEN fb THEN fbm ELSE markup END) AS BIGINT) AS svg_chars,
+       round(CASE WHEN fb THEN {R.coverage('f_min_x', 'f_min_y', 'f_max_x', 'f_max_y')} ELSE cov END, 5) AS best_coverage,
+       CAST(CASE WHEN fb THEN f_drawable_count ELSE drawables END AS BIGINT) AS best_drawables,
+       CAST(CASE WHEN fb THEN f_distinct_colors ELSE colors END AS BIGINT) AS best_colors,
+       CASE WHEN fb THEN 'fallback' ELSE source END AS best_model,
+       md5(CASE WHEN fb THEN fbm ELSE markup END) AS svg_md5
+FROM fst"""
+
+
+def _cands(spark, sf):
+    return S.candidates(spark, sf)
+
+
+def _test(spark, sf):
+    return S.test_prompts(spark, sf)
+
+
+def _retrieved(spark, sf):
+    return RK.exact_retrieval(S.train_pairs(spark, sf), _test(spark, sf))
+
+
+def _ranked(spark, sf):
+    return RK.rank_candidates(_cands(spark, sf), _test(spark, sf), _retrieved(spark, sf))
+
+
+@query("candidate_cleanup", f"""
+WITH trp AS ({S.train_pairs_sql(expected=True)}),
+b AS (SELECT id, expected_canon AS canon, {R.bounds_cols('expected_canon', 'c_')} FROM trp)
+SELECT id, md5(canon) AS canon_md5, md5({R.rescaled('canon', 'c_min_x', 'c_min_y', 'c_max_x', 'c_max_y')}) AS markup_md5
+FROM b""")
+def candidate_cleanup(spark, sf):
+    """Canonicalise raw text, else its extracted block; M10 rescale (retrieval corpus)."""
+    c = RK.clean_candidates(S.train_pairs(spark, sf), "svg", mode="retrieved")
+    return finish(c.select("id", F.md5("markup_canon").alias("canon_md5"), F.md5("markup").alias("markup_md5")))
+
+
+@query("rescale_viewbox", f"""
+WITH cand AS ({S.candidates_sql('duckdb', expected=True)}),
+b AS (SELECT prompt_id, seq, expected_canon AS canon, {R.bounds_cols('expected_canon', 'c_')} FROM cand)
+SELECT prompt_id, seq, regexp_extract({R.rescaled('canon', 'c_min_x', 'c_min_y', 'c_max_x', 'c_max_y')},
+       'viewBox="([^"]*)"', 1) AS view_box FROM b""")
+def rescale_viewbox(spark, sf):
+    """viewBox after rescaling every generated candidate (extract -> canonicalise -> rescale)."""
+    c = RK.clean_candidates(_cands(spark, sf), "raw_text", mode="generated")
+    return finish(c.select("prompt_id", "seq", F.regexp_extract("markup", r'viewBox="([^"]*)"', 1).alias("view_box")))
+
+
+@query("candidate_score", f"""
+WITH {_CANDS}
+SELECT prompt_id, seq, valid, {r6('score')} AS score, {r6('cov')} AS coverage FROM gen""")
+def candidate_score(spark, sf):
+    """Validity and pre-render score of every generated candidate."""
+    c = RK.score_candidates(RK.clean_candidates(_cands(spark, sf), "raw_text"), "prompt")
+    return finish(c.select("prompt_id", "seq", "valid", "score", F.col("stats.coverage").alias("coverage")))
+
+
+@query("exact_retrieval", f"""
+WITH {_RETRIEVAL}
+SELECT prompt, idx, {r6('score')} AS score, md5(markup) AS markup_md5 FROM ret""")
+def exact_retrieval(spark, sf):
+    """J2 + W6: up to 4 distinct valid train documents per exactly matching test prompt."""
+    r = _retrieved(spark, sf)
+    return finish(r.select("prompt", "idx", "score", F.md5("markup").alias("markup_md5")))
+
+
+@query("retrieval_totals", f"""
+WITH {_RETRIEVAL}
+SELECT (SELECT count(*) FROM trm) AS matched_rows, (SELECT count(DISTINCT prompt) FROM ret) AS prompts,
+       (SELECT count(*) FROM ret) AS candidates""")
+def retrieval_totals(spark, sf):
+    """A10: matched train rows, prompts with retrieval candidates, candidates."""
+    return finish(RK.retrieval_totals(S.train_pairs(spark, sf), _test(spark, sf), _retrieved(spark, sf)))
+
+
+@query("dedupe_candidates", f"""
+WITH {_CANDS},
+ne AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, markup ORDER BY seq) AS fr FROM gen WHERE length(markup) > 0)
+SELECT prompt_id, seq FROM ne WHERE fr = 1
+UNION ALL SELECT prompt_id, seq FROM gen WHERE prompt_id NOT IN (SELECT prompt_id FROM ne)""")
+def dedupe_candidates_q(spark, sf):
+    """First candidate per (prompt, markup); a prompt with only empty markup keeps all."""
+    c = RK.clean_candidates(_cands(spark, sf), "raw_text")
+    return finish(RK.dedupe_candidates(c, "prompt_id", "markup", "seq").select("prompt_id", "seq"))
+
+
+@query("best_candidate", f"""
+WITH {_CANDS},
+b AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, seq) AS br FROM gen)
+SELECT prompt_id, seq, {r6('score')} AS score FROM b WHERE br = 1""")
+def best_candidate(spark, sf):
+    """Highest-scoring generated candidate per prompt, first wins ties."""
+    c = RK.score_candidates(RK.clean_candidates(_cands(spark, sf), "raw_text"), "prompt")
+    return finish(RK.best_candidate(c.select("prompt_id", "seq", "score"), "prompt_id").select("prompt_id", "seq", "score"))
+
+
+@query("rerank_window", f"""
+WITH {_CANDS},
+b AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, valid ORDER BY score DESC, seq) AS br FROM gen)
+SELECT prompt_id, seq, valid AND br <= {K.RERANK_TOP_K} AS rerank FROM b""")
+def rerank_window(spark, sf):
+    """Top-3 valid candidates per prompt flagged for the render stage."""
+    c = RK.score_candidates(RK.clean_candidates(_cands(spark, sf), "raw_text"), "prompt")
+    return finish(RK.rerank_window(c, "prompt_id").select("prompt_id", "seq", "rerank"))
+
+
+@query("rank_candidates", f"WITH {_RANKED} {_RANK_SELECT}")
+def rank_candidates(spark, sf):
+    """Generated + retrieved candidates -> score -> dedupe -> best -> fallback -> audit row."""
+    r = _ranked(spark, sf)
+    return finish(r.select("id", "best_idx", "best_score", "used_fallback", "num_candidates", "svg_chars",
+                           "best_coverage", "best_drawables", "best_colors", "best_model", F.md5("svg").alias("svg_md5")))
+
+
+@query("result_summary", f"""
+WITH {_RANKED}
+SELECT count(*) AS rows, count(*) AS valid_rows, count(*) FILTER (WHERE fb) AS fallback_rows FROM fst""")
+def result_summary(spark, sf):
+    """Rows, valid rows, fallback rows of the ranking result."""
+    return finish(RK.result_summary(_ranked(spark, sf)))
+
+
+@query("generation_plan", f"""
+WITH {_CANDS},
+g AS (SELECT c.prompt_id, c.prompt, gen.score, gen.cov, gen.visible FROM cand c
+      JOIN (SELECT prompt_id, seq, score, cov, CASE WHEN valid THEN visible_paint_count ELSE 0 END AS visible FROM sc_cand) gen
+      ON c.prompt_id = gen.prompt_id AND c.seq = gen.seq WHERE c.seq = 0),
+p AS (SELECT prompt_id,
+             CASE WHEN {R.prompt_is_complex('prompt')} THEN {K.COMPLEX_CANDIDATES} ELSE {K.EASY_CANDIDATES} END AS t0,
+             score < {R.D(K.WEAK_GREEDY_SCORE)} OR cov < {R.D(K.WEAK_GREEDY_COVERAGE)} OR visible < 1 AS weak,
+             CASE WHEN {R.prompt_is_complex('prompt')} THEN {R.D(K.BASE_TEMPERATURE)} ELSE {R.D(max(0.52, K.BASE_TEMPERATURE - 0.12))} END AS bt,
+             CASE WHEN {R.prompt_is_complex('prompt')} THEN {K.SAMPLE_TOKENS[1]} ELSE {K.SAMPLE_TOKENS[0]} END AS max_tokens,
+             score FROM g),
+q AS (SELECT prompt_id, max_tokens,
+             greatest(1, CAST(ceil(CASE WHEN weak THEN greatest(t0, {K.WEAK_GREEDY_CANDIDATES}) ELSE t0 END / 1.0) AS INTEGER)) AS budget,
+             CASE WHEN score >= 1050 THEN greatest({R.D(0.40)}, bt - {R.D(0.14)})
+                  WHEN score <= 950 THEN least({R.D(0.95)}, bt + {R.D(0.18)}) ELSE bt END AS t FROM p),
+b AS (SELECT *, unnest(range(0, CAST(ceil(greatest(budget - 1, 0) / {R.D(float(K.SAMPLING_BATCH))}) AS BIGINT))) AS batch FROM q)
+SELECT prompt_id, batch, least({K.SAMPLING_BATCH}, greatest(budget - 1, 0) - batch * {K.SAMPLING_BATCH}) AS batch_size,
+       {r6(f't + CASE WHEN batch % 2 = 1 THEN {R.D(0.08)} ELSE {R.D(0.0)} END')} AS temperature, max_tokens, budget FROM b""")
+def generation_plan(spark, sf):
+    """Sampling batches per prompt from the greedy candidate's score and stats."""
+    c = RK.score_candidates(RK.clean_candidates(_cands(spark, sf), "raw_text"), "prompt")
+    plan = RK.generation_plan(c.filter(F.col("seq") == 0), 1, "prompt")
+    return finish(plan.select("prompt_id", "batch", "batch_size", "temperature", "max_tokens", "budget"))
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES

@@ -68,24 +68,29 @@ def color_tokens(p: str) -> str:
     return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
+def D(x) -> str:
+    """A DOUBLE literal (DuckDB reads 0.6 as an exact DECIMAL)."""
+    return f"CAST({x} AS DOUBLE)"
+
+
 def structural_score(s: str) -> str:
     n = f"length({s})"
     paths = count_sub(s, "<path")
     vb1, vb2 = q('viewBox="0 0 256 256"'), q("viewBox='0 0 256 256'")
-    body = (f"(CASE WHEN {n} BETWEEN 160 AND 9000 THEN 12.0 WHEN {n} BETWEEN 80 AND 12000 THEN 6.0 ELSE 0.0 END"
-            f" + least({paths}, 12) * 0.6 + least({count_sub(s, '<rect')}, 10) * 0.4"
-            f" + least({count_sub(s, '<circle')}, 10) * 0.4 + least({count_sub(s, '<g')}, 10) * 0.25"
-            f" + least({count_sub(s, 'fill=')}, 16) * 0.15 - greatest({paths} - 64, 0) * 0.15"
-            f" + CASE WHEN contains({s}, {vb1}) OR contains({s}, {vb2}) THEN 6.0 ELSE 0.0 END)")
-    return f"(CASE WHEN coalesce({n}, 0) = 0 THEN -1000.0 ELSE {body} END)"
+    body = (f"(CASE WHEN {n} BETWEEN 160 AND 9000 THEN {D(12.0)} WHEN {n} BETWEEN 80 AND 12000 THEN {D(6.0)} ELSE {D(0.0)} END"
+            f" + least({paths}, 12) * {D(0.6)} + least({count_sub(s, '<rect')}, 10) * {D(0.4)}"
+            f" + least({count_sub(s, '<circle')}, 10) * {D(0.4)} + least({count_sub(s, '<g')}, 10) * {D(0.25)}"
+            f" + least({count_sub(s, 'fill=')}, 16) * {D(0.15)} - greatest({paths} - 64, 0) * {D(0.15)}"
+            f" + CASE WHEN contains({s}, {vb1}) OR contains({s}, {vb2}) THEN {D(6.0)} ELSE {D(0.0)} END)")
+    return f"(CASE WHEN coalesce({n}, 0) = 0 THEN {D(-1000.0)} ELSE {body} END)"
 
 
 def prompt_bonus(p: str, s: str) -> str:
-    parts = [f"CASE WHEN contains(lower({p}), {q(w)}) AND contains(lower({s}), {q(m)}) THEN 1.25 ELSE 0.0 END"
+    parts = [f"CASE WHEN contains(lower({p}), {q(w)}) AND contains(lower({s}), {q(m)}) THEN {D(1.25)} ELSE {D(0.0)} END"
              for w, m in K.SHAPE_HINTS]
-    parts += [f"CASE WHEN contains(lower({p}), {q(w)}) AND contains(lower({s}), {q(w)}) THEN 0.25 ELSE 0.0 END"
+    parts += [f"CASE WHEN contains(lower({p}), {q(w)}) AND contains(lower({s}), {q(w)}) THEN {D(0.25)} ELSE {D(0.0)} END"
               for w in K.COLOR_WORDS]
-    return "(" + " + ".join(parts) + ")"
+    return f"({D(0.0)} + " + " + ".join(parts) + ")"
 
 
 # ---------------------------------------------------------------- markup
@@ -222,9 +227,9 @@ def bounds_lists(m: str) -> tuple[str, str]:
 
 
 def coverage(min_x: str, min_y: str, max_x: str, max_y: str) -> str:
-    cw = f"greatest(0.0, least(256.0, {max_x}) - greatest(0.0, {min_x}))"
-    ch = f"greatest(0.0, least(256.0, {max_y}) - greatest(0.0, {min_y}))"
-    return f"(CASE WHEN {min_x} IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, {cw} * {ch} / 65536.0)) END)"
+    cw = f"greatest({D(0.0)}, least({D(256.0)}, {max_x}) - greatest({D(0.0)}, {min_x}))"
+    ch = f"greatest({D(0.0)}, least({D(256.0)}, {max_y}) - greatest({D(0.0)}, {min_y}))"
+    return f"(CASE WHEN {min_x} IS NULL THEN {D(0.0)} ELSE greatest({D(0.0)}, least({D(1.0)}, {cw} * {ch} / {D(65536.0)})) END)"
 
 
 def extract_markup(t: str, root: str = "svg") -> str:
@@ -262,3 +267,39 @@ def fallback_markup(p: str) -> str:
                                for name, words in K.FALLBACK_SHAPE_WORDS) + f" ELSE {default} END"
     head = f'<svg xmlns="{K.SVG_NAMESPACE}" width="256" height="256" viewBox="0 0 256 256"><rect width="256" height="256" fill="'
     return f"({q(head)} || {bg} || {q(chr(34) + ' />')} || ({shape}) || '</svg>')"
+
+
+def bounds_cols(m: str, prefix: str = "") -> str:
+    """SELECT-list items min_x, min_y, max_x, max_y (null without coordinates)."""
+    xs, ys = bounds_lists(m)
+    ok = f"(len({xs}) > 0 AND len({ys}) > 0)"
+    return (f"CASE WHEN {ok} THEN list_min({xs}) END AS {prefix}min_x, CASE WHEN {ok} THEN list_min({ys}) END AS {prefix}min_y, "
+            f"CASE WHEN {ok} THEN list_max({xs}) END AS {prefix}max_x, CASE WHEN {ok} THEN list_max({ys}) END AS {prefix}max_y")
+
+
+def rescaled(m: str, min_x: str, min_y: str, max_x: str, max_y: str) -> str:
+    """M10 on canonical text given its bounds columns (same double arithmetic order)."""
+    cw = f"greatest({max_x} - {min_x}, {D(1.0)})"
+    ch = f"greatest({max_y} - {min_y}, {D(1.0)})"
+    fill = D(256 * 0.85)
+    scale = f"least({fill} / {cw}, {fill} / {ch})"
+    pad = f"((({D(256.0)} / {scale}) * {D(1.0 - 0.85)}) / {D(2.0)})"
+    vb = f"printf('%.4f %.4f %.4f %.4f', {min_x} - {pad}, {min_y} - {pad}, {cw} + {D(2.0)} * {pad}, {ch} + {D(2.0)} * {pad})"
+    new = f"regexp_replace({m}, '^(<svg\\b[^>]*?\\sviewBox=\")[^\"]*(\")', '\\1' || {vb} || '\\2')"
+    return (f"(CASE WHEN length({m}) > 0 AND {min_x} IS NOT NULL AND {scale} >= {D(1.8)} "
+            f"AND length({new}) <= {K.MAX_MARKUP_CHARS} THEN {new} ELSE {m} END)")
+
+
+def candidate_score(prompt: str, m: str, valid: str, visible: str, colors: str, cov: str) -> str:
+    """X12 with the reference's sequential summation order, in doubles."""
+    target = f"(CASE WHEN {prompt_is_complex(prompt)} THEN {D(4200.0)} ELSE {D(1400.0)} END)"
+    fit = f"exp(-abs(ln((length({m}) + {D(50.0)}) / ({target} + {D(50.0)}))))"
+    pen = (f"(CASE WHEN {cov} < {D(0.01)} THEN {D(250.0)} WHEN {cov} < {D(0.03)} THEN {D(120.0)} "
+           f"WHEN {cov} < {D(0.08)} THEN {D(40.0)} ELSE {D(0.0)} END)")
+
+    def g(x):
+        return f"(CASE WHEN {valid} THEN {x} ELSE {D(0.0)} END)"
+
+    return (f"((CASE WHEN {valid} THEN {D(1000.0)} ELSE {D(-400.0)} END) + {structural_score(m)} + {prompt_bonus(prompt, m)}"
+            f" + {g(f'least({visible}, 8) * {D(1.5)}')} + {g(f'least({colors}, 6) * {D(0.15)}')}"
+            f" + {g(f'least({cov}, {D(0.35)}) * {D(95.0)}')} - {g(pen)} + {g(f'{fit} * {D(3.0)}')})")

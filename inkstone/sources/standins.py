@@ -79,6 +79,19 @@ _EXPECTED_TRAIN = """
       || CASE WHEN defect = 5 THEN '<use />' ELSE '' END
       || '</svg>' END"""
 
+# what the infer variant gives after extraction (a cut document is salvaged by
+# closing it, so every built document canonicalises)
+_EXPECTED_INFER = """
+      '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 256 256" width="256" height="256">'
+      || '<title>' || p_name || '</title>'
+      || '<g id="grp">' || shape_open
+      || CASE WHEN styled = 0 AND paint = 'url(#g)' THEN ''
+              WHEN styled = 0 THEN ' style="' || paint_attr || ':' || paint || ';opacity:1"'
+              ELSE ' ' || paint_attr || '="' || paint || '"' END
+      || ' /></g>'
+      || CASE WHEN defect = 5 THEN '<use />' ELSE '' END
+      || '</svg>'"""
+
 _WRAP = """
     CASE WHEN wrap = 0 THEN raw_svg
          ELSE 'Sure! Here is the drawing:' || chr(10) || raw_svg || chr(10) || 'Hope it helps.' END"""
@@ -106,21 +119,42 @@ def predictions_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-def candidates_sql(dialect: str = "spark") -> str:
-    """(prompt_id, prompt, seq, source, raw_text) — 1 to 4 generated candidates per part row."""
+def candidates_sql(dialect: str = "spark", expected: bool = False) -> str:
+    """(prompt_id, prompt, seq, source, raw_text) — 1 to 4 generated candidates per test prompt.
+
+    Test prompts are the ``part`` rows with ``p_partkey % 10 = 0``.
+    """
     if dialect == "spark":
-        rows = "SELECT p.*, s.seq FROM part p LATERAL VIEW explode(sequence(0, CAST(p_partkey % 4 AS INT))) s AS seq"
+        rows = ("SELECT p.*, s.seq FROM part p LATERAL VIEW explode(sequence(0, CAST(p_partkey % 4 AS INT))) s AS seq "
+                "WHERE p_partkey % 10 = 0")
     else:
-        rows = "SELECT p.*, s.seq FROM part p, LATERAL (SELECT unnest(range(0, p.p_partkey % 4 + 1)) AS seq) s"
+        rows = ("SELECT p.*, s.seq FROM part p, LATERAL (SELECT unnest(range(0, p.p_partkey % 4 + 1)) AS seq) s "
+                "WHERE p_partkey % 10 = 0")
+    extra = f", {_EXPECTED_INFER} AS expected_canon" if expected else ""
     return f"""
     SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt, CAST(seq AS INT) AS seq,
-           CASE WHEN seq = 0 THEN 'greedy' ELSE 'sampled' END AS source, {_WRAP} AS raw_text
+           CASE WHEN seq = 0 THEN 'greedy' ELSE 'sampled' END AS source, {_WRAP} AS raw_text{extra}
     FROM (SELECT *, {_RAW} AS raw_svg
           FROM (SELECT *, {_SHAPE}
                 FROM (SELECT p_partkey, p_name, p_size, seq, {_choices('p_partkey + seq')}
                       FROM ({rows}) r) c0) c1) c2"""
 
 
+def test_prompts_sql() -> str:
+    """(prompt_id, prompt) — the test prompts of the ranking job."""
+    return "SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt FROM part WHERE p_partkey % 10 = 0"
+
+
+def train_pairs_sql(expected: bool = False) -> str:
+    """(id, prompt, svg[, expected_canon]) — the retrieval corpus: part rows that are not test prompts."""
+    extra = f", {_EXPECTED_INFER} AS expected_canon" if expected else ""
+    return f"""
+    SELECT CAST(p_partkey AS STRING) AS id, p_name AS prompt, raw_svg AS svg{extra}
+    FROM (SELECT *, {_RAW} AS raw_svg
+          FROM (SELECT *, {_SHAPE} FROM (SELECT p_partkey, p_name, p_size, {_choices('p_partkey')} FROM part
+                                        WHERE p_partkey % 10 <> 0) c0) c1) c2"""
+
+
 def markup_pairs(spark: SparkSession, sf_dir: str, expected: bool = False) -> DataFrame:
     register(spark, sf_dir, ["part"])
     return spark.sql(markup_pairs_sql(expected))
@@ -134,3 +168,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["part"])
     return spark.sql(candidates_sql("spark"))
+
+
+def test_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["part"])
+    return spark.sql(test_prompts_sql())
+
+
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["part"])
+    return spark.sql(train_pairs_sql())
