@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone import constants as K
+from inkstone.functions.cache import cached
 from inkstone.functions.text import WS, strip_ws
 
 START_TAG = r"<[A-Za-z][^>]*>"
@@ -36,6 +37,7 @@ def tag_name(element: Column) -> Column:
 ATTR_PAIR = r'\s([A-Za-z_][-A-Za-z0-9_:.]*)="([^"]*)"'
 
 
+@cached
 def parse_elements(markup) -> Column:
     """array<struct<tag, names, vals>>: every start tag parsed once (two regex scans).
 
@@ -52,8 +54,7 @@ def parse_elements(markup) -> Column:
 def get_attr(el: Column, name: str) -> Column:
     """Unescaped value of attribute ``name`` of a parsed element ("" when absent)."""
     pos = F.array_position(el["names"], F.lit(name)).cast("int")
-    raw = F.when(pos > 0, F.element_at(el["vals"], pos)).otherwise(F.lit(""))
-    return F.when(F.contains(raw, F.lit("&")), unescape_attr(raw)).otherwise(raw)
+    return unescape_attr(F.coalesce(F.get(el["vals"], pos - 1), F.lit("")))
 
 
 def unescape_attr(v: Column) -> Column:
@@ -192,11 +193,12 @@ def path_count(els: Column) -> Column:
     return F.size(F.filter(els, lambda el: el["tag"] == "path"))
 
 
+@cached
 def tag_histogram(markup) -> Column:
     """M6 as a per-row map tag -> count (no shuffle)."""
-    tags = F.transform(start_tags(markup), tag_name)
-    return F.map_from_entries(F.transform(F.array_distinct(tags), lambda t: F.struct(
-        t.alias("key"), F.size(F.filter(tags, lambda x: x == t)).alias("value"))))
+    return let(F.transform(start_tags(markup), tag_name), lambda tags: F.map_from_entries(
+        F.transform(F.array_distinct(tags), lambda t: F.struct(
+            t.alias("key"), F.size(F.filter(tags, lambda x: x == t)).alias("value")))))
 
 
 def _float(v: Column) -> Column:
@@ -292,9 +294,9 @@ def rescaled_viewbox(bounds: Column, canvas: int = K.CANVAS, target_fill: float
 def rescale_markup(markup, bounds: Column) -> Column:
     """M10 applied: replace the root viewBox, keep the text when not needed or too long."""
     m = _c(markup)
-    return let(rescaled_viewbox(bounds), lambda vb: let(
+    return let(F.struct(bounds.alias("b")), lambda bb: let(rescaled_viewbox(bb["b"]), lambda vb: let(
         F.regexp_replace(m, r'^(<svg\b[^>]*?\sviewBox=")[^"]*(")', F.concat(F.lit("$1"), vb, F.lit("$2"))),
-        lambda new: F.when((F.length(m) > 0) & vb.isNotNull() & (F.length(new) <= K.MAX_MARKUP_CHARS), new).otherwise(m)))
+        lambda new: F.when((F.length(m) > 0) & vb.isNotNull() & (F.length(new) <= K.MAX_MARKUP_CHARS), new).otherwise(m))))
 
 
 def is_internal_reference(v: Column) -> Column:
@@ -324,7 +326,7 @@ def _parsed_columns(col: str, prefix: str):
     if key not in _PARSED_CACHE:
         e = F.col(prefix + "els")
         _PARSED_CACHE[key] = (
-            parse_elements(F.col(col)),
+            parse_elements(col),
             {prefix + "stats": paint_stats(e), prefix + "bounds": content_bounds(e), prefix + "path_count": path_count(e)},
             {prefix + "coverage": coverage(F.col(prefix + "bounds")),
              prefix + "valid": validity(F.col(col), e, F.col(prefix + "stats"))},
@@ -338,3 +340,9 @@ def with_parsed(df, col: str, prefix: str = ""):
     projection steps (each expression computed once per row)."""
     els, step2, step3 = _parsed_columns(col, prefix)
     return df.withColumn(prefix + "els", els).withColumns(step2).withColumns(step3)
+
+
+@cached
+def rescaled_from(col: str, els_col: str) -> Column:
+    """M10 for a canonical text column and its parsed-elements column (built once)."""
+    return rescale_markup(F.col(col), content_bounds(F.col(els_col)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkstone import constants as K
+from inkstone.functions.cache import cached
 
 # Characters Python's str.strip()/``\s`` treat as white space.
 WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -27,11 +28,13 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
 
 
+@cached
 def clean_prompt(c) -> Column:
     """Null -> "", strip."""
     return strip_ws(F.coalesce(_c(c).cast("string"), F.lit("")))
 
 
+@cached
 def prompt_norm(c) -> Column:
     """Lower case, collapse every white-space run to one space."""
     return F.regexp_replace(F.lower(_c(c)), rf"{WS}+", " ")
@@ -42,6 +45,7 @@ def char_length(c) -> Column:
     return F.length(_c(c))
 
 
+@cached
 def csv_safe_text(c) -> Column:
     """CR/LF/TAB -> space, 2+ white space -> one space, strip, double quote -> single quote."""
     t = F.translate(_c(c), "\r\n\t", "   ")
@@ -50,6 +54,7 @@ def csv_safe_text(c) -> Column:
     return F.replace(t, F.lit('"'), F.lit("'"))
 
 
+@cached
 def truncate_prompt(c, max_chars: int = K.MAX_PROMPT_CHARS) -> Column:
     """P5: cut to ``max_chars`` and drop the last partial word (unchanged if no space)."""
     col = _c(c)
@@ -67,6 +72,7 @@ def _any_contains(text: Column, words) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
 
+@cached
 def prompt_complexity(c) -> Column:
     """Number of hint substrings present + (length >= 120), capped at 2."""
     low = F.lower(_c(c))
@@ -74,11 +80,13 @@ def prompt_complexity(c) -> Column:
     return F.least(hits + (F.length(_c(c)) >= K.COMPLEX_PROMPT_CHARS).cast("int"), F.lit(2))
 
 
+@cached
 def prompt_is_complex(c) -> Column:
     """Any hint present or length >= 120."""
     return _any_contains(F.lower(_c(c)), K.COMPLEXITY_HINTS) | (F.length(_c(c)) >= K.COMPLEX_PROMPT_CHARS)
 
 
+@cached
 def markup_complexity(c) -> Column:
     """P10: five size/structure tests on markup text, capped at 2."""
     s = _c(c)
@@ -102,6 +110,7 @@ def color_tokens(c) -> Column:
     return F.filter(words, lambda w: low.rlike(F.concat(F.lit(f"(^|[^\\p{{L}}\\p{{N}}_])"), w, F.lit("($|[^\\p{L}\\p{N}_])"))))
 
 
+@cached
 def color_tokens_literal(c) -> Column:
     """P11 without lambdas over patterns: one rlike per fixed word (faster codegen)."""
     low = F.lower(_c(c))
@@ -109,6 +118,7 @@ def color_tokens_literal(c) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
+@cached
 def prompt_bonus(prompt, markup) -> Column:
     """+1.25 per (shape word in prompt and marker in markup), +0.25 per colour substring in both."""
     pl = F.lower(_c(prompt))
@@ -121,6 +131,7 @@ def prompt_bonus(prompt, markup) -> Column:
     return total
 
 
+@cached
 def structural_score(c) -> Column:
     """Additive structure score of markup text (plain case-sensitive counts)."""
     s = _c(c)
@@ -137,23 +148,31 @@ def structural_score(c) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(-1000.0)).otherwise(base)
 
 
+@cached
 def extract_markup(c, root_tag: str = "svg") -> Column:
     """First complete ``<root ...</root>`` (case-insensitive), else salvage a cut one.
 
     Salvage: from the first ``<root`` cut after the last ``>`` (empty when that is
     before index 10), close up to 10 open ``<g>`` groups, then close the root.
     """
+    from inkstone.functions.markup import let
     t = F.coalesce(_c(c), F.lit(""))
     full = F.regexp_extract(t, rf"(?is)<{root_tag}.*?</{root_tag}>", 0)
     start = F.instr(F.lower(t), f"<{root_tag}")
-    partial = F.substring(t, start, 1 << 30)
-    upto = F.regexp_extract(partial, r"(?s)^.*>", 0)
-    low = F.lower(upto)
-    open_g = count_sub(low, "<g ") + count_sub(low, "<g>") - count_sub(low, "</g>")
-    closers = F.repeat(F.lit("</g>"), F.least(F.greatest(open_g, F.lit(0)), F.lit(10)))
-    salvaged = F.when((start == 0) | (F.length(upto) - 1 < 10), F.lit("")).otherwise(
-        strip_ws(F.concat(upto, closers, F.lit(f"</{root_tag}>"))))
-    return F.when(F.length(full) > 0, strip_ws(full)).otherwise(salvaged)
+
+    def salvage(s):
+        upto = F.regexp_extract(F.substring(t, s["start"], 1 << 30), r"(?s)^.*>", 0)
+
+        def close(u):
+            low = F.lower(u)
+            open_g = let(low, lambda lw: count_sub(lw, "<g ") + count_sub(lw, "<g>") - count_sub(lw, "</g>"))
+            closers = F.repeat(F.lit("</g>"), F.least(F.greatest(open_g, F.lit(0)), F.lit(10)))
+            return F.when((s["start"] == 0) | (F.length(u) - 1 < 10), F.lit("")).otherwise(
+                strip_ws(F.concat(u, closers, F.lit(f"</{root_tag}>"))))
+        return let(upto, close)
+
+    return let(full, lambda f: F.when(F.length(f) > 0, strip_ws(f)).otherwise(
+        let(F.struct(start.alias("start")), salvage)))
 
 
 def preview(c, n: int) -> Column:
@@ -161,6 +180,7 @@ def preview(c, n: int) -> Column:
     return F.substring(_c(c), 1, n)
 
 
+@cached
 def fallback_markup(prompt) -> Column:
     """Canonical fallback document from colour and shape words of the prompt."""
     pl = F.lower(F.coalesce(_c(prompt), F.lit("")))
@@ -189,6 +209,7 @@ def fallback_markup(prompt) -> Column:
         shape, F.lit("</svg>"))
 
 
+@cached
 def unsafe_value(c) -> Column:
     """value contains one of the unsafe tokens (case-insensitive)."""
     return _any_contains(F.lower(_c(c)), K.UNSAFE_TOKENS)

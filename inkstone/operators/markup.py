@@ -49,7 +49,7 @@ def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: boo
     """Canonicalise the raw text; if that is empty, canonicalise the markup
     extracted from it; then rescale the viewBox (M10).  One Python pass."""
     tmp = "__extracted"
-    staged = df.withColumn(tmp, TX.extract_markup(F.col(col)))
+    staged = df.withColumn(tmp, TX.extract_markup(col))
     schema = _with_string_column(staged.drop(tmp), out)
     names = [f.name for f in schema.fields]
 
@@ -67,8 +67,8 @@ def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: boo
 
     cleaned = staged.mapInPandas(run, schema)
     if rescale:
-        cleaned = (cleaned.withColumn("__els", MX.parse_elements(F.col(out)))
-                          .withColumn(out, MX.rescale_markup(F.col(out), MX.content_bounds(F.col("__els"))))
+        cleaned = (cleaned.withColumn("__els", MX.parse_elements(out))
+                          .withColumn(out, MX.rescaled_from(out, "__els"))
                           .drop("__els"))
     return cleaned
 
@@ -103,7 +103,7 @@ def visually_rich(df: DataFrame, col: str = "markup_norm", enabled: bool = True)
     """at least two drawable elements and two distinct paints (off when ``enabled`` is false)."""
     if not enabled:
         return df
-    rich = MX.rich_colors(MX.parse_elements(F.col(col)))
+    rich = MX.rich_colors(MX.parse_elements(col))
     return df.filter((rich["drawables"] >= 2) & (rich["colors"] >= 2))
 
 

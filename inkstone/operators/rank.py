@@ -31,7 +31,7 @@ def clean_candidates(df: DataFrame, raw_col: str = "raw_text", mode: str = "gene
     output).  ``retrieved``: M12 — canonicalise the raw text, else the extracted
     block.  One ``mapInPandas`` pass; extraction and rescale are Catalyst.
     """
-    staged = df.withColumn("__ext", TX.extract_markup(F.col(raw_col)))
+    staged = df.withColumn("__ext", TX.extract_markup(raw_col))
     fields = [f for f in staged.schema.fields if f.name not in ("__ext", "markup_canon")]
     schema = T.StructType(fields + [T.StructField("markup_canon", T.StringType(), False)])
     names = [f.name for f in schema.fields]
@@ -50,9 +50,8 @@ def clean_candidates(df: DataFrame, raw_col: str = "raw_text", mode: str = "gene
             pdf["markup_canon"] = out
             yield pdf[names]
 
-    cleaned = staged.mapInPandas(run, schema).withColumn("__els", MX.parse_elements(F.col("markup_canon")))
-    return (cleaned.withColumn("markup", MX.rescale_markup(F.col("markup_canon"), MX.content_bounds(F.col("__els"))))
-                   .drop("__els"))
+    cleaned = staged.mapInPandas(run, schema).withColumn("__els", MX.parse_elements("markup_canon"))
+    return cleaned.withColumn("markup", MX.rescaled_from("markup_canon", "__els")).drop("__els")
 
 
 def score_candidates(df: DataFrame, prompt_col: str = "prompt", markup_col: str = "markup",
@@ -76,7 +75,7 @@ def score_candidates(df: DataFrame, prompt_col: str = "prompt", markup_col: str
                      F.col("__cov").alias("coverage"))
     out = out.withColumn("stats", F.when(F.col("valid"), stats).otherwise(zero)).drop("__stats", "__cov")
     cov = F.col("stats.coverage")
-    target = F.when(TX.prompt_is_complex(F.col(prompt_col)), 4200.0).otherwise(1400.0)
+    target = F.when(TX.prompt_is_complex(prompt_col), 4200.0).otherwise(1400.0)
     fit = F.exp(-F.abs(F.log((F.length(m) + 50.0) / (target + 50.0))))
     pen = F.when(cov < 0.01, 250.0).when(cov < 0.03, 120.0).when(cov < 0.08, 40.0).otherwise(0.0)
 
@@ -84,8 +83,8 @@ def score_candidates(df: DataFrame, prompt_col: str = "prompt", markup_col: str
         return F.when(F.col("valid"), x).otherwise(0.0)
 
     # terms are added one by one in the reference's order (float sums are not associative)
-    score = (F.when(F.col("valid"), 1000.0).otherwise(-400.0) + TX.structural_score(m)
-             + TX.prompt_bonus(F.col(prompt_col), m)
+    score = (F.when(F.col("valid"), 1000.0).otherwise(-400.0) + TX.structural_score(markup_col)
+             + TX.prompt_bonus(prompt_col, markup_col)
              + g(F.least(F.col("stats.visible_paint_count"), F.lit(8)) * 1.5)
              + g(F.least(F.col("stats.distinct_colors"), F.lit(6)) * 0.15)
              + g(F.least(cov, F.lit(0.35)) * 95.0)
@@ -235,7 +234,7 @@ def rank_candidates(cands: DataFrame, prompts: DataFrame, retrieved: DataFrame |
     p = prompts.select(F.col(group_col), F.col(prompt_col).alias("__prompt"))
     out = p.join(best, group_col, "left")
     use_fb = ~F.coalesce(F.col("valid"), F.lit(False))
-    out = out.withColumn("__fb", TX.fallback_markup(F.col("__prompt")))
+    out = out.withColumn("__fb", TX.fallback_markup("__prompt"))
     out = MX.with_parsed(out, "__fb", "__f_")
     fb = F.col("__fb")
     fb_stats = F.col("__f_stats")
