@@ -827,5 +827,463 @@ def generation_plan(spark, sf):
     return finish(plan.select("prompt_id", "batch", "batch_size", "temperature", "max_tokens", "budget"))
 
 
+# ===================================================================== job C: evaluation and leaderboard
+from inkstone.functions import image as IM  # noqa: E402
+from inkstone.operators import evaluate as EV  # noqa: E402
+
+_W = 8  # image width of the stand-in images
+_IMG_REF_SQL, _IMG_PRED_SQL = S.images_sql("duckdb")
+
+
+def _img(spark, sf):
+    return S.images(spark, sf)
+
+
+def _mean_sql(a):
+    return f"(list_sum({a}) / len({a}))"
+
+
+def _ssim_sql(a, b):
+    ma, mb = _mean_sql(a), _mean_sql(b)
+    va = _mean_sql(f"list_transform({a}, lambda x: (x - {ma}) * (x - {ma}))")
+    vb = _mean_sql(f"list_transform({b}, lambda x: (x - {mb}) * (x - {mb}))")
+    cov = _mean_sql(f"list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {ma}) * ({b}[i] - {mb}))")
+    num = f"((2 * {ma} * {mb} + {IM.C1!r}) * (2 * {cov} + {IM.C2!r}))"
+    den = f"(({ma} * {ma} + {mb} * {mb} + {IM.C1!r}) * ({va} + {vb} + {IM.C2!r}))"
+    return f"(CASE WHEN {den} <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, {num} / {den})) END)"
+
+
+def _edge_sql(g, w=_W):
+    return (f"list_transform(range(0, len({g})), lambda i: sqrt("
+            f"pow(CASE WHEN i % {w} = 0 THEN 0.0 ELSE abs({g}[i + 1] - {g}[i]) END, 2) + "
+            f"pow(CASE WHEN i < {w} THEN 0.0 ELSE abs({g}[i + 1] - {g}[i + 1 - {w}]) END, 2)))")
+
+
+def _edge_f1_sql(ea, eb, t=IM.EDGE_THRESHOLD):
+    rng = f"range(1, len({ea}) + 1)"
+    tp = f"CAST(len(list_filter({rng}, lambda i: {ea}[i] > {t} AND {eb}[i] > {t})) AS DOUBLE)"
+    fp = f"CAST(len(list_filter({rng}, lambda i: {ea}[i] > {t} AND NOT ({eb}[i] > {t}))) AS DOUBLE)"
+    fn = f"CAST(len(list_filter({rng}, lambda i: NOT ({ea}[i] > {t}) AND {eb}[i] > {t})) AS DOUBLE)"
+    p = f"({tp} / ({tp} + {fp} + 1e-6))"
+    r = f"({tp} / ({tp} + {fn} + 1e-6))"
+    return f"(CASE WHEN {p} + {r} = 0 THEN 0.0 ELSE 2 * {p} * {r} / ({p} + {r}) END)"
+
+
+def _mae_sql(a, b):
+    return f"({_mean_sql(f'list_transform(range(1, len({a}) + 1), lambda i: abs({a}[i] - {b}[i]))')} * (3.0 / 4))"
+
+
+_PAIRS_IMG = f"""
+r AS ({_IMG_REF_SQL}), p AS ({_IMG_PRED_SQL}),
+pr AS (SELECT p.checkpoint, p.id, p.pixels AS a, r.pixels AS b FROM p JOIN r ON p.id = r.id)"""
+
+
+@query("ssim_global", f"WITH {_PAIRS_IMG} SELECT checkpoint, id, {r6(_ssim_sql('a', 'b'))} AS ssim FROM pr")
+def ssim_global(spark, sf):
+    """X1 (+ X2 on gray images): clamped one-window SSIM of every predicted/reference image pair."""
+    refs, preds = _img(spark, sf)
+    j = preds.join(refs.withColumnRenamed("pixels", "ref"), "id")
+    return finish(j.select("checkpoint", "id", IM.ssim_global(F.col("pixels"), F.col("ref")).alias("ssim")))
+
+
+@query("edge_f1", f"""WITH {_PAIRS_IMG},
+e AS (SELECT checkpoint, id, {_edge_sql('a')} AS ea, {_edge_sql('b')} AS eb FROM pr)
+SELECT checkpoint, id, {r6(_edge_f1_sql('ea', 'eb'))} AS edge_f1, {r6(_mean_sql('ea'))} AS mean_edge FROM e""")
+def edge_f1(spark, sf):
+    """X3 edge maps and X4 edge F1 of every image pair."""
+    refs, preds = _img(spark, sf)
+    j = preds.join(refs.withColumnRenamed("pixels", "ref"), "id")
+    j = j.withColumn("ea", IM.edge_map(F.col("pixels"), _W)).withColumn("eb", IM.edge_map(F.col("ref"), _W))
+    return finish(j.select("checkpoint", "id", IM.edge_f1(F.col("ea"), F.col("eb")).alias("edge_f1"),
+                           IM.mean(F.col("ea")).alias("mean_edge")))
+
+
+@query("pixel_mae", f"WITH {_PAIRS_IMG} SELECT checkpoint, id, {r6(_mae_sql('a', 'b'))} AS render_mae FROM pr")
+def pixel_mae(spark, sf):
+    """RGBA mean absolute error of every image pair."""
+    refs, preds = _img(spark, sf)
+    j = preds.join(refs.withColumnRenamed("pixels", "ref"), "id")
+    return finish(j.select("checkpoint", "id", IM.pixel_mae(F.col("pixels"), F.col("ref")).alias("render_mae")))
+
+
+def _render_quality_sql(g, w=_W):
+    down = f"list_transform(range({w} + 1, len({g}) + 1), lambda i: abs({g}[i] - {g}[i - {w}]))"
+    right = f"list_transform(list_filter(range(1, len({g}) + 1), lambda i: (i - 1) % {w} <> 0), lambda i: abs({g}[i] - {g}[i - 1]))"
+    return f"list_concat({down}, {right})"
+
+
+@query("render_quality", f"""WITH r AS ({_IMG_REF_SQL}),
+d AS (SELECT id, pixels AS g, {_render_quality_sql('pixels')} AS d FROM r),
+m AS (SELECT id, g, d, {_mean_sql('d')} AS edge FROM d)
+SELECT id, {r6('edge')} AS edge_density,
+       {r6('CAST(len(list_filter(g, lambda x: x < 0.95)) AS DOUBLE) / len(g)')} AS non_white,
+       {r6('CASE WHEN edge > 1e-6 THEN CAST(len(list_filter(d, lambda x: x > 4.0 * edge)) AS DOUBLE) / len(d) ELSE 0.0 END')}
+       AS edge_clarity FROM m""")
+def render_quality(spark, sf):
+    """Edge density, non-white share and edge clarity of every image."""
+    refs, _ = _img(spark, sf)
+    q = refs.select("id", IM.render_quality(F.col("pixels"), _W).alias("q"))
+    return finish(q.select("id", "q.edge_density", "q.non_white", "q.edge_clarity"))
+
+
+def _fidelity_sql(prompt, g):
+    parts = []
+    for name, (r_, g_, b_) in K.COLOR_RGB:
+        rr, gg, bb = r_ / 255.0, g_ / 255.0, b_ / 255.0
+        share = (f"CAST(len(list_filter({g}, lambda v: sqrt((v - {rr!r}) * (v - {rr!r}) + (v - {gg!r}) * (v - {gg!r}) "
+                 f"+ (v - {bb!r}) * (v - {bb!r})) < 0.22)) AS DOUBLE) / len({g})")
+        parts.append(f"CASE WHEN contains(lower({prompt}), {R.q(name)}) THEN {share} * 6.0 ELSE 0.0 END")
+    return f"least(0.0 + {' + '.join(parts)}, 8.0)"
+
+
+@query("color_fidelity", f"""WITH r AS ({_IMG_REF_SQL}),
+j AS (SELECT r.id, p.p_name, r.pixels FROM r JOIN part p ON CAST(p.p_partkey AS VARCHAR) = r.id)
+SELECT id, {r6(_fidelity_sql('p_name', 'pixels'))} AS color_fidelity FROM j""")
+def color_fidelity(spark, sf):
+    """Share of pixels near each colour named in the prompt (x6, capped at 8)."""
+    refs, _ = _img(spark, sf)
+    part = S.load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_name")
+    j = refs.join(part, "id")
+    return finish(j.select("id", IM.color_fidelity(F.col("p_name"), F.col("pixels")).alias("color_fidelity")))
+
+
+@query("embedding_rerank", """
+WITH e AS (SELECT vec_id, label, embedding FROM embeddings),
+j AS (SELECT a.vec_id AS id, a.embedding AS x, b.embedding AS y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
+SELECT id, round(CAST(100.0 * list_sum(list_transform(range(1, len(x) + 1), lambda i: CAST(x[i] AS DOUBLE) * CAST(y[i] AS DOUBLE)))
+       / (sqrt(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))))
+          * sqrt(list_sum(list_transform(y, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))))) AS DOUBLE), 6) AS clip_score
+FROM j""")
+def embedding_rerank(spark, sf):
+    """X11: text-image similarity logit (100 x cosine) between neighbouring embeddings."""
+    e = S.load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return finish(j.select(F.col("vec_id").alias("id"), IM.embedding_similarity(F.col("x"), F.col("y")).alias("clip_score")))
+
+
+_EVAL_SQL = f"""
+pr0 AS ({S.predictions_sql(expected=True)}),
+refp AS ({_PAIRS}),
+ref AS (SELECT id, prompt, expected_norm AS reference_svg FROM refp WHERE length(expected_norm) > 0),
+st AS (SELECT pr0.checkpoint, pr0.id, pr0.raw_text, pr0.expected_svg AS svg, {R.paint_stats_cols('pr0.expected_svg')}
+       FROM pr0),
+va AS (SELECT *, coalesce({R.validity('svg', 'drawable_count', 'visible_paint_count')}, false) AS valid FROM st),
+jr AS (SELECT va.*, ref.prompt, ref.reference_svg FROM va JOIN ref ON va.id = ref.id),
+{_PAIRS_IMG},
+ji AS (SELECT jr.*, pr.a, pr.b FROM jr LEFT JOIN pr ON pr.checkpoint = jr.checkpoint AND pr.id = jr.id),
+tg AS (SELECT *, list_transform({R.start_tags('svg')}, lambda e: {R.tag_name('e')}) AS ta,
+              list_transform({R.start_tags('reference_svg')}, lambda e: {R.tag_name('e')}) AS tb FROM ji),
+mt AS (SELECT *, valid AND a IS NOT NULL AND b IS NOT NULL AS ok,
+              {_ssim_sql('a', 'b')} AS ssim, {_edge_f1_sql(_edge_sql('a'), _edge_sql('b'))} AS edge, {_mae_sql('a', 'b')} AS mae,
+              CASE WHEN len(list_distinct(list_concat(ta, tb))) = 0 OR len(ta) + len(tb) = 0 THEN 1.0
+                   ELSE exp(-6.0 * list_sum(list_transform(list_distinct(list_concat(ta, tb)), lambda k:
+                        CAST(abs(len(list_filter(ta, lambda x: x = k)) - len(list_filter(tb, lambda x: x = k))) AS DOUBLE)))
+                        / CAST(len(ta) + len(tb) AS DOUBLE)) END AS struct_sim,
+              exp(-abs(ln((length(svg) + 50.0) / (length(reference_svg) + 50.0)))) AS compact FROM tg),
+ev AS (SELECT checkpoint, id, valid, CAST(length(svg) AS BIGINT) AS svg_chars,
+              CASE WHEN ok THEN 0.7 * ssim + 0.3 * edge END AS visual_proxy, CASE WHEN ok THEN ssim END AS ssim_proxy,
+              CASE WHEN ok THEN edge END AS edge_f1_proxy, CASE WHEN ok THEN struct_sim END AS structural_proxy,
+              CASE WHEN ok THEN compact END AS compactness_proxy, CASE WHEN ok THEN mae END AS render_mae,
+              CASE WHEN ok THEN pow(0.7 * ssim + 0.3 * edge, 0.85) * pow(struct_sim, 0.12) * pow(compact, 0.03) END
+              AS pdf_proxy_score FROM mt)"""
+
+
+def _evaluated(spark, sf):
+    refs = M.canonicalise(_pairs(spark, sf), "svg", "reference_svg").filter(F.length("reference_svg") > 0)
+    refs = refs.select("id", "prompt", "reference_svg")
+    ref_img, pred_img = _img(spark, sf)
+    return EV.evaluate_predictions(S.predictions(spark, sf), refs, pred_img, ref_img, _W)
+
+
+@query("evaluate_predictions", f"""WITH {_EVAL_SQL}
+SELECT checkpoint, id, valid, svg_chars, {r6('visual_proxy')} AS visual_proxy, {r6('ssim_proxy')} AS ssim_proxy,
+       {r6('edge_f1_proxy')} AS edge_f1_proxy, {r6('structural_proxy')} AS structural_proxy,
+       {r6('compactness_proxy')} AS compactness_proxy, {r6('render_mae')} AS render_mae,
+       {r6('pdf_proxy_score')} AS pdf_proxy_score FROM ev""")
+def evaluate_predictions(spark, sf):
+    """X14 + J4: extract -> canonicalise -> valid -> SSIM, edge F1, tag similarity, compactness,
+    MAE and composite score for every prediction of every checkpoint."""
+    e = _evaluated(spark, sf)
+    return finish(e.select("checkpoint", "id", "valid", "svg_chars", "visual_proxy", "ssim_proxy", "edge_f1_proxy",
+                           "structural_proxy", "compactness_proxy", "render_mae", "pdf_proxy_score"))
+
+
+@query("checkpoint_eval_means", f"""WITH {_EVAL_SQL}
+SELECT checkpoint, {r6('avg(pdf_proxy_score)')} AS mean_pdf_proxy_score, {r6('avg(render_mae)')} AS mean_render_mae,
+       count(*) FILTER (WHERE NOT valid) AS invalid_count FROM ev GROUP BY checkpoint""")
+def checkpoint_eval_means(spark, sf):
+    """A6 on the evaluation above: per-checkpoint means and invalid count."""
+    return finish(EV.eval_means(_evaluated(spark, sf)))
+
+
+@query("tag_count_align", f"""
+WITH p AS ({S.predictions_sql(expected=True)}), refp AS ({_PAIRS}),
+a AS (SELECT checkpoint, id, {R.tag_name('el')} AS tag, count(*) AS n
+      FROM (SELECT checkpoint, id, unnest({R.start_tags('expected_svg')}) AS el FROM p) x GROUP BY ALL),
+rf AS (SELECT id, {R.tag_name('el')} AS tag, count(*) AS n
+       FROM (SELECT id, unnest({R.start_tags('expected_norm')}) AS el FROM refp) x GROUP BY ALL),
+b AS (SELECT p.checkpoint, rf.* FROM rf JOIN (SELECT DISTINCT checkpoint, id FROM p) p ON p.id = rf.id)
+SELECT coalesce(a.checkpoint, b.checkpoint) AS checkpoint, coalesce(a.id, b.id) AS id, coalesce(a.tag, b.tag) AS tag,
+       coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b
+FROM a FULL OUTER JOIN b ON a.checkpoint = b.checkpoint AND a.id = b.id AND a.tag = b.tag""")
+def tag_count_align(spark, sf):
+    """Full outer alignment of predicted and reference tag counts per (checkpoint, id, tag)."""
+    preds = S.predictions(spark, sf).withColumn("__x", TX.extract_markup("raw_text"))
+    preds = M.canonicalise(preds, "__x", "svg").select("checkpoint", "id", "svg")
+    a = M.tag_counts(preds, ["checkpoint", "id"], "svg")
+    refs = M.canonicalise(_pairs(spark, sf), "svg", "markup_norm").select("id", "markup_norm")
+    b = M.tag_counts(refs, ["id"], "markup_norm")
+    pairs = preds.select("checkpoint", "id")
+    b = b.join(pairs, "id")  # J4: reference counts per (checkpoint, id) prediction
+    return finish(EV.tag_count_align(a, b, ["checkpoint", "id"]))
+
+
+# leaderboard on ``events``: user_id = checkpoint, value = score, event_type 'error' = invalid,
+# props.k / 100 = render MAE
+def _eval_rows(spark, sf):
+    e = S.load(spark, sf, "events")
+    valid = F.col("event_type") != "error"
+    return e.select(F.concat(F.lit("ckpt-"), F.col("user_id").cast("string")).alias("checkpoint"),
+                    valid.alias("valid"),
+                    F.when(valid, F.col("value")).alias("pdf_proxy_score"),
+                    F.when(valid, F.get_json_object("props", "$.k").cast("double") / 100.0).alias("render_mae"))
+
+
+_EVAL_ROWS = """
+rows AS (SELECT 'ckpt-' || CAST(user_id AS VARCHAR) AS checkpoint, event_type <> 'error' AS valid,
+                CASE WHEN event_type <> 'error' THEN value END AS pdf_proxy_score,
+                CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0 END AS render_mae
+         FROM events),
+means AS (SELECT checkpoint, avg(pdf_proxy_score) AS mean_pdf_proxy_score, avg(render_mae) AS mean_render_mae,
+                 count(*) FILTER (WHERE NOT valid) AS invalid_count FROM rows GROUP BY checkpoint),
+listing AS (SELECT DISTINCT 'ckpt-' || CAST(s_suppkey AS VARCHAR) AS checkpoint FROM supplier),
+scores AS (SELECT l.checkpoint, m.mean_pdf_proxy_score, m.mean_render_mae, m.invalid_count,
+                  CASE WHEN m.invalid_count IS NULL THEN 'no evaluation rows' END AS error
+           FROM listing l LEFT JOIN means m ON l.checkpoint = m.checkpoint)"""
+
+
+def _listing(spark, sf):
+    return S.load(spark, sf, "supplier").select(F.concat(F.lit("ckpt-"), F.col("s_suppkey").cast("string")).alias("checkpoint"))
+
+
+@query("eval_means", f"WITH {_EVAL_ROWS} SELECT checkpoint, {r6('mean_pdf_proxy_score')} AS mean_pdf_proxy_score, "
+                     f"{r6('mean_render_mae')} AS mean_render_mae, invalid_count FROM means")
+def eval_means(spark, sf):
+    """Mean score and MAE over scored rows, invalid count over all rows, per checkpoint."""
+    return finish(EV.eval_means(_eval_rows(spark, sf)))
+
+
+@query("checkpoint_scores", f"WITH {_EVAL_ROWS} SELECT checkpoint, {r6('mean_pdf_proxy_score')} AS mean_pdf_proxy_score, "
+                            f"{r6('mean_render_mae')} AS mean_render_mae, invalid_count, error FROM scores")
+def checkpoint_scores(spark, sf):
+    """Every listed checkpoint with its means; unevaluated ones keep null metrics and an error."""
+    return finish(EV.checkpoint_scores(_listing(spark, sf), _eval_rows(spark, sf)))
+
+
+@query("best_checkpoint", f"""WITH {_EVAL_ROWS}
+SELECT checkpoint AS selected FROM scores WHERE mean_pdf_proxy_score IS NOT NULL
+ORDER BY mean_pdf_proxy_score DESC, coalesce(invalid_count, 0) ASC, coalesce(mean_render_mae, 1e9) ASC, checkpoint LIMIT 1""")
+def best_checkpoint(spark, sf):
+    """Selected checkpoint by (score, -invalid, -MAE)."""
+    return finish(EV.best_checkpoint(EV.checkpoint_scores(_listing(spark, sf), _eval_rows(spark, sf))))
+
+
+@query("rank_checkpoints", f"""WITH {_EVAL_ROWS}
+SELECT checkpoint, {r6('mean_pdf_proxy_score')} AS mean_pdf_proxy_score FROM scores WHERE mean_pdf_proxy_score IS NOT NULL
+ORDER BY mean_pdf_proxy_score DESC, invalid_count ASC NULLS LAST, mean_render_mae ASC NULLS LAST, checkpoint LIMIT 8""")
+def rank_checkpoints(spark, sf):
+    """Best 8 checkpoints by score desc, invalid asc, MAE asc."""
+    r = EV.rank_checkpoints(EV.checkpoint_scores(_listing(spark, sf), _eval_rows(spark, sf)), 8)
+    return finish(r.select("checkpoint", "mean_pdf_proxy_score"))
+
+
+@query("read_scores_defaults", f"""WITH {_EVAL_ROWS}
+SELECT checkpoint, {r6('mean_pdf_proxy_score')} AS mean_pdf_proxy_score, CAST(0 AS BIGINT) AS invalid_count,
+       1e9 AS mean_render_mae FROM scores WHERE mean_pdf_proxy_score IS NOT NULL""")
+def read_scores_defaults(spark, sf):
+    """A score table without invalid/MAE columns gets the defaults (0, 1e9); unscored rows dropped."""
+    sc = EV.checkpoint_scores(_listing(spark, sf), _eval_rows(spark, sf)).select("checkpoint", "mean_pdf_proxy_score")
+    return finish(EV.read_scores_defaults(sc))
+
+
+@query("last_n_versions", """
+WITH ent AS (SELECT DISTINCT 'checkpoint-' || CAST(user_id * 50 AS VARCHAR) AS name, event_id % 3 AS source_rank FROM events),
+e2 AS (SELECT name, source_rank, 'src' || CAST(source_rank AS VARCHAR) || '/' || name AS path FROM ent),
+l AS (SELECT name, arg_max(path, source_rank) AS path FROM e2 GROUP BY name)
+SELECT name, path, CAST(regexp_extract(name, '-(\\d+)$', 1) AS BIGINT) AS step FROM l ORDER BY step DESC LIMIT 8""")
+def last_n_versions(spark, sf):
+    """Per checkpoint name the latest source's path; the 8 highest steps."""
+    e = S.load(spark, sf, "events")
+    ent = e.select(F.concat(F.lit("checkpoint-"), (F.col("user_id") * 50).cast("string")).alias("name"),
+                   (F.col("event_id") % 3).alias("source_rank")).distinct()
+    ent = ent.withColumn("path", F.concat(F.lit("src"), F.col("source_rank").cast("string"), F.lit("/"), F.col("name")))
+    return finish(EV.last_n_versions(ent, 8))
+
+
+# ===================================================================== training rows
+from inkstone.operators import sft as SFT  # noqa: E402
+
+_MARKER = [ord(c) for c in SFT.RESPONSE_MARKER]
+_MAXLEN = 1024
+_SYS = R.q(K.SYSTEM_PROMPT)
+_SFT_SQL = f"""
+cv AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole,
+              lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext FROM conversations),
+pp AS (SELECT conv_id, turn, text AS prompt, ntext AS answer FROM cv WHERE role = 'user' AND nrole = 'assistant'),
+tx AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
+                 || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10)
+                 AS text FROM pp),
+tk AS (SELECT *, list_transform(string_split(text, ''), lambda c: unicode(c)) AS toks,
+              (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id FROM tx),
+tr AS (SELECT *, toks[1:{_MAXLEN}] AS ids FROM tk),
+ln AS (SELECT *, len(ids) AS seq_len, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_len,
+              coalesce(list_filter(range(0, greatest(len(ids) - {len(_MARKER)} + 1, 0)),
+                  lambda i: ids[i + 1] = {_MARKER[0]} AND ids[i + 1:i + {len(_MARKER)}] = {_MARKER})[1], -1) AS marker_start
+       FROM tr),
+lb AS (SELECT *, list_transform(range(0, seq_len), lambda i: CASE WHEN marker_start < 0 OR i < marker_start + {len(_MARKER)}
+              THEN {K.IGNORE_INDEX} ELSE ids[i + 1] END) AS labels FROM ln)"""
+
+
+def _sft_rows(spark, sf):
+    conv = S.load(spark, sf, "conversations")
+    pairs = SFT.conversation_pairs(conv)
+    t = pairs.withColumn("text", SFT.sft_text(SFT.chat_messages(F.col("prompt"), F.col("answer"))))
+    t = t.withColumn("toks", SFT.code_points(F.col("text")))
+    return O.fixed_batches(t, 8, ["conv_id", "turn"], "batch_id")
+
+
+@query("sft_text", f"""WITH {_SFT_SQL}
+SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS text_length, md5(text) AS text_md5 FROM tx""")
+def sft_text(spark, sf):
+    """P6 chat messages + P7 chat text and length for each (user, assistant) turn pair."""
+    t = _sft_rows(spark, sf)
+    return finish(t.select("conv_id", "turn", F.length("text").alias("text_length"), F.md5("text").alias("text_md5")))
+
+
+@query("response_mask", f"""WITH {_SFT_SQL}
+SELECT conv_id, turn, batch_id, seq_len, padded_len, marker_start,
+       CAST(len(list_filter(labels, lambda x: x <> {K.IGNORE_INDEX})) AS BIGINT) AS n_labels,
+       md5(array_to_string(labels, ',')) AS labels_md5 FROM lb""")
+def response_mask(spark, sf):
+    """L1 marker search, L2 response-only labels, L3 truncation to 1024 and batch padding."""
+    t = _sft_rows(spark, sf)
+    m = SFT.response_mask(t, "toks", _MARKER, _MAXLEN, "batch_id")
+    lab = F.slice("labels", 1, F.col("seq_len"))
+    return finish(m.select("conv_id", "turn", "batch_id", "seq_len", "padded_len", "marker_start",
+                           F.size(F.filter(lab, lambda x: x != K.IGNORE_INDEX)).alias("n_labels"),
+                           F.md5(F.array_join(lab, ",")).alias("labels_md5")))
+
+
+# ===================================================================== sources, sinks, delivery, resume
+from inkstone.sources import io as IO  # noqa: E402
+from inkstone.operators import resume as RS  # noqa: E402
+
+
+@query("read_pairs_csv", f"""WITH p AS ({_PAIRS}) SELECT id, prompt, md5(raw_text) AS svg_md5 FROM p""")
+def read_pairs_csv(spark, sf):
+    """Pairs written as a quoted multi-line CSV (the raw text holds newlines and quotes) and read back."""
+    pairs = S.markup_pairs(spark, sf, expected=True).select("id", "prompt", F.col("raw_text").alias("svg"))
+    path = IO.write_pairs(pairs, IO.scratch_path(spark, "pairs-csv"))
+    back = IO.read_pairs(spark, path)
+    return finish(back.select("id", "prompt", F.md5("svg").alias("svg_md5")))
+
+
+@query("read_pruned", "SELECT p_partkey, p_name FROM part")
+def read_pruned(spark, sf):
+    """Two named columns only (pruned at the Parquet scan)."""
+    return finish(IO.read_pruned(spark, f"{sf}/part.parquet", ["p_partkey", "p_name"]))
+
+
+@query("holdout_export", f"WITH {_SPLIT} SELECT id, prompt, md5(svg_norm) AS reference_md5 FROM split WHERE split = 'eval'")
+def holdout_export(spark, sf):
+    """Eval rows as (id, prompt, reference_svg)."""
+    ev = IO.holdout_export(_split(spark, sf).filter(F.col("split") == "eval"))
+    return finish(ev.select("id", "prompt", F.md5("reference_svg").alias("reference_md5")))
+
+
+@query("run_summary", f"""WITH {_EVAL_SQL}
+SELECT {K.SEED} AS seed, 'main' AS training_stage, count(*) AS holdout_audit_rows,
+       count(*) FILTER (WHERE NOT valid) AS invalid_generations, {r6('avg(pdf_proxy_score)')} AS mean_pdf_proxy_score,
+       {r6('avg(render_mae)')} AS mean_render_mae FROM ev""")
+def run_summary(spark, sf):
+    """One summary row over the evaluated predictions."""
+    sm = IO.run_summary(_evaluated(spark, sf), K.SEED, "main").drop("selected_checkpoint")
+    return finish(sm)
+
+
+@query("membership_filter", f"WITH {_RETRIEVAL} SELECT tid AS id FROM trm")
+def membership_filter(spark, sf):
+    """train rows whose stripped prompt is one of the test prompts (left-semi join)."""
+    tp = _test(spark, sf).select(TX.clean_prompt("prompt").alias("p")).filter(F.length("p") > 0)
+    tr = S.train_pairs(spark, sf).withColumn("p", TX.clean_prompt("prompt"))
+    return finish(tr.join(tp, "p", "left_semi").select("id"))
+
+
+@query("coverage_guard", f"""WITH {_RANKED}, {_RANK_SELECT.replace('SELECT id,', 'out AS (SELECT id,', 1).replace('FROM fst', 'FROM fst)')}
+SELECT CAST(p.p_partkey AS VARCHAR) AS id, o.id IS NULL AS used_fallback,
+       md5(coalesce(CASE WHEN o.id IS NOT NULL THEN o.svg_md5 END, md5({R.fallback_markup('p.p_name')}))) AS svg_md5
+FROM part p LEFT JOIN out o ON CAST(p.p_partkey AS VARCHAR) = o.id""")
+def coverage_guard(spark, sf):
+    """Every part row gets one result; rows without a ranked result get the fallback."""
+    ranked = _ranked(spark, sf).select("id", "svg")
+    test = S.load(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("prompt"))
+    g = RS.coverage_guard(test, ranked, "id", "prompt", "svg")
+    return finish(g.select("id", "used_fallback", F.md5(F.md5("svg")).alias("svg_md5")))
+
+
+@query("delivery", f"""WITH {_RANKED},
+fo AS (SELECT id, CASE WHEN fb THEN fbm ELSE markup END AS svg FROM fst),
+st2 AS (SELECT id, svg, {R.paint_stats_cols('svg')} FROM fo),
+vd AS (SELECT id, svg, coalesce({R.validity('svg', 'drawable_count', 'visible_paint_count')}, false) AS valid FROM st2)
+SELECT id, NOT valid AS replaced,
+       md5({_csv_safe_sql(f"CASE WHEN valid THEN svg ELSE {R.q(K.SAFETY_MARKUP)} END")}) AS svg_md5 FROM vd""")
+def delivery(spark, sf):
+    """Job E: ranked results -> M10 rescale -> F8 safety pass (validity before quoting) -> P4 CSV-safe text."""
+    res = _ranked(spark, sf).select("id", "svg")
+    res = res.withColumn("__els", MX.parse_elements("svg")).withColumn("svg", MX.rescaled_from("svg", "__els")).drop("__els")
+    safe = M.safety_pass(res, "svg")
+    return finish(safe.select("id", "replaced", F.md5(TX.csv_safe_text("svg")).alias("svg_md5")))
+
+
+@query("resume_batch", f"""
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, {R.clean('text')} AS t FROM documents)
+SELECT id, CAST(length(t) AS BIGINT) AS prompt_chars, md5({R.norm('t')}) AS norm_md5 FROM c""")
+def resume_batch(spark, sf):
+    """A first run finished the labelled documents; the resumed run does only the rest.
+    The union of both runs (latest per id) covers every document exactly once."""
+    todo = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
+
+    def job(rows):
+        t = TX.clean_prompt("text")
+        return rows.select("id", F.length(t).alias("prompt_chars"), F.md5(TX.prompt_norm(t)).alias("norm_md5"))
+
+    path = IO.scratch_path(spark, "resume")
+    done_ids = S.load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    RS.resume_batch(todo.join(done_ids, "id", "left_semi"), job, path, "id")   # the earlier, partial run
+    out = RS.resume_batch(todo, job, path, "id")                               # the resumed run
+    return finish(out.select("id", "prompt_chars", "norm_md5"))
+
+
+@query("resume_stream", ORACLES["resume_batch"])
+def resume_stream(spark, sf):
+    """The resume job as a Structured Streaming query over document files (availableNow);
+    every document is processed exactly once even though the source holds a repeated file."""
+    from inkstone.streaming.resume_stream import resume_stream as run_stream
+    src = IO.scratch_path(spark, "stream-src")
+    d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
+    d.repartition(4).write.parquet(src)
+    # a second copy of part of the input arrives later: its ids are skipped as finished
+    d.join(S.load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi") \
+        .write.mode("append").parquet(src)
+
+    def job(rows):
+        t = TX.clean_prompt("text")
+        return rows.select("id", F.length(t).alias("prompt_chars"), F.md5(TX.prompt_norm(t)).alias("norm_md5"))
+
+    out = run_stream(spark, src, d.schema, job, IO.scratch_path(spark, "stream-sink"),
+                     IO.scratch_path(spark, "stream-ckpt"), "id")
+    return finish(out.select("id", "prompt_chars", "norm_md5"))
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES

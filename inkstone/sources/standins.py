@@ -79,6 +79,19 @@ _EXPECTED_TRAIN = """
       || CASE WHEN defect = 5 THEN '<use />' ELSE '' END
       || '</svg>' END"""
 
+# what the train variant gives for extracted model output (a cut document is
+# salvaged by closing it)
+_EXPECTED_TRAIN_EXTRACTED = """
+      '<svg viewBox="0 0 256 256" width="256" height="256">'
+      || '<title>' || p_name || '</title>'
+      || '<g id="grp">' || shape_open
+      || CASE WHEN styled = 0 AND paint = 'url(#g)' THEN ''
+              WHEN styled = 0 THEN ' style="' || paint_attr || ':' || paint || ';opacity:1"'
+              ELSE ' ' || paint_attr || '="' || paint || '"' END
+      || ' /></g>'
+      || CASE WHEN defect = 5 THEN '<use />' ELSE '' END
+      || '</svg>'"""
+
 # what the infer variant gives after extraction (a cut document is salvaged by
 # closing it, so every built document canonicalises)
 _EXPECTED_INFER = """
@@ -106,12 +119,13 @@ def markup_pairs_sql(expected: bool = False) -> str:
           FROM (SELECT *, {_SHAPE} FROM (SELECT p_partkey, p_name, p_size, {_choices('p_partkey')} FROM part) c0) c1) c2"""
 
 
-def predictions_sql() -> str:
+def predictions_sql(expected: bool = False) -> str:
     """(checkpoint, id, raw_text) — free text with markup inside, one per part row and checkpoint."""
     parts = []
+    extra = f", {_EXPECTED_TRAIN_EXTRACTED} AS expected_svg" if expected else ""
     for shift, name in ((1, "ckpt-100"), (2, "ckpt-200")):
         parts.append(f"""
-    SELECT '{name}' AS checkpoint, CAST(p_partkey AS STRING) AS id, {_WRAP} AS raw_text
+    SELECT '{name}' AS checkpoint, CAST(p_partkey AS STRING) AS id, {_WRAP} AS raw_text{extra}
     FROM (SELECT *, {_RAW} AS raw_svg
           FROM (SELECT *, {_SHAPE}
                 FROM (SELECT p_partkey, p_name, p_size, {_choices(f'p_partkey + {shift}')}
@@ -178,3 +192,22 @@ def test_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["part"])
     return spark.sql(train_pairs_sql())
+
+
+def images_sql(dialect: str = "spark") -> tuple[str, str]:
+    """(reference images, predicted images) from ``embeddings``: 8 x 8 gray images,
+    value (v + 1) / 2; the prediction of checkpoint c for row i is the image of row i + shift."""
+    lam = "v -> (CAST(v AS DOUBLE) + 1) / 2" if dialect == "spark" else "lambda v: (CAST(v AS DOUBLE) + 1) / 2"
+    fn = "transform" if dialect == "spark" else "list_transform"
+    refs = f"SELECT CAST(vec_id AS STRING) AS id, {fn}(embedding, {lam}) AS pixels FROM embeddings"
+    preds = " UNION ALL ".join(
+        f"SELECT '{name}' AS checkpoint, CAST(a.vec_id AS STRING) AS id, {fn}(b.embedding, {lam}) AS pixels "
+        f"FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + {shift}"
+        for shift, name in ((1, "ckpt-100"), (2, "ckpt-200")))
+    return refs, preds
+
+
+def images(spark: SparkSession, sf_dir: str):
+    register(spark, sf_dir, ["embeddings"])
+    refs, preds = images_sql("spark")
+    return spark.sql(refs), spark.sql(preds)
