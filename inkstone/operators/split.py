@@ -16,6 +16,7 @@ from inkstone import constants as K
 from inkstone.functions import text as TX
 from inkstone.operators.index import length_histogram, with_global_index
 from inkstone.operators.order import spaced_positions
+from inkstone.session import checkpoint_dir
 
 
 def eval_size(n: int, fraction: float = K.EVAL_FRACTION, minimum: int = K.MIN_EVAL_ROWS,
@@ -125,7 +126,11 @@ def stratified_split(prepared: DataFrame, id_col: str = "id", length_col: str =
     """W1-W5 + J6: every row with ``split`` = 'eval' or 'train' (one pass, no anti-join).
 
     Frame order is (length, id) — the reference's unstable sort is made total by id.
+    The input is checkpointed once (shared checkpoint folder): the split reads it
+    several times and must not re-run the canonicaliser each time.
     """
+    checkpoint_dir(prepared.sparkSession)
+    prepared = prepared.checkpoint(eager=True)
     n = prepared.count()
     e = eval_size(n) if e is None else e
     edges = length_edges(prepared, length_col)

@@ -586,8 +586,7 @@ def rarity_weight(spark, sf):
     return finish(with_rarity_weight(train, "prompt").select("id", "weight"))
 
 
-@query("weighted_oversample", f"""
-WITH {_TRAIN_W},
+_OVERSAMPLE = f"""
 tot AS (SELECT count(*) AS n, CAST(floor(count(*) * {K.OVERSAMPLE_FACTOR}) AS BIGINT) AS extra FROM w),
 cls AS (SELECT weight, count(*) AS nc, row_number() OVER (ORDER BY weight) - 1 AS c FROM w GROUP BY weight),
 cm AS (SELECT *, weight * nc AS mass, sum(weight * nc) OVER () AS total,
@@ -599,6 +598,11 @@ al AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, weight D
 dr AS (SELECT c, nc, start, unnest(range(0, draws)) AS j FROM al WHERE draws > 0),
 hit AS (SELECT start + CAST(('0x' || substr(md5('{K.SEED}|' || c || '|' || j), 1, 8)) AS BIGINT) % nc AS g FROM dr),
 idx AS (SELECT id, row_number() OVER (ORDER BY weight, id) - 1 AS g FROM w)
+"""
+
+
+@query("weighted_oversample", f"""
+WITH {_TRAIN_W}, {_OVERSAMPLE}
 SELECT idx.id, count(*) AS copies FROM hit JOIN idx ON hit.g = idx.g GROUP BY idx.id""")
 def weighted_oversample_q(spark, sf):
     """floor(0.3 n) extra train rows drawn by rarity weight; copies per id."""
@@ -1285,5 +1289,59 @@ def resume_stream(spark, sf):
     return finish(out.select("id", "prompt_chars", "norm_md5"))
 
 
+@query("balanced_corpus", f"""
+WITH {_TRAIN_W}, {_OVERSAMPLE},
+bal AS (SELECT id FROM w UNION ALL SELECT idx.id FROM hit JOIN idx ON hit.g = idx.g)
+SELECT id, count(*) AS n FROM bal GROUP BY id""")
+def balanced_corpus(spark, sf):
+    """D3 + D4: train rows united with their weighted extra copies; rows per id."""
+    from inkstone.operators.dedupe import union_frames
+    train = _split(spark, sf).filter(F.col("split") == "train")
+    w = with_rarity_weight(train, "prompt")
+    bal = union_frames(w.select("id"), weighted_oversample(w, "weight", "id").select("id"))
+    return finish(bal.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+
+
+_CIMG = S.candidate_images_sql("duckdb")
+
+
+@query("render_rerank", f"""
+WITH {_CANDS},
+img AS ({_CIMG}),
+fq0 AS (SELECT prompt_id, seq, pixels AS g, {_render_quality_sql('pixels')} AS d, image_vec AS x, text_vec AS y FROM img),
+fq AS (SELECT f.prompt_id, f.seq, {_mean_sql('d')} AS edge, CAST(len(list_filter(g, lambda v: v < 0.95)) AS DOUBLE) / len(g) AS nw,
+              d, g, x, y, c.prompt FROM fq0 f JOIN cand c ON c.prompt_id = f.prompt_id AND c.seq = f.seq),
+ft AS (SELECT prompt_id, seq, edge, nw,
+              CASE WHEN edge > 1e-6 THEN CAST(len(list_filter(d, lambda v: v > 4.0 * edge)) AS DOUBLE) / len(d) ELSE 0.0 END AS clarity,
+              {_fidelity_sql('prompt', 'g')} AS fid,
+              100.0 * list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i]))
+                / (sqrt(list_sum(list_transform(x, lambda v: v * v))) * sqrt(list_sum(list_transform(y, lambda v: v * v)))) AS clip,
+              {R.prompt_is_complex('prompt')} AS cx FROM fq),
+rw AS (SELECT gen.*, valid AND row_number() OVER (PARTITION BY prompt_id, valid ORDER BY score DESC, seq) <= {K.RERANK_TOP_K} AS rr
+       FROM gen),
+j AS (SELECT rw.*, ft.edge, ft.nw, ft.clarity, ft.fid, ft.clip, ft.cx FROM rw LEFT JOIN ft ON rw.prompt_id = ft.prompt_id AND rw.seq = ft.seq),
+a AS (SELECT *, rr AND nw IS NOT NULL AS act,
+             CASE WHEN cx THEN 0.22 ELSE 0.14 END AS t1, CASE WHEN cx THEN 0.045 ELSE 0.020 END AS t2 FROM j),
+s2 AS (SELECT *, CASE WHEN act THEN score + CASE WHEN nw < 0.008 THEN -700.0 ELSE
+                   edge * 120.0 + greatest(0.0, 1 - abs(nw - t1) / greatest(t1, 1e-6)) * 35.0
+                   + greatest(0.0, 1 - abs(edge - t2) / greatest(t2, 1e-6)) * 18.0 + coalesce(clarity, 0.0) * 22.0
+                   + coalesce(fid, 0.0) + coalesce(clip, 0.0) * {K.EMBEDDING_WEIGHT} END ELSE score END AS new_score FROM a),
+b AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY new_score DESC, seq) AS br FROM s2)
+SELECT prompt_id, seq, {r6('new_score')} AS score, round(CASE WHEN act THEN nw END, 5) AS render_non_white FROM b WHERE br = 1""")
+def render_rerank(spark, sf):
+    """X13 (with X9-X11 features): top-3 valid candidates re-scored from their images; best per prompt."""
+    c = RK.score_candidates(RK.clean_candidates(_cands(spark, sf), "raw_text"), "prompt")
+    c = RK.rerank_window(c.select("prompt_id", "seq", "valid", "score"), "prompt_id")
+    img = S.candidate_images(spark, sf).join(_cands(spark, sf).select("prompt_id", "seq", "prompt"), ["prompt_id", "seq"])
+    q = IM.render_quality(F.col("pixels"), _W)
+    feats = img.select("prompt_id", "seq", q["edge_density"].alias("edge_density"), q["non_white"].alias("non_white"),
+                       q["edge_clarity"].alias("edge_clarity"),
+                       IM.color_fidelity(F.col("prompt"), F.col("pixels")).alias("color_fidelity"),
+                       IM.embedding_similarity(F.col("image_vec"), F.col("text_vec")).alias("clip_score"))
+    rr = RK.render_rerank(c, feats, _test(spark, sf))
+    best = RK.best_candidate(rr.select("prompt_id", "seq", "score", "render_non_white"), "prompt_id")
+    return finish(best.select("prompt_id", "seq", "score", "render_non_white"))
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES

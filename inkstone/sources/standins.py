@@ -211,3 +211,22 @@ def images(spark: SparkSession, sf_dir: str):
     register(spark, sf_dir, ["embeddings"])
     refs, preds = images_sql("spark")
     return spark.sql(refs), spark.sql(preds)
+
+
+def candidate_images_sql(dialect: str = "spark") -> str:
+    """(prompt_id, seq, pixels, image_vec, text_vec): a rendered image per candidate and a text
+    embedding per prompt, both taken from ``embeddings`` (image of row prompt + seq, text of row prompt)."""
+    lam = "v -> (CAST(v AS DOUBLE) + 1) / 2" if dialect == "spark" else "lambda v: (CAST(v AS DOUBLE) + 1) / 2"
+    fn = "transform" if dialect == "spark" else "list_transform"
+    return f"""
+    SELECT c.prompt_id, c.seq, {fn}(e.embedding, {lam}) AS pixels,
+           CAST(e.embedding AS {'ARRAY<DOUBLE>' if dialect == 'spark' else 'DOUBLE[]'}) AS image_vec,
+           CAST(t.embedding AS {'ARRAY<DOUBLE>' if dialect == 'spark' else 'DOUBLE[]'}) AS text_vec
+    FROM ({candidates_sql(dialect)}) c
+    JOIN embeddings e ON e.vec_id = CAST(c.prompt_id AS BIGINT) + c.seq
+    JOIN embeddings t ON t.vec_id = CAST(c.prompt_id AS BIGINT)"""
+
+
+def candidate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, ["part", "embeddings"])
+    return spark.sql(candidate_images_sql("spark"))
