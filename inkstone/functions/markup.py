@@ -119,7 +119,7 @@ def _color_of_compact(c: Column) -> Column:
     return (F.when((F.length(c) == 0) | c.isin(*K.NON_PAINT_VALUES), null_rgb)
             .when(c.startswith("#"), let(expanded, lambda x: F.when(F.length(x) == 7, hexed(x)).otherwise(null_rgb)))
             .when(c.startswith("rgb("), rgb(c))
-            .otherwise(F.element_at(names, c)))
+            .otherwise(F.try_element_at(names, c)))
 
 
 def parse_color(v: Column) -> Column:

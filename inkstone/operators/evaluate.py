@@ -16,7 +16,7 @@ from inkstone.operators import markup as M
 def tag_similarity(a: F.Column, b: F.Column) -> F.Column:
     """X5 on two tag-count maps: exp(-6 * sum|a-b| / sum(a+b)); 1 when nothing to compare."""
     def cnt(m, k):
-        return F.coalesce(F.element_at(m, k), F.lit(0)).cast("double")
+        return F.coalesce(F.try_element_at(m, k), F.lit(0)).cast("double")
 
     def body(ab):
         a_, b_ = ab["a"], ab["b"]

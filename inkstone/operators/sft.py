@@ -53,7 +53,7 @@ def find_marker(ids: Column, marker: list[int]) -> Column:
     lit = F.array(*[F.lit(x) for x in marker])
     hits = F.filter(F.sequence(F.lit(0), F.size(ids) - m),
                     lambda i: (F.element_at(ids, i + 1) == marker[0]) & (F.slice(ids, i + 1, m) == lit))
-    return F.when(F.size(ids) < m, F.lit(-1)).otherwise(F.coalesce(F.element_at(hits, 1), F.lit(-1)))
+    return F.when(F.size(ids) < m, F.lit(-1)).otherwise(F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(-1)))
 
 
 def response_mask(df: DataFrame, ids_col: str, marker: list[int], max_length: int, batch_col: str,

@@ -38,6 +38,7 @@ def test_prompt_without_candidates_gets_fallback(spark):
 def test_fallback_markup_words(spark):
     df = spark.createDataFrame([("outline",), ("white list",), ("",)], "p string")
     out = [r[0] for r in df.select(TX.fallback_markup("p")).collect()]
-    assert 'rx="20"' in out[0] and 'fill="#212121"' in out[0]
+    # substring rule: "outline" contains "line" -> three bars
+    assert out[0].count("<rect") == 4 and 'rx="20"' not in out[0]
     assert '<rect width="256" height="256" fill="#212121" />' in out[1] and out[1].count('fill="#f5f5f5"') == 3
     assert 'rx="20"' in out[2]

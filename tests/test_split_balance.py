@@ -55,5 +55,6 @@ def test_oversample_count_and_determinism(spark, prepared):
 
 
 def test_allot_draws():
-    assert allot_draws([(1.0, 10), (2.0, 5)], 7) == [4, 3]
+    # equal remainders: the heavier class gets the extra draw
+    assert allot_draws([(1.0, 10), (2.0, 5)], 7) == [3, 4]
     assert sum(allot_draws([(1.0, 3), (1.5, 4), (3.0, 1)], 11)) == 11
