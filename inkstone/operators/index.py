@@ -32,7 +32,8 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partit
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # one row per partition: the broadcast is bounded by the partition count
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (ranged.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
+    offsets = bounded_broadcast(offsets.select("__pid", "__off"), n, "partition offsets")
+    return (ranged.join(offsets, "__pid")
                   .withColumn(name, (F.col("__off") + local).cast("long"))
                   .drop("__pid", "__mid", "__off"))
 
@@ -70,3 +71,21 @@ def histogram_quantiles(hist: DataFrame, length_col: str, quantiles: list, group
         lo, hi, fr = F.col(f"__lo{i}").cast("double"), F.col(f"__hi{i}").cast("double"), F.col(f"__fr{i}")
         res = res.withColumn(f"{prefix}{i}", lo + fr * (hi - lo))
     return res.drop(*[c for c in res.columns if c.startswith("__")])
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
+    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
+
+    Used for tables whose size is bounded by a constant of the job (eval size,
+    partition count, colour words), never by the data; the check turns a broken
+    bound into an error instead of an executor running out of memory.
+    """
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{what}: {n} rows exceed the broadcast bound {max_rows}")
+    return F.broadcast(df)
+
+
+def combine_single_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Put two one-row aggregates side by side (equi-join on a constant key)."""
+    return a.withColumn("__one", F.lit(1)).join(b.withColumn("__one", F.lit(1)), "__one").drop("__one")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone import constants as K
-from inkstone.operators.index import with_global_index
+from inkstone.operators.index import bounded_broadcast, with_global_index
 
 
 def shuffle_key(id_col: str, seed: int = K.SEED):
@@ -66,8 +66,7 @@ def even_subsample(df: DataFrame, k: int, order_cols: list) -> DataFrame:
     if n == 0 or k <= 0:
         return indexed.drop("__i").limit(0)
     pos = indexed.sparkSession.range(1).select(F.explode(F.array_distinct(spaced_positions(n, min(k, n)))).alias("__i"))
-    # at most k positions: broadcast is bounded by k
-    return indexed.join(F.broadcast(pos), "__i", "left_semi").drop("__i")
+    return indexed.join(bounded_broadcast(pos, k, "sample positions"), "__i", "left_semi").drop("__i")
 
 
 def longest_rows(df: DataFrame, length_col: str, id_col: str = "id", fraction: float = K.LONG_CONTEXT_FRACTION,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as TX
-from inkstone.operators.index import histogram_quantiles, length_histogram
+from inkstone.operators.index import combine_single_rows, histogram_quantiles, length_histogram
 
 
 def length_profile(df: DataFrame, length_col: str, group_cols: list | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def length_profile(df: DataFrame, length_col: str, group_cols: list | None = Non
         F.sum("n").alias("rows"),
         (F.sum(F.col(length_col) * F.col("n")) / F.sum("n")).alias("mean_chars"),
         F.max(length_col).alias("max_chars"))
-    out = basic.join(q, g, "inner") if g else basic.crossJoin(q)
+    out = basic.join(q, g, "inner") if g else combine_single_rows(basic, q)
     return out.select(*g, "rows", "mean_chars", F.col("q0").alias("median_chars"),
                       F.col("q1").alias("p90_chars"), F.col("q2").alias("p95_chars"), "max_chars")
 

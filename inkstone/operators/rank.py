@@ -271,4 +271,5 @@ def retrieval_totals(train: DataFrame, test_prompts: DataFrame, retrieved: DataF
     matched = train.select(TX.clean_prompt(F.col(prompt_col)).alias("prompt")).join(tp, "prompt", "left_semi")
     m = matched.agg(F.count(F.lit(1)).alias("matched_rows"))
     r = retrieved.agg(F.countDistinct("prompt").alias("prompts"), F.count(F.lit(1)).alias("candidates"))
-    return m.crossJoin(r)
+    from inkstone.operators.index import combine_single_rows
+    return combine_single_rows(m, r)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone import constants as K
 from inkstone.functions import text as TX
-from inkstone.operators.index import length_histogram, with_global_index
+from inkstone.operators.index import bounded_broadcast, length_histogram, with_global_index
 from inkstone.operators.order import spaced_positions
 from inkstone.session import checkpoint_dir
 
@@ -146,7 +146,8 @@ def stratified_split(prepared: DataFrame, id_col: str = "id", length_col: str =
     picks = (quota.filter(F.col("quota") > 0)
                   .select("__start", F.explode(F.array_distinct(spaced_positions(F.col("n"), F.col("quota")))).alias("pos"))
                   .select((F.col("__start") + F.col("pos")).alias("__g")))
-    picked = frame.join(F.broadcast(picks), "__g", "left_semi").select("__f").cache()
+    bound = e + sizes.count()  # quotas sum to at most e plus one per bucket
+    picked = frame.join(bounded_broadcast(picks, bound, "spaced picks"), "__g", "left_semi").select("__f").cache()
     m = picked.count()
     chosen = picked
     if m < e:
@@ -167,7 +168,7 @@ def stratified_split(prepared: DataFrame, id_col: str = "id", length_col: str =
     # sort by frame position, cut to e (the set is bounded by e + 45)
     chosen = (chosen.withColumn("__rk", F.row_number().over(Window.orderBy("__f")))
                     .filter(F.col("__rk") <= e).select("__f", F.lit(True).alias("__eval")))
-    out = frame.join(F.broadcast(chosen), "__f", "left")
+    out = frame.join(bounded_broadcast(chosen, e, "eval rows"), "__f", "left")
     out = out.withColumn("split", F.when(F.col("__eval"), F.lit("eval")).otherwise(F.lit("train")))
     return out.drop("__eval", "__g").withColumnRenamed("__f", "frame_pos")
 
