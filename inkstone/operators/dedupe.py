@@ -23,15 +23,19 @@ def dedupe_pairs(df: DataFrame, key_cols: list, order_col: str = "id") -> DataFr
 def dedupe_candidates(df: DataFrame, group_col: str = "prompt_id", markup_col: str = "markup",
                       seq_col: str = "seq") -> DataFrame:
     """Drop empty markup, keep the first (by ``seq``) of each (group, markup);
-    a group left with nothing keeps all its original rows."""
-    key = F.sha2(F.col(markup_col), 256)
-    nonempty = df.filter(F.length(F.col(markup_col)) > 0)
-    packed = F.struct(*[F.col(c) for c in df.columns])
-    firsts = (nonempty.groupBy(group_col, key.alias("__k"))
-                      .agg(F.min_by(packed, F.col(seq_col)).alias("__row")).select("__row.*"))
-    has_any = nonempty.select(group_col).distinct()
-    keep_all = df.join(has_any, group_col, "left_anti")
-    return firsts.unionByName(keep_all)
+    a group left with nothing keeps all its original rows.
+
+    One linear pass: a single shuffle by group, then two windows (the second's
+    (group, hash) clustering is satisfied by the first's partitioning).  The input
+    is read once, so an expensive upstream (the canonicaliser) runs once.  A group
+    is one prompt's candidates, bounded by the generation budget plus retrieval.
+    """
+    nonempty = F.length(F.coalesce(F.col(markup_col), F.lit(""))) > 0
+    any_nonempty = F.max(nonempty.cast("int")).over(Window.partitionBy(group_col))
+    first = F.row_number().over(Window.partitionBy(group_col, F.sha2(F.col(markup_col), 256)).orderBy(seq_col))
+    out = df.withColumn("__any", any_nonempty).withColumn("__rn", first)
+    keep = F.when(F.col("__any") == 1, nonempty & (F.col("__rn") == 1)).otherwise(F.lit(True))
+    return out.filter(keep).drop("__any", "__rn")
 
 
 def union_frames(*frames: DataFrame) -> DataFrame:

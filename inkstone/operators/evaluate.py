@@ -46,6 +46,15 @@ def tag_count_align(a: DataFrame, b: DataFrame, key_cols: list) -> DataFrame:
              .select(*on, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")))
 
 
+def tag_count_align_maps(df: DataFrame, key_cols: list, a: str, b: str) -> DataFrame:
+    """J5 per row: two tag-count maps of the same row aligned on the union of their tags
+    (missing counts 0), exploded to (keys, tag, n_a, n_b).  No shuffle."""
+    keys = F.array_union(F.map_keys(F.col(a)), F.map_keys(F.col(b)))
+    out = df.select(*key_cols, a, b, F.explode(keys).alias("tag"))
+    return out.select(*key_cols, "tag", F.coalesce(F.try_element_at(F.col(a), F.col("tag")), F.lit(0)).alias("n_a"),
+                      F.coalesce(F.try_element_at(F.col(b), F.col("tag")), F.lit(0)).alias("n_b"))
+
+
 def pred_vs_ref(preds: DataFrame, refs: DataFrame, id_col: str = "id") -> DataFrame:
     """Pair each prediction with its reference row (inner join on id)."""
     return preds.join(refs, id_col, "inner")

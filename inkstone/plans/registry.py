@@ -1033,13 +1033,10 @@ FROM a FULL OUTER JOIN b ON a.checkpoint = b.checkpoint AND a.id = b.id AND a.ta
 def tag_count_align(spark, sf):
     """Full outer alignment of predicted and reference tag counts per (checkpoint, id, tag)."""
     preds = S.predictions(spark, sf).withColumn("__x", TX.extract_markup("raw_text"))
-    preds = M.canonicalise(preds, "__x", "svg").select("checkpoint", "id", "svg")
-    a = M.tag_counts(preds, ["checkpoint", "id"], "svg")
-    refs = M.canonicalise(_pairs(spark, sf), "svg", "markup_norm").select("id", "markup_norm")
-    b = M.tag_counts(refs, ["id"], "markup_norm")
-    pairs = preds.select("checkpoint", "id")
-    b = b.join(pairs, "id")  # J4: reference counts per (checkpoint, id) prediction
-    return finish(EV.tag_count_align(a, b, ["checkpoint", "id"]))
+    preds = M.canonicalise(preds, "__x", "svg").select("checkpoint", "id", MX.tag_histogram("svg").alias("ha"))
+    refs = M.canonicalise(_pairs(spark, sf), "svg", "markup_norm").select("id", MX.tag_histogram("markup_norm").alias("hb"))
+    pairs = EV.pred_vs_ref(preds, refs, "id")  # J4
+    return finish(EV.tag_count_align_maps(pairs, ["checkpoint", "id"], "ha", "hb"))
 
 
 # leaderboard on ``events``: user_id = checkpoint, value = score, event_type 'error' = invalid,
