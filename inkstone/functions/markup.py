@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone import constants as K
 from inkstone.functions.cache import cached
-from inkstone.functions.text import WS, strip_ws
+from inkstone.functions.text import WS, WS_CHARS, strip_ws
 
 START_TAG = r"<[A-Za-z][^>]*>"
 NUMBER = r"[-+]?(?:\d*\.\d+|\d+)(?:[eE][-+]?\d+)?"
@@ -73,7 +73,7 @@ def attr(element: Column, name: str) -> Column:
 
 def compact(v: Column) -> Column:
     """Remove every white-space character (lower-cased)."""
-    return F.lower(F.regexp_replace(v, f"{WS}+", ""))
+    return F.lower(F.translate(v, WS_CHARS, ""))
 
 
 def is_non_paint(v: Column) -> Column:

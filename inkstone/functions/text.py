@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from inkstone import constants as K
 from inkstone.functions.cache import cached
 
-# Characters Python's str.strip()/``\s`` treat as white space.
-WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Characters Python's str.strip() / ``\s`` treat as white space, derived from the
+# rule itself (str.isspace) rather than listed by hand.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+WS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS) + "]"
 # Python ``\w`` for lower-cased text (letters, digits, underscore).
 WORD = r"[\p{L}\p{N}_]"
 
@@ -24,8 +26,9 @@ def _c(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing white space of every kind."""
-    return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing white space of every kind
+    (``TRIM(BOTH chars FROM s)``, no regex)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 @cached
@@ -36,8 +39,10 @@ def clean_prompt(c) -> Column:
 
 @cached
 def prompt_norm(c) -> Column:
-    """Lower case, collapse every white-space run to one space."""
-    return F.regexp_replace(F.lower(_c(c)), rf"{WS}+", " ")
+    """Lower case, collapse every white-space run to one space (map every
+    white-space character to a space, then collapse runs of two or more)."""
+    spaced = F.translate(F.lower(_c(c)), WS_CHARS, " " * len(WS_CHARS))
+    return F.regexp_replace(spaced, "  +", " ")
 
 
 def char_length(c) -> Column:

@@ -76,10 +76,13 @@ SELECT doc_id, lang, t FROM k WHERE rn = 1"""
 
 
 def _doc_deduped(spark, sf):
+    """Clean, F1, then D1 on the normalised text.  Only (id, lang, length, text hash)
+    travel through the dedupe shuffle, never the text itself."""
     d = docs(spark, sf).select("doc_id", "lang", TX.clean_prompt("text").alias("t"))
     d = d.filter((F.length("t") >= K.MIN_MARKUP_CHARS) & (F.length("t") <= K.MAX_MARKUP_CHARS))
-    d = d.withColumn("t_norm", TX.prompt_norm("t"))
-    return dedupe_pairs(d, ["t_norm"], "doc_id").drop("t_norm")
+    d = d.select("doc_id", "lang", F.length("t").cast("long").alias("len"),
+                 F.sha2(TX.prompt_norm("t"), 256).alias("t_hash"))
+    return dedupe_pairs(d, ["t_hash"], "doc_id").drop("t_hash")
 
 
 @query("corpus_profile", f"""
@@ -90,8 +93,7 @@ SELECT lang, count(*) AS rows, {r6('avg(length(t))')} AS mean_chars,
 FROM d GROUP BY lang""")
 def corpus_profile(spark, sf):
     """P1 clean -> F1 length filter -> P2 + D1 dedupe -> P3 lengths -> A1 profile per language."""
-    d = _doc_deduped(spark, sf).withColumn("len", F.length("t").cast("long"))
-    return finish(P.length_profile(d, "len", ["lang"]))
+    return finish(P.length_profile(_doc_deduped(spark, sf), "len", ["lang"]))
 
 
 @query("clean_text", f"""
