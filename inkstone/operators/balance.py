@@ -64,8 +64,11 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     Exact count and deterministic: draws are allotted to weight classes by mass,
     and draw j of class c hits row ``md5(seed|c|j) mod N_c`` of that class.  The
     draw table is generated distributed (``range``) and equi-joined on the
-    global index, so no group or task holds a whole class.  Returns only the
-    extra rows; union them with the input for the balanced frame.
+    global index of a narrow (weight, id) projection, then the drawn ids are
+    joined back to the rows (``id_col`` must be a key), so no group or task holds
+    a whole class and the wide rows are never checkpointed.  A row drawn many
+    times is a skewed join key, which AQE's skew-join handling splits.  Returns
+    only the extra rows; union them with the input for the balanced frame.
     """
     n = df.count()
     extra = int(n * factor)
@@ -78,7 +81,7 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     for _, size in classes:
         starts.append(cum)
         cum += size
-    indexed = with_global_index(df, [weight_col, id_col], "__g")
+    indexed = with_global_index(df.select(weight_col, id_col), [weight_col, id_col], "__g")
     bound = 0
     bounds = []
     for a in alloc:
@@ -99,4 +102,5 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     draws = (df.sparkSession.range(extra)
              .select(cls.alias("__c"), (d - first).alias("__j"), size.alias("__n"), start.alias("__s"))
              .select((F.col("__s") + draw_key(seed, F.col("__c"), F.col("__j")) % F.col("__n")).alias("__g")))
-    return indexed.join(draws, "__g", "inner").drop("__g")
+    drawn_ids = indexed.join(draws, "__g", "inner").select(id_col)
+    return df.join(drawn_ids, id_col, "inner")
