@@ -1342,5 +1342,18 @@ def render_rerank(spark, sf):
     return finish(best.select("prompt_id", "seq", "score", "render_non_white"))
 
 
+@query("grayscale", f"""
+WITH rgb AS ({S.rgb_images_sql('duckdb')}),
+gr AS (SELECT id, list_transform(range(1, len(r) + 1), lambda i: 0.299 * r[i] + 0.587 * g[i] + 0.114 * b[i]) AS gray FROM rgb)
+SELECT id, {r6(_mean_sql('gray'))} AS mean_gray, {r6('list_min(gray)')} AS min_gray, {r6('list_max(gray)')} AS max_gray FROM gr""")
+def grayscale(spark, sf):
+    """Luminance 0.299 r + 0.587 g + 0.114 b of colour images; mean, min, max per image."""
+    S.register(spark, sf, ["embeddings"])
+    rgb = spark.sql(S.rgb_images_sql("spark"))
+    g = rgb.select("id", IM.grayscale(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
+    return finish(g.select("id", IM.mean(F.col("gray")).alias("mean_gray"), F.array_min("gray").alias("min_gray"),
+                           F.array_max("gray").alias("max_gray")))
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES

@@ -15,6 +15,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # the canonicaliser is CPU-bound Python: smaller input splits give it more
+    # parallel tasks; AQE then coalesces shuffle output to ~128 MB partitions
+    "spark.sql.files.maxPartitionBytes": "64m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -230,3 +230,14 @@ def candidate_images_sql(dialect: str = "spark") -> str:
 def candidate_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, ["part", "embeddings"])
     return spark.sql(candidate_images_sql("spark"))
+
+
+def rgb_images_sql(dialect: str = "spark") -> str:
+    """(id, r, g, b): colour images whose channels are the gray images of three
+    neighbouring ``embeddings`` rows."""
+    lam = "v -> (CAST(v AS DOUBLE) + 1) / 2" if dialect == "spark" else "lambda v: (CAST(v AS DOUBLE) + 1) / 2"
+    fn = "transform" if dialect == "spark" else "list_transform"
+    return f"""
+    SELECT CAST(a.vec_id AS STRING) AS id, {fn}(a.embedding, {lam}) AS r, {fn}(b.embedding, {lam}) AS g,
+           {fn}(c.embedding, {lam}) AS b
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2"""
