@@ -1355,5 +1355,18 @@ def grayscale(spark, sf):
                            F.array_max("gray").alias("max_gray")))
 
 
+# Oracle columns DuckDB types as INTEGER while the Spark side widens every
+# integer to BIGINT: cast them so both schemas are identical.
+_WIDEN = {
+    "lookup_prompt": ["quality"], "length_bins": ["length_bin"],
+    "split_bucket": ["prompt_complexity_bin", "svg_complexity_bin"], "rescale_viewbox": ["seq"],
+    "candidate_score": ["seq"], "dedupe_candidates": ["seq"], "best_candidate": ["seq"], "rerank_window": ["seq"],
+    "generation_plan": ["max_tokens", "budget"], "run_summary": ["seed"], "render_rerank": ["seq"],
+}
+for _name, _cols in _WIDEN.items():
+    _casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _cols)
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]}) AS _o"
+
+
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES
