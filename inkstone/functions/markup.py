@@ -313,33 +313,33 @@ def validity(markup, els: Column, stats: Column) -> Column:
 
 
 _PARSED_CACHE: dict = {}
+_P = ("__pm", "__pels", "__pstats", "__pbounds", "__ppath", "__pcov", "__pvalid")
 
 
-def _parsed_columns(col: str, prefix: str):
-    """Column expressions of :func:`with_parsed`, built once per process and names.
-
-    Building these nested expressions costs thousands of Py4J calls; the
-    unresolved Column objects are reusable across plans, so cache them.
-    """
+def _parsed_columns():
+    """Column expressions of :func:`with_parsed` over fixed internal column names,
+    built once per process (building them costs thousands of Py4J calls; an
+    unresolved Column is reusable across plans)."""
     from pyspark import SparkContext
-    key = (id(SparkContext._gateway), col, prefix)
+    key = id(SparkContext._gateway)
     if key not in _PARSED_CACHE:
-        e = F.col(prefix + "els")
+        m, e, st, bd, pc, cv, va = _P
         _PARSED_CACHE[key] = (
-            parse_elements(col),
-            {prefix + "stats": paint_stats(e), prefix + "bounds": content_bounds(e), prefix + "path_count": path_count(e)},
-            {prefix + "coverage": coverage(F.col(prefix + "bounds")),
-             prefix + "valid": validity(F.col(col), e, F.col(prefix + "stats"))},
+            parse_elements(m),
+            {st: paint_stats(F.col(e)), bd: content_bounds(F.col(e)), pc: path_count(F.col(e))},
+            {cv: coverage(F.col(bd)), va: validity(F.col(m), F.col(e), F.col(st))},
         )
     return _PARSED_CACHE[key]
 
 
 def with_parsed(df, col: str, prefix: str = ""):
     """Add ``{prefix}els`` (parsed elements), ``{prefix}stats``, ``{prefix}bounds``,
-    ``{prefix}coverage``, ``{prefix}path_count`` and ``{prefix}valid`` in three
+    ``{prefix}path_count``, ``{prefix}coverage`` and ``{prefix}valid`` in three
     projection steps (each expression computed once per row)."""
-    els, step2, step3 = _parsed_columns(col, prefix)
-    return df.withColumn(prefix + "els", els).withColumns(step2).withColumns(step3)
+    els, step2, step3 = _parsed_columns()
+    out = df.withColumn(_P[0], F.col(col)).withColumn(_P[1], els).withColumns(step2).withColumns(step3)
+    names = ["els", "stats", "bounds", "path_count", "coverage", "valid"]
+    return out.drop(_P[0]).withColumnsRenamed({p: prefix + n for p, n in zip(_P[1:], names)})
 
 
 @cached
