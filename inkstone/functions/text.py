@@ -108,16 +108,9 @@ def markup_complexity(c) -> Column:
     return F.least(total, F.lit(2))
 
 
-def color_tokens(c) -> Column:
-    """Colour words present as whole words, in the fixed colour order."""
-    low = F.lower(_c(c))
-    words = F.array(*[F.lit(w) for w in K.COLOR_WORDS])
-    return F.filter(words, lambda w: low.rlike(F.concat(F.lit(f"(^|[^\\p{{L}}\\p{{N}}_])"), w, F.lit("($|[^\\p{L}\\p{N}_])"))))
-
-
 @cached
 def color_tokens_literal(c) -> Column:
-    """P11 without lambdas over patterns: one rlike per fixed word (faster codegen)."""
+    """Colour words present as whole words, in the fixed colour order (one rlike per word)."""
     low = F.lower(_c(c))
     parts = [F.when(low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])"), F.lit(w)) for w in K.COLOR_WORDS]
     return F.filter(F.array(*parts), lambda x: x.isNotNull())

@@ -45,8 +45,3 @@ def union_frames(*frames: DataFrame) -> DataFrame:
         out = out.unionByName(f)
     return out
 
-
-def first_per_key_window(df: DataFrame, key_cols: list, order_cols: list) -> DataFrame:
-    """Keep the first row per key by a window (used where the key groups are small)."""
-    w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")

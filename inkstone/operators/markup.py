@@ -48,29 +48,11 @@ def canonicalise(df: DataFrame, col: str, out: str = "markup_norm", variant: str
 def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: bool = True) -> DataFrame:
     """Canonicalise the raw text; if that is empty, canonicalise the markup
     extracted from it; then rescale the viewBox (M10).  One Python pass."""
-    tmp = "__extracted"
-    staged = df.withColumn(tmp, TX.extract_markup(col))
-    schema = _with_string_column(staged.drop(tmp), out)
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vals = []
-            for raw, ext in zip(pdf[col], pdf[tmp]):
-                if raw is None or not str(raw).strip():
-                    vals.append("")
-                    continue
-                first = canonical_markup(raw, "infer")
-                vals.append(first if first else canonical_markup(ext, "infer"))
-            pdf[out] = vals
-            yield pdf[names]
-
-    cleaned = staged.mapInPandas(run, schema)
-    if rescale:
-        cleaned = (cleaned.withColumn("__els", MX.parse_elements(out))
-                          .withColumn(out, MX.rescaled_from(out, "__els"))
-                          .drop("__els"))
-    return cleaned
+    from inkstone.operators.rank import clean_candidates
+    cleaned = clean_candidates(df, col, mode="retrieved")
+    keep = "markup" if rescale else "markup_canon"
+    drop = "markup_canon" if rescale else "markup"
+    return cleaned.drop(drop).withColumnRenamed(keep, out) if out != keep else cleaned.drop(drop)
 
 
 def length_filter(df: DataFrame, markup_col: str, prompt_col: str | None = None,
@@ -121,18 +103,6 @@ def tag_counts(df: DataFrame, key_cols: list[str], col: str = "markup_norm") ->
     return df.select(*key_cols, F.explode(MX.tag_histogram(F.col(col))).alias("tag", "n"))
 
 
-def element_references(df: DataFrame, key_cols: list[str], col: str = "markup_norm") -> DataFrame:
-    """M11 over elements: every href / url(...) value with its local-reference flag."""
-    el = df.select(*key_cols, F.posexplode(MX.start_tags(F.col(col))).alias("pos", "element"))
-    refs = el.select(*key_cols, "pos", MX.tag_name(F.col("element")).alias("tag"),
-                     F.array(*[F.struct(F.lit(a).alias("attr"), MX.attr(F.col("element"), a).alias("value"))
-                               for a in K.REFERENCE_ATTRS if a != "xlink:href"]).alias("vals"))
-    refs = refs.select(*key_cols, "pos", "tag", F.explode("vals").alias("kv"))
-    refs = refs.filter(F.length(F.col("kv.value")) > 0)
-    return refs.select(*key_cols, "pos", "tag", F.col("kv.attr").alias("attr"), F.col("kv.value").alias("value"),
-                       MX.is_internal_reference(F.col("kv.value")).alias("is_internal"))
-
-
 def safety_pass(df: DataFrame, col: str = "markup", valid_col: str | None = None) -> DataFrame:
     """F8: replace markup that fails M7 by the fixed safety document; flag replaced rows."""
     if valid_col:

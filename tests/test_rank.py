@@ -42,3 +42,13 @@ def test_fallback_markup_words(spark):
     assert out[0].count("<rect") == 4 and 'rx="20"' not in out[0]
     assert '<rect width="256" height="256" fill="#212121" />' in out[1] and out[1].count('fill="#f5f5f5"') == 3
     assert 'rx="20"' in out[2]
+
+
+def test_candidate_cleanup_rescues_and_rescales(spark):
+    from inkstone.operators import markup as M
+    cut = 'Here: <svg width="24"><g><rect x="2" y="2" width="20" height="20" fill="red"/></g>'
+    df = spark.createDataFrame([("1", cut), ("2", "   "), ("3", GOOD)], "id string, raw string")
+    out = {r.id: r.markup for r in M.candidate_cleanup(df, "raw").collect()}
+    assert out["2"] == "" and out["1"].startswith('<svg xmlns="http://www.w3.org/2000/svg" width="256"')
+    assert 'viewBox="0.2353 0.2353 23.5294 23.5294"' in out["1"]           # small content: rescaled
+    assert 'viewBox="0 0 256 256"' in out["3"]                             # fills the canvas: unchanged
