@@ -68,12 +68,13 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     joined back to the rows (``id_col`` must be a key), so no group or task holds
     a whole class and the wide rows are never checkpointed.  A row drawn many
     times is a skewed join key, which AQE's skew-join handling splits.  Returns
-    only the extra rows; union them with the input for the balanced frame.
+    only the extra rows, each with its draw number ``draw``; union them with the
+    input for the balanced frame.
     """
     n = df.count()
     extra = int(n * factor)
     if factor <= 0 or extra < 1:
-        return df.limit(0)
+        return df.limit(0).withColumn("draw", F.lit(None).cast("long"))
     cls_rows = df.groupBy(weight_col).agg(F.count(F.lit(1)).alias("n")).orderBy(weight_col).collect()
     classes = [(float(r[weight_col]), int(r["n"])) for r in cls_rows]
     alloc = allot_draws(classes, extra)
@@ -100,7 +101,7 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
         size = F.when(cond, F.lit(classes[c][1])).otherwise(size)
         start = F.when(cond, F.lit(starts[c])).otherwise(start)
     draws = (df.sparkSession.range(extra)
-             .select(cls.alias("__c"), (d - first).alias("__j"), size.alias("__n"), start.alias("__s"))
-             .select((F.col("__s") + draw_key(seed, F.col("__c"), F.col("__j")) % F.col("__n")).alias("__g")))
-    drawn_ids = indexed.join(draws, "__g", "inner").select(id_col)
+             .select(d.alias("draw"), cls.alias("__c"), (d - first).alias("__j"), size.alias("__n"), start.alias("__s"))
+             .select("draw", (F.col("__s") + draw_key(seed, F.col("__c"), F.col("__j")) % F.col("__n")).alias("__g")))
+    drawn_ids = indexed.join(draws, "__g", "inner").select(id_col, "draw")
     return df.join(drawn_ids, id_col, "inner")
