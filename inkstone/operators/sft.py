@@ -34,12 +34,14 @@ def sft_text(messages: Column) -> Column:
 
 
 def conversation_pairs(conv: DataFrame) -> DataFrame:
-    """(conv_id, turn, prompt, answer): each user turn with the next turn when that is the
-    assistant's.  Window per conversation (a conversation is a handful of turns)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conv.withColumn("__next_role", F.lead("role").over(w)).withColumn("__next_text", F.lead("text").over(w))
-    return nxt.filter((F.col("role") == "user") & (F.col("__next_role") == "assistant")).select(
-        "conv_id", "turn", F.col("text").alias("prompt"), F.col("__next_text").alias("answer"))
+    """(conv_id, turn, prompt, answer): each user turn with turn + 1 of the same
+    conversation when that is the assistant's.  An equi-join on the unique
+    (conv_id, turn) key, so even a conversation holding a third of all turns is
+    spread over many tasks (a window per conversation would put it in one)."""
+    users = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answers = conv.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return users.join(answers, ["conv_id", "turn"], "inner")
 
 
 def code_points(text: Column) -> Column:

@@ -1130,9 +1130,9 @@ _MARKER = [ord(c) for c in SFT.RESPONSE_MARKER]
 _MAXLEN = 1024
 _SYS = R.q(K.SYSTEM_PROMPT)
 _SFT_SQL = f"""
-cv AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nrole,
-              lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ntext FROM conversations),
-pp AS (SELECT conv_id, turn, text AS prompt, ntext AS answer FROM cv WHERE role = 'user' AND nrole = 'assistant'),
+pp AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS answer
+       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+       WHERE u.role = 'user' AND a.role = 'assistant'),
 tx AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
                  || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10)
                  AS text FROM pp),
