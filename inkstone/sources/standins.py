@@ -134,16 +134,12 @@ def predictions_sql(expected: bool = False) -> str:
 
 
 def candidates_sql(dialect: str = "spark", expected: bool = False) -> str:
-    """(prompt_id, prompt, seq, source, raw_text) — 1 to 4 generated candidates per test prompt.
-
-    Test prompts are the ``part`` rows with ``p_partkey % 10 = 0``.
-    """
+    """(prompt_id, prompt, seq, source, raw_text) — 1 to 4 generated candidates for every
+    ``part`` row (each row is a test prompt)."""
     if dialect == "spark":
-        rows = ("SELECT p.*, s.seq FROM part p LATERAL VIEW explode(sequence(0, CAST(p_partkey % 4 AS INT))) s AS seq "
-                "WHERE p_partkey % 10 = 0")
+        rows = "SELECT p.*, s.seq FROM part p LATERAL VIEW explode(sequence(0, CAST(p_partkey % 4 AS INT))) s AS seq"
     else:
-        rows = ("SELECT p.*, s.seq FROM part p, LATERAL (SELECT unnest(range(0, p.p_partkey % 4 + 1)) AS seq) s "
-                "WHERE p_partkey % 10 = 0")
+        rows = "SELECT p.*, s.seq FROM part p, LATERAL (SELECT unnest(range(0, p.p_partkey % 4 + 1)) AS seq) s"
     extra = f", {_EXPECTED_INFER} AS expected_canon" if expected else ""
     return f"""
     SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt, CAST(seq AS INT) AS seq,
@@ -155,18 +151,18 @@ def candidates_sql(dialect: str = "spark", expected: bool = False) -> str:
 
 
 def test_prompts_sql() -> str:
-    """(prompt_id, prompt) — the test prompts of the ranking job."""
-    return "SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt FROM part WHERE p_partkey % 10 = 0"
+    """(prompt_id, prompt) — the test prompts of the ranking job: every ``part`` row."""
+    return "SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt FROM part"
 
 
 def train_pairs_sql(expected: bool = False) -> str:
-    """(id, prompt, svg[, expected_canon]) — the retrieval corpus: part rows that are not test prompts."""
+    """(id, prompt, svg[, expected_canon]) — the retrieval corpus: every ``part`` row as a
+    (prompt, markup) training pair."""
     extra = f", {_EXPECTED_INFER} AS expected_canon" if expected else ""
     return f"""
     SELECT CAST(p_partkey AS STRING) AS id, p_name AS prompt, raw_svg AS svg{extra}
     FROM (SELECT *, {_RAW} AS raw_svg
-          FROM (SELECT *, {_SHAPE} FROM (SELECT p_partkey, p_name, p_size, {_choices('p_partkey')} FROM part
-                                        WHERE p_partkey % 10 <> 0) c0) c1) c2"""
+          FROM (SELECT *, {_SHAPE} FROM (SELECT p_partkey, p_name, p_size, {_choices('p_partkey')} FROM part) c0) c1) c2"""
 
 
 def markup_pairs(spark: SparkSession, sf_dir: str, expected: bool = False) -> DataFrame:
