@@ -58,3 +58,36 @@ def test_allot_draws():
     # equal remainders: the heavier class gets the extra draw
     assert allot_draws([(1.0, 10), (2.0, 5)], 7) == [3, 4]
     assert sum(allot_draws([(1.0, 3), (1.5, 4), (3.0, 1)], 11)) == 11
+
+
+def _pairs(spark, rows):
+    return spark.createDataFrame(rows, "id string, prompt string, svg_norm string, combined_chars long")
+
+
+def test_two_rows_and_one_distinct_length(spark):
+    two = stratified_split(_pairs(spark, [("a", "p", "<svg/>", 10), ("b", "q", "<svg/>", 10)]))
+    got = {r.id: (r.split, r.length_bin) for r in two.collect()}
+    assert sorted(s for s, _ in got.values()) == ["eval", "train"]      # eval size n - 1 = 1
+    assert {b for _, b in got.values()} == {0}                          # one distinct length -> bin 0
+
+
+def test_quota_surplus_and_shortfall(spark):
+    # surplus: buckets of >= 20 rows keep their floor of 1 even above the eval size
+    # (the final sorted cut trims the picks to e)
+    sizes = spark.createDataFrame([(f"b{i}", 20) for i in range(6)], "split_bucket string, n long")
+    assert [r.quota for r in bucket_quota(sizes, 3).collect()] == [1] * 6
+    sizes = spark.createDataFrame([("a", 40), ("b", 30), ("c", 30)], "split_bucket string, n long")
+    q = {r.split_bucket: r.quota for r in bucket_quota(sizes, 2).collect()}
+    assert q == {"a": 1, "b": 1, "c": 1}     # 0.8, 0.6, 0.6 -> floors of 1, nothing removable
+    # shortfall with remainder ties: +1 goes to larger buckets first, then by name
+    sizes = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "split_bucket string, n long")
+    q = {r.split_bucket: r.quota for r in bucket_quota(sizes, 4).collect()}
+    assert q == {"a": 2, "b": 1, "c": 1}
+
+
+def test_topup_fills_short_buckets(spark):
+    # one bucket of 3 rows cannot give more than 2; the top-up takes the rest evenly
+    rows = [(f"{i:03d}", "p", "<svg/>", 100 + i) for i in range(3)] + \
+           [(f"x{i:03d}", "icon set logo many", "<svg/>", 100 + i) for i in range(30)]
+    sp = stratified_split(_pairs(spark, rows), e=20)
+    assert sp.filter("split = 'eval'").count() == 20
