@@ -4,7 +4,10 @@ Canonical text (output of :func:`inkstone.operators.markup.canonicalise`) has no
 comments, CDATA or processing instructions and escapes ``<``, ``>`` and ``"``
 inside attribute values, so ``<[A-Za-z][^>]*>`` finds every start tag exactly
 once and in document order.  All per-document statistics are therefore array
-expressions on one row: no explode, no shuffle, whole-stage codegen friendly.
+expressions on one row: no explode, no shuffle, no Python.  (Spark evaluates
+higher-order functions without generated code, so these projections run
+interpreted inside the JVM; binding repeated sub-expressions once keeps that
+cost linear in the document size.)
 """
 
 from __future__ import annotations
