@@ -27,13 +27,19 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partit
     # become stored values, so counts and rows agree even if AQE re-plans or an
     # executor is lost; it also cuts the lineage of the range shuffle.
     ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per partition: the broadcast is bounded by the partition count
+    # one scan: rows per partition (at most n rows, one per partition), prefix-summed
+    # on the driver and broadcast back — bounded by the partition count, not the data
+    counts = sorted((r["__pid"], r["__n"]) for r in
+                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect())
+    if len(counts) > n:
+        raise ValueError(f"partition offsets: {len(counts)} rows exceed {n}")
+    rows, run = [], 0
+    for pid, cnt in counts:
+        rows.append((int(pid), run))
+        run += int(cnt)
+    offsets = spark.createDataFrame(rows, "__pid int, __off long")
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    offsets = bounded_broadcast(offsets.select("__pid", "__off"), n, "partition offsets")
-    return (ranged.join(offsets, "__pid")
+    return (ranged.join(F.broadcast(offsets), "__pid")
                   .withColumn(name, (F.col("__off") + local).cast("long"))
                   .drop("__pid", "__mid", "__off"))
 
