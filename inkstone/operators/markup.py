@@ -49,7 +49,7 @@ def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: boo
     """Canonicalise the raw text; if that is empty, canonicalise the markup
     extracted from it; then rescale the viewBox (M10).  One Python pass."""
     from inkstone.operators.rank import clean_candidates
-    cleaned = clean_candidates(df, col, mode="retrieved")
+    cleaned = clean_candidates(df, col, mode="retrieved").drop("__c_stats", "__c_coverage", "__c_valid")
     keep = "markup" if rescale else "markup_canon"
     drop = "markup_canon" if rescale else "markup"
     return cleaned.drop(drop).withColumnRenamed(keep, out) if out != keep else cleaned.drop(drop)

@@ -50,8 +50,12 @@ def clean_candidates(df: DataFrame, raw_col: str = "raw_text", mode: str = "gene
             pdf["markup_canon"] = out
             yield pdf[names]
 
-    cleaned = staged.mapInPandas(run, schema).withColumn("__els", MX.parse_elements("markup_canon"))
-    return cleaned.withColumn("markup", MX.rescaled_from("markup_canon", "__els")).drop("__els")
+    # parse the canonical text once: the bounds drive the rescale here and the
+    # statistics are reused by score_candidates (rescaling only rewrites the root
+    # viewBox, which holds no shape coordinates and no paint)
+    cleaned = MX.with_parsed(staged.mapInPandas(run, schema), "markup_canon", "__c_")
+    cleaned = cleaned.withColumn("markup", MX.rescale_markup(F.col("markup_canon"), F.col("__c_bounds")))
+    return cleaned.drop("__c_els", "__c_bounds", "__c_path_count")
 
 
 def score_candidates(df: DataFrame, prompt_col: str = "prompt", markup_col: str = "markup",
@@ -64,10 +68,12 @@ def score_candidates(df: DataFrame, prompt_col: str = "prompt", markup_col: str
     m = F.col(markup_col)
     # rescaling only rewrites the root viewBox, which is neither drawable nor painted
     # and holds no shape coordinates: statistics of the canonical and the delivered
-    # text are equal, so the text is parsed once
-    out = MX.with_parsed(df, canon_col, "__c_").withColumn("valid", F.coalesce(F.col("__c_valid"), F.lit(False)))
+    # text are equal, so the text is parsed once (by clean_candidates when it ran)
+    if "__c_valid" not in df.columns:
+        df = MX.with_parsed(df, canon_col, "__c_").drop("__c_els", "__c_bounds", "__c_path_count")
+    out = df.withColumn("valid", F.coalesce(F.col("__c_valid"), F.lit(False)))
     out = out.withColumnRenamed("__c_stats", "__stats").withColumnRenamed("__c_coverage", "__cov")
-    out = out.drop("__c_els", "__c_bounds", "__c_path_count", "__c_valid")
+    out = out.drop("__c_valid")
     zero = F.struct(F.lit(0).alias("drawable_count"), F.lit(0).alias("painted_count"),
                     F.lit(0).alias("visible_paint_count"), F.lit(0).alias("distinct_colors"), F.lit(0.0).alias("coverage"))
     stats = F.struct(F.col("__stats.drawable_count"), F.col("__stats.painted_count"),
