@@ -71,12 +71,13 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     only the extra rows, each with its draw number ``draw``; union them with the
     input for the balanced frame.
     """
-    n = df.count()
+    # the weight-class table (<= 15 rows) also gives n: one pass, no separate count
+    cls_rows = df.groupBy(weight_col).agg(F.count(F.lit(1)).alias("n")).orderBy(weight_col).collect()
+    classes = [(float(r[weight_col]), int(r["n"])) for r in cls_rows]
+    n = sum(c for _, c in classes)
     extra = int(n * factor)
     if factor <= 0 or extra < 1:
         return df.limit(0).withColumn("draw", F.lit(None).cast("long"))
-    cls_rows = df.groupBy(weight_col).agg(F.count(F.lit(1)).alias("n")).orderBy(weight_col).collect()
-    classes = [(float(r[weight_col]), int(r["n"])) for r in cls_rows]
     alloc = allot_draws(classes, extra)
     starts, cum = [], 0
     for _, size in classes:

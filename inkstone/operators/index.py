@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from inkstone.session import checkpoint_dir
 
 
-def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partitions: int | None = None) -> DataFrame:
+def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partitions: int | None = None,
+                      return_count: bool = False):
     """H1: 0-based position of every row in the total order ``order_cols``.
 
     Range-partition + sort within partitions, count rows per partition, prefix-sum
@@ -39,9 +40,11 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partit
         run += int(cnt)
     offsets = spark.createDataFrame(rows, "__pid int, __off long")
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (ranged.join(F.broadcast(offsets), "__pid")
-                  .withColumn(name, (F.col("__off") + local).cast("long"))
-                  .drop("__pid", "__mid", "__off"))
+    out = (ranged.join(F.broadcast(offsets), "__pid")
+                 .withColumn(name, (F.col("__off") + local).cast("long"))
+                 .drop("__pid", "__mid", "__off"))
+    # the row count falls out of the per-partition counts: no extra scan
+    return (out, run) if return_count else out
 
 
 def length_histogram(df: DataFrame, length_col: str, group_cols: list | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkstone import constants as K
 from inkstone.functions import text as TX
-from inkstone.operators.index import bounded_broadcast, length_histogram, with_global_index
+from inkstone.operators.index import length_histogram, with_global_index
 from inkstone.operators.order import spaced_positions
 from inkstone.session import checkpoint_dir
 
@@ -78,7 +78,8 @@ def with_length_bin(df: DataFrame, edges: DataFrame, length_col: str = "combined
 
     ``edges`` is one row (at most 6 values): joined as a broadcast literal row.
     """
-    e = edges.collect()[0]["edges"] if edges.count() else []
+    rows = edges.collect()          # one row
+    e = rows[0]["edges"] if rows and rows[0]["edges"] is not None else []
     arr = F.array(*[F.lit(float(x)) for x in e]) if e else F.array().cast("array<double>")
     v = F.col(length_col).cast("double")
     return df.withColumn(name, F.greatest(F.lit(0), F.size(F.filter(arr, lambda x: x < v)) - 1).cast("int"))
@@ -131,10 +132,10 @@ def stratified_split(prepared: DataFrame, id_col: str = "id", length_col: str =
     buckets) comes from the checkpoint.  The bucket-order index runs on a narrow
     projection (position, bucket, length, id).
     """
-    checkpoint_dir(prepared.sparkSession)
-    # f: position in the length order (checkpointed, wide)
-    frame = with_global_index(prepared, [length_col, id_col], "__f")
-    n = frame.count()
+    spark = prepared.sparkSession
+    checkpoint_dir(spark)
+    # f: position in the length order (checkpointed, wide); n comes with it
+    frame, n = with_global_index(prepared, [length_col, id_col], "__f", return_count=True)
     e = eval_size(n) if e is None else e
     edges = length_edges(frame, length_col)
     frame = with_split_bucket(with_length_bin(frame, edges, length_col), prompt_col, markup_col)
@@ -142,40 +143,47 @@ def stratified_split(prepared: DataFrame, id_col: str = "id", length_col: str =
     narrow = with_global_index(frame.select("__f", "split_bucket", length_col, id_col),
                                ["split_bucket", length_col, id_col], "__g").select("__f", "__g", "split_bucket")
     sizes = narrow.groupBy("split_bucket").agg(F.count(F.lit(1)).alias("n"))
-    quota = bucket_quota(sizes, e).withColumn(
-        "__start", F.coalesce(F.sum("n").over(Window.orderBy("split_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                              F.lit(0)))
-    # Spaced positions inside each bucket (<= e + 45 rows in total)
-    picks = (quota.filter(F.col("quota") > 0)
-                  .select("__start", F.explode(F.array_distinct(spaced_positions(F.col("n"), F.col("quota")))).alias("pos"))
-                  .select((F.col("__start") + F.col("pos")).alias("__g")))
-    bound = e + sizes.count()  # quotas sum to at most e plus one per bucket
-    picked = narrow.join(bounded_broadcast(picks, bound, "spaced picks"), "__g", "left_semi").select("__f").cache()
-    m = picked.count()
-    chosen = picked
-    if m < e:
-        # Evenly spaced top-up over the unpicked rows in frame order
-        remaining = n - m
-        need = e - m
-        targets = (picked.sparkSession.range(1)
-                   .select(F.explode(F.array_distinct(spaced_positions(F.lit(remaining), F.lit(need)))).alias("r")))
-        # rank r among unpicked rows -> frame position f = r + #(picked with f' - i <= r)
-        keyed = picked.withColumn("__i", F.row_number().over(Window.orderBy("__f")) - 1)
-        marks = keyed.select((F.col("__f") - F.col("__i")).alias("key"), F.lit(0).alias("kind"))
-        tg = targets.select(F.col("r").alias("key"), F.lit(1).alias("kind"))
-        both = marks.unionByName(tg)
-        run = Window.orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-        both = both.withColumn("__j", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(run))
-        topup = both.filter(F.col("kind") == 1).select((F.col("key") + F.col("__j")).alias("__f"))
-        chosen = picked.unionByName(topup).distinct()
-    # sort by frame position, cut to e (the set is bounded by e + 45)
-    chosen = (chosen.withColumn("__rk", F.row_number().over(Window.orderBy("__f")))
-                    .filter(F.col("__rk") <= e).select("__f", F.lit(True).alias("__eval")))
-    out = frame.join(bounded_broadcast(chosen, e, "eval rows"), "__f", "left")
+    # W3 on the bucket table (<= 45 rows), read once
+    quota = bucket_quota(sizes, e).collect()
+    # Spaced positions inside each bucket, as global positions g (<= e + 45 values)
+    start, picks = 0, []
+    for q in sorted(quota, key=lambda r: r["split_bucket"]):
+        if q["quota"] > 0:
+            picks.extend(start + p for p in sorted(set(spaced_positions_list(q["n"], q["quota"]))))
+        start += q["n"]
+    if len(picks) > e + len(quota):
+        raise ValueError("spaced picks exceed their bound")
+    pick_df = spark.createDataFrame([(int(g),) for g in picks], "__g long")
+    picked = sorted(r["__f"] for r in narrow.join(F.broadcast(pick_df), "__g", "left_semi").select("__f").collect())
+    chosen = set(picked)
+    if len(picked) < e:
+        # Evenly spaced top-up over the unpicked rows in frame order; rank r among
+        # unpicked rows maps to f = r + #(picked i with f_i - i <= r)
+        need = e - len(picked)
+        keys = [f - i for i, f in enumerate(picked)]
+        j = 0
+        for r in sorted(set(spaced_positions_list(n - len(picked), need))):
+            while j < len(keys) and keys[j] <= r:
+                j += 1
+            chosen.add(r + j)
+    # sort by frame position, cut to e (at most e rows are broadcast back)
+    final = sorted(chosen)[:e]
+    chosen_df = spark.createDataFrame([(int(f), True) for f in final], "__f long, __eval boolean")
+    out = frame.join(F.broadcast(chosen_df), "__f", "left")
     out = out.withColumn("split", F.when(F.col("__eval"), F.lit("eval")).otherwise(F.lit("train")))
     return out.drop("__eval").withColumnRenamed("__f", "frame_pos")
 
 
+def spaced_positions_list(n: int, k: int) -> list:
+    """``linspace(0, n-1, k)`` truncated to int in doubles (as :func:`spaced_positions`)."""
+    if k <= 0 or n <= 0:
+        return []
+    if k == 1:
+        return [0]
+    step = float(n - 1) / float(k - 1)
+    return [n - 1 if i == k - 1 else int(i * step // 1) for i in range(k)]
+
+
 def long_context_subset(split_df: DataFrame, length_col: str = "combined_chars", id_col: str = "id",
                         fraction: float = K.LONG_CONTEXT_FRACTION) -> DataFrame:
     """W13 per split: train keeps max(4096, 0.3n) longest rows, eval max(128, max(0.3, 0.25) n)."""
