@@ -61,8 +61,7 @@ def spaced_positions(n, k):
 
 def even_subsample(df: DataFrame, k: int, order_cols: list) -> DataFrame:
     """K evenly spaced rows of the ordered frame (positions as in NumPy linspace)."""
-    indexed = with_global_index(df, order_cols, "__i")
-    n = indexed.count()
+    indexed, n = with_global_index(df, order_cols, "__i", return_count=True)
     if n == 0 or k <= 0:
         return indexed.drop("__i").limit(0)
     pos = indexed.sparkSession.range(1).select(F.explode(F.array_distinct(spaced_positions(n, min(k, n)))).alias("__i"))
@@ -76,7 +75,6 @@ def longest_rows(df: DataFrame, length_col: str, id_col: str = "id", fraction: f
     Uses the global index of the (length desc, id) order instead of a driver-side
     top-N, so N may be in the millions.
     """
-    indexed = with_global_index(df, [F.col(length_col).desc(), F.col(id_col).asc()], "__i")
-    n = indexed.count()
+    indexed, n = with_global_index(df, [F.col(length_col).desc(), F.col(id_col).asc()], "__i", return_count=True)
     keep = min(n, max(minimum, int(n * fraction)))
     return indexed.filter(F.col("__i") < keep).drop("__i")
