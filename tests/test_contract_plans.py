@@ -41,3 +41,17 @@ def test_pruned_read(spark):
 def test_dedupe_is_partial_aggregate(spark):
     txt = plan(G.QUERIES["dedupe_documents"](spark, SF_SMALL))
     assert "partial_min_by" in txt.replace(" ", "") or "partial_min_by" in txt
+
+
+def test_rank_runs_the_leaf_once_per_input(spark):
+    txt = plan(G.QUERIES["rank_candidates"](spark, SF_SMALL))
+    assert txt.count("MapInPandas") == 2          # generated candidates + retrieval corpus
+
+
+def test_global_index_dense_and_ordered(spark):
+    from pyspark.sql import functions as F
+    from inkstone.operators.index import with_global_index
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id")).repartition(37)
+    out, n = with_global_index(df, ["k", "id"], "i", partitions=23, return_count=True)
+    rows = sorted((r.k, r.id, r.i) for r in out.collect())
+    assert n == 5000 and [r[2] for r in rows] == list(range(5000))
