@@ -35,7 +35,9 @@ def resume_stream(spark: SparkSession, source_dir: str, schema: T.StructType, jo
     def process(batch: DataFrame, batch_id: int) -> None:
         rows = dedupe_in_batch(batch, id_col)
         if _exists(spark, sink_dir):
-            done = spark.read.parquet(sink_dir).select(id_col)
+            # a replayed batch must not count its own earlier (partial) output as
+            # finished: that partition is about to be overwritten
+            done = spark.read.parquet(sink_dir).filter(F.col("run_seq") != int(batch_id)).select(id_col)
             rows = pending_rows(rows, done, id_col)
         out = job(rows).withColumn("run_seq", F.lit(int(batch_id)))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -43,3 +43,21 @@ def test_coverage_guard(spark):
     res = spark.createDataFrame([("a", "<svg/>")], "id string, svg string")
     out = {r.id: r for r in RS.coverage_guard(test, res).collect()}
     assert not out["a"].used_fallback and out["b"].used_fallback and 'fill="#1e88e5"' in out["b"].svg
+
+
+def test_stream_replay_keeps_rows(spark):
+    """A micro-batch replayed after a partial write still produces all of its rows."""
+    from inkstone.streaming.resume_stream import resume_stream
+    src = IO.scratch_path(spark, "t-src")
+    spark.createDataFrame([(str(i), i) for i in range(20)], "id string, v long").repartition(2).write.parquet(src)
+    sink = IO.scratch_path(spark, "t-sink")
+    # simulate a failed attempt of batch 0 that already wrote some rows
+    spark.createDataFrame([(str(i), i * 2, 0) for i in range(5)], "id string, w long, run_seq int") \
+        .write.partitionBy("run_seq").parquet(sink)
+
+    def job(rows):
+        return rows.select("id", (F.col("v") * 2).alias("w"))
+
+    out = resume_stream(spark, src, "id string, v long", job, sink, IO.scratch_path(spark, "t-ck"), "id",
+                        max_files_per_trigger=100)
+    assert sorted(int(r.id) for r in out.collect()) == list(range(20))
