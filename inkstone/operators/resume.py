@@ -42,6 +42,9 @@ def resume_batch(todo: DataFrame, job, results_path: str, id_col: str = "id", ru
     except Exception:  # no earlier results yet
         done, prev = None, None
     seq = run_seq if run_seq is not None else (0 if prev is None else int(prev) + 1)
+    if done is not None:
+        # a repeated run rewrites its own partition: its earlier output is not "finished"
+        done = done.filter(F.col(partition_col) != seq)
     rest = pending_rows(todo, done, id_col) if done is not None else todo
     out = job(rest).withColumn(partition_col, F.lit(seq))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
