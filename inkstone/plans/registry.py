@@ -386,8 +386,12 @@ def fallback_markup(spark, sf):
     return finish(p.select(F.col("p_partkey").cast("string").alias("id"), TX.fallback_markup("p_name").alias("fallback")))
 
 
+_RICH = R.rich_counts("expected_norm")
+
+
 @query("visually_rich", f"""
-WITH p AS ({_PAIRS}) SELECT id FROM p WHERE false""")
+WITH p AS ({_PAIRS})
+SELECT id FROM p WHERE length(expected_norm) > 0 AND {_RICH[0]} >= 2 AND {_RICH[1]} >= 2""")
 def visually_rich(spark, sf):
     """F4 richness filter (>= 2 drawables, >= 2 paints) on the canonical corpus."""
     return finish(M.visually_rich(_canon(spark, sf), "markup_norm").select("id"))

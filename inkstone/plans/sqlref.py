@@ -303,3 +303,16 @@ def candidate_score(prompt: str, m: str, valid: str, visible: str, colors: str,
     return (f"((CASE WHEN {valid} THEN {D(1000.0)} ELSE {D(-400.0)} END) + {structural_score(m)} + {prompt_bonus(prompt, m)}"
             f" + {g(f'least({visible}, 8) * {D(1.5)}')} + {g(f'least({colors}, 6) * {D(0.15)}')}"
             f" + {g(f'least({cov}, {D(0.35)}) * {D(95.0)}')} - {g(pen)} + {g(f'{fit} * {D(3.0)}')})")
+
+
+def rich_counts(m: str) -> tuple[str, str]:
+    """(drawable count, distinct paints) — paints lower-cased with spaces kept,
+    style keys matched without lower-casing."""
+    key = strip("split_part(p, chr(58), 1)")
+    value = f"lower({strip('regexp_extract(p, ' + q('(?s)^[^:]*:(.*)$') + ', 1)')})"
+    style = (f"list_transform(list_filter(string_split({attr('e', 'style')}, ';'), lambda p: contains(p, ':') AND "
+             f"{key} IN ('fill', 'stroke')), lambda p: {value})")
+    vals = f"list_concat([lower({strip(attr('e', 'fill'))}), lower({strip(attr('e', 'stroke'))})], {style})"
+    per = f"list_filter({vals}, lambda v: NOT (v IN {in_list(K.NON_PAINT_VALUES)}))"
+    colors = f"len(list_distinct(flatten(list_transform({drawables(m)}, lambda e: {per}))))"
+    return f"len({drawables(m)})", colors

@@ -75,3 +75,12 @@ def test_rescale(spark):
     df = spark.createDataFrame([(doc,)], "m string").withColumn("e", MX.parse_elements("m"))
     out = df.select(MX.rescaled_from("m", "e")).collect()[0][0]
     assert 'viewBox="0.2353 0.2353 23.5294 23.5294"' in out and out.count("xmlns=") == 1
+
+
+def test_rich_colors(spark):
+    docs = ['<svg><rect fill="Red" /><circle stroke="blue" /></svg>',
+            '<svg><rect fill="red" /><circle style="fill: RED" /></svg>',
+            '<svg><rect fill="red" /></svg>']
+    df = spark.createDataFrame([(d,) for d in docs], "m string")
+    out = [tuple(r[0]) for r in df.select(MX.rich_colors(MX.parse_elements("m"))).collect()]
+    assert out == [(2, 2), (2, 1), (1, 1)]
