@@ -259,8 +259,12 @@ def unsafe_value_flag(spark, sf):
     return finish(p.select("page_id", "unsafe", TX.count_sub(F.lower("html"), "<script").alias("script_tags")))
 
 
-@query("canonicalise_pages", """
-SELECT page_id, '' AS markup_norm FROM pages""")
+_ROOT = r"^\s*(?:<\?[^>]*\?>\s*)?(?:<!--.*?-->\s*)*(?:<!DOCTYPE[^>]*>\s*)?<([A-Za-z_][-\w:.]*)"
+
+
+@query("canonicalise_pages", f"""
+WITH r AS (SELECT page_id, regexp_extract(html, {R.q("(?s)" + _ROOT)}, 1) AS root FROM pages)
+SELECT page_id, CASE WHEN regexp_replace(root, '^.*:', '') <> 'svg' THEN '' END AS markup_norm FROM r""")
 def canonicalise_pages(spark, sf):
     """M1 on whole web pages: the root is not ``svg`` so every page canonicalises to ""."""
     p = S.load(spark, sf, "pages").select("page_id", "html")
