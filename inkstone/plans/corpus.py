@@ -21,11 +21,13 @@ def clean_pairs(pairs: DataFrame, id_col: str = "id", prompt_col: str = "prompt"
 
 def prepare_corpus(pairs: DataFrame, id_col: str = "id", prompt_col: str = "prompt", svg_col: str = "svg",
                    min_chars: int = K.MIN_MARKUP_CHARS, max_chars: int = K.MAX_MARKUP_CHARS,
-                   quality_filter: bool = False, dedupe: bool = True) -> DataFrame:
+                   quality_filter: bool = False, dedupe: bool = True, keep_raw: bool = True) -> DataFrame:
     """Job A: clean -> length filter (before the Python leaf) -> canonicalise -> non-empty
     -> valid -> optional richness filter -> dedupe -> combined length.
 
     Output columns: id, prompt, svg, prompt_norm, svg_norm, valid, combined_chars.
+    ``keep_raw=False`` drops the raw markup before the dedupe shuffle (downstream
+    jobs only use the canonical text), halving the bytes that shuffle.
     """
     df = clean_pairs(pairs.select(id_col, prompt_col, svg_col), id_col, prompt_col, svg_col)
     df = M.length_filter(df, svg_col, prompt_col, min_chars, max_chars)          # F1, cheap, first
@@ -35,6 +37,8 @@ def prepare_corpus(pairs: DataFrame, id_col: str = "id", prompt_col: str = "prom
     df = df.filter(F.col("__valid")).withColumnRenamed("__valid", "valid")       # F3
     df = df.drop("__els", "__stats", "__bounds", "__path_count", "__coverage")
     df = M.visually_rich(df, "svg_norm", enabled=quality_filter)                 # F4
+    if not keep_raw:
+        df = df.drop(svg_col)
     if dedupe:
         df = dedupe_pairs(df, ["prompt_norm", "svg_norm"], id_col)              # D1
     return df.withColumn("combined_chars", (F.length(prompt_col) + F.length("svg_norm")).cast("long"))

@@ -37,7 +37,7 @@ from inkstone.sources import io as IO
 def training_rows_job(spark: SparkSession, pairs: DataFrame, out_dir: str, stage: str = "main",
                       oversample_factor: float = K.OVERSAMPLE_FACTOR, quality_filter: bool = False) -> dict:
     """Jobs A + B.  Returns the written paths."""
-    prepared = prepare_corpus(pairs, quality_filter=quality_filter)
+    prepared = prepare_corpus(pairs, quality_filter=quality_filter, keep_raw=False)
     split = stratified_split(prepared)
     if stage == "long_context":
         split = long_context_subset(split)
