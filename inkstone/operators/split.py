@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from inkstone import constants as K
 from inkstone.functions import text as TX
 from inkstone.operators.index import length_histogram, with_global_index
-from inkstone.operators.order import spaced_positions
 from inkstone.session import checkpoint_dir
 
 
