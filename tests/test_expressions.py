@@ -84,3 +84,13 @@ def test_rich_colors(spark):
     df = spark.createDataFrame([(d,) for d in docs], "m string")
     out = [tuple(r[0]) for r in df.select(MX.rich_colors(MX.parse_elements("m"))).collect()]
     assert out == [(2, 2), (2, 1), (1, 1)]
+
+
+def test_rescale_threshold(spark):
+    # content width w: scale = 217.6 / w acts only when >= 1.8, i.e. w <= 120.888...
+    def doc(w):
+        return ('<svg xmlns="http://www.w3.org/2000/svg" width="256" height="256" viewBox="0 0 256 256">'
+                f'<rect x="0" y="0" width="{w}" height="{w}" fill="red" /></svg>')
+    df = spark.createDataFrame([(doc(120),), (doc(121),)], "m string").withColumn("e", MX.parse_elements("m"))
+    out = [r[0] for r in df.select(MX.rescaled_from("m", "e")).collect()]
+    assert 'viewBox="0 0 256 256"' not in out[0] and 'viewBox="0 0 256 256"' in out[1]

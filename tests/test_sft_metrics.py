@@ -39,3 +39,22 @@ def test_tag_similarity(spark):
                                "x map<string,int>, y map<string,int>")
     out = [r[0] for r in df.select(tag_similarity(F.col("x"), F.col("y"))).collect()]
     assert abs(out[0] - 2.718281828459045 ** -6) < 1e-12 and out[1] == 1.0 and out[2] == 1.0
+
+
+def test_marker_at_end_and_inverse_images(spark):
+    out = masks(spark, [[1, 2, 3, 7, 8]])
+    assert out[0].marker_start == 3 and out[0].labels == [-100] * 5      # nothing after the marker
+    img = [float((i // 8 + i % 8) % 2) for i in range(64)]
+    inv = [1.0 - v for v in img]
+    df = spark.createDataFrame([(img, inv)], "a array<double>, b array<double>")
+    r = df.select(IM.ssim_global(F.col("a"), F.col("b")).alias("c"),
+                  IM.ssim_global(F.col("a"), F.col("b"), clamp=False).alias("u")).collect()[0]
+    assert r.c == 0.0 and r.u < 0                                         # evaluation clamps, inference does not
+
+
+def test_eval_means_skip_missing_scores(spark):
+    from inkstone.operators.evaluate import eval_means
+    rows = spark.createDataFrame([("c", True, 0.5, 0.1), ("c", False, None, None), ("c", True, None, 0.3)],
+                                 "checkpoint string, valid boolean, pdf_proxy_score double, render_mae double")
+    r = eval_means(rows).collect()[0]
+    assert r.mean_pdf_proxy_score == 0.5 and abs(r.mean_render_mae - 0.2) < 1e-12 and r.invalid_count == 1
