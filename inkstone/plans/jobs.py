@@ -112,6 +112,13 @@ def main(argv=None) -> None:
     r.add_argument("--test", required=True)
     r.add_argument("--train")
     r.add_argument("--out", required=True)
+    v = sub.add_parser("evaluate", help="predictions + references (+ images) -> leaderboard, audit, summary")
+    v.add_argument("--predictions", required=True, help="(checkpoint, id, raw_text)")
+    v.add_argument("--references", required=True, help="(id, prompt, reference_svg)")
+    v.add_argument("--pred-images", help="(checkpoint, id, pixels)")
+    v.add_argument("--ref-images", help="(id, pixels)")
+    v.add_argument("--width", type=int, default=256)
+    v.add_argument("--out", required=True)
     args = p.parse_args(argv)
     from inkstone import get_spark
     spark = get_spark()
@@ -121,6 +128,11 @@ def main(argv=None) -> None:
 
     if args.job == "training-rows":
         print(training_rows_job(spark, load(args.pairs), args.out, args.stage))
+    elif args.job == "evaluate":
+        pi = spark.read.parquet(args.pred_images) if args.pred_images else None
+        ri = spark.read.parquet(args.ref_images) if args.ref_images else None
+        print(evaluation_job(spark, spark.read.parquet(args.predictions), spark.read.parquet(args.references),
+                             args.out, pi, ri, args.width))
     else:
         train = load(args.train) if args.train else None
         print(ranking_job(spark, spark.read.parquet(args.candidates), spark.read.parquet(args.test), args.out, train))

@@ -35,3 +35,14 @@ def test_evaluation_job(spark):
     res = evaluation_job(spark, S.predictions(spark, SF_SMALL), refs, out, pred_img, ref_img, width=8)
     assert res["selected"] in ("ckpt-100", "ckpt-200")
     assert spark.read.json(out + "/run_summary").collect()[0].selected_checkpoint == res["selected"]
+
+
+def test_cli_rank(spark, capsys):
+    from inkstone.plans.jobs import main
+    base = IO.scratch_path(spark, "cli")
+    S.candidates(spark, SF_SMALL).write.parquet(base + "/cands")
+    S.test_prompts(spark, SF_SMALL).write.parquet(base + "/test")
+    main(["rank", "--candidates", base + "/cands", "--test", base + "/test", "--out", base + "/out"])
+    assert "fallback_rows" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(base + "/out/submission").count() == \
+        S.test_prompts(spark, SF_SMALL).count()
