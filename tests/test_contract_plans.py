@@ -55,3 +55,18 @@ def test_global_index_dense_and_ordered(spark):
     out, n = with_global_index(df, ["k", "id"], "i", partitions=23, return_count=True)
     rows = sorted((r.k, r.id, r.i) for r in out.collect())
     assert n == 5000 and [r[2] for r in rows] == list(range(5000))
+
+
+def test_one_leaf_in_corpus_job(spark):
+    assert plan(G.QUERIES["prepare_corpus"](spark, SF_SMALL)).count("MapInPandas") == 1
+
+
+def test_positions_independent_of_partitioning(spark):
+    from inkstone.operators.order import fixed_batches, seeded_shuffle
+    d = spark.read.parquet(SF_SMALL + "/documents.parquet").select("doc_id", "n_chars")
+    a = {r.doc_id: r.idx for r in seeded_shuffle(d.repartition(1), "doc_id").collect()}
+    b = {r.doc_id: r.idx for r in seeded_shuffle(d.repartition(9), "doc_id").collect()}
+    assert a == b and sorted(a.values()) == list(range(len(a)))
+    x = {r.doc_id: r.batch_id for r in fixed_batches(d.repartition(3), 16, ["n_chars", "doc_id"]).collect()}
+    y = {r.doc_id: r.batch_id for r in fixed_batches(d.repartition(5), 16, ["n_chars", "doc_id"]).collect()}
+    assert x == y
