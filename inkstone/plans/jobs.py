@@ -74,6 +74,9 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
     selected = best.collect()
     chosen = selected[0]["selected"] if selected else None
     audit = seeded_sample(rows.filter(F.col("checkpoint") == chosen) if chosen else rows, audit_rows, "id")
+    # the final audit shows 400 characters of raw output (the per-checkpoint rows 240)
+    long_preview = predictions.select("checkpoint", "id", TX.preview(F.col("raw_text"), 400).alias("raw_preview"))
+    audit = audit.drop("raw_preview").join(long_preview, ["checkpoint", "id"], "left")
     base = out_dir.rstrip("/")
     scores.write.mode("overwrite").parquet(f"{base}/checkpoint_proxy_scores")
     IO.write_audit(audit, f"{base}/eval_generation_audit")

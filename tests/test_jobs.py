@@ -46,3 +46,11 @@ def test_cli_rank(spark, capsys):
     assert "fallback_rows" in capsys.readouterr().out
     assert spark.read.option("header", True).csv(base + "/out/submission").count() == \
         S.test_prompts(spark, SF_SMALL).count()
+
+
+def test_evaluation_audit_preview_length(spark):
+    out = IO.scratch_path(spark, "job-eval2")
+    refs = M.canonicalise(S.markup_pairs(spark, SF_SMALL), "svg", "reference_svg").select("id", "prompt", "reference_svg")
+    evaluation_job(spark, S.predictions(spark, SF_SMALL), refs, out)
+    aud = spark.read.json(out + "/eval_generation_audit/json")
+    assert aud.agg(F.max(F.length("raw_preview"))).collect()[0][0] > 240
