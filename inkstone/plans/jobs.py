@@ -66,6 +66,8 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
                    pred_images: DataFrame | None = None, ref_images: DataFrame | None = None, width: int = 256,
                    checkpoints: DataFrame | None = None, audit_rows: int = 64) -> dict:
     """Job C.  ``references``: (id, prompt, reference_svg) canonical markup."""
+    import time
+    started = time.time()
     rows = EV.evaluate_predictions(predictions, references, pred_images, ref_images, width)
     rows = rows.checkpoint(eager=True)                       # reused three times below
     listed = checkpoints if checkpoints is not None else predictions.select("checkpoint").distinct()
@@ -80,7 +82,8 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
     base = out_dir.rstrip("/")
     scores.write.mode("overwrite").parquet(f"{base}/checkpoint_proxy_scores")
     IO.write_audit(audit, f"{base}/eval_generation_audit")
-    IO.write_summary(IO.run_summary(audit, K.SEED, "main", chosen), f"{base}/run_summary")
+    minutes = (time.time() - started) / 60.0
+    IO.write_summary(IO.run_summary(audit, K.SEED, "main", chosen, runtime_minutes=minutes), f"{base}/run_summary")
     return {"selected": chosen, "scores": f"{base}/checkpoint_proxy_scores"}
 
 

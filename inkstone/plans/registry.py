@@ -1218,8 +1218,9 @@ SELECT {K.SEED} AS seed, 'main' AS training_stage, count(*) AS holdout_audit_row
        {r6('avg(render_mae)')} AS mean_render_mae FROM ev""")
 def run_summary(spark, sf):
     """One summary row over the evaluated predictions."""
-    sm = IO.run_summary(_evaluated(spark, sf), K.SEED, "main").drop("selected_checkpoint")
-    return finish(sm)
+    sm = IO.run_summary(_evaluated(spark, sf), K.SEED, "main")
+    return finish(sm.select("seed", "training_stage", "holdout_audit_rows", "invalid_generations",
+                            "mean_pdf_proxy_score", "mean_render_mae"))
 
 
 @query("membership_filter", f"WITH {_RETRIEVAL} SELECT tid AS id FROM trm")

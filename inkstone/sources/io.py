@@ -82,11 +82,26 @@ def holdout_export(eval_rows: DataFrame) -> DataFrame:
     return eval_rows.select("id", "prompt", F.col("svg_norm").alias("reference_svg"))
 
 
-def run_summary(rows: DataFrame, seed: int, stage: str, selected: str | None = None) -> DataFrame:
-    """One summary row (counts, means, seed, stage) — a single aggregate row."""
+def _versions() -> dict:
+    import numpy
+    import pandas
+    import pyarrow
+    import pyspark
+    return {"pyspark": pyspark.__version__, "pandas": pandas.__version__, "numpy": numpy.__version__,
+            "pyarrow": pyarrow.__version__}
+
+
+def run_summary(rows: DataFrame, seed: int, stage: str, selected: str | None = None,
+                skip_holdout_selection: bool = False, runtime_minutes: float | None = None) -> DataFrame:
+    """One summary row (seed, stage, selection, counts, means, runtime, package
+    versions) — a single aggregate row."""
+    versions = F.create_map(*[x for k, v in _versions().items() for x in (F.lit(k), F.lit(v))])
     return rows.agg(
         F.lit(seed).alias("seed"), F.lit(stage).alias("training_stage"),
+        F.lit(skip_holdout_selection).alias("skip_holdout_selection"),
         F.lit(selected).cast("string").alias("selected_checkpoint"),
+        F.lit(runtime_minutes).cast("double").alias("audit_runtime_minutes"),
+        versions.alias("package_versions"),
         F.count(F.lit(1)).alias("holdout_audit_rows"), F.count_if(~F.col("valid")).alias("invalid_generations"),
         F.avg("pdf_proxy_score").alias("mean_pdf_proxy_score"), F.avg("render_mae").alias("mean_render_mae"))
 
