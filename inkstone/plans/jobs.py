@@ -58,7 +58,9 @@ def training_rows_job(spark: SparkSession, pairs: DataFrame, out_dir: str, stage
     cache_root = f"{out_dir.rstrip('/')}/sft"
     IO.dataset_cache(spark, build, cache_root, stage)
     holdout = f"{out_dir.rstrip('/')}/holdout_eval_prompts"
-    IO.holdout_export(evals).write.mode("overwrite").parquet(holdout)
+    export = IO.holdout_export(evals)
+    export.write.mode("overwrite").parquet(holdout)
+    IO.write_csv(export, holdout + "_csv")
     return {"sft": f"{cache_root}/{stage}", "holdout": holdout}
 
 
@@ -81,6 +83,7 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
     audit = audit.drop("raw_preview").join(long_preview, ["checkpoint", "id"], "left")
     base = out_dir.rstrip("/")
     scores.write.mode("overwrite").parquet(f"{base}/checkpoint_proxy_scores")
+    IO.write_csv(scores, f"{base}/checkpoint_proxy_scores_csv")
     IO.write_audit(audit, f"{base}/eval_generation_audit")
     minutes = (time.time() - started) / 60.0
     IO.write_summary(IO.run_summary(audit, K.SEED, "main", chosen, runtime_minutes=minutes), f"{base}/run_summary")

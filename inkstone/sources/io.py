@@ -58,6 +58,12 @@ def write_submission(results: DataFrame, path: str) -> str:
     return path
 
 
+def write_csv(df: DataFrame, path: str) -> str:
+    """A CSV copy with header and doubled quotes (what CSV-reading tools expect)."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return path
+
+
 def write_audit(audit: DataFrame, path: str) -> str:
     """Audit rows as CSV and JSON lines."""
     audit.write.mode("overwrite").option("header", True).option("escape", '"').csv(path + "/csv")
