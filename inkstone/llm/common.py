@@ -71,3 +71,30 @@ def salted_join(rows: DataFrame, wide: DataFrame, counts: DataFrame, key: str, c
     left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("__salts")
     right = wide.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__salts")
     return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def sized_parts(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """Partitions for a shuffle of about all of ``df``: its size by the optimizer over ``target_bytes``,
+    and at least ``spark.sql.shuffle.partitions``."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(parts(df.sparkSession), min(-(-size // target_bytes), 1 << 17))
+
+
+def store(uri: str):
+    """(file system, path) of a folder that executors share, for files that Spark has no writer for."""
+    import re
+
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri if ":" in uri else f"file://{uri}"))
+
+
+def text_chunks(texts, limit: int = 1 << 20):
+    """Cut a list of bytes into runs (start, end) of about ``limit`` bytes, whole texts each."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import exact_dedup, sharding
+import public_tokenizers
+
+from inkstone.llm import bpe, exact_dedup, quality, sharding, token_files
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +45,32 @@ def op9_virtual_slots(spark, sf_dir):
     out = sharding.assign(load(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark, sf_dir):
+    """Encode and decode every document with the sentencepiece model made from the rank file."""
+    model = bpe.build_model(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    docs = load(spark, sf_dir, "documents")
+    ids = docs.select("doc_id", bpe.encoder(model, public_tokenizers.PATTERN)("text").alias("ids"))
+    out = ids.select("doc_id", "ids", bpe.decoder(model)("ids").alias("decoded"))
+    return out.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark, sf_dir):
+    """Write the ids of all documents to dictionary-compressed files and read them back."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    path = token_files.write(load(spark, sf_dir, "documents"), tokenizer, 2)
+    out = token_files.read(spark, path)
+    return out.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+                      F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
+@query("op5_divergence")
+def op5_divergence(spark, sf_dir):
+    """Counts and verdict for every document; the references are those of the whole table."""
+    out = quality.quality_rules(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "quality.*")
