@@ -78,7 +78,8 @@ class DigestIndex:
 
     def add(self, batch: DataFrame) -> None:
         """Deduplicate a batch of fingerprints against the index and append the survivors."""
-        new = self.unseen(batch).repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256")
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))  # Spark's own bucket number: one file per bucket
+        new = self.unseen(batch).repartitionById(self.buckets, bucket).sortWithinPartitions("text_sha256")
         new.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
