@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import bpe, exact_dedup, quality, sharding, token_files
+from inkstone.llm import bpe, exact_dedup, line_dedup, quality, sharding, token_files
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,35 @@ def op5_divergence(spark, sf_dir):
     """Counts and verdict for every document; the references are those of the whole table."""
     out = quality.quality_rules(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "quality.*")
+
+
+@query("op10_line_chunks", f"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n
+  FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, line, i, n, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+             CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+r AS (SELECT *, h + {line_dedup.HASH_BASE} * coalesce(lag(h) OVER w, 0) AS rolled,
+             coalesce(lead(words) OVER w, 0) AS next_words
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, (i = n - 1 OR rolled % {line_dedup.CHUNK_LINES} = 0 OR words >= {line_dedup.LONG_LINE}
+                 OR next_words >= {line_dedup.LONG_LINE}) AS is_end FROM r),
+c AS (SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+k AS (SELECT doc_id, chunk, count(*) AS n_lines, sum(words) AS n_words,
+             string_agg(line, chr(10) ORDER BY i) AS bytes FROM c GROUP BY doc_id, chunk),
+d AS (SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, chunk) AS place FROM k
+      WHERE (n_lines >= {line_dedup.MIN_LINES} AND n_words >= {line_dedup.MIN_WORDS}) OR n_words >= {line_dedup.LONG_LINE}),
+x AS (SELECT doc_id, chunk, n_lines FROM d WHERE place > 1),
+t AS (SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.i) AS text
+      FROM c LEFT JOIN x USING (doc_id, chunk) WHERE x.doc_id IS NULL GROUP BY c.doc_id),
+s AS (SELECT doc_id, count(*) AS removed_chunks, sum(n_lines) AS removed_lines FROM x GROUP BY doc_id)
+SELECT o.doc_id, CASE WHEN o.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+       CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks,
+       CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines
+FROM documents o LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)""")
+def op10_line_chunks(spark, sf_dir):
+    """Every document without the line chunks that an earlier document holds."""
+    out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "row.text", "removed_chunks", "removed_lines")
