@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import bpe, exact_dedup, jaccard_join, line_dedup, quality, sharding, token_files
+from inkstone.llm import bpe, exact_dedup, jaccard_join, line_dedup, quality, sharding, token_files, warc
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,12 @@ JOIN (SELECT id AS doc_id, min(seen) AS component_id FROM r GROUP BY id) c USING
 def op8_jaccard_components(spark, sf_dir):
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query("op7_seekable_warc")
+def op7_seekable_warc(spark, sf_dir):
+    """Write all pages to seekable bundles and read every record back; digest and size of a response
+    are those of the payload that was read."""
+    out = warc.read(spark, warc.write(load(spark, sf_dir, "pages")))
+    return out.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+                      F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", "refers_to")
