@@ -14,7 +14,7 @@ task names its file by a new UUID and hands its index rows to Spark's committer;
 of a lost or repeated attempt is in no committed row and so is never read.
 
 The dictionary is trained on at most DICTIONARY_DOCS documents (the smallest by a hash
-of the id), at most DICTIONARY_CHARS of each; it changes the size of the files only.
+of the id), at most DICTIONARY_CHARS characters of each; it changes the size of the files only.
 
 Defined results: a null text counts as empty and holds the end id alone; null ids come
 first; rows that share an id are all kept, ordered by the checksum of their ids.
@@ -35,7 +35,7 @@ from inkstone.sources.io import scratch_path
 
 MAGIC = b"IDZSTD01"
 DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 ROW = "doc_id long, file string, range int, offset long, bytes long, n_tokens long, before long"
 
 
@@ -43,38 +43,76 @@ class WordEncoder:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and none of its steps looks across an ASCII white-space
-    character, so the ids of a text are those of its words in order; each distinct word goes
-    through the library once while it stays among the CACHE_WORDS kept ones.
+    character, so the ids of a text are those of its words in order.  It also cuts before
+    a punctuation mark, and its other steps on a run of Latin letters are lower-casing and
+    byte mapping: such words, with at most one mark behind, go to the library's BPE model as
+    their lower-case stem.  All other words pass its whole pipeline.  The ids of recent words
+    are kept in two generations of at most CACHE_WORDS entries each.
     """
 
+    # letters with a one-letter lower case and no other normal form
+    LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)"
+
     def __init__(self, tokenizer_json: str):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task owns one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_str(tokenizer_json), {}, {}
+        self.pieces, self.latin, self.letters = self.tokenizer.model.tokenize, re.compile(self.LATIN).fullmatch, byte_letters()
+        self.marks = {m: self.whole([m])[0] for m in ".,;:!?"} | {"": b""}
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def stem(self, letters: str) -> bytes:
+        found = self.known.get(letters) or self.older.get(letters)
+        if found is None:
+            ids = [p.id for p in self.pieces(letters.encode().decode("latin-1").translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.known[letters] = found
+        return found
+
+    def learn(self, words: set) -> None:
+        known, older, rest = self.known, self.older, []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            text = w.decode()
+            if match := self.latin(text):
+                known[w] = self.stem(match[1].lower()) + self.marks[match[2]]
+            else:
+                rest.append((w, text))
+        known.update(zip([w for w, _ in rest], self.whole([t for _, t in rest])))
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
         words = [t.split() for t in texts]
-        missing = set().union(*words) - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = set().union(*words)
-        if missing:
-            new = list(missing)
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                self.known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.learn(set().union(*words) - self.known.keys())
         known = self.known
         return [b"".join(map(known.__getitem__, w)) + end for w in words]
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte to code point as the byte-level step maps it: printable bytes stand for themselves, the
+    others follow in order from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def train_dictionary(df: DataFrame, tokenizer_json: str, end: bytes) -> bytes:
     """A dictionary from a bounded sample; empty when the sample is too small to train one."""
     import zstandard
 
-    sample = df.select(F.substring("text", 1, DICTIONARY_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
-    rows = sample.orderBy("h").limit(DICTIONARY_DOCS).collect()
+    hashed = df.withColumn("h", F.xxhash64("doc_id"))
+    least = F.broadcast(hashed.select("h").distinct().orderBy("h").limit(DICTIONARY_DOCS))
+    sample = hashed.join(least, "h", "left_semi").select("h", F.substring("text", 1, DICTIONARY_CHARS).alias("text"))
+    rows = sample.dropDuplicates(["h"]).collect()  # at most DICTIONARY_DOCS
     ids = WordEncoder(tokenizer_json).encode([(r["text"] or "").encode() for r in rows], end)
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, ids)) // 10), ids).as_bytes()
