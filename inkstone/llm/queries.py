@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import bpe, exact_dedup, jaccard_join, line_dedup, quality, sharding, token_files, warc
+from inkstone.llm import bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, quality, sharding, token_files, warc
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,17 @@ def op7_seekable_warc(spark, sf_dir):
     out = warc.read(spark, warc.write(load(spark, sf_dir, "pages")))
     return out.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
                       F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+# FIXED VALUES: the extra conversation of the formatting query
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@query("op6_chat_tree")
+def op6_chat_tree(spark, sf_dir):
+    """All conversations and conversation -7 into the prefix tree, read back turn by turn."""
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(CONTROL_TEXT).alias("text"))
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_tree.digests(chat_tree.read_turns(spark, chat_tree.write(rows)))
