@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, quality, sharding, token_files, warc
+from inkstone.llm import bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,14 @@ def op6_chat_tree(spark, sf_dir):
                                   F.lit(CONTROL_TEXT).alias("text"))
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat_tree.digests(chat_tree.read_turns(spark, chat_tree.write(rows)))
+
+
+# shares of the words that the mix shall have, by label
+MIX_WEIGHTS = {"q1t0": 0.90, "q1t1": 0.02, "q0t0": 0.07, "q0t1": 0.01}
+
+
+@query("op4_soft_mixing")
+def op4_soft_mixing(spark, sf_dir):
+    """Rate and copies of every document for a mix of as many words as the corpus has."""
+    out = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), MIX_WEIGHTS)
+    return out.select("row.doc_id", "words", "domain", "posterior", "rate", "copies")
