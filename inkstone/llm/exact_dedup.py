@@ -2,9 +2,9 @@
 
 The index is a table in the shared folder, bucketed and sorted by the SHA-256 of the
 normalised text.  A batch is first reduced to its best row per digest (partial
-aggregation, so a text held by a third of all rows leaves one row per map task),
-then sort-merge anti-joined with the index; the index side needs neither exchange
-nor sort.  What survives is appended.  An appended row with a digest that the index
+aggregation, so a text held by a third of all rows leaves one row per map task) and
+written bucketed and sorted like the index, then sort-merge anti-joined with the index
+bucket by bucket, without a shuffle of either side.  What survives is appended.  An appended row with a digest that the index
 already has supersedes the older one: it is only appended when it is better (more
 code points, then smaller id).  Only digests, ids and lengths are ever shuffled.
 
@@ -55,10 +55,14 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
         self.spark, self.buckets = spark, buckets
         self.path = path or scratch_path(spark, "digest-index")
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(f"""CREATE TABLE {self.table} (text_sha256 STRING, keep_id BIGINT, keep_chars BIGINT)
-                      USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS
-                      LOCATION '{self.path}'""")
+        self.table = self._open(self.path)
+
+    def _open(self, path: str) -> str:
+        name = f"digests_{uuid.uuid4().hex}"
+        self.spark.sql(f"""CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT, keep_chars BIGINT)
+                           USING parquet CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS
+                           LOCATION '{path}'""")
+        return name
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -68,19 +72,26 @@ class DigestIndex:
         return best_per_digest(self.rows().select("text_sha256", F.col("keep_id").alias("doc_id"),
                                                   F.col("keep_chars").alias("n_chars")))
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """Best row of each digest of ``batch`` that the index lacks or has only a worse row for."""
-        best, old = best_per_digest(batch).alias("b"), self.rows().alias("i")
+    def stage(self, batch: DataFrame) -> DataFrame:
+        """The best row of each digest of ``batch``, written bucketed and sorted like the index."""
+        name = self._open(scratch_path(self.spark, "digest-batch"))
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))  # Spark's own bucket number: one file per bucket
+        best = best_per_digest(batch).repartitionById(self.buckets, bucket).sortWithinPartitions("text_sha256")
+        best.write.insertInto(name)
+        self.spark.catalog.refreshTable(name)
+        return self.spark.table(name)
+
+    def unseen(self, staged: DataFrame) -> DataFrame:
+        """Staged rows whose digest the index lacks or has only a worse row for; neither side is shuffled."""
+        best, old = staged.alias("b"), self.rows().alias("i")
         covers = (F.col("i.keep_chars") > F.col("b.keep_chars")) | (
             (F.col("i.keep_chars") == F.col("b.keep_chars"))
             & (F.col("b.keep_id").isNull() | (F.col("i.keep_id") <= F.col("b.keep_id"))))
         return best.join(old.hint("merge"), (F.col("b.text_sha256") == F.col("i.text_sha256")) & covers, "left_anti")
 
     def add(self, batch: DataFrame) -> None:
-        """Deduplicate a batch of fingerprints against the index and append the survivors."""
-        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))  # Spark's own bucket number: one file per bucket
-        new = self.unseen(batch).repartitionById(self.buckets, bucket).sortWithinPartitions("text_sha256")
-        new.write.insertInto(self.table)
+        """Deduplicate a batch of fingerprints against the index and append the survivors, bucket by bucket."""
+        self.unseen(self.stage(batch)).write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
 
