@@ -9,7 +9,8 @@ frames, a descriptor byte and the footer magic.  An index table maps record iden
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the largest id is
 written as a response, the others as revisits that name it.  Payloads are compared by
 SHA-256; who revisits whom is decided on narrow rows (digests of a hot payload meet a
-bounded broadcast), then payloads are dealt by id once and written where they land.
+bounded broadcast), then payloads meet the decisions by id and digest in one join, without any
+hot key, and are written where they land.
 
 A bundle is written under a new UUID and its index rows go through Spark's committer, so
 bundles of lost or repeated attempts are never referenced.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import attach, id_column, materialise, sized_parts, store
+from inkstone.llm.common import attach, id_column, materialise, store
 from inkstone.sources.io import scratch_path
 
 MIN_REVISIT = 1000
@@ -138,8 +139,7 @@ def write(df: DataFrame, path: str | None = None, id_col: str = "page_id", url_c
                       payload.alias("payload"), F.sha2(payload, 256).alias("sha256"))
     types = decide(df, id_col, payload_col).withColumnsRenamed({"page_id": "k", "sha256": "h"})
     typed = pages.join(types, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("sha256") == F.col("h")))
-    typed = typed.select("page_id", "url", "payload", "record_type", "refers_to").repartition(
-        sized_parts(df), F.xxhash64("page_id", "url", F.octet_length("payload")))
+    typed = typed.select("page_id", "url", "payload", "record_type", "refers_to")
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, bundle, name = store(path), None, ""
