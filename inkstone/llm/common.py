@@ -98,3 +98,16 @@ def text_chunks(texts, limit: int = 1 << 20):
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def thinned(rows: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """Most rows whose ``column`` is not in ``keys`` taken out before an exact join shuffles the rest.
+
+    A bitmap of 2 ** ``bits`` bits over hashes of the keys is broadcast as a table of at most
+    2 ** (bits - 6) words, whatever the input; rows of keys always pass.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(1 << bits))
+    word, mask = F.shiftright(bit, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    words = keys.select(word, mask.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    hit = rows.withColumns({"__word": F.shiftright(bit, 6), "__mask": mask}).join(F.broadcast(words), "__word")
+    return hit.filter(F.col("__bits").bitwiseAND(F.col("__mask")) != 0).select(*rows.columns)

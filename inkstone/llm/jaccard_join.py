@@ -19,10 +19,12 @@ merged segment, and while it loses at most E the pair still meets on another key
 that lose more index their empty subsets too, so no link is lost.
 
 Candidates of a key are not expanded into pairs: its least set is the centre, and each
-other member is verified against the centre (exact intersection of the two sets).  Links
-make components.  What then is left on a key, members of different components that are not
-the centre, is paired unless the triangle inequality of the Jaccard distance to the centre
-rules a link out, and verified as well.  Members of one component need no further test.
+other member is a candidate of the centre.  Before the exact intersection of two sets is
+taken, their odd sketches are compared: each shingle toggles one bit, so the number of
+differing bits is at most the symmetric difference and a pair with more than a linked pair may
+have is ruled out for certain.  Links make components.  What then is left on a key, members of
+different components other than the centre, is compared by sketch in the join on the
+key and verified likewise.  Members of one component need no further test.
 
 Copies are joined through the digest of their set, without verification.
 
@@ -37,15 +39,17 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import attach, id_column, materialise, salted_join, text_chunks
+from inkstone.llm.common import attach, id_column, materialise, salted_join, text_chunks, thinned
 from inkstone.llm.components import components
 
 # Cost model of the allocation: chance that two unrelated documents agree on a given shingle, cost
 # of one verification in index rows, bytes of text to one shingle.
 AGREE, VERIFY_COST, BYTES_PER_SHINGLE = 0.003, 50, 6
+# bits of a sketch per difference that a linked pair may have
+SKETCH_BITS = 8
 
 
 def bands(limit: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -144,6 +148,17 @@ class Signer:
             self.schemes[band] = scheme(lo, self.edges[band], self.num, self.den, 1)
         return self.schemes[band]
 
+    def sketch(self, items, band: int):
+        """Odd sketch of a set, sized by the largest symmetric difference of a linked pair of the band."""
+        import numpy as np
+
+        if band < 0:
+            return np.zeros(1, np.int64)
+        units, _, spare = self.scheme_of(band)
+        longs = -(-(units - spare) * SKETCH_BITS // 64)
+        place = (mix(items + np.uint64(5)) % np.uint64(64 * longs)).astype(np.int64)
+        return np.packbits((np.bincount(place, minlength=64 * longs) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
     def keys(self, items) -> tuple:
         """(full, dels) of one set, under its own band and under the next smaller one."""
         import numpy as np
@@ -179,7 +194,8 @@ class Signer:
 
 
 def _signatures(df: DataFrame, words: int, num: int, den: int, merged: int | None) -> DataFrame:
-    """(doc_id, n_shingles, digest, full, dels), one row per row of ``df`` (doc_id, text)."""
+    """(doc_id, n_shingles, digest, band, sketch, smaller, full, dels), one row per row of ``df`` (doc_id, text);
+    sketch is that of the own band, smaller that of the next smaller band."""
     size = F.greatest(F.lit(1.0), F.octet_length(F.coalesce("text", F.lit(""))) / BYTES_PER_SHINGLE)
     step = math.log(den / num)
     # rows per band, from text bytes: one row per factor den / num of size
@@ -196,13 +212,29 @@ def _signatures(df: DataFrame, words: int, num: int, den: int, merged: int | Non
             for a, b in text_chunks(texts):
                 sets = shingle_sets(texts[a:b], words)
                 keys = [signer.keys(s) for s in sets]
+                own = [signer.band_of(len(s)) if len(s) else -1 for s in sets]
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                     pa.array([k[0] for k in keys], pa.list_(pa.int64())), pa.array([k[1] for k in keys], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "full", "dels"])
+                     pa.array(own, pa.int32()), pa.array([signer.sketch(s, k) for s, k in zip(sets, own)], longs),
+                     pa.array([signer.sketch(s, k - 1) for s, k in zip(sets, own)], longs),
+                     pa.array([k[0] for k in keys], longs), pa.array([k[1] for k in keys], longs)],
+                    ["doc_id", "n_shingles", "digest", "band", "sketch", "smaller", "full", "dels"])
+
+    return df.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, band int, sketch array<long>, "
+                               "smaller array<long>, full array<long>, dels array<long>")
+
 
-    return df.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, full array<long>, dels array<long>")
+def _may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether the sizes and sketches of the structs ``x`` and ``y`` (n, band, sketch, smaller) leave a link possible."""
+    x, y = F.col(x), F.col(y)
+    n = x["n"] + y["n"]
+    most = n - 2 * F.floor((num * n + (num + den - 1)) / F.lit(num + den))
+    left = F.when(x["band"] <= y["band"], x["sketch"]).otherwise(x["smaller"])
+    right = F.when(y["band"] <= x["band"], y["sketch"]).otherwise(y["smaller"])
+    flips = F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return (F.abs(x["band"] - y["band"]) <= 1) & (F.abs(x["n"] - y["n"]) <= most) & (flips <= most)
 
 
 def _verify(pairs: DataFrame, df: DataFrame, words: int) -> DataFrame:
@@ -231,7 +263,9 @@ def _verify(pairs: DataFrame, df: DataFrame, words: int) -> DataFrame:
                 out.append(1 - common / max(len(both) - common, 1))
             yield pa.array(out, pa.float64())
 
-    sets = materialise(df.join(wanted, "doc_id", "left_semi").select("doc_id", blob("text").alias("set")), "sets")
+    wanted = materialise(wanted, "wanted")
+    rows = thinned(df, wanted, "doc_id").join(wanted, "doc_id", "left_semi")
+    sets = materialise(rows.select("doc_id", blob("text").alias("set")), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     both = salted_join(pairs.join(side("b"), "b"), side("a"), counts, "a", "n", pairs.count(), ["b"])
@@ -261,33 +295,38 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     met = keys.join(centres, "key").filter("id <> centre")
     met = met.join(reps.select(F.col("doc_id").alias("id"), F.col("rep").alias("member")), "id")
     members = materialise(met.groupBy("key", "centre", "member").agg(F.min("deletion").alias("deletion")), "members")
-    renamed = reps.select(F.col("doc_id").alias("centre"), F.col("rep").alias("pivot"))
+    pivots = reps.select(F.col("doc_id").alias("centre"), F.col("rep").alias("pivot"))
+    sketches = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(
+        "doc_id", F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "smaller").alias("s"))
+    sketches = materialise(sketches.filter("s.n > 0"), "sketches")
+    sketch = lambda c, name: sketches.select(F.col("doc_id").alias(c), F.col("s").alias(name))
+    stars = members.select("centre", "member").distinct().join(pivots, "centre").filter("pivot <> member").select("pivot", "member").distinct()
+    stars = materialise(stars.join(sketch("member", "y"), "member"), "stars")
+    counts = stars.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    stars = salted_join(stars, sketch("pivot", "x"), counts, "pivot", "n", stars.count(), ["member"]).filter(_may_link("x", "y", num, den))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.select("centre", "member").distinct().join(renamed, "centre").filter("pivot <> member")
-    tested = _verify(stars.select(*pair("pivot", "member")).distinct(), df, words)
     near = F.col("distance") <= 1 - num / den + 1e-12
+    tested = _verify(stars.select(*pair("pivot", "member")).distinct(), df, words).filter(near)
     copies = reps.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links = copies.unionByName(tested.filter(near).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = copies.unionByName(tested.select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = materialise(components(links), "components")
 
-    # what the centres left open: members of one key in different components
+    # what the centres left open: members of one key in different components, none of them the centre
     label = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-    placed = members.join(renamed, "centre").join(label("pivot"), "pivot", "left").join(label("member"), "member", "left")
-    placed = placed.select("key", "pivot", "member", "deletion", F.coalesce("of_pivot", "pivot").alias("of_pivot"),
-                           F.coalesce("of_member", "member").alias("of_member")).filter("pivot <> member")
-    placed = materialise(placed, "placed")
-    apart = placed.filter("of_pivot <> of_member")
-    opened = placed.join(apart.select("key").distinct(), "key", "left_semi")
-    far = tested.select("a", "b", "distance")
-    opened = opened.withColumns({"a": F.least("pivot", "member"), "b": F.greatest("pivot", "member")}).join(far, ["a", "b"])
-    opened = materialise(opened.select("key", "member", "deletion", "of_member", "of_pivot", "distance"), "open-members")
-    x, y = opened.filter("of_pivot <> of_member").alias("x"), opened.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of_member") != F.col("y.of_member"))
-                  & ~(F.col("x.deletion") & F.col("y.deletion"))
-                  & (F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - num / den + 1e-9))
-    rest = rest.select(*pair("x.member", "y.member")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(rest, df, words).filter(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    placed = members.join(pivots, "centre").filter("pivot <> member").join(label("member"), "member", "left").select(
+        "key", "member", "deletion", F.coalesce("of_member", "member").alias("of_member"))
+    several = F.min("of_member").alias("least"), F.max("of_member").alias("most"), F.min("deletion").alias("deletion")
+    opened = materialise(placed, "placed")
+    several = opened.groupBy("key").agg(*several).filter("least < most AND NOT deletion").select("key")
+    opened = opened.join(several, "key", "left_semi").join(sketch("member", "s"), "member")
+    opened = materialise(opened.select("key", "member", "deletion", "of_member", "s"), "open-members")
+    side = lambda name: opened.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("member", "deletion", "of_member")],
+                                      F.col("s").alias(name))
+    rest = side("x").join(side("y"), "key").filter(
+        (F.col("x_member") < F.col("y_member")) & (F.col("x_of_member") != F.col("y_of_member"))
+        & ~(F.col("x_deletion") & F.col("y_deletion")) & _may_link("x", "y", num, den))
+    more = _verify(rest.select(*pair("x_member", "y_member")).distinct(), df, words).filter(near)
     stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    final = components(stars.unionByName(more))
+    final = components(stars.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
