@@ -35,23 +35,39 @@ from inkstone.sources.io import scratch_path
 
 MAGIC = b"IDZSTD01"
 DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 ROW = "doc_id long, file string, range int, offset long, bytes long, n_tokens long, before long"
 
 
+class WordIds(dict):
+    """Ids by word, filled on demand; at most CACHE_WORDS recent words and as many older ones."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.older.get(word) or self.find(word)
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and none of its steps looks across an ASCII white-space
-    character, so the ids of a text are those of its words in order.  It also cuts before
-    a punctuation mark, and its other steps on a run of Latin letters are lower-casing and
-    byte mapping: such words, with at most one mark behind, go to the library's BPE model as
-    their lower-case stem.  All other words pass its whole pipeline.  The ids of recent words
-    are kept in two generations of at most CACHE_WORDS entries each.
+    character, so the ids of a text are those of its words in order.  It also cuts between
+    letters and the signs behind them, and its other steps on a run of Latin letters are
+    lower-casing and byte mapping: the letters of such a word go in lower case to the library's
+    BPE model.  Signs, and all other words, pass its whole pipeline.
     """
 
-    # letters with a one-letter lower case and no other normal form
-    LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?]?)"
+    # letters with a one-letter lower case and no other normal form, then ASCII signs but the apostrophe
+    LATIN = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)"
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -60,41 +76,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task owns one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.older = Tokenizer.from_str(tokenizer_json), {}, {}
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pieces, self.latin, self.letters = self.tokenizer.model.tokenize, re.compile(self.LATIN).fullmatch, byte_letters()
-        self.marks = {m: self.whole([m])[0] for m in ".,;:!?"} | {"": b""}
-
-    def whole(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def stem(self, letters: str) -> bytes:
-        found = self.known.get(letters) or self.older.get(letters)
-        if found is None:
-            ids = [p.id for p in self.pieces(letters.encode().decode("latin-1").translate(self.letters))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        self.known[letters] = found
-        return found
-
-    def learn(self, words: set) -> None:
-        known, older, rest = self.known, self.older, []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
-            text = w.decode()
-            if match := self.latin(text):
-                known[w] = self.stem(match[1].lower()) + self.marks[match[2]]
-            else:
-                rest.append((w, text))
-        known.update(zip([w for w, _ in rest], self.whole([t for _, t in rest])))
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.signs, self.known = {"": b""}, WordIds(self.find)
+
+    def whole(self, word: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def find(self, word: bytes) -> bytes:
+        text = word.decode()
+        match = self.latin(text)
+        if not match:
+            return self.whole(text)
+        letters, signs = match.groups()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs = {"": b""}
+            self.signs[signs] = self.whole(signs)
+        return b"".join([self.packed[p.id] for p in self.pieces(letters)]) + self.signs[signs]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        words = [t.split() for t in texts]
-        self.learn(set().union(*words) - self.known.keys())
-        known = self.known
-        return [b"".join(map(known.__getitem__, w)) + end for w in words]
+        self.known.age()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, t.split())) + end for t in texts]
 
 
 def byte_letters() -> dict[int, int]:

@@ -38,7 +38,7 @@ def test_generations_of_the_cache(monkeypatch):
     own = tf.WordEncoder(JSON)
     texts = [" ".join(f"W{chr(97 + i)}{chr(97 + j)}. common" for i in range(20)) for j in range(20)]
     assert [own.encode([t.encode()], END)[0] for t in texts] == [packed(t) for t in texts]
-    assert len(own.known) + len(own.older) < 400
+    assert len(own.known) + len(own.known.older) < 400
 
 
 ROWS = [(5, "five five"), (1, None), (2, ""), (3, "Long text, " * 5000), (None, "no id"), (7, "x" * 5000), (5, "again five"), (-4, "minus")]
