@@ -26,6 +26,15 @@ def materialise(df: DataFrame, name: str, partition_by: list | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for table in tables:
+        for root in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_column(df: DataFrame, name: str) -> Column:
     """A top-level column by its exact name, dots and all."""
     return df["`" + name.replace("`", "``") + "`"]

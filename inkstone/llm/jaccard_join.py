@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import attach, id_column, materialise, salted_join, text_chunks, thinned
+from inkstone.llm.common import attach, discard, id_column, materialise, salted_join, text_chunks, thinned
 from inkstone.llm.components import components
 
 # Cost model of the allocation: chance that two unrelated documents agree on a given shingle, cost
@@ -291,14 +291,16 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
         F.transform("dels", lambda k: F.struct(k.alias("key"), F.lit(True).alias("deletion"))))).alias("k")).select("id", "k.key", "k.deletion")
     centres = keys.groupBy("key").agg(F.min(F.when(~F.col("deletion"), F.col("id"))).alias("centre"),
                                       F.min("id").alias("least"), F.max("id").alias("most"))
-    centres = centres.filter("centre IS NOT NULL AND least < most").select("key", "centre")
-    met = keys.join(centres, "key").filter("id <> centre")
+    centres = materialise(centres.filter("centre IS NOT NULL AND least < most").select("key", "centre"), "centres")
+    met = thinned(keys, centres, "key", 26).join(centres, "key").filter("id <> centre")
     met = met.join(reps.select(F.col("doc_id").alias("id"), F.col("rep").alias("member")), "id")
     members = materialise(met.groupBy("key", "centre", "member").agg(F.min("deletion").alias("deletion")), "members")
     pivots = reps.select(F.col("doc_id").alias("centre"), F.col("rep").alias("pivot"))
     sketches = signed.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(
         "doc_id", F.struct(F.col("n_shingles").alias("n"), "band", "sketch", "smaller").alias("s"))
     sketches = materialise(sketches.filter("s.n > 0"), "sketches")
+    sizes = materialise(signed.select("doc_id", "n_shingles"), "set-sizes")
+    discard(signed)  # the keys have done their work
     sketch = lambda c, name: sketches.select(F.col("doc_id").alias(c), F.col("s").alias(name))
     stars = members.select("centre", "member").distinct().join(pivots, "centre").filter("pivot <> member").select("pivot", "member").distinct()
     stars = materialise(stars.join(sketch("member", "y"), "member"), "stars")
@@ -328,5 +330,5 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     more = _verify(rest.select(*pair("x_member", "y_member")).distinct(), df, words).filter(near)
     stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
     final = components(stars.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = sizes.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

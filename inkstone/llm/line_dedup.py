@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import attach, id_column, materialise, salted_join
+from inkstone.llm.common import attach, discard, id_column, materialise, salted_join
 
 CHUNK_LINES, MIN_LINES, MIN_WORDS, LONG_LINE = 3, 2, 12, 50
 HASH_BASE = 31
@@ -104,6 +104,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     equal = checked.filter(F.col("bytes") == F.col("kept_bytes")).groupBy("row_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "len"))).alias("removed"))
     equal = materialise(equal, "removed-chunks")
+    discard(chunks, groups, marks, texts)
 
     lines = lines_of(F.col("text"))
     new = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(without(lines, F.col("removed")), "\n"))
