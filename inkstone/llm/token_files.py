@@ -40,7 +40,8 @@ ROW = "doc_id long, file string, range int, offset long, bytes long, n_tokens lo
 
 
 class WordIds(dict):
-    """Ids by word, filled on demand; at most CACHE_WORDS recent words and as many older ones."""
+    """Ids by word, filled on demand; at most CACHE_WORDS recent words and, once as many more were met,
+    as many older ones."""
 
     def __init__(self, find):
         super().__init__()
@@ -79,28 +80,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pieces, self.latin, self.letters = self.tokenizer.model.tokenize, re.compile(self.LATIN).fullmatch, byte_letters()
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.signs, self.known = {"": b""}, WordIds(self.find)
+        self.signs, self.stems, self.known = {"": b""}, {}, WordIds(self.find)
 
     def whole(self, word: str) -> bytes:
         return b"".join([self.packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
+    def stem(self, letters: str) -> bytes:
+        ids = self.stems.get(letters)
+        if ids is None:
+            mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+            ids = self.stems[letters] = b"".join([self.packed[p.id] for p in self.pieces(mapped)])
+        return ids
+
     def find(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only
+            return self.stem(word.lower().decode())
         text = word.decode()
         match = self.latin(text)
         if not match:
             return self.whole(text)
         letters, signs = match.groups()
-        letters = letters.lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.letters)
         if signs not in self.signs:
             if len(self.signs) > 10_000:
                 self.signs = {"": b""}
             self.signs[signs] = self.whole(signs)
-        return b"".join([self.packed[p.id] for p in self.pieces(letters)]) + self.signs[signs]
+        return self.stem(letters.lower()) + self.signs[signs]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         self.known.age()
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
         ids = self.known.__getitem__
         return [b"".join(map(ids, t.split())) + end for t in texts]
 
