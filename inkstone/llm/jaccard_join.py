@@ -46,8 +46,8 @@ from inkstone.llm.common import attach, discard, id_column, materialise, salted_
 from inkstone.llm.components import components
 
 # Cost model of the allocation: chance that two unrelated documents agree on a given shingle, cost
-# of one verification in index rows, bytes of text to one shingle.
-AGREE, VERIFY_COST, BYTES_PER_SHINGLE = 0.003, 50, 6
+# of one candidate (a comparison of two sketches) in index rows, bytes of text to one shingle.
+AGREE, CANDIDATE_COST, BYTES_PER_SHINGLE = 0.003, 5, 6
 # bits of a sketch per difference that a linked pair may have
 SKETCH_BITS = 8
 
@@ -85,7 +85,7 @@ def scheme(lo: int, hi: int, num: int, den: int, documents: float, merged: int |
 
     def cost(m: int) -> float:
         rows = documents * (units - 2 * m + m * (1 + 2 * mean))
-        return rows + VERIFY_COST * documents ** 2 / 2 * ((units - 2 * m) * plain + m * pair)
+        return rows + CANDIDATE_COST * documents ** 2 / 2 * ((units - 2 * m) * plain + m * pair)
 
     return units, min({0, units // 8, units // 4, units // 2}, key=cost), spare
 
