@@ -23,7 +23,8 @@ def _sum(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return _sum(a) / F.size(a)
+    """Null for an empty array."""
+    return F.try_divide(_sum(a), F.size(a))
 
 
 def grayscale(r: Column, g: Column, b: Column) -> Column:
@@ -95,9 +96,9 @@ def render_quality(g: Column, width: int) -> Column:
 
     def body(d):
         edge = mean(d)
-        clarity = F.when(edge > 1e-6, F.size(F.filter(d, lambda x: x > 4.0 * edge)) / F.size(d)).otherwise(0.0)
+        clarity = F.when(edge > 1e-6, F.try_divide(F.size(F.filter(d, lambda x: x > 4.0 * edge)), F.size(d))).otherwise(0.0)
         return F.struct(edge.alias("edge_density"),
-                        (F.size(F.filter(g, lambda x: x < 0.95)) / F.size(g)).alias("non_white"),
+                        F.try_divide(F.size(F.filter(g, lambda x: x < 0.95)), F.size(g)).alias("non_white"),
                         clarity.cast("double").alias("edge_clarity"))
     return let(both, body)
 
@@ -111,7 +112,8 @@ def color_fidelity(prompt: Column, g: Column) -> Column:
     total = F.lit(0.0)
     for name, (r, gg, b) in K.COLOR_RGB:
         rr, g2, bb = r / 255.0, gg / 255.0, b / 255.0
-        share = F.size(F.filter(g, lambda v: F.sqrt((v - rr) * (v - rr) + (v - g2) * (v - g2) + (v - bb) * (v - bb)) < 0.22)) / F.size(g)
+        hits = F.size(F.filter(g, lambda v: F.sqrt((v - rr) * (v - rr) + (v - g2) * (v - g2) + (v - bb) * (v - bb)) < 0.22))
+        share = F.coalesce(F.try_divide(hits, F.size(g)), F.lit(0.0))
         total = total + F.when(F.contains(pl, F.lit(name)), share * 6.0).otherwise(0.0)
     return F.least(total, F.lit(8.0))
 
@@ -120,7 +122,7 @@ def cosine(a: Column, b: Column) -> Column:
     dot = _sum(F.zip_with(a, b, lambda x, y: x * y))
     na = F.sqrt(_sum(F.transform(a, lambda x: x * x)))
     nb = F.sqrt(_sum(F.transform(b, lambda x: x * x)))
-    return dot / (na * nb)
+    return F.try_divide(dot, na * nb)  # null for a zero vector
 
 
 def embedding_similarity(a: Column, b: Column, logit_scale: float = 100.0) -> Column:

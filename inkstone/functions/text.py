@@ -59,6 +59,13 @@ def csv_safe_text(c) -> Column:
     return F.replace(t, F.lit('"'), F.lit("'"))
 
 
+@cached
+def csv_safe_markup(c) -> Column:
+    """P4 for markup: apostrophes become character references first, so that the quote swap
+    cannot end an attribute value early and a document that parses still parses."""
+    return csv_safe_text(F.replace(_c(c), F.lit("'"), F.lit("&apos;")))
+
+
 @cached
 def truncate_prompt(c, max_chars: int = K.MAX_PROMPT_CHARS) -> Column:
     """P5: cut to ``max_chars`` and drop the last partial word (unchanged if no space)."""

@@ -35,9 +35,9 @@ def with_rarity_weight(df: DataFrame, prompt_col: str = "prompt", power: float =
 
 
 def draw_key(seed: int, cls, j):
-    """Row number hit by draw ``j`` of class ``cls``: first 32 bits of md5(seed|cls|j)."""
+    """Row number hit by draw ``j`` of class ``cls``: first 60 bits of md5(seed|cls|j)."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), cls.cast("string"), F.lit("|"), j.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
 
 
 def allot_draws(classes: list[tuple[float, int]], extra: int) -> list[int]:

@@ -151,7 +151,9 @@ def rank_checkpoints(scores: DataFrame, k: int = K.LEADERBOARD_KEEP, ckpt_col: s
 
 def last_n_versions(entries: DataFrame, n: int = K.LEADERBOARD_KEEP) -> DataFrame:
     """Per checkpoint name keep the path of the latest source; order by the numeric
-    suffix and keep the last n.  ``entries``: (name, path, source_rank)."""
+    suffix and keep the last n, ascending.  ``entries``: (name, path, source_rank); names
+    other than ``checkpoint-<number>`` are no checkpoints and are left out."""
+    entries = entries.filter(F.col("name").rlike(r"^checkpoint-\d+$"))
     latest = entries.groupBy("name").agg(F.max_by("path", "source_rank").alias("path"))
-    step = F.regexp_extract("name", r"-(\d+)$", 1).cast("long")
-    return latest.withColumn("step", step).orderBy(F.desc("step")).limit(n)
+    step = F.regexp_extract("name", r"-(\d+)$", 1).try_cast("long")
+    return latest.withColumn("step", step).orderBy(F.desc("step")).limit(n).orderBy("step")

@@ -1,7 +1,7 @@
 """Markup corpus jobs (M1-M12, F2-F4, F8, F6 as table jobs).
 
 Shred once, then stay relational: :func:`canonicalise` is the only Python leaf
-(``mapInPandas``, Arrow batches, scan-parallel, no shuffle).  Everything after
+(``mapInArrow``, Arrow batches, scan-parallel, no shuffle).  Everything after
 it is Catalyst: per-document statistics are array expressions on one row
 (:mod:`inkstone.functions.markup`), element tables come from ``posexplode``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,28 +21,36 @@ from inkstone.functions import text as TX
 from inkstone.operators.canon import canonical_markup
 
 
-def _with_string_column(df: DataFrame, out: str) -> T.StructType:
-    fields = [f for f in df.schema.fields if f.name != out]
-    return T.StructType(fields + [T.StructField(out, T.StringType(), False)])
+def with_canonical(df: DataFrame, out: str, variant: str, col: str, otherwise: str | None = None) -> DataFrame:
+    """M1: add ``out``, the canonical markup of ``col``, or of ``otherwise`` where that is unusable and
+    ``col`` is not blank; "" when neither is usable.
+
+    Other columns pass through as Arrow arrays, so no id or number changes on its way.
+    """
+    if variant not in ("train", "infer"):
+        raise ValueError("variant must be 'train' or 'infer'")
+    kept = [f for f in df.schema.fields if f.name != out]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(col).to_pylist()
+            made = [canonical_markup(x, variant) for x in texts]
+            if otherwise is not None:
+                spare = batch.column(otherwise).to_pylist()
+                made = [m or (canonical_markup(y, variant) if x and x.strip() else "") for m, x, y in zip(made, texts, spare)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(made, pa.string())], [*names, out])
+
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType(), False)]))
 
 
 def canonicalise(df: DataFrame, col: str, out: str = "markup_norm", variant: str = "train") -> DataFrame:
     """M1: canonical markup text of ``col`` in ``out`` ("" when unusable).
 
     Put cheap filters (e.g. :func:`length_filter`) *before* this call: Catalyst
-    does not push a filter below ``mapInPandas``.
+    does not push a filter below ``mapInArrow``.
     """
-    if variant not in ("train", "infer"):
-        raise ValueError("variant must be 'train' or 'infer'")
-    schema = _with_string_column(df, out)
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[out] = [canonical_markup(x, variant) for x in pdf[col]]
-            yield pdf[names]
-
-    return df.mapInPandas(run, schema)
+    return with_canonical(df, out, variant, col)
 
 
 def candidate_cleanup(df: DataFrame, col: str, out: str = "markup", rescale: bool = True) -> DataFrame:

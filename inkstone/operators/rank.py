@@ -8,17 +8,13 @@ the first candidate wins exactly as in a sequential argmax.
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkstone import constants as K
 from inkstone.functions import markup as MX
 from inkstone.functions import text as TX
-from inkstone.operators.canon import canonical_markup
+from inkstone.operators import markup as M
 from inkstone.operators.dedupe import dedupe_candidates
 
 RETRIEVAL_SEQ_BASE = 1_000_000
@@ -29,31 +25,15 @@ def clean_candidates(df: DataFrame, raw_col: str = "raw_text", mode: str = "gene
 
     ``generated``: extract the first markup block, then canonicalise (as for model
     output).  ``retrieved``: M12 — canonicalise the raw text, else the extracted
-    block.  One ``mapInPandas`` pass; extraction and rescale are Catalyst.
+    block.  One ``mapInArrow`` pass; extraction and rescale are Catalyst.
     """
     staged = df.withColumn("__ext", TX.extract_markup(raw_col))
-    fields = [f for f in staged.schema.fields if f.name not in ("__ext", "markup_canon")]
-    schema = T.StructType(fields + [T.StructField("markup_canon", T.StringType(), False)])
-    names = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for raw, ext in zip(pdf[raw_col], pdf["__ext"]):
-                if mode == "generated":
-                    out.append(canonical_markup(ext, "infer"))
-                elif raw is None or not str(raw).strip():
-                    out.append("")
-                else:
-                    first = canonical_markup(raw, "infer")
-                    out.append(first if first else canonical_markup(ext, "infer"))
-            pdf["markup_canon"] = out
-            yield pdf[names]
-
+    first = ("__ext", None) if mode == "generated" else (raw_col, "__ext")
+    canon = M.with_canonical(staged, "markup_canon", "infer", *first).drop("__ext")
     # parse the canonical text once: the bounds drive the rescale here and the
     # statistics are reused by score_candidates (rescaling only rewrites the root
     # viewBox, which holds no shape coordinates and no paint)
-    cleaned = MX.with_parsed(staged.mapInPandas(run, schema), "markup_canon", "__c_")
+    cleaned = MX.with_parsed(canon, "markup_canon", "__c_")
     cleaned = cleaned.withColumn("markup", MX.rescale_markup(F.col("markup_canon"), F.col("__c_bounds")))
     return cleaned.drop("__c_els", "__c_bounds", "__c_path_count")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as TX
@@ -12,7 +12,7 @@ def pending_rows(todo: DataFrame, done: DataFrame, id_col: str = "id") -> DataFr
     """rows of ``todo`` whose id (as string) is not in ``done``.  A left-anti join:
     AQE broadcasts ``done`` when it is small, else both sides shuffle on the id."""
     key = F.col(id_col).cast("string")
-    d = done.select(key.alias("__id")).distinct()
+    d = done.select(key.alias("__id"))  # an anti-join needs no distinct keys
     return todo.join(d, todo[id_col].cast("string") == d["__id"], "left_anti")
 
 
@@ -27,6 +27,20 @@ def latest_per_id(results: DataFrame, id_col: str = "id", order_col: str = "run_
     return results.groupBy(key.alias("__id")).agg(F.max_by(packed, F.col(order_col)).alias("__r")).select("__r.*")
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder that holds at least one Parquet file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def resume_batch(todo: DataFrame, job, results_path: str, id_col: str = "id", run_seq: int | None = None,
                  partition_col: str = "run_seq") -> DataFrame:
     """Run ``job`` on the rows not finished yet and append its output.
@@ -36,20 +50,19 @@ def resume_batch(todo: DataFrame, job, results_path: str, id_col: str = "id", ru
     if a run is repeated after a failure).  Returns all results, latest per id.
     """
     spark = todo.sparkSession
-    try:
-        done = spark.read.parquet(results_path)
-        prev = done.agg(F.max(partition_col)).collect()[0][0]
-    except Exception:  # no earlier results yet
-        done, prev = None, None
+    # only a folder without data files means "no earlier results"; an unreadable file is an error
+    done = spark.read.parquet(results_path) if has_data(spark, results_path) else None
+    prev = done.agg(F.max(partition_col)).collect()[0][0] if done is not None else None
     seq = run_seq if run_seq is not None else (0 if prev is None else int(prev) + 1)
     if done is not None:
         # a repeated run rewrites its own partition: its earlier output is not "finished"
         done = done.filter(F.col(partition_col) != seq)
     rest = pending_rows(todo, done, id_col) if done is not None else todo
     out = job(rest).withColumn(partition_col, F.lit(seq))
+    schema = out.schema if done is None else done.schema  # a first run without rows writes no file to infer from
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(results_path))
-    return latest_per_id(spark.read.parquet(results_path), id_col, partition_col)
+    return latest_per_id(spark.read.schema(schema).parquet(results_path), id_col, partition_col)
 
 
 def coverage_guard(test: DataFrame, results: DataFrame, id_col: str = "id", prompt_col: str = "prompt",

@@ -99,7 +99,7 @@ def ranking_job(spark: SparkSession, candidates: DataFrame, test: DataFrame, out
     res = (res.withColumn("__els", MX.parse_elements("svg")).withColumn("svg", MX.rescaled_from("svg", "__els"))
               .drop("__els"))                                                    # M10
     safe = M.safety_pass(res, "svg")                                             # F8, before quoting
-    safe = safe.withColumn("svg", TX.csv_safe_text("svg"))                       # P4
+    safe = safe.withColumn("svg", TX.csv_safe_markup("svg"))                     # P4
     covered = RS.coverage_guard(test.withColumnRenamed("prompt_id", "id"), safe, "id", "prompt", "svg")  # J8
     base = out_dir.rstrip("/")
     IO.write_submission(covered, f"{base}/submission")

@@ -70,16 +70,14 @@ SELECT doc_id, lang, {R.clean('text')} AS t FROM documents"""
 
 _DOC_DEDUPED = f"""
 WITH c AS ({_DOC_CLEAN}),
-f AS (SELECT * FROM c WHERE length(t) BETWEEN {K.MIN_MARKUP_CHARS} AND {K.MAX_MARKUP_CHARS}),
-k AS (SELECT *, row_number() OVER (PARTITION BY {R.norm('t')} ORDER BY doc_id) AS rn FROM f)
+k AS (SELECT *, row_number() OVER (PARTITION BY {R.norm('t')} ORDER BY doc_id) AS rn FROM c)
 SELECT doc_id, lang, t FROM k WHERE rn = 1"""
 
 
 def _doc_deduped(spark, sf):
-    """Clean, F1, then D1 on the normalised text.  Only (id, lang, length, text hash)
+    """Clean, then D1 on the normalised text.  Only (id, lang, length, text hash)
     travel through the dedupe shuffle, never the text itself."""
     d = docs(spark, sf).select("doc_id", "lang", TX.clean_prompt("text").alias("t"))
-    d = d.filter((F.length("t") >= K.MIN_MARKUP_CHARS) & (F.length("t") <= K.MAX_MARKUP_CHARS))
     d = d.select("doc_id", "lang", F.length("t").cast("long").alias("len"),
                  F.sha2(TX.prompt_norm("t"), 256).alias("t_hash"))
     return dedupe_pairs(d, ["t_hash"], "doc_id").drop("t_hash")
@@ -92,7 +90,7 @@ SELECT lang, count(*) AS rows, {r6('avg(length(t))')} AS mean_chars,
        {r6('quantile_cont(length(t), 0.95)')} AS p95_chars, {big('max(length(t))')} AS max_chars
 FROM d GROUP BY lang""")
 def corpus_profile(spark, sf):
-    """P1 clean -> F1 length filter -> P2 + D1 dedupe -> P3 lengths -> A1 profile per language."""
+    """P1 clean -> P2 + D1 dedupe -> P3 lengths -> A1 profile per language."""
     return finish(P.length_profile(_doc_deduped(spark, sf), "len", ["lang"]))
 
 
@@ -606,7 +604,7 @@ fl AS (SELECT *, CAST(floor(share) AS BIGINT) AS base, share - floor(share) AS r
 al AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, weight DESC, c) <=
                                (SELECT extra FROM tot) - sum(base) OVER () THEN 1 ELSE 0 END AS draws FROM fl),
 dr AS (SELECT c, nc, start, unnest(range(0, draws)) AS j FROM al WHERE draws > 0),
-hit AS (SELECT start + CAST(('0x' || substr(md5('{K.SEED}|' || c || '|' || j), 1, 8)) AS BIGINT) % nc AS g FROM dr),
+hit AS (SELECT start + CAST(('0x' || substr(md5('{K.SEED}|' || c || '|' || j), 1, 15)) AS BIGINT) % nc AS g FROM dr),
 idx AS (SELECT id, row_number() OVER (ORDER BY weight, id) - 1 AS g FROM w)
 """
 
@@ -1248,13 +1246,13 @@ fo AS (SELECT id, CASE WHEN fb THEN fbm ELSE markup END AS svg FROM fst),
 st2 AS (SELECT id, svg, {R.paint_stats_cols('svg')} FROM fo),
 vd AS (SELECT id, svg, coalesce({R.validity('svg', 'drawable_count', 'visible_paint_count')}, false) AS valid FROM st2)
 SELECT id, NOT valid AS replaced,
-       md5({_csv_safe_sql(f"CASE WHEN valid THEN svg ELSE {R.q(K.SAFETY_MARKUP)} END")}) AS svg_md5 FROM vd""")
+       md5({_csv_safe_sql(f"replace(CASE WHEN valid THEN svg ELSE {R.q(K.SAFETY_MARKUP)} END, chr(39), '&apos;')")}) AS svg_md5 FROM vd""")
 def delivery(spark, sf):
     """Job E: ranked results -> M10 rescale -> F8 safety pass (validity before quoting) -> P4 CSV-safe text."""
     res = _ranked(spark, sf).select("id", "svg")
     res = res.withColumn("__els", MX.parse_elements("svg")).withColumn("svg", MX.rescaled_from("svg", "__els")).drop("__els")
     safe = M.safety_pass(res, "svg")
-    return finish(safe.select("id", "replaced", F.md5(TX.csv_safe_text("svg")).alias("svg_md5")))
+    return finish(safe.select("id", "replaced", F.md5(TX.csv_safe_markup("svg")).alias("svg_md5")))
 
 
 @query("resume_batch", f"""

@@ -16,25 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkstone.operators.resume import dedupe_in_batch, latest_per_id, pending_rows
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from inkstone.operators.resume import dedupe_in_batch, has_data, latest_per_id, pending_rows
 
 
 def resume_stream(spark: SparkSession, source_dir: str, schema: T.StructType, job: Callable[[DataFrame], DataFrame],
                   sink_dir: str, checkpoint_location: str, id_col: str = "id",
-                  max_files_per_trigger: int = 1) -> DataFrame:
+                  max_files_per_trigger: int | None = None, order_col: str | None = None) -> DataFrame:
     """Run ``job`` over every file in ``source_dir`` not processed yet; return all results
     (latest per id).  ``trigger(availableNow=True)`` processes what is there and stops,
-    so a restart resumes from the checkpoint without redoing finished rows."""
+    so a restart resumes from the checkpoint without redoing finished rows.
+    ``order_col`` says which row of an id a batch keeps (the first); without it the rows
+    of an id must be equal.  ``max_files_per_trigger`` bounds a micro-batch (default: all files).
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_in_batch(batch, id_col)
-        if _exists(spark, sink_dir):
+        rows = dedupe_in_batch(batch, id_col, order_col)
+        if has_data(spark, sink_dir):
             # a replayed batch must not count its own earlier (partial) output as
             # finished: that partition is about to be overwritten
             done = spark.read.parquet(sink_dir).filter(F.col("run_seq") != int(batch_id)).select(id_col)
@@ -43,10 +40,14 @@ def resume_stream(spark: SparkSession, source_dir: str, schema: T.StructType, jo
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_seq").parquet(sink_dir))
 
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     query = (stream.writeStream.foreachBatch(process)
              .option("checkpointLocation", checkpoint_location)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    if not has_data(spark, sink_dir):  # nothing arrived yet
+        return job(spark.createDataFrame([], schema)).limit(0)
     return latest_per_id(spark.read.parquet(sink_dir), id_col, "run_seq").drop("run_seq")

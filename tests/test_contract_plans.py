@@ -24,10 +24,18 @@ def test_filter_below_python_leaf(spark):
     from inkstone.plans.corpus import prepare_corpus
     from inkstone.sources import standins as S
     p = prepare_corpus(S.markup_pairs(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
-    leaf = p.index("MapInPandas")
+    leaf = p.index("MapInArrow")
     assert p.index("Filter", leaf) > leaf        # the length filter sits below (after, in tree text) the leaf
 
 
+def test_leaf_keeps_ids(spark):
+    from inkstone.operators.markup import canonicalise
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, "<svg><rect width='1' height='1' fill='red'/></svg>"), (None, "x")], "id bigint, t string")
+    out = canonicalise(df, "t", "m")
+    assert {r.id for r in out.collect()} == {big, None}  # a null beside it does not round the id
+
+
 def test_markup_stats_has_no_shuffle(spark):
     txt = plan(G.QUERIES["markup_stats"](spark, SF_SMALL))
     assert "Exchange" not in txt
@@ -45,7 +53,7 @@ def test_dedupe_is_partial_aggregate(spark):
 
 def test_rank_runs_the_leaf_once_per_input(spark):
     txt = plan(G.QUERIES["rank_candidates"](spark, SF_SMALL))
-    assert txt.count("MapInPandas") == 2          # generated candidates + retrieval corpus
+    assert txt.count("MapInArrow") == 2          # generated candidates + retrieval corpus
 
 
 def test_global_index_dense_and_ordered(spark):
@@ -58,7 +66,7 @@ def test_global_index_dense_and_ordered(spark):
 
 
 def test_one_leaf_in_corpus_job(spark):
-    assert plan(G.QUERIES["prepare_corpus"](spark, SF_SMALL)).count("MapInPandas") == 1
+    assert plan(G.QUERIES["prepare_corpus"](spark, SF_SMALL)).count("MapInArrow") == 1
 
 
 def test_positions_independent_of_partitioning(spark):
