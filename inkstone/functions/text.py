@@ -61,7 +61,7 @@ def csv_safe_text(c) -> Column:
 
 @cached
 def csv_safe_markup(c) -> Column:
-    """P4 for markup: apostrophes become character references first, so that the quote swap
+    """P4 for canonical markup (attribute values in double quotes): apostrophes become character references first, so that the quote swap
     cannot end an attribute value early and a document that parses still parses."""
     return csv_safe_text(F.replace(_c(c), F.lit("'"), F.lit("&apos;")))
 

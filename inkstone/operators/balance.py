@@ -58,7 +58,7 @@ def allot_draws(classes: list[tuple[float, int]], extra: int) -> list[int]:
 
 
 def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str = "id",
-                        factor: float = K.OVERSAMPLE_FACTOR, seed: int = K.SEED) -> DataFrame:
+                        factor: float = K.OVERSAMPLE_FACTOR, seed: int = K.SEED, prompt_col: str | None = None) -> DataFrame:
     """floor(factor * n) extra rows drawn with replacement, probability ~ weight.
 
     Exact count and deterministic: draws are allotted to weight classes by mass,
@@ -69,11 +69,15 @@ def weighted_oversample(df: DataFrame, weight_col: str = "weight", id_col: str =
     a whole class and the wide rows are never checkpointed.  A row drawn many
     times is a skewed join key, which AQE's skew-join handling splits.  Returns
     only the extra rows, each with its draw number ``draw``; union them with the
-    input for the balanced frame.
+    input for the balanced frame.  With ``prompt_col`` given, a frame in which no
+    prompt holds a colour word gets no extra rows.
     """
     # the weight-class table (<= 15 rows) also gives n: one pass, no separate count
     cls_rows = df.groupBy(weight_col).agg(F.count(F.lit(1)).alias("n")).orderBy(weight_col).collect()
     classes = [(float(r[weight_col]), int(r["n"])) for r in cls_rows]
+    if prompt_col is not None and {w for w, _ in classes} <= {1.0}:  # perhaps no prompt has a colour
+        if df.filter(F.size(TX.color_tokens_literal(F.col(prompt_col))) > 0).isEmpty():
+            return df.limit(0).withColumn("draw", F.lit(None).cast("long"))
     n = sum(c for _, c in classes)
     extra = int(n * factor)
     if factor <= 0 or extra < 1:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from inkstone.session import checkpoint_dir
 
 
+def sized_partitions(df: DataFrame, target_bytes: int = 128 << 20) -> int:
+    """Partitions for a shuffle of about all that ``df`` reads: the known sizes of its inputs over
+    ``target_bytes``, and at least ``spark.sql.shuffle.partitions``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-sum(s for s in sizes if s < 1 << 60) // target_bytes))  # an unknown size is 2 ** 63 - 1
+
+
 def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partitions: int | None = None,
                       return_count: bool = False):
     """H1: 0-based position of every row in the total order ``order_cols``.
@@ -20,7 +29,7 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partit
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = int(partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(partitions or sized_partitions(df))
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__mid", F.monotonically_increasing_id()))

@@ -44,16 +44,19 @@ def training_rows_job(spark: SparkSession, pairs: DataFrame, out_dir: str, stage
     train = split.filter(F.col("split") == "train")
     evals = split.filter(F.col("split") == "eval")
     weighted = with_rarity_weight(train, "prompt")
-    extra = weighted_oversample(weighted, "weight", "id", factor=oversample_factor)
+    extra = weighted_oversample(weighted, "weight", "id", factor=oversample_factor, prompt_col="prompt")
     balanced = weighted.withColumn("draw", F.lit(-1).cast("long")).unionByName(extra)   # D3
     # Whole-frame shuffle; the draw number keeps repeated ids distinct and the order reproducible
     keyed = balanced.withColumn("__key", F.concat_ws("|", "id", F.col("draw").cast("string")))
-    train_rows = seeded_shuffle(keyed, "__key").drop("__key", "draw").withColumn("split", F.lit("train"))
-    rows = train_rows.select("id", "prompt", "svg_norm", "split").unionByName(evals.select("id", "prompt", "svg_norm", "split"))
+    train_rows = seeded_shuffle(keyed, "__key").withColumn("split", F.lit("train"))
+    # the shuffled position is written with each row: readers restore the order by it
+    rows = train_rows.select("id", "prompt", "svg_norm", "split", F.col("idx").alias("position")).unionByName(
+        evals.select("id", "prompt", "svg_norm", "split", F.lit(None).cast("long").alias("position")))
+    rows = rows.repartitionByRange("split", "position", "id").sortWithinPartitions("split", "position", "id")
 
     def build():
         msgs = chat_messages(F.col("prompt"), F.col("svg_norm"))
-        return rows.select("id", "split", sft_text(msgs).alias("text")).withColumn("text_length", F.length("text"))
+        return rows.select("id", "split", "position", sft_text(msgs).alias("text")).withColumn("text_length", F.length("text"))
 
     cache_root = f"{out_dir.rstrip('/')}/sft"
     IO.dataset_cache(spark, build, cache_root, stage)
@@ -99,8 +102,8 @@ def ranking_job(spark: SparkSession, candidates: DataFrame, test: DataFrame, out
     res = (res.withColumn("__els", MX.parse_elements("svg")).withColumn("svg", MX.rescaled_from("svg", "__els"))
               .drop("__els"))                                                    # M10
     safe = M.safety_pass(res, "svg")                                             # F8, before quoting
-    safe = safe.withColumn("svg", TX.csv_safe_markup("svg"))                     # P4
     covered = RS.coverage_guard(test.withColumnRenamed("prompt_id", "id"), safe, "id", "prompt", "svg")  # J8
+    covered = covered.withColumn("svg", TX.csv_safe_markup("svg"))               # P4, fallback rows too
     base = out_dir.rstrip("/")
     IO.write_submission(covered, f"{base}/submission")
     IO.write_audit(audit.drop("svg"), f"{base}/audit")

@@ -616,7 +616,7 @@ def weighted_oversample_q(spark, sf):
     """floor(0.3 n) extra train rows drawn by rarity weight; copies per id."""
     train = _split(spark, sf).filter(F.col("split") == "train")
     w = with_rarity_weight(train, "prompt")
-    extra = weighted_oversample(w, "weight", "id")
+    extra = weighted_oversample(w, "weight", "id", prompt_col="prompt")
     return finish(extra.groupBy("id").agg(F.count(F.lit(1)).alias("copies")))
 
 
@@ -1133,9 +1133,10 @@ def last_n_versions(spark, sf):
 from inkstone.operators import sft as SFT  # noqa: E402
 
 _MARKER = [ord(c) for c in SFT.RESPONSE_MARKER]
-_MAXLEN = 1024
+_MAXLEN = 1 << 20   # above the longest row: nothing is cut
+_SHORT = 256         # the same job with a limit that cuts most rows
 _SYS = R.q(K.SYSTEM_PROMPT)
-_SFT_SQL = f"""
+_SFT_SQL_OF = f"""
 pp AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS answer
        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
        WHERE u.role = 'user' AND a.role = 'assistant'),
@@ -1144,13 +1145,19 @@ tx AS (SELECT *, '<|im_start|>system' || chr(10) || {_SYS} || '<|im_end|>' || ch
                  AS text FROM pp),
 tk AS (SELECT *, list_transform(string_split(text, ''), lambda c: unicode(c)) AS toks,
               (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id FROM tx),
-tr AS (SELECT *, toks[1:{_MAXLEN}] AS ids FROM tk),
+tr AS (SELECT *, toks[1:@LIMIT@] AS ids FROM tk),
 ln AS (SELECT *, len(ids) AS seq_len, max(len(ids)) OVER (PARTITION BY batch_id) AS padded_len,
               coalesce(list_filter(range(0, greatest(len(ids) - {len(_MARKER)} + 1, 0)),
                   lambda i: ids[i + 1] = {_MARKER[0]} AND ids[i + 1:i + {len(_MARKER)}] = {_MARKER})[1], -1) AS marker_start
        FROM tr),
 lb AS (SELECT *, list_transform(range(0, seq_len), lambda i: CASE WHEN marker_start < 0 OR i < marker_start + {len(_MARKER)}
               THEN {K.IGNORE_INDEX} ELSE ids[i + 1] END) AS labels FROM ln)"""
+_SFT_SQL = _SFT_SQL_OF.replace("@LIMIT@", str(_MAXLEN))
+_SFT_SHORT_SQL = _SFT_SQL_OF.replace("@LIMIT@", str(_SHORT))
+_ROW_ARRAYS = f"""SELECT conv_id, turn, seq_len, padded_len, marker_start,
+       md5(array_to_string(ids, ',') || repeat(',0', CAST(padded_len - seq_len AS BIGINT))) AS input_md5,
+       md5(substr(repeat(',1', CAST(seq_len AS BIGINT)) || repeat(',0', CAST(padded_len - seq_len AS BIGINT)), 2)) AS mask_md5,
+       md5(array_to_string(labels, ',') || repeat(',{K.IGNORE_INDEX}', CAST(padded_len - seq_len AS BIGINT))) AS labels_md5 FROM lb"""
 
 
 def _sft_rows(spark, sf):
@@ -1174,7 +1181,7 @@ SELECT conv_id, turn, batch_id, seq_len, padded_len, marker_start,
        CAST(len(list_filter(labels, lambda x: x <> {K.IGNORE_INDEX})) AS BIGINT) AS n_labels,
        md5(array_to_string(labels, ',')) AS labels_md5 FROM lb""")
 def response_mask(spark, sf):
-    """L1 marker search, L2 response-only labels, L3 truncation to 1024 and batch padding."""
+    """L1 marker search, L2 response-only labels, L3 batch padding over whole rows."""
     t = _sft_rows(spark, sf)
     m = SFT.response_mask(t, "toks", _MARKER, _MAXLEN, "batch_id")
     lab = F.slice("labels", 1, F.col("seq_len"))
@@ -1183,6 +1190,25 @@ def response_mask(spark, sf):
                            F.md5(F.array_join(lab, ",")).alias("labels_md5")))
 
 
+def _row_arrays(spark, sf, limit):
+    m = SFT.response_mask(_sft_rows(spark, sf), "toks", _MARKER, limit, "batch_id")
+    joined = lambda c: F.md5(F.array_join(c, ","))
+    return finish(m.select("conv_id", "turn", "seq_len", "padded_len", "marker_start", joined("input_ids").alias("input_md5"),
+                           joined("attention_mask").alias("mask_md5"), joined("labels").alias("labels_md5")))
+
+
+@query("training_arrays", f"WITH {_SFT_SQL} {_ROW_ARRAYS}")
+def training_arrays(spark, sf):
+    """L2 + L3: padded input_ids, attention_mask and labels of whole rows."""
+    return _row_arrays(spark, sf, _MAXLEN)
+
+
+@query("training_arrays_short", f"WITH {_SFT_SHORT_SQL} {_ROW_ARRAYS}")
+def training_arrays_short(spark, sf):
+    """L3: the same arrays with a limit of 256 tokens, which cuts rows (some before the marker)."""
+    return _row_arrays(spark, sf, _SHORT)
+
+
 # ===================================================================== sources, sinks, delivery, resume
 from inkstone.sources import io as IO  # noqa: E402
 from inkstone.operators import resume as RS  # noqa: E402
