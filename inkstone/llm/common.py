@@ -82,13 +82,6 @@ def salted_join(rows: DataFrame, wide: DataFrame, counts: DataFrame, key: str, c
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
-def sized_parts(df: DataFrame, target_bytes: int = 128 << 20) -> int:
-    """Partitions for a shuffle of about all of ``df``: its size by the optimizer over ``target_bytes``,
-    and at least ``spark.sql.shuffle.partitions`` (alone, where the optimizer knows no size)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(parts(df.sparkSession), -(-size // target_bytes) if size < 1 << 50 else 0)
-
-
 def store(uri: str):
     """(file system, path) of a folder that executors share, for files that Spark has no writer for."""
     import re

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import id_column, materialise, sized_parts, store, text_chunks
+from inkstone.llm.common import id_column, store, text_chunks
+from inkstone.operators.index import sized_partitions
 from inkstone.sources.io import scratch_path
 
 MAGIC = b"IDZSTD01"
@@ -151,7 +152,7 @@ def write(df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = No
     fs.create_dir(f"{folder}/data", recursive=True)
     with fs.open_output_stream(f"{folder}/dictionary") as out:
         out.write(dictionary)
-    n = sized_parts(df)
+    n = sized_partitions(df)
     bounds = df.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
