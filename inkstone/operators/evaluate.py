@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkstone import constants as K
 from inkstone.functions import image as IM
@@ -55,25 +56,35 @@ def tag_count_align_maps(df: DataFrame, key_cols: list, a: str, b: str) -> DataF
                       F.coalesce(F.try_element_at(F.col(b), F.col("tag")), F.lit(0)).alias("n_b"))
 
 
-def pred_vs_ref(preds: DataFrame, refs: DataFrame, id_col: str = "id") -> DataFrame:
-    """Pair each prediction with its reference row (inner join on id)."""
-    return preds.join(refs, id_col, "inner")
+def pred_vs_ref(preds: DataFrame, refs: DataFrame, id_col: str = "id", ckpt_col: str = "checkpoint",
+                checkpoints: DataFrame | None = None) -> DataFrame:
+    """One row per listed checkpoint and reference, with its prediction or nulls.
+
+    ``checkpoints`` lists the checkpoints (by default those that predict anything): a
+    short list, read to the driver and unfolded over the references, so the pairing is
+    one equi-join on (checkpoint, id).
+    """
+    listed = (checkpoints if checkpoints is not None else preds).select(ckpt_col).distinct()
+    names = listed.schema[0].dataType
+    wanted = refs.withColumn(ckpt_col, F.explode(F.lit(sorted(r[0] for r in listed.filter(F.col(ckpt_col).isNotNull()).collect()))
+                                                 .cast(T.ArrayType(names))))
+    return wanted.join(preds, [ckpt_col, id_col], "left")
 
 
 def evaluate_predictions(preds: DataFrame, refs: DataFrame, pred_images: DataFrame | None = None,
                          ref_images: DataFrame | None = None, width: int = 8,
-                         id_col: str = "id", ckpt_col: str = "checkpoint") -> DataFrame:
+                         id_col: str = "id", ckpt_col: str = "checkpoint", checkpoints: DataFrame | None = None) -> DataFrame:
     """Extract -> canonicalise -> validity -> metrics for valid rows (null otherwise).
 
     ``preds``: (checkpoint, id, raw_text); ``refs``: (id, prompt, reference_svg) with
     canonical reference markup; images: (checkpoint, id, pixels) and (id, pixels),
     gray row-major arrays.  A row without images keeps its markup metrics null, as a
-    failed render does.
+    failed render does; a reference without a prediction is an invalid row with empty markup.
     """
     p = preds.withColumn("__x", TX.extract_markup("raw_text"))
     p = M.canonicalise(p, "__x", "svg", variant="train").drop("__x")
     p = MX.with_parsed(p, "svg", "__p_")
-    j = pred_vs_ref(p, refs, id_col)
+    j = pred_vs_ref(p, refs, id_col, ckpt_col, checkpoints).withColumn("svg", F.coalesce("svg", F.lit("")))
     if pred_images is not None and ref_images is not None:
         j = (j.join(pred_images.select(ckpt_col, id_col, F.col("pixels").alias("__pi")), [ckpt_col, id_col], "left")
               .join(ref_images.select(id_col, F.col("pixels").alias("__ri")), id_col, "left"))
@@ -98,7 +109,7 @@ def evaluate_predictions(preds: DataFrame, refs: DataFrame, pred_images: DataFra
 
     return j.select(
         ckpt_col, id_col, "prompt", valid.alias("valid"), F.length("svg").alias("svg_chars"),
-        TX.preview(F.col("raw_text"), 240).alias("raw_preview"),
+        TX.preview(F.coalesce("raw_text", F.lit("")), 240).alias("raw_preview"),
         gated(F.col("__visual")).alias("visual_proxy"), gated(F.col("__ssim")).alias("ssim_proxy"),
         gated(F.col("__edge")).alias("edge_f1_proxy"), gated(F.col("__struct")).alias("structural_proxy"),
         gated(F.col("__compact")).alias("compactness_proxy"), gated(F.col("__mae")).alias("render_mae"),

@@ -73,7 +73,7 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
     """Job C.  ``references``: (id, prompt, reference_svg) canonical markup."""
     import time
     started = time.time()
-    rows = EV.evaluate_predictions(predictions, references, pred_images, ref_images, width)
+    rows = EV.evaluate_predictions(predictions, references, pred_images, ref_images, width, checkpoints=checkpoints)
     rows = rows.checkpoint(eager=True)                       # reused three times below
     listed = checkpoints if checkpoints is not None else predictions.select("checkpoint").distinct()
     scores = EV.checkpoint_scores(listed, rows)

@@ -980,7 +980,9 @@ ref AS (SELECT id, prompt, expected_norm AS reference_svg FROM refp WHERE length
 st AS (SELECT pr0.checkpoint, pr0.id, pr0.raw_text, pr0.expected_svg AS svg, {R.paint_stats_cols('pr0.expected_svg')}
        FROM pr0),
 va AS (SELECT *, coalesce({R.validity('svg', 'drawable_count', 'visible_paint_count')}, false) AS valid FROM st),
-jr AS (SELECT va.*, ref.prompt, ref.reference_svg FROM va JOIN ref ON va.id = ref.id),
+ck AS (SELECT DISTINCT checkpoint FROM pr0),
+jr AS (SELECT ck.checkpoint, ref.id, coalesce(va.svg, '') AS svg, coalesce(va.valid, false) AS valid, ref.prompt, ref.reference_svg
+       FROM ref CROSS JOIN ck LEFT JOIN va ON va.id = ref.id AND va.checkpoint = ck.checkpoint),
 {_PAIRS_IMG},
 ji AS (SELECT jr.*, pr.a, pr.b FROM jr LEFT JOIN pr ON pr.checkpoint = jr.checkpoint AND pr.id = jr.id),
 tg AS (SELECT *, list_transform({R.start_tags('svg')}, lambda e: {R.tag_name('e')}) AS ta,
