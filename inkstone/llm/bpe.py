@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import text_chunks
+from inkstone.llm.common import text_runs
 
 # FIXED VALUE: first code point of the byte mapping (letters without normal forms of their own here)
 BYTE_BASE = 0x100
@@ -98,10 +98,9 @@ def encoder(model: bytes, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Encoder(model, pattern)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.to_pylist()]
             out: list[bytes] = []
-            for a, b in text_chunks(texts):
-                out += own.encode(texts[a:b])
+            for _, _, texts in text_runs(batch):
+                out += own.encode([t.decode() for t in texts])
             yield pa.array(out, pa.binary())
     return encode
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,16 +92,33 @@ def store(uri: str):
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri if ":" in uri else f"file://{uri}"))
 
 
-def text_chunks(texts, limit: int = 1 << 20):
-    """Cut a list of bytes into runs (start, end) of about ``limit`` bytes, whole texts each."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_runs(texts, limit: int = 1 << 20):
+    """Cut an Arrow array of texts into runs (start, end, [bytes]) of about ``limit`` bytes, whole texts
+    each; null is empty.  Only one run at a time exists as Python objects."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data = texts.cast(pa.binary())
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(data):
+        done = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+        yield start, end, [t or b"" for t in data.slice(start, end - start).to_pylist()]
+        start = end
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Within the block Spark hands Python workers at most ``rows`` rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def thinned(rows: DataFrame, keys: DataFrame, column: str, bits: int = 24) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import attach, discard, id_column, materialise, salted_join, text_chunks, thinned
+from inkstone.llm.common import arrow_rows, attach, discard, id_column, materialise, salted_join, text_runs, thinned
 from inkstone.llm.components import components
 
 # Cost model of the allocation: chance that two unrelated documents agree on a given shingle, cost
@@ -208,9 +208,8 @@ def _signatures(df: DataFrame, words: int, num: int, den: int, merged: int | Non
 
         signer = Signer(num, den, dict(schemes))
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for a, b in text_chunks(texts):
-                sets = shingle_sets(texts[a:b], words)
+            for a, b, texts in text_runs(batch.column(1)):
+                sets = shingle_sets(texts, words)
                 keys = [signer.keys(s) for s in sets]
                 own = [signer.band_of(len(s)) if len(s) else -1 for s in sets]
                 longs = pa.list_(pa.int64())
@@ -245,9 +244,9 @@ def _verify(pairs: DataFrame, df: DataFrame, words: int) -> DataFrame:
     @F.arrow_udf("binary")
     def blob(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, out = [t or b"" for t in batch.cast(pa.binary()).to_pylist()], []
-            for x, y in text_chunks(texts):
-                out += [s.tobytes() for s in shingle_sets(texts[x:y], words)]
+            out = []
+            for _, _, texts in text_runs(batch):
+                out += [s.tobytes() for s in shingle_sets(texts, words)]
             yield pa.array(out, pa.binary())
 
     @F.arrow_udf("double")
@@ -265,11 +264,13 @@ def _verify(pairs: DataFrame, df: DataFrame, words: int) -> DataFrame:
 
     wanted = materialise(wanted, "wanted")
     rows = thinned(df, wanted, "doc_id").join(wanted, "doc_id", "left_semi")
-    sets = materialise(rows.select("doc_id", blob("text").alias("set")), "sets")
+    with arrow_rows(df.sparkSession):
+        sets = materialise(rows.select("doc_id", blob("text").alias("set")), "sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}"))
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     both = salted_join(pairs.join(side("b"), "b"), side("a"), counts, "a", "n", pairs.count(), ["b"])
-    return materialise(both.select("a", "b", distance("set_a", "set_b").alias("distance")), "distances")
+    with arrow_rows(df.sparkSession):
+        return materialise(both.select("a", "b", distance("set_a", "set_b").alias("distance")), "distances")
 
 
 def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id",
@@ -277,7 +278,8 @@ def jaccard_components(df: DataFrame, words: int = 5, num: int = 8, den: int = 1
     """(doc_id, n_shingles, component_id) of every row; sets link when their Jaccard similarity is at
     least num / den.  ``merged`` fixes the number of merged segments of all bands (for tests)."""
     df = df.select(id_column(df, id_col).cast("long").alias("doc_id"), id_column(df, text_col).alias("text"))
-    signed = materialise(_signatures(df, words, num, den, merged), "signatures")
+    with arrow_rows(df.sparkSession):
+        signed = materialise(_signatures(df, words, num, den, merged), "signatures")
     narrow = signed.select("doc_id", "n_shingles", "digest").filter("doc_id IS NOT NULL AND n_shingles > 0")
     total = narrow.count()
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import id_column, materialise
+from inkstone.llm.common import arrow_rows, id_column, materialise, text_runs
 from inkstone.llm.quality import CLASSES, byte_classes
 
 SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 10_000, 400, 5
@@ -178,11 +178,9 @@ def memberships(model: Model):
         table = byte_classes()
         for batch in batches:
             words, out = [], []
-            texts = [t or b"" for t in batch.cast(pa.binary()).to_pylist()]
-            for a in range(0, len(texts), 500):
-                found = [model.features(t, table) for t in texts[a:a + 500]]
-                words += [len(t.split()) for t in texts[a:a + 500]]
-                out += model.posteriors(found).tolist()
+            for _, _, texts in text_runs(batch):
+                words += [len(t.split()) for t in texts]
+                out += model.posteriors([model.features(t, table) for t in texts]).tolist()
             yield pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(out, pa.list_(pa.float64()))],
                                              names=["words", "posterior"])
     return score
@@ -243,7 +241,9 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict, budget: float | None =
                              F.lit(NO_DOMAIN).alias("domain"), F.array(F.lit(1.0)).alias("posterior"), F.lit(1.0).alias("rate"),
                              F.lit(1).alias("copies"))
     score = memberships(model)
-    history, _ = fit_rates(materialise(plain.select(score("text").alias("m")), "memberships"), model.domains, weights, budget, max_rate)
+    with arrow_rows(df.sparkSession):
+        members = materialise(plain.select(score("text").alias("m")), "memberships")
+    history, _ = fit_rates(members, model.domains, weights, budget, max_rate)
     scored = packed.withColumn("m", score("text")).withColumn("rate", rate_column(F.col("m"), history, max_rate))
     u = F.lit(0.5) if draw == "nearest" else F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 53)) / float(1 << 53)
     names = F.array(*[F.lit(d) for d in model.domains])

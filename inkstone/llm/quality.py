@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import id_column, text_chunks
+from inkstone.llm.common import id_column, text_runs
 
 COMMON_WORDS, SHORT_WORD = 100, 6
 MIN_SHARE, MIN_REFERENCE_WORDS = 1 / 1000, 2000
@@ -71,11 +71,13 @@ def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
                                               ["lang", "class", "word", "n"])
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                found = (text or b"").lower().split()
-                classes[lang] += np.bincount(table[np.frombuffer(text or b"", np.uint8)], minlength=CLASSES + 1)[:CLASSES]
-                totals[lang] += len(found)
-                words[lang].update(w for w in found if len(w) <= SHORT_WORD)
+            langs = batch.column(1).to_pylist()
+            for a, _, texts in text_runs(batch.column(0)):
+                for lang, text in zip(langs[a:], texts):
+                    found = text.lower().split()
+                    classes[lang] += np.bincount(table[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
+                    totals[lang] += len(found)
+                    words[lang].update(w for w in found if len(w) <= SHORT_WORD)
             if sum(map(len, words.values())) > 200_000:
                 yield rows([(k, None, w, n) for k, c in words.items() for w, n in c.items()])
                 words.clear()
@@ -200,8 +202,8 @@ def scorer(references: dict):
 
         own = Scorer(references)
         for text, lang in batches:
-            texts, langs = [t or b"" for t in text.cast(pa.binary()).to_pylist()], lang.to_pylist()
-            runs = [own.score(texts[a:b], langs[a:b]) for a, b in text_chunks(texts)]
+            langs = lang.to_pylist()
+            runs = [own.score(texts, langs[a:b]) for a, b, texts in text_runs(text)]
             columns = [np.concatenate([r[i] for r in runs]) if runs else np.zeros(0) for i in range(len(fields))]
             yield pa.StructArray.from_arrays([pa.array(c, kinds[b], from_pandas=True) for c, (_, b) in zip(columns, fields)],
                                              names=[a for a, _ in fields])

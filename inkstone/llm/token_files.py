@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import id_column, store, text_chunks
+from inkstone.llm.common import id_column, store, text_runs
 from inkstone.operators.index import sized_partitions
 from inkstone.sources.io import scratch_path
 
@@ -164,11 +164,10 @@ def write(df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = No
         own, cuts = WordEncoder(tokenizer_json), np.array(bounds)
         pack = zstandard.ZstdCompressor(3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             keys = batch.column(0)
             ranges = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            for a, b in text_chunks(texts):
-                ids = own.encode(texts[a:b], end)
+            for a, b, texts in text_runs(batch.column(1)):
+                ids = own.encode(texts, end)
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(a, b - a), pa.array(ranges[a:b], pa.int32()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                      pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())],
