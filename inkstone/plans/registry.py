@@ -20,7 +20,7 @@ from inkstone.operators import markup as M
 from inkstone.operators import order as O
 from inkstone.operators import profile as P
 from inkstone.operators.balance import weighted_oversample, with_rarity_weight
-from inkstone.operators.dedupe import dedupe_pairs
+from inkstone.operators.dedupe import dedupe_pairs, union_frames
 from inkstone.operators.split import bucket_quota, eval_size, length_edges, stratified_split, with_length_bin, with_split_bucket
 from inkstone.plans import sqlref as R
 from inkstone.plans.corpus import prepare_corpus
@@ -1329,7 +1329,6 @@ bal AS (SELECT id FROM w UNION ALL SELECT idx.id FROM hit JOIN idx ON hit.g = id
 SELECT id, count(*) AS n FROM bal GROUP BY id""")
 def balanced_corpus(spark, sf):
     """D3 + D4: train rows united with their weighted extra copies; rows per id."""
-    from inkstone.operators.dedupe import union_frames
     train = _split(spark, sf).filter(F.col("split") == "train")
     w = with_rarity_weight(train, "prompt")
     bal = union_frames(w.select("id"), weighted_oversample(w, "weight", "id").select("id"))
@@ -1405,3 +1404,43 @@ for _name, _cols in _WIDEN.items():
 
 def registry() -> tuple[dict, dict]:
     return QUERIES, ORACLES
+
+
+# ===================================================================== sinks written and read back
+@query("submission_roundtrip", f"""WITH p AS ({_PAIRS})
+SELECT id, md5({_csv_safe_sql('raw_text')}) AS svg_md5 FROM p""")
+def submission_roundtrip(spark, sf):
+    """S3: the submission CSV of every pair, single-line and quote-safe (P4), written and read back."""
+    rows = S.markup_pairs(spark, sf, expected=True).select("id", TX.csv_safe_text("raw_text").alias("svg"))
+    path = IO.write_submission(rows, IO.scratch_path(spark, "submission"))
+    back = spark.read.schema("id string, svg string").option("header", True).option("escape", '"').csv(path)
+    return finish(back.select("id", F.md5("svg").alias("svg_md5")))
+
+
+@query("audit_roundtrip", "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+def audit_roundtrip(spark, sf):
+    """Audit rows (whole texts with quotes and newlines) written as CSV and JSON lines; the JSON copy read back."""
+    path = IO.write_audit(docs(spark, sf).select("doc_id", "lang", "source", "n_chars", "text"), IO.scratch_path(spark, "audit"))
+    back = spark.read.schema("doc_id long, lang string, source string, n_chars long, text string").json(path + "/json")
+    return finish(back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5")))
+
+
+@query("dataset_cache_reuse", "SELECT doc_id, CASE WHEN quality = 1 THEN 'train' ELSE 'eval' END AS split FROM labels")
+def dataset_cache_reuse(spark, sf):
+    """The first call builds and writes the dataset by split; the second finds it finished and builds nothing."""
+    root = IO.scratch_path(spark, "dataset-cache")
+    rows = S.load(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("eval").alias("split"))
+    IO.dataset_cache(spark, lambda: rows, root, "main")
+    return finish(IO.dataset_cache(spark, lambda: rows.limit(0), root, "main").select("doc_id", "split"))
+
+
+@query("resplit_union", f"""WITH {_SPLIT}
+SELECT id, split, CAST(1 AS BIGINT) AS n_before, CAST(1 AS BIGINT) AS n_after FROM split""")
+def resplit_union(spark, sf):
+    """Train and eval together hold each prepared row exactly once (rows counted on both sides, per id)."""
+    before = prepare_corpus(_pairs(spark, sf)).groupBy("id").agg(F.count(F.lit(1)).alias("n_before"))
+    split = _split(spark, sf)
+    after = union_frames(*[split.filter(F.col("split") == s) for s in ("train", "eval")]).groupBy("id").agg(
+        F.max("split").alias("split"), F.count(F.lit(1)).alias("n_after"))
+    both = before.join(after, "id", "full")
+    return finish(both.select("id", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")]))

@@ -84,3 +84,16 @@ def test_partitions_follow_the_input_size(spark):
     assert sized_partitions(df) == least and sized_partitions(df, 1 << 10) > 1000
     assert sized_partitions(df.join(df.withColumnRenamed("text", "t"), "doc_id"), 1 << 30) == least
     assert sized_partitions(spark.createDataFrame([(1,)], "a int")) == least
+
+
+def test_references_without_predictions_are_invalid_rows(spark):
+    svg = "<svg width='10' height='10'><rect width='9' height='9' fill='red'/><circle r='3' fill='blue'/></svg>"
+    refs = spark.createDataFrame([(i, "red square", svg) for i in "abc"], "id string, prompt string, reference_svg string")
+    preds = spark.createDataFrame([("c1", "a", svg), ("c2", "b", svg), ("c2", "zz", svg)], "checkpoint string, id string, raw_text string")
+    listed = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "checkpoint string")
+    out = {(r.checkpoint, r.id): r for r in EV.evaluate_predictions(preds, refs, checkpoints=listed).collect()}
+    assert set(out) == {(c, i) for c in ("c1", "c2", "c3") for i in "abc"}
+    assert {k for k, r in out.items() if r.valid} == {("c1", "a"), ("c2", "b")}
+    assert out["c3", "a"].svg_chars == 0 and out["c3", "a"].pdf_proxy_score is None
+    means = {r.checkpoint: r.invalid_count for r in EV.eval_means(EV.evaluate_predictions(preds, refs, checkpoints=listed)).collect()}
+    assert means == {"c1": 2, "c2": 2, "c3": 3}
