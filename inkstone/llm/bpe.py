@@ -26,7 +26,7 @@ from inkstone.llm.common import text_runs
 
 # FIXED VALUE: first code point of the byte mapping (letters without normal forms of their own here)
 BYTE_BASE = 0x100
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def read_ranks(path: str) -> list[bytes]:
