@@ -36,7 +36,7 @@ from inkstone.sources.io import scratch_path
 
 MAGIC = b"IDZSTD01"
 DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 ROW = "doc_id long, file string, range int, offset long, bytes long, n_tokens long, before long"
 
 
@@ -156,11 +156,13 @@ def write(df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = No
     bounds = df.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import zlib
 
         import numpy as np
         import zstandard
 
+        gc.disable()  # nothing here makes reference cycles, and each collection walks the word table
         own, cuts = WordEncoder(tokenizer_json), np.array(bounds)
         pack = zstandard.ZstdCompressor(3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for batch in batches:
@@ -172,6 +174,7 @@ def write(df: DataFrame, tokenizer_json: str, end_id: int, path: str | None = No
                     [keys.slice(a, b - a), pa.array(ranges[a:b], pa.int32()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                      pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())],
                     ["doc_id", "range", "crc", "n_tokens", "frame"])
+        gc.enable()
 
     def write_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
