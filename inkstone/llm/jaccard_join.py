@@ -46,8 +46,9 @@ from inkstone.llm.common import arrow_rows, attach, discard, id_column, material
 from inkstone.llm.components import components
 
 # Cost model of the allocation: chance that two unrelated documents agree on a given shingle, cost
-# of one candidate (a comparison of two sketches) in index rows, bytes of text to one shingle.
-AGREE, CANDIDATE_COST, BYTES_PER_SHINGLE = 0.003, 5, 6
+# of one candidate in index rows (a key's members only meet its centre, so it is one row to compare by sketch),
+# bytes of text to one shingle.
+AGREE, CANDIDATE_COST, BYTES_PER_SHINGLE = 0.003, 1, 6
 # bits of a sketch per difference that a linked pair may have
 SKETCH_BITS = 8
 
