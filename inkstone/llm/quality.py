@@ -4,10 +4,10 @@ Two histograms of a document are compared with references of its language by the
 Jensen-Shannon distance (square root of the base-2 divergence):
 
 * code points by class: lower, upper, digit, white space, punctuation, other ASCII, non-ASCII;
-* the COMMON_WORDS most frequent short words of the language, and all other words.
+* the COMMON_WORDS most frequent words of the language, and all other words.
 
 The references are counted over all given documents in one scan: character classes, and
-words of at most SHORT_WORD bytes with a letter, per language.  A language has a reference when
+words of any length with a letter in lower case, per language.  A language has a reference when
 it holds at least MIN_SHARE of all words (so there are at most 1 / MIN_SHARE references,
 the bound of the broadcast) and MIN_REFERENCE_WORDS words.
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import id_column, text_runs
 
-COMMON_WORDS, SHORT_WORD = 100, 6
+# words of any length can be common ones
+COMMON_WORDS, SHORT_WORD = 100, float("inf")
 MIN_SHARE, MIN_REFERENCE_WORDS = 1 / 1000, 2000
 CLASSES = 7
 # limit = base + slope / sqrt(length); length in words or in code points
@@ -74,14 +75,14 @@ def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
             langs = batch.column(1).to_pylist()
             for a, _, texts in text_runs(batch.column(0)):
                 for lang, text in zip(langs[a:], texts):
-                    found = text.lower().split()
+                    found = text.split()
                     classes[lang] += np.bincount(table[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
                     totals[lang] += len(found)
-                    words[lang].update(w for w in found if len(w) <= SHORT_WORD)
-            if sum(map(len, words.values())) > 200_000:
-                yield rows([(k, None, w, n) for k, c in words.items() for w, n in c.items()])
-                words.clear()
-        found = [(k, None, w, n) for k, c in words.items() for w, n in c.items()]
+                    words[lang].update(found)
+                if sum(map(len, words.values())) > 200_000:
+                    yield rows([(k, None, lower(w), n) for k, c in words.items() for w, n in c.items()])
+                    words.clear()
+        found = [(k, None, lower(w), n) for k, c in words.items() for w, n in c.items()]
         found += [(k, i, None, int(n)) for k, c in classes.items() for i, n in enumerate(c)]
         yield rows(found + [(k, -1, None, n) for k, n in totals.items()])
 
@@ -111,6 +112,10 @@ def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 [x["n"] for x in top.get(k, [])], n) for k, n in langs.items()}
 
 
+def lower(word: bytes) -> bytes:
+    return word.lower() if word.isascii() else word.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+
+
 def js_distance(counts, reference):
     """Jensen-Shannon distance of each row of ``counts`` to ``reference``; rows without counts get 0."""
     import numpy as np
@@ -173,7 +178,7 @@ class Scorer:
         n_chars = chars.sum(axis=1).astype(np.int64)
         symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
         char_d, word_d = np.full(k, np.nan), np.full(k, np.nan)
-        lowered = [w.lower() for w in names] if len(names) else []
+        lowered = [lower(w) for w in names] if len(names) else []
         for lang in {x for x in langs if x in self.langs}:
             own = np.flatnonzero([x == lang for x in langs])
             ref_chars, common, ref_words = self.langs[lang]

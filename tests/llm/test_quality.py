@@ -92,3 +92,12 @@ def test_labelled_documents(spark):
     rows = out.join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r.quality, r.kept): r["count"] for r in rows}
     assert n.get((1, False), 0) == 0 and n[(0, False)] > 1.5 * n[(0, True)]
+
+
+def test_long_words_and_capitals_of_other_scripts_are_common_words(spark):
+    words = ["ΚΑΛΗΜΕΡΑ", "καλημερα", "Θάλασσα", "θάλασσα", "zusammen"]
+    rows = [(i, " ".join(words * 5), "el") for i in range(100)]
+    ref = q.fit_references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["el"]
+    assert dict(zip(ref[1], ref[2])) == {"καλημερα".encode(): 1000, "θάλασσα".encode(): 1000, b"zusammen": 500}
+    found = q.Scorer({"el": ref}).score([rows[0][1].encode()], ["el"])
+    assert found[7][0] < 1e-6
