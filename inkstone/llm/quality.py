@@ -4,12 +4,12 @@ Two histograms of a document are compared with references of its language by the
 Jensen-Shannon distance (square root of the base-2 divergence):
 
 * code points by class: lower, upper, digit, white space, punctuation, other ASCII, non-ASCII;
-* the COMMON_WORDS most frequent words of the language, and all other words.
+* the COMMON_WORDS most frequent words with a letter of the language, and all other words.
 
-The references are counted over all given documents in one scan: character classes, and
-words of any length with a letter in lower case, per language.  A language has a reference when
-it holds at least MIN_SHARE of all words (so there are at most 1 / MIN_SHARE references,
-the bound of the broadcast) and MIN_REFERENCE_WORDS words.
+The references are counted over all given documents in one scan, words in lower case.  A
+language has a reference when it holds MIN_REFERENCE_WORDS words.  Languages with more than
+1 / HOT_SHARE of all words or rows (so at most 2 * HOT_SHARE) travel to the workers whole; rows
+of all others meet their reference in a join by language.
 
 A short text scatters more, so each limit widens with the root of the length, and a
 distance counts only from a minimum length on: verdicts on shorter texts and on texts of a
@@ -26,14 +26,14 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import id_column, text_runs
+from inkstone.llm.common import HOT_SHARE, id_column, materialise, text_runs
 
 # words of any length can be common ones
 COMMON_WORDS, SHORT_WORD = 100, float("inf")
-MIN_SHARE, MIN_REFERENCE_WORDS = 1 / 1000, 2000
+MIN_REFERENCE_WORDS = 2000
 CLASSES = 7
 # limit = base + slope / sqrt(length); length in words or in code points
 WORD_LIMIT, WORD_SLOPE, MIN_WORDS = 0.38, 1.2, 30
@@ -57,13 +57,13 @@ def byte_classes():
     return out
 
 
-def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """{lang: (class counts, [common words], their counts, words in all)} from all rows of ``df``."""
+def language_table(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, n (words), documents, chars (class counts) and top (its common words) of every language of ``df``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         table = byte_classes()
-        classes, totals = defaultdict(lambda: np.zeros(CLASSES, np.int64)), Counter()
+        classes, totals, documents = defaultdict(lambda: np.zeros(CLASSES, np.int64)), Counter(), Counter()
         words: dict = defaultdict(Counter)
 
         def rows(found):
@@ -78,38 +78,47 @@ def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
                     found = text.split()
                     classes[lang] += np.bincount(table[np.frombuffer(text, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
                     totals[lang] += len(found)
+                    documents[lang] += 1
                     words[lang].update(found)
                 if sum(map(len, words.values())) > 200_000:
                     yield rows([(k, None, lower(w), n) for k, c in words.items() for w, n in c.items()])
                     words.clear()
         found = [(k, None, lower(w), n) for k, c in words.items() for w, n in c.items()]
         found += [(k, i, None, int(n)) for k, c in classes.items() for i, n in enumerate(c)]
-        yield rows(found + [(k, -1, None, n) for k, n in totals.items()])
+        yield rows(found + [(k, -1, None, n) for k, n in totals.items()] + [(k, -2, None, n) for k, n in documents.items()])
 
     text, lang = id_column(df, text_col), id_column(df, lang_col).cast("string")
     sums = df.select(text.alias("text"), lang.alias("lang")).mapInArrow(
         count, "lang string, class int, word binary, n long").groupBy("lang", "class", "word").agg(F.sum("n").alias("n"))
-    sums = sums.persist()
-    try:
-        sizes = sums.filter("class = -1")
-        total = sizes.agg(F.sum("n")).first()[0] or 0
-        least = max(MIN_REFERENCE_WORDS, total * MIN_SHARE)  # at most 1 / MIN_SHARE languages pass
-        langs = {r["lang"]: r["n"] for r in sizes.filter(F.col("n") >= least).collect()}
-        known = F.broadcast(sizes.filter(F.col("n") >= least).select(F.col("lang").alias("k")))
-        kept = sums.join(known, F.col("lang").eqNullSafe(F.col("k")), "left_semi")
-        letters = F.decode("word", "UTF-8").rlike(r"\p{L}")
-        # the top rows of each map task are cut before the shuffle (WindowGroupLimit)
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        top = defaultdict(list)
-        for r in kept.filter(letters).withColumn("place", place).filter(F.col("place") <= COMMON_WORDS).collect():
-            top[r["lang"]].append(r)
-        chars = defaultdict(dict)
-        for r in kept.filter("class >= 0").collect():
-            chars[r["lang"]][r["class"]] = r["n"]
-    finally:
-        sums.unpersist()
-    return {k: ([chars[k].get(i, 0) for i in range(CLASSES)], [bytes(x["word"]) for x in top.get(k, [])],
-                [x["n"] for x in top.get(k, [])], n) for k, n in langs.items()}
+    sums = sums.filter(F.col("word").isNull() | F.decode("word", "UTF-8").rlike(r"\p{L}"))
+    # the top rows of each map task are cut before the shuffle (WindowGroupLimit); the rows of classes are fewer
+    place = F.row_number().over(Window.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word"))
+    kept = sums.withColumn("place", place).filter(F.col("place") <= COMMON_WORDS)
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0))
+    top = F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word", "n"))))
+    return kept.groupBy("lang").agg(of(-1).alias("n"), of(-2).alias("documents"),
+                                    F.array(*[of(i) for i in range(CLASSES)]).alias("chars"), top.alias("top"))
+
+
+def hot_languages(langs: DataFrame) -> Column:
+    """True for languages of ``langs`` with more than 1 / HOT_SHARE of all words or of all rows."""
+    words, rows = langs.agg(F.sum("n"), F.sum("documents")).first()
+    return (F.col("n") * HOT_SHARE >= (words or 0)) | (F.col("documents") * HOT_SHARE >= (rows or 0))
+
+
+def reference(row) -> tuple:
+    """(class counts, [common words], their counts, words in all) of a row of a language table."""
+    return row["chars"], [bytes(x["word"]) for x in row["top"]], [x["n"] for x in row["top"]], row["n"]
+
+
+def has_reference() -> Column:
+    return F.col("n") >= MIN_REFERENCE_WORDS
+
+
+def fit_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """{lang: reference} of the hot languages of ``df``."""
+    langs = materialise(language_table(df, text_col, lang_col), "quality-languages")
+    return {r["lang"]: reference(r) for r in langs.filter(hot_languages(langs) & has_reference()).collect()}
 
 
 def lower(word: bytes) -> bytes:
@@ -129,13 +138,40 @@ def js_distance(counts, reference):
 
 
 class Scorer:
+    """Scores texts against ``references``."""
+
     def __init__(self, references: dict):
+        self.classes, self.langs = byte_classes(), {}
+        self.own = set(references)
+        for lang, found in references.items():
+            self.put(lang, found)
+
+    def put(self, lang, found: tuple) -> None:
         import numpy as np
 
-        self.classes, self.langs = byte_classes(), {}
-        for lang, (chars, words, counts, n) in references.items():
-            self.langs[lang] = (np.array(chars, float), {w: i for i, w in enumerate(words)},
-                                np.array([*counts, n - sum(counts)], float))
+        chars, words, counts, n = found
+        self.langs[lang] = (np.array(chars, float), {w: i for i, w in enumerate(words)},
+                            np.array([*counts, n - sum(counts)], float))
+
+    def take(self, langs: list, rows) -> None:
+        """Languages that came with the rows, in place of those of the batch before."""
+        for lang in self.langs.keys() - self.own:
+            del self.langs[lang]
+        for i, lang in enumerate(langs):
+            if lang not in self.langs and rows[i].is_valid:
+                self.put(lang, reference(rows[i].as_py()))
+
+    def word_histograms(self, lang, own, doc, codes, lowered, k):
+        """Counts of the common words and of all others, for the documents ``own``."""
+        import numpy as np
+
+        common = self.langs[lang][1]
+        place = np.full(k, -1)
+        place[own] = np.arange(len(own))
+        index = np.array([common.get(w, len(common)) for w in lowered], np.int64)
+        mine = place[doc] >= 0
+        flat = place[doc[mine]] * (len(common) + 1) + index[codes[mine]]
+        return np.bincount(flat, minlength=len(own) * (len(common) + 1)).reshape(len(own), -1).astype(float)
 
     def repeats(self, codes, doc):
         """Words in windows that occur again in the same document, by document."""
@@ -181,13 +217,8 @@ class Scorer:
         lowered = [lower(w) for w in names] if len(names) else []
         for lang in {x for x in langs if x in self.langs}:
             own = np.flatnonzero([x == lang for x in langs])
-            ref_chars, common, ref_words = self.langs[lang]
-            place = np.full(k, -1)
-            place[own] = np.arange(len(own))
-            index = np.array([common.get(w, len(common)) for w in lowered], np.int64)
-            mine = place[doc] >= 0
-            flat = place[doc[mine]] * (len(common) + 1) + index[codes[mine]]
-            hist = np.bincount(flat, minlength=len(own) * (len(common) + 1)).reshape(len(own), -1).astype(float)
+            ref_chars, _, ref_words = self.langs[lang]
+            hist = self.word_histograms(lang, own, doc, codes, lowered, k)
             char_d[own], word_d[own] = js_distance(chars[own], ref_chars), js_distance(hist, ref_words)
         base = (n_words < 10) | (100 * repeat > 20 * n_words)
         with np.errstate(invalid="ignore"):
@@ -197,17 +228,19 @@ class Scorer:
 
 
 def scorer(references: dict):
-    """Column function (text, lang) -> struct of STATS."""
+    """Column function (text, lang[, reference row]) -> struct of STATS."""
     fields = [x.split() for x in STATS.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 
     @F.arrow_udf(f"struct<{', '.join(f'{a}: {b}' for a, b in fields)}>")
-    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         import numpy as np
 
         own = Scorer(references)
-        for text, lang in batches:
+        for text, lang, *more in batches:
             langs = lang.to_pylist()
+            if more:
+                own.take(langs, more[0])
             runs = [own.score(texts, langs[a:b]) for a, b, texts in text_runs(text)]
             columns = [np.concatenate([r[i] for r in runs]) if runs else np.zeros(0) for i in range(len(fields))]
             yield pa.StructArray.from_arrays([pa.array(c, kinds[b], from_pandas=True) for c, (_, b) in zip(columns, fields)],
@@ -215,7 +248,28 @@ def scorer(references: dict):
     return score
 
 
+def with_references(df: DataFrame, lang: Column, langs: DataFrame, hot: Column, cold: DataFrame, name: str, put) -> DataFrame:
+    """``df`` with column ``name``: put() on rows of hot languages, put(reference row) on those of all others,
+    which meet the rows of ``cold`` in a join by language."""
+    names = F.broadcast(langs.filter(hot).select(F.col("lang").alias("__lang")))  # at most 2 * HOT_SHARE rows
+    same = lang.eqNullSafe(F.col("__lang"))
+    near = df.join(names, same, "left_semi").withColumn(name, put())
+    rest = df.join(names, same, "left_anti").withColumn("__own", lang)
+    found = cold.select(F.col("lang").alias("__lang"), F.struct("chars", "top", "n").alias("__reference"))
+    far = rest.join(found, F.col("__own").eqNullSafe(F.col("__lang")), "left").withColumn(name, put(F.col("__reference")))
+    return near.unionByName(far.drop("__own", "__lang", "__reference"))
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "quality") -> DataFrame:
     """``df`` with a struct column ``name`` of counts, distances and the verdict ``kept``."""
-    verdict = scorer(fit_references(df, text_col, lang_col))
-    return df.withColumn(name, verdict(id_column(df, text_col), id_column(df, lang_col).cast("string")))
+    text, lang = id_column(df, text_col), id_column(df, lang_col).cast("string")
+    langs = materialise(language_table(df, text_col, lang_col), "quality-languages")
+    hot = hot_languages(langs)
+    references = {r["lang"]: reference(r) for r in langs.filter(hot & has_reference()).collect()}
+    cold = langs.filter(~hot & has_reference())
+    any_cold = bool(cold.take(1))
+
+    verdict = scorer(references)
+    if not any_cold:
+        return df.withColumn(name, verdict(text, lang))
+    return with_references(df, lang, langs, hot, cold, name, lambda *r: verdict(text, lang, *r))

@@ -94,6 +94,23 @@ def test_labelled_documents(spark):
     assert n.get((1, False), 0) == 0 and n[(0, False)] > 1.5 * n[(0, True)]
 
 
+def test_small_language_beside_a_hot_one(spark, monkeypatch):
+    """A language under a thousandth of all words and rows is judged as it would be alone."""
+    from pyspark.sql import functions as F
+    good = "the cat and the dog of the house went to it in a car and so on the way to the sea they saw it all again"
+    odd = "#### ZZZ9 $$ QQQ7 || WWW8 %% " + " ".join(f"XK{j}!" for j in range(60))
+    rare = spark.createDataFrame([(i, f"{good} {i}", lang) for i in range(100) for lang in ("xx", None)] +
+                                 [(900, odd, "xx"), (901, odd, None)], "doc_id long, text string, lang string")
+    alone = {(r.doc_id, r.lang): tuple(r.quality) for r in q.quality_rules(rare).collect()}
+    assert not alone[900, "xx"][-1] and not alone[901, None][-1] and alone[5, "xx"][-1]
+    hot = spark.range(110_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join([good] * 3)), F.lit(" "), F.col("id")).alias("text"),
+                                      F.lit("en").alias("lang"))
+    out = q.quality_rules(rare.unionByName(hot))
+    got = {(r.doc_id, r.lang): tuple(r.quality) for r in out.filter("lang IS NULL OR lang = 'xx'").collect()}
+    assert got.keys() == alone.keys()
+    assert all(a[:6] == b[:6] and a[8] == b[8] and abs(a[7] - b[7]) < 1e-9 for a, b in ((alone[k], got[k]) for k in alone))
+
+
 def test_long_words_and_capitals_of_other_scripts_are_common_words(spark):
     words = ["ΚΑΛΗΜΕΡΑ", "καλημερα", "Θάλασσα", "θάλασσα", "zusammen"]
     rows = [(i, " ".join(words * 5), "el") for i in range(100)]
