@@ -11,10 +11,14 @@ language has a reference when it holds MIN_REFERENCE_WORDS words.  Languages wit
 1 / HOT_SHARE of all words or rows (so at most 2 * HOT_SHARE) travel to the workers whole; rows
 of all others meet their reference in a join by language.
 
-A short text scatters more, so each limit widens with the root of the length, and a
-distance counts only from a minimum length on: verdicts on shorter texts and on texts of a
-language without a reference are good.  Base rules reject texts of under 10 words and those
-with over 20 % of their words in repeated 5-word windows.
+A short text scatters more.  The word distance less the mean distance of as many words drawn from
+the reference itself is taken over the distinct texts of a language (one more scan); the
+limit is their median and SPREADS times their spread, the scaled step from lower quartile to
+median, which junk above the median does not widen.  A language of under MIN_LIMIT_TEXTS
+such texts is too small for a spread and takes the fixed word limit.  The limits of characters and
+the fixed word limit widen with the root of the length.  A distance counts only from a minimum length on:
+verdicts on shorter texts and on texts of a language without a reference are good.  Base rules
+reject texts of under 10 words and those with over 20 % of their words in repeated 5-word windows.
 
 Defined results: a null text has no words and fails the base rules; a null language is a
 language of its own; repeated rows get equal rows; an empty table gives no rows.
@@ -34,6 +38,9 @@ from inkstone.llm.common import HOT_SHARE, id_column, materialise, text_runs
 # words of any length can be common ones
 COMMON_WORDS, SHORT_WORD = 100, float("inf")
 MIN_REFERENCE_WORDS = 2000
+# limit of the word distance less the mean distance of a draw: median + SPREADS spreads, in steps of 1 / BINS
+SPREADS, MIN_SPREAD, MIN_LIMIT_TEXTS, BINS = 6, 0.01, 200, 1000
+DRAWS = 64
 CLASSES = 7
 # limit = base + slope / sqrt(length); length in words or in code points
 WORD_LIMIT, WORD_SLOPE, MIN_WORDS = 0.38, 1.2, 30
@@ -138,28 +145,43 @@ def js_distance(counts, reference):
 
 
 class Scorer:
-    """Scores texts against ``references``."""
+    """Scores texts against ``references``; ``limits`` are those of languages with a limit of their own."""
 
-    def __init__(self, references: dict):
-        self.classes, self.langs = byte_classes(), {}
+    def __init__(self, references: dict, limits: dict | None = None):
+        self.classes, self.langs, self.means, self.limits = byte_classes(), {}, {}, limits or {}
         self.own = set(references)
         for lang, found in references.items():
             self.put(lang, found)
 
-    def put(self, lang, found: tuple) -> None:
+    def put(self, lang, found: tuple, limit: float | None = None) -> None:
         import numpy as np
 
         chars, words, counts, n = found
         self.langs[lang] = (np.array(chars, float), {w: i for i, w in enumerate(words)},
                             np.array([*counts, n - sum(counts)], float))
+        if limit is not None:
+            self.limits[lang] = limit
 
     def take(self, langs: list, rows) -> None:
         """Languages that came with the rows, in place of those of the batch before."""
         for lang in self.langs.keys() - self.own:
             del self.langs[lang]
+            self.limits.pop(lang, None)
+            self.means.pop(lang, None)
         for i, lang in enumerate(langs):
             if lang not in self.langs and rows[i].is_valid:
-                self.put(lang, reference(rows[i].as_py()))
+                row = rows[i].as_py()
+                self.put(lang, reference(row), row["limit"])
+
+    def mean_distance(self, lang, n_words):
+        """Mean word distance of texts of ``n_words`` words drawn from the reference of ``lang``."""
+        import numpy as np
+
+        grid = np.unique(np.round(2 ** np.arange(4, 20.1, 0.5)).astype(np.int64))
+        if lang not in self.means:
+            words, rng = self.langs[lang][2], np.random.default_rng(0)
+            self.means[lang] = [js_distance(rng.multinomial(g, words / words.sum(), DRAWS).astype(float), words).mean() for g in grid]
+        return np.interp(np.log2(np.maximum(n_words, 1)), np.log2(grid), self.means[lang])
 
     def word_histograms(self, lang, own, doc, codes, lowered, k):
         """Counts of the common words and of all others, for the documents ``own``."""
@@ -173,6 +195,23 @@ class Scorer:
         flat = place[doc[mine]] * (len(common) + 1) + index[codes[mine]]
         return np.bincount(flat, minlength=len(own) * (len(common) + 1)).reshape(len(own), -1).astype(float)
 
+    def excess(self, texts: list[bytes], langs: list):
+        """Word distance less the mean distance of a draw; NaN for short texts and without a reference."""
+        import numpy as np
+        import pandas as pd
+
+        k, split = len(texts), [t.split() for t in texts]
+        n_words = np.array([len(w) for w in split], np.int64)
+        doc = np.repeat(np.arange(k), n_words)
+        codes, names = pd.factorize(np.array([w for ws in split for w in ws], object))
+        lowered, out = [lower(w) for w in names] if len(names) else [], np.full(k, np.nan)
+        for lang in {x for x in langs if x in self.langs}:
+            own = np.flatnonzero([x == lang for x in langs])
+            hist = self.word_histograms(lang, own, doc, codes.astype(np.int64), lowered, k)
+            out[own] = js_distance(hist, self.langs[lang][2]) - self.mean_distance(lang, n_words[own])
+        out[n_words < MIN_WORDS] = np.nan
+        return out
+
     def repeats(self, codes, doc):
         """Words in windows that occur again in the same document, by document."""
         import numpy as np
@@ -214,20 +253,23 @@ class Scorer:
         n_chars = chars.sum(axis=1).astype(np.int64)
         symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
         char_d, word_d = np.full(k, np.nan), np.full(k, np.nan)
+        limit = WORD_LIMIT + WORD_SLOPE / np.sqrt(np.maximum(n_words, 1))
         lowered = [lower(w) for w in names] if len(names) else []
         for lang in {x for x in langs if x in self.langs}:
             own = np.flatnonzero([x == lang for x in langs])
             ref_chars, _, ref_words = self.langs[lang]
             hist = self.word_histograms(lang, own, doc, codes, lowered, k)
             char_d[own], word_d[own] = js_distance(chars[own], ref_chars), js_distance(hist, ref_words)
+            if lang in self.limits:
+                limit[own] = self.limits[lang] + self.mean_distance(lang, n_words[own])
         base = (n_words < 10) | (100 * repeat > 20 * n_words)
         with np.errstate(invalid="ignore"):
             bad = (n_chars >= MIN_CHARS) & (char_d > CHAR_LIMIT + CHAR_SLOPE / np.sqrt(np.maximum(n_chars, 1)))
-            bad |= (n_words >= MIN_WORDS) & (word_d > WORD_LIMIT + WORD_SLOPE / np.sqrt(np.maximum(n_words, 1)))
+            bad |= (n_words >= MIN_WORDS) & (word_d > limit)
         return [n_words, n_chars - spaces, symbols, dup, repeat, base, char_d, word_d, ~base & ~bad]
 
 
-def scorer(references: dict):
+def scorer(references: dict, limits: dict | None = None):
     """Column function (text, lang[, reference row]) -> struct of STATS."""
     fields = [x.split() for x in STATS.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -236,7 +278,7 @@ def scorer(references: dict):
     def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         import numpy as np
 
-        own = Scorer(references)
+        own = Scorer(references, limits)
         for text, lang, *more in batches:
             langs = lang.to_pylist()
             if more:
@@ -248,6 +290,22 @@ def scorer(references: dict):
     return score
 
 
+def excess(references: dict):
+    """Column function (text, lang[, reference row]) -> word distance less the mean distance of a draw."""
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        own = Scorer(references)
+        for text, lang, *more in batches:
+            langs = lang.to_pylist()
+            if more:
+                own.take(langs, more[0])
+            runs = [own.excess(texts, langs[a:b]) for a, b, texts in text_runs(text)]
+            yield pa.array(np.concatenate(runs) if runs else np.zeros(0), pa.float64(), from_pandas=True)
+    return score
+
+
 def with_references(df: DataFrame, lang: Column, langs: DataFrame, hot: Column, cold: DataFrame, name: str, put) -> DataFrame:
     """``df`` with column ``name``: put() on rows of hot languages, put(reference row) on those of all others,
     which meet the rows of ``cold`` in a join by language."""
@@ -255,21 +313,43 @@ def with_references(df: DataFrame, lang: Column, langs: DataFrame, hot: Column,
     same = lang.eqNullSafe(F.col("__lang"))
     near = df.join(names, same, "left_semi").withColumn(name, put())
     rest = df.join(names, same, "left_anti").withColumn("__own", lang)
-    found = cold.select(F.col("lang").alias("__lang"), F.struct("chars", "top", "n").alias("__reference"))
+    found = cold.select(F.col("lang").alias("__lang"), F.struct("chars", "top", "n", "limit").alias("__reference"))
     far = rest.join(found, F.col("__own").eqNullSafe(F.col("__lang")), "left").withColumn(name, put(F.col("__reference")))
     return near.unionByName(far.drop("__own", "__lang", "__reference"))
 
 
+def word_limits(rows: DataFrame) -> DataFrame:
+    """lang and limit from the distinct (lang, digest, excess) of ``rows``, for languages of enough texts."""
+    bins = rows.filter("excess IS NOT NULL").select("lang", "digest", F.floor(F.col("excess") * BINS).alias("bin")).distinct()
+    bins = bins.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))  # a few thousand bins a language at most
+    whole = Window.partitionBy("lang")
+    bins = bins.withColumn("texts", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(whole.orderBy("bin")))
+    at = lambda part: F.min(F.when(F.col("upto") >= part * F.col("texts"), F.col("bin")))
+    sums = bins.groupBy("lang").agg(F.max("texts").alias("texts"), at(0.25).alias("low"), at(0.5).alias("mid"))
+    spread = F.greatest((F.col("mid") - F.col("low")) / 0.6745, F.lit(MIN_SPREAD * BINS))  # a normal law's quartile
+    return sums.filter(F.col("texts") >= MIN_LIMIT_TEXTS).select("lang", ((F.col("mid") + 1 + SPREADS * spread) / BINS).alias("limit"))
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang", name: str = "quality") -> DataFrame:
     """``df`` with a struct column ``name`` of counts, distances and the verdict ``kept``."""
     text, lang = id_column(df, text_col), id_column(df, lang_col).cast("string")
     langs = materialise(language_table(df, text_col, lang_col), "quality-languages")
     hot = hot_languages(langs)
     references = {r["lang"]: reference(r) for r in langs.filter(hot & has_reference()).collect()}
-    cold = langs.filter(~hot & has_reference())
+    cold = langs.filter(~hot & has_reference()).withColumn("limit", F.lit(None).cast("double"))
     any_cold = bool(cold.take(1))
 
-    verdict = scorer(references)
+    plain = df.select(text.alias("text"), lang.alias("lang"))
+    distance = excess(references)
+    if any_cold:
+        plain = with_references(plain, plain["lang"], langs, hot, cold, "excess", lambda *r: distance("text", "lang", *r))
+    else:
+        plain = plain.withColumn("excess", distance("text", "lang"))
+    limits = materialise(word_limits(plain.select("lang", F.xxhash64("text").alias("digest"), "excess")), "quality-limits")
+    own = {r["lang"]: r["limit"] for r in limits.join(F.broadcast(langs.filter(hot).select(F.col("lang").alias("k"))),
+                                                      F.col("lang").eqNullSafe(F.col("k")), "left_semi").collect()}
+    verdict = scorer(references, own)
     if not any_cold:
         return df.withColumn(name, verdict(text, lang))
+    cold = cold.drop("limit").join(limits.withColumnRenamed("lang", "k"), F.col("lang").eqNullSafe(F.col("k")), "left")
     return with_references(df, lang, langs, hot, cold, name, lambda *r: verdict(text, lang, *r))

@@ -94,6 +94,16 @@ def test_labelled_documents(spark):
     assert n.get((1, False), 0) == 0 and n[(0, False)] > 1.5 * n[(0, True)]
 
 
+def test_word_limit_follows_the_spread_of_the_language(spark):
+    """Junk whose word distance stays under the fixed limit falls where the language is tight; no good document does."""
+    sf = "/root/testdata/sf0.1"
+    out = q.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "quality.base_failed", "quality.kept")
+    rows = out.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in rows}
+    print("labelled junk kept, rejected, clean kept, lost", n.get((0, True), 0), n[0, False], n[1, True], n.get((1, False), 0))
+    assert n.get((1, False), 0) == 0 and n[0, False] > 4 * n.get((0, True), 0)
+
+
 def test_small_language_beside_a_hot_one(spark, monkeypatch):
     """A language under a thousandth of all words and rows is judged as it would be alone."""
     from pyspark.sql import functions as F
