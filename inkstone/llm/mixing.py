@@ -7,13 +7,15 @@ FEATURES words, chosen by chi-square on the sample, and shares of character clas
 
 Document i with t_i words and posterior p_i gets a rate r_i >= 0 such that the expected domain
 totals sum_i r_i t_i p_i match the targets: the weights times a budget of words.  The rates
-minimise sum_d (total_d - target_d)^2 / available_d by projected gradient steps from r = 1:
+minimise sum_d (total_d - target_d)^2 / available_d, and of all that do they are the nearest to 1
+(squares weighted by words, with a weight of PENALTIES beside the targets).  Such rates have the form
 
-    r_i <- min(max_rate, max(0, r_i - sum_d p_id (total_d - target_d) / available_d))
+    r_i = min(max_rate, max(0, 1 - sum_d p_id dual_d))
 
-(step size 1, which the posteriors' row sums of one make safe).  A rate is a function of p_i and
-of the past gradients, a few numbers per step, so a step is one aggregation over a narrow
-table and no rates are stored or shuffled; the final rates are computed beside the texts.
+and the few duals are found by damped Newton steps on the convex dual problem, until each total is within
+TOLERANCE of its own target or, where targets cannot be met, the next penalty brings none nearer.
+A step is one aggregation over a narrow table, and no rates are stored or shuffled; the final
+rates are computed beside the texts.  Missed targets are warned of and are in the report.
 
 Copies of a document: floor(rate + u).  With draw="random" u is a uniform hash of id and text, so
 totals match in expectation; with draw="nearest" it is one half.
@@ -27,6 +29,7 @@ is 1 and the domain is "none"; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +41,8 @@ from inkstone.llm.quality import CLASSES, byte_classes
 
 SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 10_000, 400, 5
 STEPS, TOLERANCE = 60, 1e-4
+# weights of the rates' distance from 1 beside the targets, in turn
+PENALTIES = (1e-3, 1e-6, 1e-9, 1e-12)
 DENSE = CLASSES + 3
 MARKS = (b"", b".", b",", b";", b":", b"!", b"?", b"!!")
 NO_DOMAIN = "none"
@@ -187,7 +192,7 @@ def memberships(model: Model):
 
 
 def rate_column(member, history: list[list[float]], max_rate: float | None):
-    """Rate of a document from its posterior and the scaled gradients of all steps so far."""
+    """Rate of a document from its posterior and the steps of the duals, clipped after each."""
     if not history:
         return F.lit(1.0)
     steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
@@ -199,39 +204,86 @@ def rate_column(member, history: list[list[float]], max_rate: float | None):
     return F.aggregate(steps, F.lit(1.0), step)
 
 
+def fit_duals(measure, available: list[float], targets: list[float]) -> tuple[list[float], list[float]]:
+    """(duals, domain totals); ``measure`` gives totals, their negative slopes and the dual value at given duals."""
+    import numpy as np
+
+    a, target = np.array(available), np.array(targets)
+    used, near = np.flatnonzero(a > 0), TOLERANCE * np.maximum(target, TOLERANCE * a)
+    duals = np.zeros(len(a))
+    totals, slopes, value = (np.array(x) for x in measure(duals.tolist()))
+    scans, before = 1, np.full(len(a), np.inf)
+    for penalty in PENALTIES:
+        damping = penalty
+        whole = lambda v, d: v + target @ d + penalty / 2 * (a * d ** 2).sum()  # noqa: B023, E731
+        while scans < STEPS and damping < 1e6:
+            slack = target - totals + penalty * a * duals
+            if (np.abs(slack) <= near / 4)[used].all():
+                break
+            new, bend = duals.copy(), slopes + (penalty + damping) * np.diag(a)
+            new[used] -= np.linalg.solve(bend[np.ix_(used, used)], slack[used])
+            found, scans = [np.array(x) for x in measure(new.tolist())], scans + 1
+            if whole(found[2], new) < whole(value, duals):
+                duals, (totals, slopes, value), damping = new, found, damping / 10
+            else:
+                damping *= 10
+        error = np.abs(totals - target)
+        apart = used[(error > TOLERANCE * target)[used]]
+        if scans >= STEPS or not (error < before / 2)[apart].any():
+            break  # every target is met, or less weight on the distance from 1 brings none nearer
+        before = error
+    return duals.tolist(), totals.tolist()
+
+
+def missed(report: dict) -> dict:
+    """The rows of a report whose total is not within TOLERANCE of its target."""
+    return {d: r for d, r in report.items() if abs(r[2] - r[1]) > TOLERANCE * r[1]}
+
+
 def fit_rates(members: DataFrame, domains: list[str], weights: dict, budget: float | None = None,
               max_rate: float | None = None) -> tuple[list[list[float]], dict]:
-    """(gradient history, {domain: (available, target, total)}) for a table with a struct column m of memberships.
+    """(steps of the duals, {domain: (available, target, total)}) for a table with a struct column m of memberships.
 
     ``budget`` is the number of words to mix; by default as many as there are, or with
     ``max_rate`` as many as the scarcest domain allows.
     """
-    def totals(history):
-        t = F.col("rate") * F.col("m.words")
-        row = members.select("m", rate_column(F.col("m"), history, max_rate).alias("rate")).agg(
-            *[F.sum(t * F.col("m.posterior")[i]) for i in range(len(domains))]).first()
-        return [x or 0.0 for x in row]
-
-    available = totals([])
+    n, p, t = len(domains), F.col("m.posterior"), F.col("m.words")
+    dot = lambda x: sum((p[i] * float(x[i]) for i in range(n)), F.lit(0.0))
+    top = F.lit(float("inf") if max_rate is None else float(max_rate))
+
+    def measure(duals):
+        raw, rate = F.lit(1.0) - dot(duals), F.least(F.greatest(F.col("raw"), F.lit(0.0)), top)
+        free = F.when((F.col("raw") >= 0) & (F.col("raw") <= top), t).otherwise(0)
+        value = t * F.col("rate") * (F.col("raw") - F.col("rate") / 2)  # the integral of the rate over raw
+        row = members.select("m", raw.alias("raw")).withColumn("rate", rate).agg(
+            *[F.sum(t * F.col("rate") * p[i]) for i in range(n)],
+            *[F.sum(free * p[i] * p[j]) for i in range(n) for j in range(n)], F.sum(value)).first()
+        row = [x or 0.0 for x in row]
+        return row[:n], [row[n + n * i:2 * n + n * i] for i in range(n)], row[-1]
+
+    available = [x or 0.0 for x in members.agg(*[F.sum(t * p[i]) for i in range(n)]).first()]
     shares = [max(0.0, weights.get(d, 0.0)) if available[i] > 0 else 0.0 for i, d in enumerate(domains)]
     if not sum(shares):
         return [], {d: (a, a, a) for d, a in zip(domains, available)}
     shares = [s / sum(shares) for s in shares]
     if budget is None:
         budget = sum(available) if max_rate is None else max_rate * min(a / s for a, s in zip(available, shares) if s)
-    targets, history, now = [s * budget for s in shares], [], available
-    for _ in range(STEPS):
-        history.append([(n - t) / a if a > 0 else 0.0 for n, t, a in zip(now, targets, available)])
-        old, now = now, totals(history)
-        if max(abs(n - t) for n, t in zip(now, targets)) <= TOLERANCE * budget or \
-                max(abs(n - o) for n, o in zip(now, old)) <= TOLERANCE / 100 * budget:
-            break
-    return history, {d: (a, t, n) for d, a, t, n in zip(domains, available, targets, now)}
+    targets = [s * budget for s in shares]
+    duals, totals = fit_duals(measure, available, targets)
+    report = {d: (a, x, y) for d, a, x, y in zip(domains, available, targets, totals)}
+    if missed(report):
+        warnings.warn("mixing targets not met, domain (available, target, total): "
+                      + ", ".join(f"{d} ({a:.1f}, {x:.1f}, {y:.1f})" for d, (a, x, y) in missed(report).items()), stacklevel=2)
+    return [duals], report
 
 
 def mix(df: DataFrame, labels: DataFrame, weights: dict, budget: float | None = None, max_rate: float | None = None,
-        draw: str = "random", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A struct ``row`` of the columns of ``df`` beside words, domain (the likeliest), posterior, rate and copies."""
+        draw: str = "random", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS,
+        report: dict | None = None) -> DataFrame:
+    """A struct ``row`` of the columns of ``df`` beside words, domain (the likeliest), posterior, rate and copies.
+
+    A given ``report`` takes {domain: (available, target, total)} of the fitted rates.
+    """
     text, key = id_column(df, text_col), id_column(df, id_col)
     plain = df.select(key.cast("long").alias("doc_id"), text.alias("text"))
     packed = df.select(F.struct(*[id_column(df, c).alias(c) for c in df.columns]).alias("row"), key.alias("id"), text.alias("text"))
@@ -243,7 +295,9 @@ def mix(df: DataFrame, labels: DataFrame, weights: dict, budget: float | None =
     score = memberships(model)
     with arrow_rows(df.sparkSession):
         members = materialise(plain.select(score("text").alias("m")), "memberships")
-    history, _ = fit_rates(members, model.domains, weights, budget, max_rate)
+    history, found = fit_rates(members, model.domains, weights, budget, max_rate)
+    if report is not None:
+        report.update(found)
     scored = packed.withColumn("m", score("text")).withColumn("rate", rate_column(F.col("m"), history, max_rate))
     u = F.lit(0.5) if draw == "nearest" else F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 53)) / float(1 << 53)
     names = F.array(*[F.lit(d) for d in model.domains])
