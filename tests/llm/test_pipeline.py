@@ -118,3 +118,11 @@ def test_run_and_registration(spark, stages):
     assert entry.queries()["pipeline"] is cp.run and "pipeline" not in entry.oracle_sql()
     want = {r.doc_id: r.n_tokens for r in stages["encode"][1].collect()}
     assert {r.doc_id: r.n_tokens for r in cp.run(spark, SF).collect()} == want
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("sea", "sky", "sun"))
+    rows = [(1, one), (1, one), (1, two), (2, one), (3, ""), (3, ""), (None, one), (None, three), (None, three), (None, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert out == sorted([(1, one), (1, two), (3, ""), (None, three), (None, ""), (None, None), (None, None)], key=repr)
