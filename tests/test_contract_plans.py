@@ -3,7 +3,7 @@
 import __spark_entry__ as E
 from inkstone.plans import registry as G
 
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 
 
 def plan(df):

@@ -7,7 +7,7 @@ from inkstone.plans.jobs import evaluation_job, ranking_job, training_rows_job
 from inkstone.sources import io as IO
 from inkstone.sources import standins as S
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_training_rows_job(spark):

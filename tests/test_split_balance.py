@@ -8,7 +8,7 @@ from inkstone.operators.split import bucket_quota, eval_size, stratified_split
 from inkstone.plans.corpus import prepare_corpus
 from inkstone.sources import standins as S
 
-from conftest import SF_CHECK
+from paths import SF_CHECK
 
 
 def test_eval_size_bounds():
