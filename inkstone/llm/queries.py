@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
+from inkstone.llm import alignment, bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,14 @@ def op4_soft_mixing(spark, sf_dir):
     """Rate and copies of every document for a mix of as many words as the corpus has."""
     out = mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), MIX_WEIGHTS)
     return out.select("row.doc_id", "words", "domain", "posterior", "rate", "copies")
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    """Groups and links of every document between a byte-level and a sentencepiece tokenizer."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    out = alignment.align_corpus(load(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN, model)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
