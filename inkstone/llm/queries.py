@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import alignment, bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files, warc
+from inkstone.llm import (alignment, bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files,
+                          warc, whitening)
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +176,9 @@ def op11_alignment(spark, sf_dir):
         model = f.read()
     out = alignment.align_corpus(load(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN, model)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    """Every usable vector on the 32 leading components of all of them."""
+    return whitening.whitened_rows(load(spark, sf_dir, "embeddings"), 32)
