@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from inkstone.llm import (alignment, bpe, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding, token_files,
-                          warc, whitening)
+from inkstone.llm import (alignment, bpe, cap_filters, chat_tree, exact_dedup, jaccard_join, line_dedup, mixing, quality, sharding,
+                          token_files, warc, whitening)
 from inkstone.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +178,23 @@ def op11_alignment(spark, sf_dir):
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query("op12_cap_filters", """
+WITH RECURSIVE n AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v,
+                  sqrt(list_sum(list_transform(embedding, lambda c: CAST(c AS DOUBLE) * CAST(c AS DOUBLE)))) AS size FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM n WHERE size > 0 AND isfinite(size)),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+      WHERE list_inner_product(x.v, y.v) >= 0.98 * x.size * y.size),
+r AS (SELECT vec_id AS id, vec_id AS seen FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen),
+c AS (SELECT id AS vec_id, min(seen) AS component_id FROM r GROUP BY id),
+k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN k USING (vec_id)""")
+def op12_cap_filters(spark, sf_dir):
+    """Links and components of all vectors with a cosine of 0.98 or more to another of their label."""
+    return cap_filters.near_duplicates(load(spark, sf_dir, "embeddings"), 0.98)
+
+
 @query("op13_whitening")
 def op13_whitening(spark, sf_dir):
     """Every usable vector on the 32 leading components of all of them."""
