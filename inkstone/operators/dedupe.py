@@ -21,9 +21,10 @@ def dedupe_pairs(df: DataFrame, key_cols: list, order_col: str = "id") -> DataFr
 
 
 def dedupe_candidates(df: DataFrame, group_col: str = "prompt_id", markup_col: str = "markup",
-                      seq_col: str = "seq") -> DataFrame:
+                      seq_col: str = "seq", lane_col: str | None = None) -> DataFrame:
     """Drop empty markup, keep the first (by ``seq``) of each (group, markup);
-    a group left with nothing keeps all its original rows.
+    a group left with nothing keeps all its original rows.  Rows of different lanes of a
+    group (``lane_col``) are deduplicated apart.
 
     One linear pass: a single shuffle by group, then two windows (the second's
     (group, hash) clustering is satisfied by the first's partitioning).  The input
@@ -31,8 +32,9 @@ def dedupe_candidates(df: DataFrame, group_col: str = "prompt_id", markup_col: s
     is one prompt's candidates, bounded by the generation budget plus retrieval.
     """
     nonempty = F.length(F.coalesce(F.col(markup_col), F.lit(""))) > 0
-    any_nonempty = F.max(nonempty.cast("int")).over(Window.partitionBy(group_col))
-    first = F.row_number().over(Window.partitionBy(group_col, F.sha2(F.col(markup_col), 256)).orderBy(seq_col))
+    lane = [lane_col] if lane_col else []
+    any_nonempty = F.max(nonempty.cast("int")).over(Window.partitionBy(group_col, *lane))
+    first = F.row_number().over(Window.partitionBy(group_col, *lane, F.sha2(F.col(markup_col), 256)).orderBy(seq_col))
     out = df.withColumn("__any", any_nonempty).withColumn("__rn", first)
     keep = F.when(F.col("__any") == 1, nonempty & (F.col("__rn") == 1)).otherwise(F.lit(True))
     return out.filter(keep).drop("__any", "__rn")

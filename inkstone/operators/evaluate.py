@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from inkstone import constants as K
 from inkstone.functions import image as IM
 from inkstone.functions import markup as MX
+from inkstone.functions import raster as RA
 from inkstone.functions.markup import let
 from inkstone.functions import text as TX
 from inkstone.operators import markup as M
@@ -71,33 +72,51 @@ def pred_vs_ref(preds: DataFrame, refs: DataFrame, id_col: str = "id", ckpt_col:
     return wanted.join(preds, [ckpt_col, id_col], "left")
 
 
+def image_metrics(pred_images: DataFrame, ref_images: DataFrame, id_col: str = "id", ckpt_col: str = "checkpoint") -> DataFrame:
+    """(checkpoint, id, ssim, edge_f1, mae) of colour images: (checkpoint, id, image) against (id, image).
+
+    An image moves once, to the other side's partition of its id; only the numbers go on from there."""
+    both = pred_images.select(ckpt_col, id_col, F.col("image").alias("__p")).join(
+        ref_images.select(id_col, F.col("image").alias("__r")), id_col)
+    return both.select(ckpt_col, id_col, RA.pair_metrics(F.col("__p"), F.col("__r")).alias("m")).select(
+        ckpt_col, id_col, "m.ssim", "m.edge_f1", "m.mae")
+
+
 def evaluate_predictions(preds: DataFrame, refs: DataFrame, pred_images: DataFrame | None = None,
                          ref_images: DataFrame | None = None, width: int = 8,
                          id_col: str = "id", ckpt_col: str = "checkpoint", checkpoints: DataFrame | None = None) -> DataFrame:
     """Extract -> canonicalise -> validity -> metrics for valid rows (null otherwise).
 
     ``preds``: (checkpoint, id, raw_text); ``refs``: (id, prompt, reference_svg) with
-    canonical reference markup; images: (checkpoint, id, pixels) and (id, pixels),
-    gray row-major arrays.  A row without images keeps its markup metrics null, as a
+    canonical reference markup; images: (checkpoint, id, image) and (id, image) with binary
+    colour images (see functions.raster), or (checkpoint, id, pixels) and (id, pixels) with gray
+    row-major arrays of ``width``.  A row without images keeps its markup metrics null, as a
     failed render does; a reference without a prediction is an invalid row with empty markup.
     """
     p = preds.withColumn("__x", TX.extract_markup("raw_text"))
     p = M.canonicalise(p, "__x", "svg", variant="train").drop("__x")
     p = MX.with_parsed(p, "svg", "__p_")
     j = pred_vs_ref(p, refs, id_col, ckpt_col, checkpoints).withColumn("svg", F.coalesce("svg", F.lit("")))
-    if pred_images is not None and ref_images is not None:
+    valid = F.coalesce(F.col("__p_valid"), F.lit(False))
+    numbers = ("__ssim", "__edge", "__mae")
+    if pred_images is None or ref_images is None:
+        j = j.withColumns({c: F.lit(None).cast("double") for c in numbers})
+    elif "image" in pred_images.columns:
+        m = image_metrics(pred_images, ref_images, id_col, ckpt_col).toDF(ckpt_col, id_col, *numbers)
+        j = j.join(m, [ckpt_col, id_col], "left")
+    else:
         j = (j.join(pred_images.select(ckpt_col, id_col, F.col("pixels").alias("__pi")), [ckpt_col, id_col], "left")
               .join(ref_images.select(id_col, F.col("pixels").alias("__ri")), id_col, "left"))
-    else:
-        j = j.withColumn("__pi", F.lit(None).cast("array<double>")).withColumn("__ri", F.lit(None).cast("array<double>"))
-    valid = F.coalesce(F.col("__p_valid"), F.lit(False))
-    rendered = valid & F.col("__pi").isNotNull() & F.col("__ri").isNotNull()
-    j = j.withColumn("__ok", rendered)
-    # per-row image metrics, each bound once
+        # per-row image metrics, each bound once
+        j = j.withColumns({
+            "__ssim": IM.ssim_global(F.col("__pi"), F.col("__ri"), clamp=True),
+            "__edge": IM.edge_f1(IM.edge_map(F.col("__pi"), width), IM.edge_map(F.col("__ri"), width)),
+            "__mae": IM.pixel_mae(F.col("__pi"), F.col("__ri")),
+        })
+    # without an image, or with images of different sizes, nothing was rendered
+    have = F.col("__ssim") if "__pi" not in j.columns else F.when(F.col("__pi").isNotNull() & F.col("__ri").isNotNull(), F.lit(1.0))
     j = j.withColumns({
-        "__ssim": IM.ssim_global(F.col("__pi"), F.col("__ri"), clamp=True),
-        "__edge": IM.edge_f1(IM.edge_map(F.col("__pi"), width), IM.edge_map(F.col("__ri"), width)),
-        "__mae": IM.pixel_mae(F.col("__pi"), F.col("__ri")),
+        "__ok": valid & have.isNotNull(),
         "__struct": tag_similarity(MX.tag_histogram("svg"), MX.tag_histogram("reference_svg")),
         "__compact": compactness(F.length("svg"), F.length("reference_svg")),
     })

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone import constants as K
+from inkstone.functions import image as IM
 from inkstone.functions import markup as MX
+from inkstone.functions import raster as RA
 from inkstone.functions import text as TX
 from inkstone.operators import markup as M
 from inkstone.operators.dedupe import dedupe_candidates
@@ -114,20 +116,36 @@ def exact_retrieval(train: DataFrame, test_prompts: DataFrame, k: int = K.RETRIE
 def attach_retrieval(cands: DataFrame, retrieved: DataFrame, prompts: DataFrame,
                      group_col: str = "prompt_id", prompt_col: str = "prompt") -> DataFrame:
     """Append each prompt's retrieval candidates after its generated ones."""
+    base = cands.select(group_col, "seq", "source", "idx", "markup", "markup_canon", "valid", "score", "stats")
+    return base.unionByName(retrieved_candidates(retrieved, prompts, group_col, prompt_col))
+
+
+def retrieved_candidates(retrieved: DataFrame, prompts: DataFrame, group_col: str = "prompt_id", prompt_col: str = "prompt") -> DataFrame:
+    """The retrieval candidates of each prompt as candidate rows."""
     per_prompt = prompts.select(F.col(group_col), TX.clean_prompt(F.col(prompt_col)).alias("__p"))
     r = per_prompt.join(retrieved.withColumnRenamed("prompt", "__p"), "__p", "inner")
-    r = r.select(F.col(group_col), (F.lit(RETRIEVAL_SEQ_BASE) + F.col("ord")).cast("int").alias("seq"),
-                 F.lit("train-exact").alias("source"), "idx", "markup", "markup_canon", "valid", "score", "stats")
-    base = cands.select(group_col, "seq", "source", "idx", "markup", "markup_canon", "valid", "score", "stats")
-    return base.unionByName(r)
+    return r.select(F.col(group_col), (F.lit(RETRIEVAL_SEQ_BASE) + F.col("ord")).cast("int").alias("seq"),
+                    F.lit("train-exact").alias("source"), "idx", "markup", "markup_canon", "valid", "score", "stats")
 
 
-def rerank_window(df: DataFrame, group_col: str = "prompt_id", k: int = K.RERANK_TOP_K) -> DataFrame:
-    """Flag the top-k valid candidates per prompt (they go to the expensive stage)."""
-    w = Window.partitionBy(group_col, "valid").orderBy(F.desc("score"), F.asc("seq"))
+def rerank_window(df: DataFrame, group_col: str = "prompt_id", k: int = K.RERANK_TOP_K, lane_col: str | None = None) -> DataFrame:
+    """Flag the top-k valid candidates per prompt, and lane if given (they go to the expensive stage)."""
+    w = Window.partitionBy(group_col, *([lane_col] if lane_col else []), "valid").orderBy(F.desc("score"), F.asc("seq"))
     return df.withColumn("rerank", F.col("valid") & (F.row_number().over(w) <= k))
 
 
+def render_features(images: DataFrame, prompts: DataFrame, group_col: str = "prompt_id", prompt_col: str = "prompt") -> DataFrame:
+    """Features for :func:`render_rerank` from rendered colour images: (prompt_id, seq, image[, image_vec, text_vec]).
+
+    Images are measured where they lie; only the numbers meet the prompts.  Without embeddings the similarity is 0."""
+    near = (IM.embedding_similarity(F.col("image_vec"), F.col("text_vec")) if "image_vec" in images.columns else F.lit(0.0)).alias("clip_score")
+    measured = images.select(group_col, "seq", RA.image_features(F.col("image")).alias("f"), near)
+    words = prompts.select(group_col, F.col(prompt_col).alias("__p"))
+    return measured.join(words, group_col).select(
+        group_col, "seq", "f.edge_density", "f.non_white", "f.edge_clarity",
+        RA.color_fidelity(F.col("__p"), F.col("f.color_shares")).alias("color_fidelity"), "clip_score")
+
+
 def render_rerank(df: DataFrame, features: DataFrame, prompts: DataFrame, group_col: str = "prompt_id",
                   prompt_col: str = "prompt", weight: float = K.EMBEDDING_WEIGHT) -> DataFrame:
     """Adjust the score of flagged candidates by image features.
@@ -192,34 +210,101 @@ def generation_plan(greedy: DataFrame, n_models: int = 1, prompt_col: str = "pro
                        "max_tokens", "greedy_tokens", "budget")
 
 
+# FIXED VALUES: levels of a result, the first that has a valid candidate wins
+LEVELS = ("normal", "retry", "retrieval", "fallback")
+
+
+def best_by_level(df: DataFrame, group_col: str = "prompt_id") -> DataFrame:
+    """The winner of each prompt over the ordered levels, in one partial aggregate.
+
+    ``df``: candidates with valid, score, seq, source, ``lane`` ("" for those that compete for the normal level) and
+    ``sound`` (the prompt has generated candidates and none of its generations broke off).  normal: the best score of
+    generated and retrieved candidates of a sound prompt; retry: the first valid retry in order; retrieval: the best
+    retrieved candidate; fallback: none of them (the row then holds some invalid candidate).  An invalid
+    candidate never outscores a valid one (at most about -350 against at least 50, near-blank penalty
+    included), so the best valid candidate of a sound prompt is its best.  ``num_candidates`` counts those of the
+    normal level, or the retrieved ones where they come to the rescue; retries never.
+
+    The windows sit on the partitioning by prompt that the dedupe made; a prompt's candidates are bounded by its budget.
+    """
+    w = Window.partitionBy(group_col)
+    retry, retrieved = F.col("source") == "retry", F.col("source") == "train-exact"
+    normal = F.col("sound") & (F.col("lane") == "")
+
+    def any_valid(which):
+        return F.max((F.coalesce(F.col("valid"), F.lit(False)) & which).cast("int")).over(w) == 1
+
+    level = F.when(any_valid(normal), 0).when(any_valid(retry), 1).when(any_valid(retrieved), 2).otherwise(3)
+    j = df.withColumns({"__level": level, "__normal": F.count_if(F.col("lane") == "").over(w), "__rescue": F.count_if(retrieved).over(w)})
+    fits = F.when(F.col("__level") == 1, retry).when(F.col("__level") == 2, retrieved).otherwise(F.col("lane") == "")
+    j = j.withColumns({"level": F.element_at(F.lit(list(LEVELS)), F.col("__level") + 1),
+                       "num_candidates": F.when(F.col("__level") == 2, F.col("__rescue")).otherwise(F.col("__normal"))})
+    cols = [c for c in j.columns if not c.startswith("__") and c not in (group_col, "lane", "sound")]
+    key = F.struct(fits.alias("fits"), F.col("valid").alias("valid"),
+                   F.when(F.col("__level") == 1, F.lit(0.0)).otherwise(F.col("score")).alias("score"), (-F.col("seq")).alias("neg_seq"))
+    return j.groupBy(group_col).agg(F.max_by(F.struct(*cols), key).alias("__b")).select(group_col, "__b.*")
+
+
+def candidate_index(df: DataFrame) -> F.Column:
+    """``best_idx``: ``m{model}:{n}`` where the table names models, ``retry:{temperature}`` for retries that name
+    theirs, else ``source:seq``."""
+    idx = F.format_string("%s:%d", F.col("source"), F.col("seq"))
+    if "model" in df.columns:
+        n = F.col("n") if "n" in df.columns else F.col("seq")
+        idx = F.when(F.col("model").isNotNull(), F.format_string("m%d:%d", F.col("model"), n)).otherwise(idx)
+    if "temperature" in df.columns:
+        warm = (F.col("source") == "retry") & F.col("temperature").isNotNull()
+        idx = F.when(warm, F.concat(F.lit("retry:"), F.col("temperature").cast("string"))).otherwise(idx)
+    return idx
+
+
+def model_name(df: DataFrame) -> F.Column:
+    """``best_model``: the label of the candidate's model, ``retry@{temperature}`` for retries, else its source."""
+    name = F.col("source")
+    if "model_label" in df.columns:
+        name = F.coalesce(F.col("model_label"), name)
+    if "temperature" in df.columns:
+        warm = (F.col("source") == "retry") & F.col("temperature").isNotNull()
+        name = F.when(warm, F.concat(F.lit("retry@"), F.col("temperature").cast("string"))).otherwise(name)
+    return name
+
+
 def rank_candidates(cands: DataFrame, prompts: DataFrame, retrieved: DataFrame | None = None,
                     features: DataFrame | None = None, group_col: str = "prompt_id",
                     prompt_col: str = "prompt") -> DataFrame:
-    """Clean -> score -> attach retrieval -> dedupe -> (rerank) -> best -> fallback.
+    """Clean -> score -> attach retrieval -> dedupe -> (rerank) -> best by level -> fallback.
 
-    ``cands``: (prompt_id, prompt, seq, source, raw_text).  ``prompts``: (prompt_id, prompt).
-    Returns one row per prompt with the chosen markup and the audit fields.
+    ``cands``: (prompt_id, prompt, seq, source, raw_text), and where several models generate: model (number),
+    model_label, model_path, n (candidate number of that model); retries have source "retry" and their temperature, in
+    the order of ``seq``.  A null ``raw_text`` says that the generation broke off.  ``prompts``: (prompt_id, prompt).
+    Returns one row per prompt with the chosen markup, the audit fields and ``level`` (see best_by_level).
     Prompts without a valid candidate get the prompt-aligned fallback (P17).
     """
     c = clean_candidates(cands, "raw_text", mode="generated")
     c = score_candidates(c, prompt_col)
-    c = c.withColumn("idx", F.format_string("%s:%d", F.col("source"), F.col("seq")))
+    path = F.col("model_path") if "model_path" in cands.columns else F.lit(None)
+    c = c.withColumns({"idx": candidate_index(c), "label": model_name(c), "path": path.cast("string"), "failed": F.col("raw_text").isNull()})
+    c = c.select(group_col, "seq", "source", "idx", "markup", "markup_canon", "valid", "score", "stats", "label", "path", "failed")
     if retrieved is not None:
-        c = attach_retrieval(c, retrieved, prompts, group_col, prompt_col)
-    else:
-        c = c.select(group_col, "seq", "source", "idx", "markup", "markup_canon", "valid", "score", "stats")
-    c = dedupe_candidates(c, group_col, "markup", "seq")
-    c = rerank_window(c, group_col)
+        found = retrieved_candidates(retrieved, prompts, group_col, prompt_col)
+        c = c.unionByName(found.withColumns({"label": F.col("source"), "path": F.lit(None).cast("string"), "failed": F.lit(False)}))
+    # retries, and retrieved candidates that can only come to the rescue, take no part in dedupe and rerank of the others
+    retry, rescue = F.col("source") == "retry", F.col("source") == "train-exact"
+    broken = F.max(F.when(~retry & ~rescue, F.col("failed").cast("int"))).over(Window.partitionBy(group_col))
+    c = c.withColumn("sound", F.coalesce(broken == 0, F.lit(False))).drop("failed")
+    c = c.withColumn("lane", F.when(retry, F.concat(F.lit("retry"), F.col("seq"))).when(rescue & ~F.col("sound"), F.lit("rescue")).otherwise(F.lit("")))
+    c = rerank_window(dedupe_candidates(c, group_col, "markup", "seq", "lane"), group_col, lane_col="lane")
+    c = c.withColumn("rerank", F.col("rerank") & ~retry)
     if features is not None:
         c = render_rerank(c, features, prompts, group_col, prompt_col)
     else:
         c = (c.withColumn("render_non_white", F.lit(None).cast("double"))
               .withColumn("render_edge_density", F.lit(None).cast("double"))
               .withColumn("clip_score", F.lit(None).cast("double")))
-    best = best_candidate(c.drop("rerank"), group_col)
+    best = best_by_level(c.drop("rerank"), group_col)
     p = prompts.select(F.col(group_col), F.col(prompt_col).alias("__prompt"))
     out = p.join(best, group_col, "left")
-    use_fb = ~F.coalesce(F.col("valid"), F.lit(False))
+    use_fb = F.coalesce(F.col("level") == "fallback", F.lit(True))
     out = out.withColumn("__fb", TX.fallback_markup("__prompt"))
     out = MX.with_parsed(out, "__fb", "__f_")
     fb = F.col("__fb")
@@ -238,10 +323,12 @@ def rank_candidates(cands: DataFrame, prompts: DataFrame, retrieved: DataFrame |
         F.round(F.when(use_fb, fb_cov).otherwise(F.col("stats.coverage")), 5).alias("best_coverage"),
         F.when(use_fb, fb_stats["drawable_count"]).otherwise(F.col("stats.drawable_count")).alias("best_drawables"),
         F.when(use_fb, fb_stats["distinct_colors"]).otherwise(F.col("stats.distinct_colors")).alias("best_colors"),
-        F.when(use_fb, F.lit("fallback")).otherwise(F.col("source")).alias("best_model"),
+        F.when(use_fb, F.lit("fallback")).otherwise(F.col("label")).alias("best_model"),
         F.when(use_fb, F.lit(None).cast("double")).otherwise(F.col("render_non_white")).alias("render_non_white"),
         F.when(use_fb, F.lit(None).cast("double")).otherwise(F.col("render_edge_density")).alias("render_edge_density"),
-        F.when(use_fb, F.lit(None).cast("double")).otherwise(F.col("clip_score")).alias("best_clip_score"))
+        F.when(use_fb, F.lit(None).cast("double")).otherwise(F.col("clip_score")).alias("best_clip_score"),
+        F.when(use_fb, F.lit("fallback")).otherwise(F.col("path")).alias("best_model_path"),
+        F.coalesce(F.col("level"), F.lit("fallback")).alias("level"))
 
 
 def result_summary(audit: DataFrame) -> DataFrame:

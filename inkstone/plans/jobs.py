@@ -94,10 +94,29 @@ def evaluation_job(spark: SparkSession, predictions: DataFrame, references: Data
 
 
 def ranking_job(spark: SparkSession, candidates: DataFrame, test: DataFrame, out_dir: str,
-                train_pairs: DataFrame | None = None, features: DataFrame | None = None) -> dict:
-    """Jobs D + E.  ``test``: (prompt_id, prompt); ``candidates``: (prompt_id, prompt, seq, source, raw_text)."""
-    retrieved = RK.exact_retrieval(train_pairs, test.withColumnRenamed("prompt_id", "id")) if train_pairs is not None else None
-    audit = RK.rank_candidates(candidates, test, retrieved, features).checkpoint(eager=True)
+                train_pairs: DataFrame | None = None, features: DataFrame | None = None, images: DataFrame | None = None,
+                results: str | None = None) -> dict:
+    """Jobs D + E.  ``test``: (prompt_id, prompt); ``candidates``: (prompt_id, prompt, seq, source, raw_text), with the
+    columns of rank_candidates for several models and retries.
+
+    ``images``: rendered candidates (prompt_id, seq, image[, image_vec, text_vec]) to measure, or ``features`` measured
+    already.  ``results``: a folder of finished results; prompts that are in it are not ranked again, new
+    results are added to it."""
+    if images is not None:
+        features = RK.render_features(images, test)
+
+    def rank(rows: DataFrame) -> DataFrame:
+        prompts = rows.withColumnRenamed("id", "prompt_id")
+        found = RK.exact_retrieval(train_pairs, rows) if train_pairs is not None else None
+        own = candidates if results is None else candidates.join(prompts.select("prompt_id"), "prompt_id", "left_semi")
+        return RK.rank_candidates(own, prompts, found, features)
+
+    todo = test.withColumnRenamed("prompt_id", "id")
+    if results is None:
+        audit = rank(todo)
+    else:
+        audit = RS.resume_batch(todo, rank, results).drop("run_seq").join(todo.select("id"), "id", "left_semi")
+    audit = audit.checkpoint(eager=True)
     res = audit.select("id", "svg")
     res = (res.withColumn("__els", MX.parse_elements("svg")).withColumn("svg", MX.rescaled_from("svg", "__els"))
               .drop("__els"))                                                    # M10
@@ -123,12 +142,15 @@ def main(argv=None) -> None:
     r.add_argument("--candidates", required=True)
     r.add_argument("--test", required=True)
     r.add_argument("--train")
+    r.add_argument("--images", help="(prompt_id, seq, image[, image_vec, text_vec])")
+    r.add_argument("--features", help="(prompt_id, seq, edge_density, non_white, edge_clarity, color_fidelity, clip_score)")
+    r.add_argument("--results", help="folder of finished results to resume from")
     r.add_argument("--out", required=True)
     v = sub.add_parser("evaluate", help="predictions + references (+ images) -> leaderboard, audit, summary")
     v.add_argument("--predictions", required=True, help="(checkpoint, id, raw_text)")
     v.add_argument("--references", required=True, help="(id, prompt, reference_svg)")
-    v.add_argument("--pred-images", help="(checkpoint, id, pixels)")
-    v.add_argument("--ref-images", help="(id, pixels)")
+    v.add_argument("--pred-images", help="(checkpoint, id, image) or (checkpoint, id, pixels)")
+    v.add_argument("--ref-images", help="(id, image) or (id, pixels)")
     v.add_argument("--width", type=int, default=256)
     v.add_argument("--out", required=True)
     args = p.parse_args(argv)
@@ -147,7 +169,9 @@ def main(argv=None) -> None:
                              args.out, pi, ri, args.width))
     else:
         train = load(args.train) if args.train else None
-        print(ranking_job(spark, spark.read.parquet(args.candidates), spark.read.parquet(args.test), args.out, train))
+        feats, images = (spark.read.parquet(p) if p else None for p in (args.features, args.images))
+        print(ranking_job(spark, spark.read.parquet(args.candidates), spark.read.parquet(args.test), args.out, train, feats, images,
+                          args.results))
 
 
 if __name__ == "__main__":

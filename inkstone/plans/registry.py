@@ -1444,3 +1444,7 @@ def resplit_union(spark, sf):
         F.max("split").alias("split"), F.count(F.lit(1)).alias("n_after"))
     both = before.join(after, "id", "full")
     return finish(both.select("id", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_before", "n_after")]))
+
+
+# the queries over colour images and fallback levels register themselves
+from inkstone.plans import registry_images  # noqa: E402,F401

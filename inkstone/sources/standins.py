@@ -13,6 +13,7 @@ the DuckDB oracle see byte-identical inputs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -237,3 +238,88 @@ def rgb_images_sql(dialect: str = "spark") -> str:
     SELECT CAST(a.vec_id AS STRING) AS id, {fn}(a.embedding, {lam}) AS r, {fn}(b.embedding, {lam}) AS g,
            {fn}(c.embedding, {lam}) AS b
     FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2"""
+
+
+def color_planes_sql(dialect: str = "spark") -> str:
+    """(vec_id, n, r, g, b, a): 64 pixels of 8-bit colour planes with alpha per ``embeddings`` row, from the row and the three
+    after it (the last is followed by the first).  Values are spread so that channels saturate; every
+    seventh image is fully transparent, the others are opaque but for some pixels."""
+    if dialect == "spark":
+        fn, args = "transform", lambda v: f"{v} ->"
+    else:
+        fn, args = "list_transform", lambda v: f"lambda {v}:"
+    byte = f"{fn}(embedding, {args('v')} CAST(greatest(0, least(255, floor(128 + 900 * CAST(v AS DOUBLE)))) AS INTEGER))"
+    alpha = f"{fn}(w.c, {args('v')} CASE WHEN x.vec_id % 7 = 0 THEN 0 WHEN v < 200 THEN 255 ELSE v END)"
+    src = f"(SELECT vec_id, {byte} AS c, (SELECT count(*) FROM embeddings) AS n FROM embeddings)"
+    return f"""
+    SELECT x.vec_id, x.n, x.c AS r, y.c AS g, z.c AS b, {alpha} AS a
+    FROM {src} x JOIN {src} y ON y.vec_id = (x.vec_id + 1) % x.n JOIN {src} z ON z.vec_id = (x.vec_id + 2) % x.n
+    JOIN {src} w ON w.vec_id = (x.vec_id + 3) % x.n"""
+
+
+# FIXED VALUES: checkpoints of the predicted images and how far their images lie from the reference's
+_IMAGE_SHIFTS = (("ckpt-100", 0), ("ckpt-200", 1))
+
+
+def color_images_sql(dialect: str = "spark") -> tuple[str, str]:
+    """((id, width, r, g, b, a), (checkpoint, id, width, r, g, b, a)): a colour image of every ``part`` row as reference and per
+    checkpoint, 8 or 16 pixels wide by id.  Every eleventh prediction of the second checkpoint has another width, so that its
+    pair cannot be compared."""
+    planes = color_planes_sql(dialect)
+    width = "CASE WHEN p_partkey % 3 = 0 THEN 16 ELSE 8 END"
+    part = "(SELECT p_partkey, (SELECT count(*) FROM embeddings) AS m FROM part)"
+    refs = f"""SELECT CAST(p_partkey AS STRING) AS id, {width} AS width, r, g, b, a
+               FROM {part} p JOIN ({planes}) i ON i.vec_id = p.p_partkey % p.m"""
+    preds = " UNION ALL ".join(f"""
+               SELECT '{name}' AS checkpoint, CAST(p_partkey AS STRING) AS id,
+                      {width if not shift else f"CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE {width} END"} AS width, r, g, b, a
+               FROM {part} p JOIN ({planes}) i ON i.vec_id = (p.p_partkey * {1 + shift} + {shift}) % p.m""" for name, shift in _IMAGE_SHIFTS)
+    return refs, preds
+
+
+def packed_image(planes: DataFrame) -> DataFrame:
+    """``image`` (see functions.raster) in place of the columns width, r, g, b, a."""
+    image = F.expr("""named_struct('width', width, 'height', CAST(size(r) div width AS INT), 'rgba', unhex(array_join(transform(
+        r, (v, i) -> concat(lpad(hex(v), 2, '0'), lpad(hex(g[i]), 2, '0'), lpad(hex(b[i]), 2, '0'), lpad(hex(a[i]), 2, '0'))), '')))""")
+    return planes.withColumn("image", image).drop("width", "r", "g", "b", "a")
+
+
+def color_images(spark: SparkSession, sf_dir: str):
+    """(reference images (id, image), predicted images (checkpoint, id, image))."""
+    register(spark, sf_dir, ["embeddings", "part"])
+    refs, preds = color_images_sql("spark")
+    return packed_image(spark.sql(refs)), packed_image(spark.sql(preds))
+
+
+def level_candidates_sql(dialect: str = "spark", expected: bool = False) -> str:
+    """(prompt_id, prompt, seq, source, model, model_label, model_path, n, temperature, raw_text): for every ``part`` row 1 to 4
+    candidates of two models in turn and 3 retries.  Every ninth prompt's first generation broke off (null
+    text), every tenth's candidates hold no markup, and of three prompts in four the first one or all retries hold none."""
+    rows = ("SELECT p.*, s.seq FROM part p LATERAL VIEW explode(concat(sequence(0, CAST(p_partkey % 4 AS INT)), array(100, 101, 102))) s AS seq"
+            if dialect == "spark" else
+            "SELECT p.*, s.seq FROM part p, LATERAL (SELECT unnest(list_concat(range(0, p.p_partkey % 4 + 1), [100, 101, 102])) AS seq) s")
+    broken = "seq = 0 AND p_partkey % 9 = 0"
+    bare = "seq < 100 AND p_partkey % 10 = 1 OR seq = 100 AND p_partkey % 4 > 0 OR seq > 100 AND p_partkey % 4 > 1"
+    extra = f", CASE WHEN {broken} OR {bare} THEN '' ELSE {_EXPECTED_INFER} END AS expected_canon" if expected else ""
+    label = "CASE WHEN seq % 2 = 0 THEN 'base' ELSE 'tuned' END"
+    return f"""
+    SELECT CAST(p_partkey AS STRING) AS prompt_id, p_name AS prompt, CAST(seq AS INT) AS seq,
+           CASE WHEN seq >= 100 THEN 'retry' WHEN seq < 2 THEN 'greedy' ELSE 'sampled' END AS source,
+           CASE WHEN seq < 100 THEN CAST(seq % 2 AS INT) END AS model, CASE WHEN seq < 100 THEN {label} END AS model_label,
+           CASE WHEN seq < 100 THEN '/models/' || {label} END AS model_path, CAST(floor(seq / 2) AS INT) AS n,
+           CASE seq WHEN 100 THEN CAST(0.9 AS DOUBLE) WHEN 101 THEN CAST(0.96 AS DOUBLE) WHEN 102 THEN CAST(1.05 AS DOUBLE) END AS temperature,
+           CASE WHEN {broken} THEN NULL WHEN {bare} THEN 'Sorry, no drawing.' ELSE {_WRAP} END AS raw_text{extra}
+    FROM (SELECT *, {_RAW} AS raw_svg
+          FROM (SELECT *, {_SHAPE}
+                FROM (SELECT p_partkey, p_name, p_size, seq, {_choices('p_partkey + seq')}
+                      FROM ({rows}) r) c0) c1) c2"""
+
+
+def level_train_sql(expected: bool = False) -> str:
+    """The retrieval corpus of the query above: two rows in five have a prompt that no test prompt equals."""
+    return train_pairs_sql(expected).replace("p_name AS prompt", "CASE WHEN p_partkey % 5 < 2 THEN p_name || ' sketch' ELSE p_name END AS prompt")
+
+
+def level_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    register(spark, sf_dir, ["part"])
+    return spark.sql(level_candidates_sql()), spark.sql(level_train_sql())
