@@ -178,7 +178,8 @@ def read_turns(spark: SparkSession, path: str) -> DataFrame:
     turns = salted_join(members, nodes.select("start", "length", "segment", "loss_from", "loss_to"), counts, "start", "refs",
                         members.count(), ["place", "turn"])
     plain = lambda c: F.regexp_replace(c, r"\\([\\<>])", "$1")
-    body = r"(?s)^<turn ((?:\\[\\<>]|[^\\<>])*)>\n(.*)</turn>\n$"
+    # possessive, so that a long role takes no stack
+    body = r"(?s)^<turn ((?:[^\\<>]++|\\[\\<>])*+)>\n(.*)</turn>\n$"
     masked = F.expr("substring(segment, int(loss_from) + 1, int(loss_to - loss_from))")
     return turns.select("conv_id", "place", "turn", plain(F.regexp_extract("segment", body, 1)).alias("role"),
                         plain(F.regexp_extract("segment", body, 2)).alias("text"),

@@ -87,3 +87,10 @@ def test_empty_table(spark):
                                st.text(alphabet="\\<>/turn \n#é", max_size=8)), min_size=1, max_size=12))
 def test_any_text(spark, rows):
     assert run(spark, rows)[1] == expected(rows)
+
+
+def test_very_long_roles_and_texts(spark):
+    role, text = "r<\\>" * 50_000, "t" * 300_000
+    rows = spark.createDataFrame([(1, 0, role, text), (1, 1, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+    back = ct.read_turns(spark, ct.write(rows)).orderBy("place").collect()
+    assert [(r.role, r.text) for r in back] == [(role, text), ("assistant", "ok")]
