@@ -95,17 +95,30 @@ def rebalance(current: list[int], sums: dict[int, tuple[int, int]], shards: int)
 
 
 class ShardMap:
-    """Versions of the slot-to-shard map in ``path``/version=N; a version is never rewritten."""
+    """Versions of the slot-to-shard map in ``path``/version=N; a version is never rewritten.  Opening the path of
+    an existing map continues after its newest whole version."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or scratch_path(spark, "shard-map"), 0
+        self.spark, self.path = spark, path or scratch_path(spark, "shard-map")
+        self.version = max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = folder(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder(self.path)):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(folder(self.path))]
+        # the one file of a version appears when its write is committed
+        whole = [n for n in names if n.startswith("version=") and any(
+            f.getPath().getName().endswith(".parquet") for f in files.listStatus(folder(f"{self.path}/{n}")))]
+        return [int(n[len("version="):]) for n in whole]
 
     def save(self, shard_of: list[int]) -> DataFrame:
         self.version += 1
         table = self.spark.range(len(shard_of)).select(
             F.col("id").cast("int").alias("vslot"),
             F.element_at(F.from_json(F.lit(json.dumps(shard_of)), "array<int>"), (F.col("id") + 1).cast("int")).alias("shard"))
-        table.coalesce(1).write.parquet(f"{self.path}/version={self.version}")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={self.version}")  # of one that broke off
         return self.load(self.version)
 
     def load(self, version: int | None = None) -> DataFrame:

@@ -67,3 +67,23 @@ def test_plan_shuffles_no_text_and_runs_no_python(spark):
     exchange = plan[plan.index("Exchange hashpartitioning(vslot"):]
     assert "[doc_id" in exchange or "Project" in exchange
     assert "Window" in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_map_is_continued_in_a_later_session(spark, docs):
+    rows = docs([(i, "x" * (i % 50)) for i in range(500)])
+    first = sh.ShardMap(spark)
+    before = {r.doc_id: r.shard for r in sh.assign(rows, 4, shard_map=first).collect()}
+    again = sh.ShardMap(spark, first.path)
+    assert again.version == 1
+    grown = {r.doc_id: r.shard for r in sh.assign(rows, 5, shard_map=again).collect()}
+    assert sh.ShardMap(spark, first.path).version == 2 and set(grown.values()) == set(range(5))
+    assert sum(before[i] != s and s != 4 for i, s in grown.items()) < 50
+
+
+def test_version_that_broke_off_is_written_anew(spark, docs):
+    first = sh.ShardMap(spark)
+    sh.assign(docs([(1, "a")]), 2, shard_map=first)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{first.path}/version=2/_temporary")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    again = sh.ShardMap(spark, first.path)
+    assert again.version == 1 and again.save([0, 1]).count() == 2 and again.version == 2
