@@ -49,14 +49,26 @@ class DigestIndex:
     """The persistent index: (text_sha256, keep_id, keep_chars), bucketed and sorted by text_sha256.
 
     ``path`` names a folder that all executors share; opening the path of an existing
-    index in a later session continues it (with the bucket number it was made with).
+    index in a later session continues it with the bucket number it was made with, whatever ``buckets`` says.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
         self.path = path or scratch_path(spark, "digest-index")
+        self.buckets = self._made_with(buckets)
         self.table = self._open(self.path)
 
+    def _made_with(self, buckets: int) -> int:
+        """The bucket number that the index was made with, which is kept in a file name beside its data; ``buckets``
+        for a new one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = folder(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(folder(self.path))] if files.exists(folder(self.path)) else []
+        kept = [int(n[len("_buckets-"):]) for n in names if n.startswith("_buckets-")]
+        if not kept:
+            files.create(folder(f"{self.path}/_buckets-{buckets}"), True).close()
+        return kept[0] if kept else buckets
+
     def _open(self, path: str) -> str:
         name = f"digests_{uuid.uuid4().hex}"
         self.spark.sql(f"""CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT, keep_chars BIGINT)

@@ -55,3 +55,12 @@ def test_anti_join_shuffles_neither_side(spark, docs):
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Exchange" not in plan
     assert new.count() == 0
+
+
+def test_reopened_index_keeps_its_bucket_number(spark, docs):
+    first = DigestIndex(spark, buckets=16)
+    exact_dedup(docs([(1, "known text"), (2, "other")]), first).collect()
+    again = DigestIndex(spark, first.path, buckets=8)
+    assert again.buckets == 16
+    out = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup(docs([(11, "known  text"), (12, "other"), (13, "new")]), again).collect()}
+    assert out == {11: (11, True), 12: (2, False), 13: (13, True)} and again.rows().count() == 4
