@@ -126,3 +126,13 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = sorted(((r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, SF).collect()), key=repr)
     assert out == sorted([(1, one), (1, two), (3, ""), (None, three), (None, ""), (None, None), (None, None)], key=repr)
+
+
+def test_stages_keep_columns_with_odd_names(spark, docs):
+    """A column ``a.b`` and names of the operators' own pass every stage but the last."""
+    rows = docs([(i, " ".join(f"{w}{i % 7}" for w in ("plain", "words", "of", "a", "clean", "text", "that", "goes", "on", "for", "long"))) for i in range(12)])
+    rows = rows.withColumn("lang", quality.F.lit("en")).withColumn("`x", quality.F.lit(1))
+    for name, stage in cp.STAGES[:3]:
+        after = materialise(stage(spark, rows, SF), f"odd-{name}")
+        assert after.columns == rows.columns and after.count() > 0, name
+        rows = after
