@@ -2,20 +2,23 @@
 
 A domain is one combination of the labels' quality and toxic columns ("q1t0").  A softmax
 regression, fitted on at most SAMPLE_ROWS labelled documents (the smallest by a hash of the
-id), gives every document a posterior over the domains.  Its features are the presence of
+id; of rows that repeat an id one), gives every document a posterior over the domains.  Its features are the presence of
 FEATURES words, chosen by chi-square on the sample, and shares of character classes.
 
 Document i with t_i words and posterior p_i gets a rate r_i >= 0 such that the expected domain
-totals sum_i r_i t_i p_i match the targets: the weights times a budget of words.  The rates
-minimise sum_d (total_d - target_d)^2 / available_d, and of all that do they are the nearest to 1
-(squares weighted by words, with a weight of PENALTIES beside the targets).  Such rates have the form
+totals sum_i r_i t_i p_i match the targets: the weights times a budget of words.  The rates minimise the
+squared distances sum_d (total_d - target_d)^2 by projected gradient: they start at 1, and a step takes
+sum_d p_id (total_d - target_d) / free_d from each document, where free_d are the words of domain d in
+documents whose rate is not at a bound (the largest step per domain that never overshoots while the same
+documents stay free).  The projection on [0, max_rate] is lazy: steps add up before it, so that
 
     r_i = min(max_rate, max(0, 1 - sum_d p_id dual_d))
 
-and the few duals are found by damped Newton steps on the convex dual problem, until each total is within
-TOLERANCE of its own target or, where targets cannot be met, the next penalty brings none nearer.
-A step is one aggregation over a narrow table, and no rates are stored or shuffled; the final
-rates are computed beside the texts.  Missed targets are warned of and are in the report.
+with one sum of steps ("dual") per domain, and no rates are stored or shuffled: a step is one aggregation
+over a narrow table.  Steps carry momentum, which restarts when it points uphill.  They end when each total is
+within TOLERANCE of its own target, or when neither the squares nor the largest miss fell by a tenth in PATIENCE
+steps (targets that no rates can meet); then the rates with the smallest squares stay.  The final rates
+are computed beside the texts.  Missed targets are warned of and are in the report.
 
 Copies of a document: floor(rate + u).  With draw="random" u is a uniform hash of id and text, so
 totals match in expectation; with draw="nearest" it is one half.
@@ -40,9 +43,7 @@ from inkstone.llm.common import arrow_rows, id_column, materialise, text_runs
 from inkstone.llm.quality import CLASSES, byte_classes
 
 SAMPLE_ROWS, FEATURES, MIN_DOCUMENTS = 10_000, 400, 5
-STEPS, TOLERANCE = 60, 1e-4
-# weights of the rates' distance from 1 beside the targets, in turn
-PENALTIES = (1e-3, 1e-6, 1e-9, 1e-12)
+STEPS, PATIENCE, TOLERANCE = 1000, 20, 1e-4
 DENSE = CLASSES + 3
 MARKS = (b"", b".", b",", b";", b":", b"!", b"?", b"!!")
 NO_DOMAIN = "none"
@@ -62,13 +63,15 @@ def bare(words: list) -> set:
 
 
 def labelled_sample(df: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(domain, text) of at most ``rows`` labelled documents."""
+    """(domain, text) of at most ``rows`` labelled documents; an id gives one row, the least by a hash of the text."""
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.struct("quality", "toxic")).alias("l"))
     named = one.select(F.col("doc_id").alias("id"), F.format_string("q%dt%d", "l.quality", "l.toxic").alias("domain"))
     known = named.join(df.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    return df.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("domain", "text")  # at most ``rows`` rows
+    found = df.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most ``rows`` rows are broadcast
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")
+    return found.groupBy("id", "domain").agg(one).select("domain", "t.text")
 
 
 def choose_words(sample: DataFrame, sizes: dict) -> list[bytes]:
@@ -205,34 +208,35 @@ def rate_column(member, history: list[list[float]], max_rate: float | None):
 
 
 def fit_duals(measure, available: list[float], targets: list[float]) -> tuple[list[float], list[float]]:
-    """(duals, domain totals); ``measure`` gives totals, their negative slopes and the dual value at given duals."""
+    """(duals, domain totals); ``measure`` gives totals and free words of the domains at given duals."""
     import numpy as np
 
     a, target = np.array(available), np.array(targets)
-    used, near = np.flatnonzero(a > 0), TOLERANCE * np.maximum(target, TOLERANCE * a)
-    duals = np.zeros(len(a))
-    totals, slopes, value = (np.array(x) for x in measure(duals.tolist()))
-    scans, before = 1, np.full(len(a), np.inf)
-    for penalty in PENALTIES:
-        damping = penalty
-        whole = lambda v, d: v + target @ d + penalty / 2 * (a * d ** 2).sum()  # noqa: B023, E731
-        while scans < STEPS and damping < 1e6:
-            slack = target - totals + penalty * a * duals
-            if (np.abs(slack) <= near / 4)[used].all():
-                break
-            new, bend = duals.copy(), slopes + (penalty + damping) * np.diag(a)
-            new[used] -= np.linalg.solve(bend[np.ix_(used, used)], slack[used])
-            found, scans = [np.array(x) for x in measure(new.tolist())], scans + 1
-            if whole(found[2], new) < whole(value, duals):
-                duals, (totals, slopes, value), damping = new, found, damping / 10
-            else:
-                damping *= 10
-        error = np.abs(totals - target)
-        apart = used[(error > TOLERANCE * target)[used]]
-        if scans >= STEPS or not (error < before / 2)[apart].any():
-            break  # every target is met, or less weight on the distance from 1 brings none nearer
-        before = error
-    return duals.tolist(), totals.tolist()
+    used, floor = a > 0, np.maximum(target, TOLERANCE * a)
+    scale = np.where(used, a, 1)
+    duals = before = ahead = np.zeros(len(a))
+    age, part, last = 1.0, 1.0, np.inf
+    best, seen = (np.inf, duals, a), []
+    for _ in range(STEPS):
+        totals, free = (np.array(x) for x in measure(ahead.tolist()))
+        error = np.where(used, totals - target, 0.0)
+        squares, miss = (error ** 2 / scale).sum(), (np.abs(error) / np.where(used, floor, 1)).max()
+        if miss <= TOLERANCE:
+            return ahead.tolist(), totals.tolist()
+        if squares < best[0]:
+            best = squares, ahead, totals
+        seen.append((best[0], min(miss, seen[-1][1] if seen else miss)))
+        if len(seen) > 2 * PATIENCE and all(new > 0.9 * old for new, old in zip(seen[-1], seen[-1 - PATIENCE])):
+            break
+        if squares > 4 * last:  # too far: documents at a bound came free; back, with half the step
+            part, age, duals, ahead = part / 2, 1.0, before, before
+            continue
+        new = ahead + part * error / np.maximum(free, 1e-3 * scale)
+        if (error * (new - duals)).sum() < 0:
+            age = 1.0
+        older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+        before, duals, ahead, last = duals, new, new + (older - 1) / age * (new - duals), squares
+    return best[1].tolist(), best[2].tolist()
 
 
 def missed(report: dict) -> dict:
@@ -254,12 +258,10 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict, budget: flo
     def measure(duals):
         raw, rate = F.lit(1.0) - dot(duals), F.least(F.greatest(F.col("raw"), F.lit(0.0)), top)
         free = F.when((F.col("raw") >= 0) & (F.col("raw") <= top), t).otherwise(0)
-        value = t * F.col("rate") * (F.col("raw") - F.col("rate") / 2)  # the integral of the rate over raw
         row = members.select("m", raw.alias("raw")).withColumn("rate", rate).agg(
-            *[F.sum(t * F.col("rate") * p[i]) for i in range(n)],
-            *[F.sum(free * p[i] * p[j]) for i in range(n) for j in range(n)], F.sum(value)).first()
+            *[F.sum(t * F.col("rate") * p[i]) for i in range(n)], *[F.sum(free * p[i]) for i in range(n)]).first()
         row = [x or 0.0 for x in row]
-        return row[:n], [row[n + n * i:2 * n + n * i] for i in range(n)], row[-1]
+        return row[:n], row[n:]
 
     available = [x or 0.0 for x in members.agg(*[F.sum(t * p[i]) for i in range(n)]).first()]
     shares = [max(0.0, weights.get(d, 0.0)) if available[i] > 0 else 0.0 for i, d in enumerate(domains)]
