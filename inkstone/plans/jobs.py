@@ -31,6 +31,7 @@ from inkstone.operators.order import seeded_sample, seeded_shuffle
 from inkstone.operators.sft import chat_messages, sft_text
 from inkstone.operators.split import long_context_subset, stratified_split
 from inkstone.plans.corpus import prepare_corpus
+from inkstone.sources import csv_split as CS
 from inkstone.sources import io as IO
 
 
@@ -158,7 +159,11 @@ def main(argv=None) -> None:
     spark = get_spark()
 
     def load(path):
-        return IO.read_pairs(spark, path) if path.endswith(".csv") else spark.read.parquet(path)
+        if not path.endswith(".csv"):
+            return spark.read.parquet(path)
+        good, _, n = CS.pairs_to_parquet(spark, path, IO.scratch_path(spark, "pairs"))
+        print(f"{path}: {n} corrupt rows left out")
+        return good
 
     if args.job == "training-rows":
         print(training_rows_job(spark, load(args.pairs), args.out, args.stage))

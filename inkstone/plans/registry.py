@@ -1212,6 +1212,7 @@ def training_arrays_short(spark, sf):
 
 
 # ===================================================================== sources, sinks, delivery, resume
+from inkstone.sources import csv_split as CS  # noqa: E402
 from inkstone.sources import io as IO  # noqa: E402
 from inkstone.operators import resume as RS  # noqa: E402
 
@@ -1225,6 +1226,21 @@ def read_pairs_csv(spark, sf):
     return finish(back.select("id", "prompt", F.md5("svg").alias("svg_md5")))
 
 
+@query("csv_ingest", f"""WITH p AS ({_PAIRS})
+SELECT id, prompt, md5(raw_text) AS svg_md5, false AS corrupt, CAST(NULL AS VARCHAR) AS record FROM p
+UNION ALL SELECT id, prompt, NULL, true, '"' || id || '","' || replace(prompt, '"', '""') || '"' FROM p""")
+def csv_ingest(spark, sf):
+    """Quoted multi-line CSV read by byte ranges into Parquet; rows of a second file lack a field and are quarantined."""
+    pairs = S.markup_pairs(spark, sf, expected=True).select("id", "prompt", F.col("raw_text").alias("svg"))
+    root = IO.scratch_path(spark, "csv-ingest")
+    IO.write_pairs(pairs, f"{root}/whole")
+    pairs.select("id", "prompt").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{root}/short")
+    good, bad, _ = CS.pairs_to_parquet(spark, [f"{root}/whole", f"{root}/short"], f"{root}/rows", split_bytes=1 << 20)
+    rows = good.withColumn(CS.CORRUPT, F.lit(None).cast("string")).unionByName(bad)
+    return finish(rows.select("id", "prompt", F.md5("svg").alias("svg_md5"), F.col(CS.CORRUPT).isNotNull().alias("corrupt"),
+                              F.col(CS.CORRUPT).alias("record")))
+
+
 @query("read_pruned", "SELECT p_partkey, p_name FROM part")
 def read_pruned(spark, sf):
     """Two named columns only (pruned at the Parquet scan)."""
