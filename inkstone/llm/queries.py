@@ -82,13 +82,19 @@ WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n
   FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, line, i, n, length(line) - length(replace(line, ' ', '')) + 1 AS words,
-             CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-r AS (SELECT *, h + {line_dedup.HASH_BASE} * coalesce(lag(h) OVER w, 0) AS rolled,
-             coalesce(lead(words) OVER w, 0) AS next_words
-      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, (i = n - 1 OR rolled % {line_dedup.CHUNK_LINES} = 0 OR words >= {line_dedup.LONG_LINE}
-                 OR next_words >= {line_dedup.LONG_LINE}) AS is_end FROM r),
+h AS (SELECT doc_id, line, i, n, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
+             CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, lead(line) OVER w AS next_line
+      FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+q AS (SELECT line, next_line, count(*) > 1 AS pair FROM h WHERE next_line IS NOT NULL GROUP BY line, next_line),
+g AS (SELECT h.*, coalesce(q.pair, FALSE) AS pair FROM h LEFT JOIN q ON q.line = h.line AND q.next_line = h.next_line),
+r AS (SELECT *, (h + {line_dedup.HASH_BASE} * coalesce(lag(h) OVER w, 0)) % {line_dedup.CHUNK_LINES} = 0 AS rolls,
+             coalesce(lead(words) OVER w, 0) AS next_words, coalesce(lag(pair) OVER w, FALSE) AS pair_before,
+             coalesce(lag(pair, 2) OVER w, FALSE) AS pair_before_that, coalesce(lead(pair) OVER w, FALSE) AS pair_after
+      FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, (NOT pair OR words >= {line_dedup.LONG_LINE} OR next_words >= {line_dedup.LONG_LINE}
+                 OR (pair_before AND pair_after AND rolls
+                     AND NOT (pair_before_that AND lag(rolls) OVER w))) AS is_end
+      FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(is_end AS INT)) OVER (PARTITION BY doc_id ORDER BY i
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
 k AS (SELECT doc_id, chunk, count(*) AS n_lines, sum(words) AS n_words,
