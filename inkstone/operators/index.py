@@ -56,6 +56,30 @@ def with_global_index(df: DataFrame, order_cols: list, name: str = "idx", partit
     return (out, run) if return_count else out
 
 
+def ranked_value(df: DataFrame, col: str, rank: int, bins: int = 4096):
+    """(value, rows above it, rows that hold it) of the ``rank``-th largest (from 1) of a long column; null comes last.
+
+    Each pass counts the values of the open interval in at most ``bins`` bins and goes on in the bin that holds the
+    rank, so passes grow with the logarithm of the values' range (two for lengths below 2 ** 24) and neither the
+    driver nor a task ever holds more than ``bins`` rows, however many distinct values there are.
+    """
+    low, high, known = df.agg(F.min(col), F.max(col), F.count(col)).first()
+    if rank > known:
+        return None, known, df.filter(F.col(col).isNull()).count()
+    above = 0
+    while True:
+        step = -(-(high - low + 1) // bins)
+        bin_of = F.expr(f"(`{col}` - {low}L) div {step}L").alias("bin")
+        rows = df.filter(F.col(col).between(low, high)).groupBy(bin_of).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(rows, key=lambda r: -r["bin"]):
+            if above + r["n"] >= rank:
+                break
+            above += r["n"]
+        if step == 1:
+            return low + r["bin"], above, r["n"]
+        low, high = low + r["bin"] * step, min(high, low + (r["bin"] + 1) * step - 1)
+
+
 def length_histogram(df: DataFrame, length_col: str, group_cols: list | None = None) -> DataFrame:
     """H3: (groups, length, n).  Lengths are bounded, so this is small whatever the row count."""
     g = list(group_cols or [])

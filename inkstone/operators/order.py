@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone import constants as K
-from inkstone.operators.index import bounded_broadcast, with_global_index
+from inkstone.operators.index import bounded_broadcast, ranked_value, with_global_index
+from inkstone.sources.io import scratch_path
 
 
 def shuffle_key(id_col: str, seed: int = K.SEED):
@@ -72,9 +73,26 @@ def longest_rows(df: DataFrame, length_col: str, id_col: str = "id", fraction: f
                  minimum: int = K.LONG_CONTEXT_MIN_EVAL) -> DataFrame:
     """The N longest rows, N = min(n, max(minimum, floor(fraction*n))), ties by id.
 
-    Uses the global index of the (length desc, id) order instead of a driver-side
-    top-N, so N may be in the millions.
+    The N-th length is selected by counting (:func:`ranked_value`) on a narrow table of id and length, then the rows
+    are filtered where they lie: nothing wide is sorted or moved.  Rows of that very length are cut at an id, which a
+    global index over their ids alone tells.  Null lengths come last, a null id first; ids must be unique.
     """
-    indexed, n = with_global_index(df, [F.col(length_col).desc(), F.col(id_col).asc()], "__i", return_count=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "lengths")
+    df.select(F.col(length_col).cast("long").alias("length"), F.col(id_col).alias("id")).write.parquet(path)
+    narrow = spark.read.parquet(path)
+    n = narrow.count()
     keep = min(n, max(minimum, int(n * fraction)))
-    return indexed.filter(F.col("__i") < keep).drop("__i")
+    if keep == n:
+        return df
+    if keep <= 0:
+        return df.filter(F.lit(False))
+    last, longer, ties = ranked_value(narrow, "length", keep)
+    length, row_id = F.col(length_col).cast("long"), F.col(id_col)
+    over = length.isNotNull() if last is None else length > last
+    at = length.isNull() if last is None else length == last
+    if keep - longer == ties:
+        return df.filter(over | at)
+    same = narrow.filter(F.col("length").isNull() if last is None else F.col("length") == last).select("id")
+    cut = with_global_index(same, ["id"], "__i").filter(F.col("__i") == keep - longer - 1).first()["id"]
+    return df.filter(over | (at & (row_id.isNull() if cut is None else row_id.isNull() | (row_id <= F.lit(cut)))))

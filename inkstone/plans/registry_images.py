@@ -11,6 +11,7 @@ from inkstone.functions import raster as RA
 from inkstone.operators import evaluate as EV
 from inkstone.operators import markup as M
 from inkstone.operators import rank as RK
+from inkstone.operators import tiles as TI
 from inkstone.plans import registry as B
 from inkstone.plans import sqlref as R
 from inkstone.sources import standins as S
@@ -148,3 +149,39 @@ def rank_levels(spark, sf):
     tests = S.test_prompts(spark, sf)
     r = RK.rank_candidates(cands, tests, RK.exact_retrieval(train, tests))
     return B.finish(r.select("id", "level", "best_idx", "best_score", "best_model", "best_model_path", "num_candidates", F.md5("svg").alias("svg_md5")))
+
+
+# One large image of all 8 x 8 images, 16 side by side: it grows with the table, its tiles are the images.
+_ACROSS = 16
+
+
+def _mosaic(df, keys):
+    n = F.col("id").cast("long")
+    return df.select(*keys, (n % _ACROSS * B._W).alias("x0"), (F.floor(n / _ACROSS) * B._W).alias("y0"), F.lit(B._W).alias("w"), "pixels")
+
+
+def _pixels_sql(source: str, keys: str) -> str:
+    """CTE body: one row a pixel of the mosaic with its edge magnitude."""
+    lead = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}, " if keys else "PARTITION BY "
+    return f"""(SELECT *, sqrt(pow(coalesce(abs(v - lag(v) OVER (PARTITION BY {lead}y ORDER BY x)), 0), 2)
+                        + pow(coalesce(abs(v - lag(v) OVER ({part}x ORDER BY y)), 0), 2)) AS e
+                FROM (SELECT {lead}k % {_ACROSS} * {B._W} + i % {B._W} AS x, k // {_ACROSS} * {B._W} + i // {B._W} AS y, v
+                      FROM (SELECT {lead}CAST(id AS BIGINT) AS k, unnest(pixels) AS v, unnest(range(len(pixels))) AS i FROM ({source}))))"""
+
+
+@B.query("mosaic_metrics", f"""
+WITH r AS {_pixels_sql(B._IMG_REF_SQL, '')}, p AS {_pixels_sql(B._IMG_PRED_SQL, 'checkpoint')},
+m AS (SELECT p.checkpoint, avg(p.v) AS ma, avg(r.v) AS mb, var_pop(p.v) AS va, var_pop(r.v) AS vb, covar_pop(p.v, r.v) AS cov,
+             avg(p.e) AS mean_edge, CAST(count(*) FILTER (WHERE p.e > {B.IM.EDGE_THRESHOLD} AND r.e > {B.IM.EDGE_THRESHOLD}) AS DOUBLE) AS tp,
+             count(*) FILTER (WHERE p.e > {B.IM.EDGE_THRESHOLD}) AS np, count(*) FILTER (WHERE r.e > {B.IM.EDGE_THRESHOLD}) AS nr
+      FROM p JOIN r ON p.x = r.x AND p.y = r.y GROUP BY p.checkpoint)
+SELECT checkpoint, {B.r6(f'(2 * ma * mb + {B.IM.C1!r}) * (2 * cov + {B.IM.C2!r}) / ((ma * ma + mb * mb + {B.IM.C1!r}) * (va + vb + {B.IM.C2!r}))')} AS ssim,
+       {B.r6('CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp / (np + 1e-6)) * (tp / (nr + 1e-6)) / (tp / (np + 1e-6) + tp / (nr + 1e-6)) END')} AS edge_f1,
+       {B.r6('mean_edge')} AS mean_edge FROM m""")
+def mosaic_metrics(spark, sf):
+    """X1, X3 and X4 in long form: every checkpoint's mosaic of all its images against the references' mosaic, by tiles."""
+    refs, preds = B._img(spark, sf)
+    a, b = _mosaic(preds, ["checkpoint"]), _mosaic(refs, [])
+    ssim = TI.ssim_tiles(a, b, ["checkpoint"], [], clamp=False)
+    return B.finish(ssim.join(TI.edge_f1_tiles(a, b, ["checkpoint"], []), "checkpoint"))
