@@ -23,10 +23,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# a row of ``part`` has some ten bytes in its file and becomes documents of hundreds of bytes, parsed and scored: splits by
+# file size would leave a table of millions of rows to a few tasks
+ROWS_PER_TASK, LEAST_ROWS_PER_TASK = 10_000, 1_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to tasks of at most ROWS_PER_TASK rows, to fewer rows each while cores would idle.
+
+    The rows are counted from the file footers; a table too small to deal out stays as it is.
+    """
+    rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-rows // ROWS_PER_TASK), min(cores, -(-rows // LEAST_ROWS_PER_TASK)))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def register(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register driver tables as temp views (same names as the oracle's views)."""
     for n in names or TABLES:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)
+        df = load(spark, sf_dir, n)
+        (spread(df) if n == "part" else df).createOrReplaceTempView(n)
 
 
 def _choices(seed: str) -> str:
