@@ -31,13 +31,15 @@ def dedupe_candidates(df: DataFrame, group_col: str = "prompt_id", markup_col: s
     is read once, so an expensive upstream (the canonicaliser) runs once.  A group
     is one prompt's candidates, bounded by the generation budget plus retrieval.
     """
-    nonempty = F.length(F.coalesce(F.col(markup_col), F.lit(""))) > 0
     lane = [lane_col] if lane_col else []
-    any_nonempty = F.max(nonempty.cast("int")).over(Window.partitionBy(group_col, *lane))
-    first = F.row_number().over(Window.partitionBy(group_col, *lane, F.sha2(F.col(markup_col), 256)).orderBy(seq_col))
-    out = df.withColumn("__any", any_nonempty).withColumn("__rn", first)
-    keep = F.when(F.col("__any") == 1, nonempty & (F.col("__rn") == 1)).otherwise(F.lit(True))
-    return out.filter(keep).drop("__any", "__rn")
+    # hashed before the shuffle: the text itself travels only if a later step reads it
+    nonempty = F.length(F.coalesce(F.col(markup_col), F.lit(""))) > 0
+    keyed = df.withColumn("__h", F.when(nonempty, F.sha2(F.col(markup_col), 256)))
+    any_nonempty = F.max(F.col("__h").isNotNull().cast("int")).over(Window.partitionBy(group_col, *lane))
+    first = F.row_number().over(Window.partitionBy(group_col, *lane, "__h").orderBy(seq_col))
+    out = keyed.withColumn("__any", any_nonempty).withColumn("__rn", first)
+    keep = F.when(F.col("__any") == 1, F.col("__h").isNotNull() & (F.col("__rn") == 1)).otherwise(F.lit(True))
+    return out.filter(keep).drop("__h", "__any", "__rn")
 
 
 def union_frames(*frames: DataFrame) -> DataFrame:
