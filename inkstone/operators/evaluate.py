@@ -96,7 +96,8 @@ def evaluate_predictions(preds: DataFrame, refs: DataFrame, pred_images: DataFra
     p = preds.withColumn("__x", TX.extract_markup("raw_text"))
     p = M.canonicalise(p, "__x", "svg", variant="train").drop("__x")
     p = MX.with_parsed(p, "svg", "__p_")
-    j = pred_vs_ref(p, refs, id_col, ckpt_col, checkpoints).withColumn("svg", F.coalesce("svg", F.lit("")))
+    # listed from the texts as given: listing the parsed ones would canonicalise them all for it
+    j = pred_vs_ref(p, refs, id_col, ckpt_col, preds if checkpoints is None else checkpoints).withColumn("svg", F.coalesce("svg", F.lit("")))
     valid = F.coalesce(F.col("__p_valid"), F.lit(False))
     numbers = ("__ssim", "__edge", "__mae")
     if pred_images is None or ref_images is None:

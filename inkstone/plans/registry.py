@@ -24,6 +24,7 @@ from inkstone.operators.dedupe import dedupe_pairs, union_frames
 from inkstone.operators.split import bucket_quota, eval_size, length_edges, stratified_split, with_length_bin, with_split_bucket
 from inkstone.plans import sqlref as R
 from inkstone.plans.corpus import prepare_corpus
+from inkstone.session import checkpoint_dir
 from inkstone.sources import standins as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,11 +525,22 @@ def eval_size_q(spark, sf):
     return finish(spark.createDataFrame([(n, eval_size(n))], "rows long, eval_rows long"))
 
 
+def _kept(spark, sf):
+    """The prepared rows that the bins and buckets read several times, canonicalised and deduplicated once."""
+    checkpoint_dir(spark)
+    return _prepared(spark, sf).select("id", "prompt", "svg_norm", "combined_chars").checkpoint()
+
+
+def _bucketed(spark, sf):
+    d = _kept(spark, sf)
+    return with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+
+
 @query("length_bins", f"""
 WITH {_SPLIT} SELECT id, combined_chars, length_bin FROM binned""")
 def length_bins(spark, sf):
     """Quantile length bins (pandas qcut rules, edges from the length histogram)."""
-    d = _prepared(spark, sf)
+    d = _kept(spark, sf)
     return finish(with_length_bin(d, length_edges(d)).select("id", "combined_chars", "length_bin"))
 
 
@@ -536,16 +548,14 @@ def length_bins(spark, sf):
 WITH {_SPLIT} SELECT id, prompt_complexity_bin, svg_complexity_bin, split_bucket FROM framed""")
 def split_bucket(spark, sf):
     """Complexity bins and bucket label."""
-    d = _prepared(spark, sf)
-    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    d = _bucketed(spark, sf)
     return finish(d.select("id", "prompt_complexity_bin", "svg_complexity_bin", "split_bucket"))
 
 
 @query("bucket_sizes", f"WITH {_SPLIT} SELECT split_bucket, n FROM sizes")
 def bucket_sizes(spark, sf):
     """A4: rows per split bucket."""
-    d = _prepared(spark, sf)
-    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    d = _bucketed(spark, sf)
     return finish(P.bucket_sizes(d))
 
 
@@ -554,8 +564,7 @@ WITH {_SPLIT} SELECT (SELECT count(DISTINCT combined_chars) FROM framed) AS dist
                      (SELECT count(DISTINCT split_bucket) FROM framed) AS distinct_buckets""")
 def distinct_count(spark, sf):
     """A5: distinct lengths and distinct buckets."""
-    d = _prepared(spark, sf)
-    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
+    d = _bucketed(spark, sf)
     return finish(d.agg(F.countDistinct("combined_chars").alias("distinct_lengths"),
                         F.countDistinct("split_bucket").alias("distinct_buckets")))
 
@@ -563,10 +572,8 @@ def distinct_count(spark, sf):
 @query("bucket_quota", f"WITH {_SPLIT} SELECT split_bucket, n, quota FROM quota")
 def bucket_quota_q(spark, sf):
     """Largest-remainder eval quota per bucket."""
-    d = _prepared(spark, sf)
-    n = d.count()
-    d = with_split_bucket(with_length_bin(d, length_edges(d)), "prompt", "svg_norm")
-    return finish(bucket_quota(P.bucket_sizes(d), eval_size(n)).select("split_bucket", "n", "quota"))
+    d = _bucketed(spark, sf)
+    return finish(bucket_quota(P.bucket_sizes(d), eval_size(d.count())).select("split_bucket", "n", "quota"))
 
 
 @query("stratified_split", f"WITH {_SPLIT} SELECT id, split_bucket, split FROM split")
@@ -1042,10 +1049,10 @@ SELECT coalesce(a.checkpoint, b.checkpoint) AS checkpoint, coalesce(a.id, b.id)
 FROM a FULL OUTER JOIN b ON a.checkpoint = b.checkpoint AND a.id = b.id AND a.tag = b.tag""")
 def tag_count_align(spark, sf):
     """Full outer alignment of predicted and reference tag counts per (checkpoint, id, tag)."""
-    preds = S.predictions(spark, sf).withColumn("__x", TX.extract_markup("raw_text"))
-    preds = M.canonicalise(preds, "__x", "svg").select("checkpoint", "id", MX.tag_histogram("svg").alias("ha"))
+    raw = S.predictions(spark, sf)
+    preds = M.canonicalise(raw.withColumn("__x", TX.extract_markup("raw_text")), "__x", "svg").select("checkpoint", "id", MX.tag_histogram("svg").alias("ha"))
     refs = M.canonicalise(_pairs(spark, sf), "svg", "markup_norm").select("id", MX.tag_histogram("markup_norm").alias("hb"))
-    pairs = EV.pred_vs_ref(preds, refs, "id")  # J4
+    pairs = EV.pred_vs_ref(preds, refs, "id", checkpoints=raw)  # J4; listed before the leaf, which would run for the list
     return finish(EV.tag_count_align_maps(pairs, ["checkpoint", "id"], "ha", "hb"))
 
 
@@ -1325,7 +1332,8 @@ def resume_stream(spark, sf):
     from inkstone.streaming.resume_stream import resume_stream as run_stream
     src = IO.scratch_path(spark, "stream-src")
     d = docs(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text")
-    d.repartition(4).write.parquet(src)
+    # several files; a table of more splits keeps them, so that no task's share grows with the table
+    (d if d.rdd.getNumPartitions() >= 4 else d.repartition(4)).write.parquet(src)
     # a second copy of part of the input arrives later: its ids are skipped as finished
     d.join(S.load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi") \
         .write.mode("append").parquet(src)
