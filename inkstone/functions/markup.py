@@ -132,11 +132,14 @@ def parse_color(v: Column) -> Column:
 
 def is_visible_paint(v: Column) -> Column:
     """M5: non-paint -> false; unknown paint -> true; parsed colour -> min channel < 245."""
-    def vis(c):
-        return (F.when(c.isin(*K.NON_PAINT_VALUES), F.lit(False))
-                .otherwise(let(_color_of_compact(c), lambda rgb: F.when(rgb.isNull(), F.lit(True)).otherwise(
-                    F.least(rgb["r"], rgb["g"], rgb["b"]) < K.VISIBLE_CHANNEL_LIMIT))))
-    return let(compact(v), vis)
+    return let(compact(v), _visible_compact)
+
+
+def _visible_compact(c: Column) -> Column:
+    """M5 of an already compacted paint value."""
+    return (F.when(c.isin(*K.NON_PAINT_VALUES), F.lit(False))
+            .otherwise(let(_color_of_compact(c), lambda rgb: F.when(rgb.isNull(), F.lit(True)).otherwise(
+                F.least(rgb["r"], rgb["g"], rgb["b"]) < K.VISIBLE_CHANNEL_LIMIT))))
 
 
 def _style_values(style: Column, lower_key: bool = True) -> Column:
@@ -150,10 +153,11 @@ def _style_values(style: Column, lower_key: bool = True) -> Column:
 
 
 def element_paints(el: Column) -> Column:
-    """Paint values of one parsed element: fill, stroke, then style fill/stroke; non-paints removed."""
-    vals = F.concat(F.array(strip_ws(get_attr(el, "fill")), strip_ws(get_attr(el, "stroke"))),
-                    _style_values(get_attr(el, "style")))
-    return F.filter(vals, lambda x: ~is_non_paint(x))
+    """Paint values of one parsed element, compacted: fill, stroke, then style fill/stroke; non-paints removed."""
+    styled = let(get_attr(el, "style"), lambda s: F.when(F.length(s) > 0, F.transform(_style_values(s), compact))
+                 .otherwise(F.array().cast("array<string>")))
+    vals = F.concat(F.array(compact(get_attr(el, "fill")), compact(get_attr(el, "stroke"))), styled)
+    return F.filter(vals, lambda x: ~x.isin(*K.NON_PAINT_VALUES))
 
 
 def drawables(els: Column) -> Column:
@@ -169,8 +173,8 @@ def paint_stats(els: Column) -> Column:
     def per_element(el):
         return let(element_paints(el), lambda p: F.struct(
             (F.size(p) > 0).alias("painted"),
-            F.exists(p, is_visible_paint).alias("visible"),
-            F.transform(p, compact).alias("colors")))
+            F.exists(p, _visible_compact).alias("visible"),
+            p.alias("colors")))
 
     # one pass over the drawables; every per-element value is bound once
     return let(F.transform(drawables(els), per_element), lambda d: F.struct(
